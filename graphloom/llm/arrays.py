@@ -120,7 +120,7 @@ class Rolling:
     def __init__(self, seed: int):
         rng = np.random.default_rng(seed)
         self.table = rng.integers(0, 1 << 64, 256, dtype=np.uint64)
-        self.base = int(rng.integers(0, 1 << 62)) * 8 + 5
+        self.base = int(rng.integers(0, 1 << 60)) * 8 + 5
         self.inverse = pow(self.base, -1, 1 << 64)
         self.up = self.down = np.ones(1, np.uint64)
 
@@ -128,7 +128,7 @@ class Rolling:
         if len(self.up) <= n:
             n = max(n + 1, BLOCK_BYTES + 2)
             for name, base in (("up", self.base), ("down", self.inverse)):
-                p = np.full(n, base, np.uint64)
+                p = np.full(n, np.uint64(base))
                 p[0] = 1
                 setattr(self, name, np.multiply.accumulate(p))
 
