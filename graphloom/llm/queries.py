@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import chat, decontaminate, langid, licenses, simhash, toxicity
+from . import chat, decontaminate, langid, licenses, pieces, pivots, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_chats(chat.events_of(rows)))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
@@ -42,8 +46,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op2_license_scan, op3_chat_format, op6_simhash, op7_language_id, op8_decontaminate, op9_toxicity]
+    named = [op2_license_scan, op3_chat_format, op5_sentencepiece, op6_simhash, op7_language_id, op8_decontaminate, op9_toxicity, op10_embedding_dedup]
     return {f.__name__: f for f in named}
 
 
@@ -86,5 +94,19 @@ FROM dw LEFT JOIN hits USING (k) LEFT JOIN items USING (k)
 """
 
 
+OP10_SQL = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS k, vec_id, embedding::DOUBLE[] AS e,
+    coalesce(len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0, false) AS ok
+  FROM embeddings),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.ok AND b.ok AND a.k <> b.k WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT reach.a, p.b FROM reach JOIN p ON p.a = reach.b),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+deg AS (SELECT a, count(*) AS n FROM p GROUP BY a)
+SELECT v.vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, v.vec_id = component_id AS kept
+FROM v LEFT JOIN least ON least.a = v.vec_id LEFT JOIN deg ON deg.a = v.vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": OP3_SQL, "op8_decontaminate": OP8_SQL}
+    return {"op3_chat_format": OP3_SQL, "op8_decontaminate": OP8_SQL, "op10_embedding_dedup": OP10_SQL}
