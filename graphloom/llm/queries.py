@@ -8,13 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import chat, decontaminate, langid, licenses, pieces, pivots, simhash, toxicity
+from . import chat, decontaminate, langid, licenses, pieces, pivots, simhash, suffixes, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.find_repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -51,13 +55,30 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op2_license_scan, op3_chat_format, op5_sentencepiece, op6_simhash, op7_language_id, op8_decontaminate, op9_toxicity, op10_embedding_dedup]
+    named = [op1_suffix_dedup, op2_license_scan, op3_chat_format, op5_sentencepiece, op6_simhash, op7_language_id, op8_decontaminate, op9_toxicity, op10_embedding_dedup]
     return {f.__name__: f for f in named}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+OP1_SQL = """
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT k, doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM d, unnest(range(0, length(h) // 2 - 49)) AS t(i)),
+least AS (SELECT s, min(doc_id) AS m FROM s GROUP BY s HAVING count(DISTINCT doc_id) > 1),
+hit AS (SELECT k, i FROM s JOIN least USING (s) WHERE doc_id > m),
+bytes AS (SELECT DISTINCT k, p FROM hit, unnest(range(i, i + 50)) AS t(p)),
+span AS (SELECT k, p, lag(p) OVER (PARTITION BY k ORDER BY p) AS before FROM bytes),
+runs AS (SELECT k, count(*) AS n_removed, count(*) FILTER (before IS NULL OR before < p - 1) AS n_spans FROM span GROUP BY k),
+kept AS (
+  SELECT d.k, string_agg(substr(h, 2 * t.p + 1, 2), '' ORDER BY t.p) AS h
+  FROM d JOIN runs USING (k), unnest(range(0, length(h) // 2)) AS t(p) LEFT JOIN bytes b ON b.k = d.k AND b.p = t.p
+  WHERE b.p IS NULL GROUP BY d.k)
+SELECT doc_id, (length(d.h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN runs.k IS NULL THEN d.h ELSE coalesce(kept.h, '') END)) AS kept_sha256
+FROM d LEFT JOIN runs ON runs.k = d.k LEFT JOIN kept ON kept.k = d.k
+"""
+
 OP3_SQL = r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -109,4 +130,4 @@ FROM v LEFT JOIN least ON least.a = v.vec_id LEFT JOIN deg ON deg.a = v.vec_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": OP3_SQL, "op8_decontaminate": OP8_SQL, "op10_embedding_dedup": OP10_SQL}
+    return {"op1_suffix_dedup": OP1_SQL, "op3_chat_format": OP3_SQL, "op8_decontaminate": OP8_SQL, "op10_embedding_dedup": OP10_SQL}
