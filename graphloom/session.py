@@ -23,3 +23,12 @@ def ship(spark: SparkSession) -> SparkSession:
         sc.addPyFile(str(target))
     sc._graphloom_shipped = True
     return spark
+
+
+def settle(df):
+    """df computed once, in the folder of spark.checkpoint.dir (a temporary one only where none is named), so that loops keep
+    short plans and survive lost executors."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="graphloom-"))
+    return df.checkpoint(eager=True)
