@@ -114,6 +114,16 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def unmix(h: np.ndarray) -> np.ndarray:
+    """The inverse of mix."""
+    h = h ^ (h >> U64(33))
+    h = h * U64(pow(0xC4CEB9FE1A85EC53, -1, 1 << 64))
+    h ^= h >> U64(33)
+    h *= U64(pow(0xFF51AFD7ED558CCD, -1, 1 << 64))
+    h ^= h >> U64(33)
+    return h
+
+
 class Rolling:
     """Hashes of any substrings from one prefix sum: sum T[byte] * P**position, modulo 2**64."""
 

@@ -2,13 +2,15 @@
 
 Alternating stars: in each round every node's larger neighbours, then all of its smaller ones, are tied to the smallest
 node that it knows. A union-find inside each partition first turns dense edges into stars, so hubs arrive pre-aggregated.
-Each round is written to the shared checkpoint folder, so lineage stays short and lost executors cost one round.
+Each round is a table in the shared checkpoint folder, so lineage stays short and lost executors cost one round.
 """
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -18,17 +20,52 @@ from pyspark.sql import functions as F
 PART_EDGES = 1 << 20
 
 
-def checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the folder the cluster names in spark.checkpoint.dir; sets one only where none is named, as in tests."""
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder the cluster names in spark.checkpoint.dir; sets one only where none is named, as in tests."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="graphloom-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+#: Spark removes the shuffle files of a query when it ends, if this is set; what is written to a table needs them no more.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
+def _path(spark: SparkSession, name: str):
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut: computed once, in the shared folder."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df with its lineage cut: computed once, as a table in the shared folder, which goes when the application ends."""
+    spark = df.sparkSession
+    name = f"{checkpoint_dir(spark)}/graphloom-{uuid.uuid4().hex}"
+    with released(spark):
+        df.select("*").write.parquet(name)
+    path, fs = _path(spark, name)
+    fs.deleteOnExit(path)
+    out = spark.read.schema(df.schema).parquet(name)
+    out._graphloom_table = name
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Removes tables of cut() that nothing reads any more."""
+    for t in tables:
+        path, fs = _path(t.sparkSession, t._graphloom_table)
+        fs.delete(path, True)
 
 
 def union(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -89,6 +126,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").union(least.select("a", F.col("m").alias("b"))).distinct()
         new = cut(small)
         told = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        drop(e)
         e = new
         if told == last:
             break

@@ -2,23 +2,25 @@
 
 Every byte covered by a string of `LENGTH` = 50 bytes that also starts in a document with a smaller doc_id is removed. The
 order of equal strings is all that counts, so ranks are names: equal strings of one length have equal names. Names start at
-`FIRST` = 16 bytes and double: the name of 32 bytes at i is made of the 16-byte names at i and i + 16, the name of 50 bytes
-of the 32-byte names at i and i + 18. Between rounds Spark sorts (name, position) rows and drops what is unique, until only
+`FIRST` = 20 bytes and double: the name of 40 bytes at i is made of the 20-byte names at i and i + 20, the name of 50 bytes
+of the 40-byte names at i and i + 10. Between rounds Spark sorts (name, position) rows and drops what is unique, until only
 strings past the threshold are left:
 
-1. Round of 16 bytes, at the positions that matter: every 50-byte string is represented by the smallest 16-byte name in it
-   (about one position in eighteen is one). A string that repeats has a representative that repeats, so documents keep only
+1. Round of 20 bytes, at the positions that matter: every 50-byte string is represented by the smallest 20-byte name in it
+   (about one position in sixteen is one). A string that repeats has a representative that repeats, so documents keep only
    the representatives that occur in two documents.
-2. Neighbouring strings with one representative form a segment (18 strings on average, 68 bytes). Equal segments meet, and all
+2. Neighbouring strings with one representative form a segment (16 strings on average). Equal segments meet, and all
    but those of the smallest document are settled at once, as one row for all their strings. Where all segments of a
    representative are equal, nothing is left.
-3. Round of 50 bytes: the strings of the other segments meet by their 50-byte names.
+3. Round of 50 bytes: the strings of the other segments meet by their 50-byte names, inside the rows of their representative
+   where those are `GROUP` or fewer, and else one by one through a shuffle of their own.
 
 Names are 64 bits in round 1, where a false meeting only costs work, and 128 (segments) and 80 (strings) bits after that.
 
 Skew: rows of a name that a worker sees in several documents are settled where they are, and only one of them travels with
 the name; the others go their own ways. So a passage in a third of all documents gives one row for each block of texts.
-Rows stream through sorted runs, with one row of state; no group is held.
+Rows stream through sorted runs, with one row of state; no group is held. Texts travel compressed, and each step ends in a
+table, after which its shuffle files go.
 
 Results: one row per input row. Null and empty texts have no bytes. A null doc_id is larger than all others. Rows with the
 same doc_id are the same document, so they do not remove each other's strings, whether their texts are equal or not. Copies of
@@ -32,17 +34,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import Block, blocks, map_blocks, mix, rolling, spans_of
-from .components import cut
+from .arrays import Block, blocks, map_blocks, mix, rolling, unmix
+from .components import cut, drop
 
 LENGTH = 50
-FIRST = 16
+FIRST = 20
 SEED = 1
 U64 = np.uint64
 LAST_ID = 2**63 - 1
+GROUP = 4096
 
 
 def join_names(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -100,7 +104,7 @@ def _ids(block: Block) -> np.ndarray:
 
 def local_shares(key: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of rows of one worker: which keys have several owners, and which rows stand for their key (the others need not travel)."""
-    at = np.lexsort((who, key))
+    at = np.argsort(key, kind="stable")
     k, w = key[at], who[at]
     new = np.ones(len(k), bool)
     new[1:] = k[1:] != k[:-1]
@@ -164,6 +168,28 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return d.withColumn("tag", F.xxhash64("text").bitwiseAND(0xFFFF))
 
 
+def packed(keyed: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and text, with the text compressed for the way through a shuffle."""
+
+    def run(block: Block) -> pa.RecordBatch:
+        z = zstandard.ZstdCompressor(level=3)
+        return pa.RecordBatch.from_arrays([*(block.rows.column(i) for i in range(len(keys))), pa.array([None if block.null[i] else z.compress(block.text(i)) for i in range(block.n)], pa.binary())], names=[*keys, "text"])
+
+    kinds = dict(keyed.dtypes)
+    return map_blocks(keyed.select(*keys, "text"), run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "text binary"]))
+
+
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches with their texts as they were."""
+    z = zstandard.ZstdDecompressor()
+    for batch in batches:
+        for a in range(0, batch.num_rows, 1000):
+            b = batch.slice(a, 1000)
+            at = b.schema.get_field_index("text")
+            texts = pa.array([None if t is None else z.decompress(t) for t in b.column(at).to_pylist()], pa.large_binary())
+            yield pa.RecordBatch.from_arrays([texts if i == at else b.column(i) for i in range(b.num_columns)], names=b.schema.names)
+
+
 def repeated(docs: DataFrame) -> DataFrame:
     """doc_id, tag, starts: array of (first string, number of strings) to remove, of the documents that have some."""
     spark = docs.sparkSession
@@ -174,21 +200,31 @@ def repeated(docs: DataFrame) -> DataFrame:
         rep, doc, _, _, _ = segments(block)
         ids = _ids(block)
         tag = block.rows.column(block.rows.schema.get_field_index("tag")).to_numpy()
-        pair = np.unique(np.stack((rep, doc.astype(np.uint64)), 1), axis=0) if len(rep) else np.zeros((0, 2), np.uint64)
-        rep, doc = pair[:, 0].copy(), pair[:, 1].astype(np.int64)
+        # one row for each text and representative
+        at = np.argsort(rep, kind="stable")
+        rep, doc = rep[at], doc[at]
+        new = np.ones(len(rep), bool)
+        new[1:] = (rep[1:] != rep[:-1]) | (doc[1:] != doc[:-1])
+        rep, doc = rep[new], doc[new]
         who = ids[doc]
         shared, head = local_shares(rep, who)
         key = np.where(head, rep, mix(rep ^ mix(who.view(np.uint64))))
-        flag = np.where(head, np.where(shared, SHARED, 0), PASS).astype(np.int8)
-        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(who), pa.array(tag[doc].astype(np.int16).view(np.int16)), pa.array(flag), pa.array(np.where(head, 0, rep.view(np.int64)))], names=["key", "doc_id", "tag", "flag", "rep"])
+        flag = np.where(head, np.where(shared, SHARED, 0), PASS)
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(who), pa.array((tag[doc] << 2 | flag).astype(np.int32))], names=["key", "doc_id", "flag"])
+
+    def own_reps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key, who, flag = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy(), b.column(2).to_numpy()
+            rep = np.where(flag & PASS > 0, unmix(key) ^ mix(who.view(np.uint64)), key)
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array((flag >> 2).astype(np.int64)), pa.array(rep.view(np.int64))], names=["doc_id", "tag", "rep"])
 
     long = keyed.filter(F.octet_length("text") >= LENGTH)
-    sent = map_blocks(long.select("doc_id", "tag", "text"), anchors, "key long, doc_id long, tag short, flag byte, rep long")
-    found = shared_rows(sent, "key", "doc_id", "flag").select("doc_id", F.col("tag").cast("long").bitwiseAND(0xFFFF).alias("tag"), F.when(F.col("flag").bitwiseAND(PASS) > 0, F.col("rep")).otherwise(F.col("key")).alias("rep"))
-    mine = cut(found).groupBy("doc_id", "tag").agg(F.collect_list("rep").alias("reps"))
+    sent = map_blocks(long.select("doc_id", "tag", "text"), anchors, "key long, doc_id long, flag int")
+    found = shared_rows(sent, "key", "doc_id", "flag").mapInArrow(own_reps, "doc_id long, tag long, rep long")
+    mine = cut(found.groupBy("doc_id", "tag").agg(F.collect_list("rep").alias("reps")))
 
     def cutting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in unpacked(batches):
             for block in blocks(batch):
                 rep, doc, start, size, _ = segments(block)
                 reps = block.rows.column(block.rows.schema.get_field_index("reps"))
@@ -202,12 +238,12 @@ def repeated(docs: DataFrame) -> DataFrame:
                 s1, s2 = a.of(a.prefix(block.buf), start, end), b.of(b.prefix(block.buf), start, end)
                 who = _ids(block)[doc]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(who), pa.array(((start - block.off[doc]) << 16) | tag[doc]), pa.array(size.astype(np.int32)), pa.array(rep.view(np.int64)), pieces(block.buf, start, end)],
-                    names=["s1", "s2", "doc_id", "at", "size", "rep", "bytes"],
+                    [pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(who), pa.array(((start - block.off[doc]) << 16) | tag[doc]), pa.array(size.astype(np.int32)), pa.array(rep.view(np.int64))],
+                    names=["s1", "s2", "doc_id", "at", "size", "rep"],
                 )
 
-    texts = keyed.repartition(parts, "doc_id", "tag")
-    cuts = texts.join(mine, ["doc_id", "tag"]).select("doc_id", "tag", "text", "reps").mapInArrow(cutting, "s1 long, s2 long, doc_id long, at long, size int, rep long, bytes binary")
+    texts = packed(long, ["doc_id", "tag"])
+    cuts = texts.join(mine, ["doc_id", "tag"]).select("doc_id", "tag", "text", "reps").mapInArrow(cutting, "s1 long, s2 long, doc_id long, at long, size int, rep long")
 
     # equal segments: those of larger documents are settled, the first goes on
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,40 +261,96 @@ def repeated(docs: DataFrame) -> DataFrame:
             done = who > smallest
             now, least = tuple(k[-1].tolist()), int(smallest[-1])
             # the first row of each class goes on; others of its document say nothing new, and are settled with it later
-            yield pa.RecordBatch.from_arrays([pa.array(np.where(done, 0, 1).astype(np.int8)), *(b.column(i) for i in range(7))], names=["open", "s1", "s2", "doc_id", "at", "size", "rep", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.where(done, 0, 1).astype(np.int8)), b.column(0), *(b.column(i) for i in range(2, 6))], names=["open", "s1", "doc_id", "at", "size", "rep"])
 
-    met = cut(cuts.repartition(parts, "s1", "s2").sortWithinPartitions("s1", "s2", "doc_id").mapInArrow(settle, "open byte, s1 long, s2 long, doc_id long, at long, size int, rep long, bytes binary"))
+    met = cut(cuts.repartition(parts, "s1", "s2").sortWithinPartitions("s1", "s2", "doc_id").mapInArrow(settle, "open byte, s1 long, doc_id long, at long, size int, rep long"))
+    drop(mine)
     whole = met.filter("open = 0").select("doc_id", "at", "size")
     # representatives with several classes of segments: their strings meet one by one
-    left = shared_rows(met.filter("open = 1").select("rep", "s1", F.lit(0).cast("byte").alias("flag"), "doc_id", "at", "size", "bytes"), "rep", "s1", "flag")
+    left = shared_rows(met.filter("open = 1").select("rep", "s1", F.lit(0).cast("byte").alias("flag"), "doc_id", "at", "size"), "rep", "s1", "flag")
+    wanted = cut(left.groupBy("doc_id", F.col("at").bitwiseAND(0xFFFF).alias("tag")).agg(F.collect_list(F.struct(F.shiftright("at", 16).alias("start"), "size", "rep")).alias("segs")))
+    drop_later = [met, wanted]
+
+    def copying(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The wanted segments with their bytes."""
+        for batch in unpacked(batches):
+            for block in blocks(batch):
+                segs = block.rows.column(block.rows.schema.get_field_index("segs"))
+                n = segs.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                flat = segs.flatten()
+                doc = np.repeat(np.arange(block.n), n)
+                start = flat.field(0).to_numpy() + block.off[doc]
+                size = flat.field(1).to_numpy().astype(np.int64)
+                at = (flat.field(0).to_numpy() << 16) | block.rows.column(block.rows.schema.get_field_index("tag")).to_numpy()[doc]
+                yield pa.RecordBatch.from_arrays([flat.field(2), pa.array(_ids(block)[doc]), pa.array(at), flat.field(1), pieces(block.buf, start, start + size + LENGTH - 1)], names=["rep", "doc_id", "at", "size", "bytes"])
+
+    copied = texts.join(wanted, ["doc_id", "tag"]).select("doc_id", "tag", "text", "segs").mapInArrow(copying, "rep long, doc_id long, at long, size int, bytes binary")
+
+    def in_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Settles the strings of small groups; the rows of larger ones go on as they are."""
+        held: list[pa.RecordBatch] = []
+        rows, now, large = 0, None, False
+
+        def settled(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            got = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+            rep = got.column(0).to_numpy().view(np.uint64)
+            # whole groups, about a block at a time
+            edges = np.flatnonzero(np.concatenate(([True], rep[1:] != rep[:-1], [True])))
+            a = 0
+            while a < len(edges) - 1:
+                b = max(a + 1, int(np.searchsorted(edges, edges[a] + GROUP, "right")) - 1)
+                part = got.slice(int(edges[a]), int(edges[b] - edges[a]))
+                name, check, who, at = string_names(part)
+                key = join_names(join_names(name, check), np.repeat(part.column(0).to_numpy().view(np.uint64), part.column(3).to_numpy()))
+                done = np.flatnonzero(later(key, who))
+                yield pa.RecordBatch.from_arrays([pa.array(who[done]), pa.array(at[done]), pa.array(np.ones(len(done), np.int32)), pa.nulls(len(done), pa.binary())], names=["doc_id", "at", "size", "bytes"])
+                a = b
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rep = batch.column(0).to_numpy()
+            first = 0
+            if large:  # the rest of a large group
+                first = int(np.argmax(rep != now)) if (rep != now).any() else len(rep)
+                if first:
+                    yield batch.slice(0, first).select([1, 2, 3, 4])
+                if first == len(rep):
+                    continue
+                large = False
+            last = len(rep) - int(np.argmax(rep[::-1] != rep[-1])) if (rep != rep[-1]).any() else 0
+            if last > first or not held or now != rep[-1]:
+                # what ends before the batch's last group is whole
+                cut_at = max(last, first)
+                if cut_at > first:
+                    held.append(batch.slice(first, cut_at - first))
+                if held and (cut_at > first or now != rep[-1]):
+                    yield from settled(held)
+                    held, rows = [], 0
+                first = cut_at
+            now = rep[-1]
+            held.append(batch.slice(first))
+            rows += len(rep) - first
+            if rows > GROUP:
+                yield from (h.select([1, 2, 3, 4]) for h in held)
+                held, rows, large = [], 0, True
+        if held:
+            yield from settled(held)
+
+    grouped = cut(copied.repartition(parts, "rep").sortWithinPartitions("rep").mapInArrow(in_groups, "doc_id long, at long, size int, bytes binary"))
+    drop_later.append(grouped)
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch, "bytes"):
-                r, c = rolling(SEED), rolling(SEED + 300)
-                name = doubled(r.every(r.prefix(block.buf), FIRST))
-                check = c.every(c.prefix(block.buf), LENGTH)
-                size = block.rows.column(2).to_numpy().astype(np.int64)
-                row = np.repeat(np.arange(block.n), size)
-                inner = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-                place = block.off[row] + inner
-                at = block.rows.column(1).to_numpy()[row]
-                who = block.rows.column(0).to_numpy()[row]
-                name, check = name[place], check[place] & U64(0xFFFF)
-                at = (((at >> 16) + inner) << 16) | (at & 0xFFFF)
+            for z in range(0, batch.num_rows, GROUP):
+                part = batch.slice(z, GROUP)
+                name, check, who, at = string_names(pa.RecordBatch.from_arrays([part.column(0), *(part.column(i) for i in range(4))], names=["rep", "doc_id", "at", "size", "bytes"]))
                 # strings that several documents of this block hold are settled for all but the smallest
-                key = join_names(name, check)
-                order = np.lexsort((who, key))
-                k, w = key[order], who[order]
-                new = np.ones(len(k), bool)
-                new[1:] = k[1:] != k[:-1]
-                done = w > w[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(k) else new
-                settled = np.zeros(len(key), bool)
-                settled[order] = done
-                name = np.where(settled, mix(name ^ mix(who.view(np.uint64))), name)
-                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(check.astype(np.int32)), pa.array(who), pa.array(at), pa.array(settled.astype(np.int8))], names=["name", "mark", "doc_id", "at", "settled"])
-
-    named = left.select("doc_id", "at", "size", "bytes").mapInArrow(strings, "name long, mark int, doc_id long, at long, settled byte")
+                done = later(join_names(name, check), who)
+                name = np.where(done, mix(name ^ mix(who.view(np.uint64))), name)
+                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(check.astype(np.int32)), pa.array(who), pa.array(at), pa.array(done.astype(np.int8))], names=["name", "mark", "doc_id", "at", "settled"])
+
+    named = grouped.filter("bytes is not null").mapInArrow(strings, "name long, mark int, doc_id long, at long, settled byte")
 
     def settle_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, least = None, 0
@@ -277,12 +369,36 @@ def repeated(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(2).take(pa.array(done)), b.column(3).take(pa.array(done)), pa.array(np.ones(len(done), np.int32))], names=["doc_id", "at", "size"])
 
     single = named.repartition(parts, "name", "mark").sortWithinPartitions("name", "mark", "doc_id").mapInArrow(settle_strings, "doc_id long, at long, size int")
-    marks = whole.union(single)
-    return marks.groupBy("doc_id", F.col("at").bitwiseAND(0xFFFF).alias("tag")).agg(F.collect_list(F.struct(F.shiftright("at", 16).alias("start"), "size")).alias("starts"))
-
-
-def _two(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return join_names(a, b)
+    marks = whole.union(grouped.filter("bytes is null").select("doc_id", "at", "size")).union(single)
+    out = cut(marks.groupBy("doc_id", F.col("at").bitwiseAND(0xFFFF).alias("tag")).agg(F.collect_list(F.struct(F.shiftright("at", 16).alias("start"), "size")).alias("starts")))
+    drop(*drop_later)
+    return out
+
+
+def string_names(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Name, check, document and place of each string of segments (rep, doc_id, at, size, bytes)."""
+    block = next(blocks(rows, "bytes", 1 << 62))
+    r, c = rolling(SEED), rolling(SEED + 300)
+    name = doubled(r.every(r.prefix(block.buf), FIRST))
+    check = c.every(c.prefix(block.buf), LENGTH) & U64(0xFFFF)
+    size = rows.column(3).to_numpy().astype(np.int64)
+    row = np.repeat(np.arange(block.n), size)
+    inner = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    place = block.off[row] + inner
+    at = rows.column(2).to_numpy()[row]
+    return name[place], check[place], rows.column(1).to_numpy()[row], (((at >> 16) + inner) << 16) | (at & 0xFFFF)
+
+
+def later(key: np.ndarray, who: np.ndarray) -> np.ndarray:
+    """Which rows have a smaller owner of their key among these rows."""
+    order = np.lexsort((who, key))
+    k, w = key[order], who[order]
+    new = np.ones(len(k), bool)
+    new[1:] = k[1:] != k[:-1]
+    out = np.zeros(len(key), bool)
+    if len(k):
+        out[order] = w > w[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    return out
 
 
 def pieces(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
@@ -293,19 +409,34 @@ def pieces(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def removed(size: int, starts: list[tuple[int, int]]) -> np.ndarray:
-    """Which bytes go."""
-    d = np.zeros(size + 1, np.int32)
-    a = np.array([s for s, _ in starts], np.int64)
-    b = a + np.array([n for _, n in starts], np.int64) + LENGTH - 1
-    np.add.at(d, a, 1)
-    np.add.at(d, np.minimum(b, size), -1)
-    return np.cumsum(d)[:-1] > 0
+def _two(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return join_names(a, b)
 
 
-def _starts(col: pa.Array, i: int) -> list[tuple[int, int]]:
-    got = col[i].as_py()
-    return [(s["start"], s["size"]) for s in got] if got else []
+def removed(block: Block, longer: int = LENGTH - 1) -> tuple[np.ndarray, np.ndarray]:
+    """Which bytes of the block go, and which texts lose some. Its rows have starts: lists of (start, size)."""
+    col = block.rows.column(block.rows.schema.get_field_index("starts"))
+    n = col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = col.flatten()
+    doc = np.repeat(np.arange(block.n), n)
+    a = flat.field(0).to_numpy(zero_copy_only=False).astype(np.int64) + block.off[doc]
+    b = np.minimum(a + flat.field(1).to_numpy(zero_copy_only=False) + longer, block.off[doc + 1])
+    d = np.bincount(a, minlength=len(block.buf) + 1)[: len(block.buf) + 1] - np.bincount(b, minlength=len(block.buf) + 1)[: len(block.buf) + 1]
+    return np.cumsum(d[:-1]) > 0, n > 0
+
+
+def kept_digest(block: Block, longer: int = LENGTH - 1) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """Bytes removed, maximal runs of them, and the SHA-256 of what is left."""
+    mask, some = removed(block, longer)
+    gone, runs, sha = np.zeros(block.n, np.int64), np.zeros(block.n, np.int64), []
+    for i in range(block.n):
+        text = block.buf[block.off[i] : block.off[i + 1]]
+        if some[i]:
+            m = mask[block.off[i] : block.off[i + 1]]
+            gone[i], runs[i] = m.sum(), (m[0] if len(m) else 0) + np.count_nonzero(m[1:] & ~m[:-1])
+            text = text[~m]
+        sha.append(hashlib.sha256(np.ascontiguousarray(text)).hexdigest())
+    return pa.array(gone), pa.array(runs), pa.array(sha, pa.string())
 
 
 def _with_starts(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -318,19 +449,14 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     keyed = _keyed(docs).select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag"), "text")
 
     def digest(block: Block) -> pa.RecordBatch:
-        col = block.rows.column(2)
-        gone, spans, sha = np.zeros(block.n, np.int64), np.zeros(block.n, np.int64), []
-        for i in range(block.n):
-            text = block.text(i)
-            if starts := _starts(col, i):
-                mask = removed(len(text), starts)
-                gone[i], spans[i] = mask.sum(), len(spans_of(mask)[0])
-                text = np.frombuffer(text, np.uint8)[~mask].tobytes()
-            sha.append(hashlib.sha256(text).hexdigest())
-        return pa.RecordBatch.from_arrays([block.rows.column(0), pa.array(block.sizes), pa.array(gone), pa.array(spans), pa.array(sha, pa.string())], names=["__id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    joined = _with_starts(keyed, repeated(docs)).select("__id", "text", "starts")
-    out = map_blocks(joined, digest, "__id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        return pa.RecordBatch.from_arrays([block.rows.column(0), pa.array(block.sizes), *kept_digest(block)], names=["__id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in unpacked(batches):
+            yield from map(digest, blocks(batch))
+
+    joined = _with_starts(packed(keyed, ["__id", "__tag"]), repeated(docs)).select("__id", "text", "starts")
+    out = joined.mapInArrow(run, "__id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return out.select(F.when(F.col("__id") != LAST_ID, F.col("__id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
@@ -345,14 +471,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     def clean(block: Block) -> pa.RecordBatch:
         arrays = [block.rows.column(i) for i in range(len(names))]
-        col = block.rows.column(len(names))
-        if col.null_count < block.n:
+        mask, some = removed(block)
+        if some.any():
             texts = []
             for i in range(block.n):
-                text = None if block.null[i] else block.text(i)
-                if text and (starts := _starts(col, i)):
-                    text = np.frombuffer(text, np.uint8)[~removed(len(text), starts)].tobytes()
-                texts.append(None if text is None else text.decode("utf-8", "ignore"))
+                text = block.buf[block.off[i] : block.off[i + 1]]
+                if some[i]:
+                    text = text[~mask[block.off[i] : block.off[i + 1]]]
+                texts.append(None if block.null[i] else text.tobytes().decode("utf-8", "ignore"))
             arrays[at] = pa.array(texts, pa.string())
         return pa.RecordBatch.from_arrays(arrays, names=names)
 
