@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import chat, decontaminate, langid, licenses, pieces, pivots, simhash, suffixes, toxicity
+from . import chat, decontaminate, langid, licenses, paragraphs, pieces, pivots, simhash, suffixes, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_chats(chat.events_of(rows)))
 
 
+def op4_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.find_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(table(spark, sf_dir, "documents"))
 
@@ -55,7 +59,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_suffix_dedup, op2_license_scan, op3_chat_format, op5_sentencepiece, op6_simhash, op7_language_id, op8_decontaminate, op9_toxicity, op10_embedding_dedup]
+    named = [op1_suffix_dedup, op2_license_scan, op3_chat_format, op4_paragraph_dedup, op5_sentencepiece, op6_simhash, op7_language_id, op8_decontaminate, op9_toxicity, op10_embedding_dedup]
     return {f.__name__: f for f in named}
 
 
