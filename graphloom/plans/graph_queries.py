@@ -175,7 +175,7 @@ def g1_entry_scores(spark, sf):
 NAMES = ["handleLogin", "main", "getUser", "processPayment", "UserController", "parseArgs", "_hidden", "Setup", "toString", "plain", "emitEvent", "StringUtils"]
 
 
-@query("SELECT * FROM (VALUES ('handleLogin', 1.5), ('main', 1.5), ('getUser', 0.3), ('processPayment', 1.5), ('UserController', 1.5), ('parseArgs', 0.3), ('_hidden', 0.3), ('Setup', 1.5), ('toString', 0.3), ('plain', 1.0), ('emitEvent', 1.5), ('StringUtils', 0.3)) AS t(name, multiplier)")
+@query("SELECT * REPLACE (multiplier::DOUBLE AS multiplier) FROM (VALUES ('handleLogin', 1.5), ('main', 1.5), ('getUser', 0.3), ('processPayment', 1.5), ('UserController', 1.5), ('parseArgs', 0.3), ('_hidden', 0.3), ('Setup', 1.5), ('toString', 0.3), ('plain', 1.0), ('emitEvent', 1.5), ('StringUtils', 0.3)) AS t(name, multiplier)")
 def g1_name_multipliers(spark, sf):
     return frame(spark, [(n,) for n in NAMES], "name").select("name", F.when(L._any(c("name"), L.UTILITY_NAMES), 0.3).when(L._any(c("name"), L.ENTRY_NAMES), 1.5).otherwise(1.0).alias("multiplier"))
 
@@ -188,7 +188,7 @@ def g2_file_predicates(spark, sf):
     return frame(spark, [(p,) for p in PATHS[:4]], "path").select("path", L.is_test_file(c("path")).alias("test"), L.is_utility_file(c("path")).alias("utility"))
 
 
-@query("SELECT * FROM (VALUES ('pages/index.tsx', 3.0, 'nextjs-page'), ('src/app/dash/page.tsx', 3.0, 'nextjs-app-page'), ('pages/api/x.ts', 3.0, 'nextjs-api-route'), ('app/_layout.tsx', 2.0, 'expo-layout'), ('src/routes/a.ts', 2.5, 'routes-folder'), ('shop/views.py', 3.0, 'django-views'), ('a/controller/B.java', 3.0, 'spring-controller'), ('c/UserController.java', 3.0, 'spring-controller-file'), ('x/service/Y.java', 1.8, 'java-service'), ('m/routes/R.kt', 2.5, 'ktor-routes'), ('README.md', 1.0, NULL), ('api/v1/x.py', 2.0, 'api-folder')) AS t(path, multiplier, reason)")
+@query("SELECT * REPLACE (multiplier::DOUBLE AS multiplier) FROM (VALUES ('pages/index.tsx', 3.0, 'nextjs-page'), ('src/app/dash/page.tsx', 3.0, 'nextjs-app-page'), ('pages/api/x.ts', 3.0, 'nextjs-api-route'), ('app/_layout.tsx', 2.0, 'expo-layout'), ('src/routes/a.ts', 2.5, 'routes-folder'), ('shop/views.py', 3.0, 'django-views'), ('a/controller/B.java', 3.0, 'spring-controller'), ('c/UserController.java', 3.0, 'spring-controller-file'), ('x/service/Y.java', 1.8, 'java-service'), ('m/routes/R.kt', 2.5, 'ktor-routes'), ('README.md', 1.0, NULL), ('api/v1/x.py', 2.0, 'api-folder')) AS t(path, multiplier, reason)")
 def g3_framework_hints(spark, sf):
     m, r = L.framework_hint(c("path"))
     return frame(spark, [(p,) for p in PATHS[4:]], "path").select("path", m.alias("multiplier"), r.alias("reason"))
