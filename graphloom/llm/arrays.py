@@ -6,6 +6,7 @@ text), so a worker's memory follows the longest text and not the batch or the ta
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -14,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 U64 = np.uint64
+Kernel = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
 @dataclass
@@ -61,6 +63,27 @@ def blocks(batch: pa.RecordBatch, text: str = "text", limit: int = BLOCK_BYTES)
         a = b
 
 
+def trim() -> None:
+    """Gives freed memory back to the system: a worker is kept for the next task, beside an executor that needs the room."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def trimmed(run: Kernel) -> Kernel:
+    """run, with the worker's memory trimmed at the end of each task."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return kernel
+
+
 def map_blocks(df: DataFrame, fn: Callable[[Block], pa.RecordBatch | None], schema: str, text: str = "text", limit: int = BLOCK_BYTES) -> DataFrame:
     """df's rows go block by block through fn, on the executors and in one pass."""
 
@@ -70,7 +93,7 @@ def map_blocks(df: DataFrame, fn: Callable[[Block], pa.RecordBatch | None], sche
                 if (out := fn(block)) is not None and out.num_rows:
                     yield out
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(trimmed(run), schema)
 
 
 # --- bytes, words and hashes -------------------------------------------------------------------

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .arrays import trimmed
+
 PART_EDGES = 1 << 20
 
 
@@ -108,7 +110,7 @@ def contracted(edges: DataFrame) -> DataFrame:
         if n:
             yield out()
 
-    return edges.select("a", "b").mapInArrow(run, "a long, b long")
+    return edges.select("a", "b").mapInArrow(trimmed(run), "a long, b long")
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

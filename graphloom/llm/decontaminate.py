@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import ALNUM, LOWER, Block, blocks, rolling, words
+from .arrays import ALNUM, LOWER, Block, blocks, rolling, trimmed, words
 
 WINDOW = 10
 GROUP_WORDS = 2_000_000
@@ -203,7 +203,7 @@ def _group(df: DataFrame, auto, keep: list[str], kinds: str) -> DataFrame:
                 items = pa.array([sorted(i for i in found.get(k, ()) if i is not None) for k in range(block.n)], pa.list_(pa.string()))
                 yield pa.RecordBatch.from_arrays([*(block.rows.column(block.rows.schema.get_field_index(c)) for c in keep), pa.array(n.astype(np.int64)), spans, items], names=[*keep, "n_words", "hits", "items"])
 
-    return df.mapInArrow(run, f"{kinds}, {HITS}")
+    return df.mapInArrow(trimmed(run), f"{kinds}, {HITS}")
 
 
 def automata(benchmark: DataFrame, window: int = WINDOW, group_words: int = GROUP_WORDS) -> Iterator[Automaton]:
@@ -294,5 +294,5 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, max_coverage: float = 0.
                 arrays[at] = pa.array(text, pa.string())
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    clean = found.select(*names, "hits").mapInArrow(cut, kinds)
+    clean = found.select(*names, "hits").mapInArrow(trimmed(cut), kinds)
     return clean.select(*(F.col(n).alias(c) for n, c in zip(names, cols, strict=True)))

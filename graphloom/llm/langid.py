@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import Block, blocks, map_blocks
+from .arrays import Block, blocks, map_blocks, trimmed
 
 GRAMS = 3
 DIM = 8192
@@ -152,7 +152,7 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
                 names = pa.array([m.langs[k] if k >= 0 else UND for k in best] if m else [UND] * block.n, pa.string())
                 yield pa.RecordBatch.from_arrays([*(block.rows.column(cols.index(c)) for c in keep), names, pa.array(np.clip(score, 0, 1))], names=[*keep, "lang_pred", "score"])
 
-    return docs.select(*cols).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "lang_pred string", "score double"]))
+    return docs.select(*cols).mapInArrow(trimmed(run), ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "lang_pred string", "score double"]))
 
 
 def identify(docs: DataFrame) -> DataFrame:

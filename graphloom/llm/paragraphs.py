@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import ALNUM, LOWER, Block, blocks, map_blocks, mix, rolling, words
+from .arrays import ALNUM, LOWER, Block, blocks, map_blocks, mix, rolling, trimmed, words
 from .components import components, cut
 from .suffixes import LAST_ID, _keyed, _with_starts, join_names, kept_digest, local_shares, packed, shared_rows, unpacked
 
@@ -166,7 +166,7 @@ def _links(keyed: DataFrame, classes: DataFrame, parts: int) -> DataFrame:
                     stop = np.cumsum(n)
                     yield pa.RecordBatch.from_arrays([pa.array(node[on]), pa.array([np.unique(h[z - k : z]).tobytes() for z, k in zip(stop, n, strict=True)], pa.binary())], names=["node", "shingles"])
 
-    shingled = packed(keyed, ["doc_id", "tag"]).join(need, ["doc_id", "tag"]).select("doc_id", "tag", "text", "need").mapInArrow(sets, "node long, shingles binary").dropDuplicates(["node"])
+    shingled = packed(keyed, ["doc_id", "tag"]).join(need, ["doc_id", "tag"]).select("doc_id", "tag", "text", "need").mapInArrow(trimmed(sets), "node long, shingles binary").dropDuplicates(["node"])
     over = met.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > BUCKET).select("key", F.ceil(F.col("n") / BUCKET).cast("int").alias("shards"))
     own = F.pmod(F.xxhash64("node"), F.col("shards")).cast("int")
     to = F.transform(F.sequence(F.lit(0), F.col("shards") - 1), lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j")))
@@ -196,7 +196,7 @@ def _links(keyed: DataFrame, classes: DataFrame, parts: int) -> DataFrame:
         if (got := out()) is not None:
             yield got
 
-    return spread.join(shingled, "node").select("key", "i", "j", "node", "shingles").repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(verify, "a long, b long").distinct()
+    return spread.join(shingled, "node").select("key", "i", "j", "node", "shingles").repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(trimmed(verify), "a long, b long").distinct()
 
 
 def repeated(docs: DataFrame, inner_passages: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -266,7 +266,7 @@ def repeated(docs: DataFrame, inner_passages: bool = True) -> tuple[DataFrame, D
             yield pa.RecordBatch.from_arrays([b.column(2).take(take), b.column(3).take(take), pa.array(at >> 32), pa.array(at & 0xFFFFFFFF), pa.array(small[on])], names=["doc_id", "tag", "start", "size", "least"])
 
     sent = map_blocks(keyed.select("doc_id", "tag", "text"), inner, "p1 long, p2 long, doc_id long, tag long, at long, least long")
-    passages = sent.repartition(parts, "p1", "p2").sortWithinPartitions("p1", "p2", "doc_id").mapInArrow(settle, "doc_id long, tag long, start long, size long, least long")
+    passages = sent.repartition(parts, "p1", "p2").sortWithinPartitions("p1", "p2", "doc_id").mapInArrow(trimmed(settle), "doc_id long, tag long, start long, size long, least long")
     every = cut(gone.union(passages) if inner_passages else gone)
     spans = every.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "size")).alias("starts"))
     return spans, every.select(F.col("doc_id").alias("a"), F.col("least").alias("b")).filter(F.col("a") != LAST_ID).distinct()
@@ -285,7 +285,7 @@ def find_repeats(docs: DataFrame, inner_passages: bool = True) -> DataFrame:
         for batch in unpacked(batches):
             yield from map(digest, blocks(batch))
 
-    out = _with_starts(packed(keyed, ["__id", "__tag"]), spans).select("__id", "text", "starts").mapInArrow(run, "__id long, n_paragraphs long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    out = _with_starts(packed(keyed, ["__id", "__tag"]), spans).select("__id", "text", "starts").mapInArrow(trimmed(run), "__id long, n_paragraphs long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     reached = components(links)
     out = out.join(reached, F.col("__id") == F.col("node"), "left")
     ids = F.when(F.col("__id") != LAST_ID, F.col("__id"))

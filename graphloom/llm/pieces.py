@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import Block, lists, map_blocks, mix
+from .arrays import Block, lists, map_blocks, mix, trimmed
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
@@ -370,7 +370,7 @@ def decode_documents(encoded: DataFrame, path: str = MODEL) -> DataFrame:
                 raw = data.tobytes()
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([raw[x:y].decode("utf-8", "replace") for x, y in zip(at, at[1:], strict=False)], pa.string())], names=["doc_id", "text"])
 
-    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "tokens").mapInArrow(run, "doc_id long, text string")
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "tokens").mapInArrow(trimmed(run), "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, path: str = MODEL, seed: int = SEED, dropout: float = DROPOUT) -> DataFrame:

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import trimmed
 from .components import components, cut, union
 
 COSINE = 0.95
@@ -121,7 +122,7 @@ def index(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
                         names=["node", "size", "perm", "vec"],
                     )
 
-    described = cut(classes.select("node", "size", "embedding").mapInArrow(describe, "node long, size long, perm binary, vec binary"))
+    described = cut(classes.select("node", "size", "embedding").mapInArrow(trimmed(describe), "node long, size long, perm binary, vec binary"))
 
     def post(long: frozenset[int]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,9 +143,9 @@ def index(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
 
         return run
 
-    counted = described.select("perm").mapInArrow(_pivots_of(k), "p int").groupBy("p").agg(F.count("*").alias("n")).filter(F.col("n") > LIST)
+    counted = described.select("perm").mapInArrow(trimmed(_pivots_of(k)), "p int").groupBy("p").agg(F.count("*").alias("n")).filter(F.col("n") > LIST)
     long = frozenset(r["p"] for r in counted.collect())  # MAX_PIVOTS rows at most
-    posted = described.mapInArrow(post(long), "key long, node long, size long, perm binary, vec binary")
+    posted = described.mapInArrow(trimmed(post(long)), "key long, node long, size long, perm binary, vec binary")
     if long:
         # what the second pivot leaves too long is cut into shards; each two shards meet once
         over = posted.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > LIST).select("key", F.ceil(F.col("n") / LIST).cast("int").alias("shards"))
@@ -197,7 +198,7 @@ def index(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
             yield got
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = posted.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(verify, "kind int, a long, b long")
+    found = posted.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(trimmed(verify), "kind int, a long, b long")
     return classes, cut(found)
 
 

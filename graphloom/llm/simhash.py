@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import LOWER, SOLID, Block, map_blocks, words
+from .arrays import LOWER, SOLID, Block, map_blocks, trimmed, words
 from .components import components, cut
 
 RADIUS = 3
@@ -104,7 +104,7 @@ def variants(fps: DataFrame) -> DataFrame:
                     key = (rest[:, None] ^ flips[None, :]) | (U64(k + 1) << U64(62))
                     yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(fp, len(flips)).view(np.int64))], names=["key", "fp"])
 
-    return fps.select("fp").mapInArrow(run, "key long, fp long")
+    return fps.select("fp").mapInArrow(trimmed(run), "key long, fp long")
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -196,7 +196,7 @@ def links(fps: DataFrame) -> DataFrame:
 
     v = variants(fps)
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return v.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
+    return v.repartition(n, "key").sortWithinPartitions("key").mapInArrow(trimmed(run), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import Block, blocks, map_blocks, mix, rolling, unmix
+from .arrays import Block, blocks, map_blocks, mix, rolling, trimmed, unmix
 from .components import cut, drop
 
 LENGTH = 50
@@ -159,7 +159,7 @@ def shared_rows(df: DataFrame, key: str, who: str, flag: str) -> DataFrame:
                 held = held.filter(pa.array(f[heads[-1] :] & PASS == 0)).slice(0, 1)
 
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, kinds)
+    return df.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(trimmed(run), kinds)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -220,7 +220,7 @@ def repeated(docs: DataFrame) -> DataFrame:
 
     long = keyed.filter(F.octet_length("text") >= LENGTH)
     sent = map_blocks(long.select("doc_id", "tag", "text"), anchors, "key long, doc_id long, flag int")
-    found = shared_rows(sent, "key", "doc_id", "flag").mapInArrow(own_reps, "doc_id long, tag long, rep long")
+    found = shared_rows(sent, "key", "doc_id", "flag").mapInArrow(trimmed(own_reps), "doc_id long, tag long, rep long")
     mine = cut(found.groupBy("doc_id", "tag").agg(F.collect_list("rep").alias("reps")))
 
     def cutting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +243,7 @@ def repeated(docs: DataFrame) -> DataFrame:
                 )
 
     texts = packed(long, ["doc_id", "tag"])
-    cuts = texts.join(mine, ["doc_id", "tag"]).select("doc_id", "tag", "text", "reps").mapInArrow(cutting, "s1 long, s2 long, doc_id long, at long, size int, rep long")
+    cuts = texts.join(mine, ["doc_id", "tag"]).select("doc_id", "tag", "text", "reps").mapInArrow(trimmed(cutting), "s1 long, s2 long, doc_id long, at long, size int, rep long")
 
     # equal segments: those of larger documents are settled, the first goes on
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,7 +263,7 @@ def repeated(docs: DataFrame) -> DataFrame:
             # the first row of each class goes on; others of its document say nothing new, and are settled with it later
             yield pa.RecordBatch.from_arrays([pa.array(np.where(done, 0, 1).astype(np.int8)), b.column(0), *(b.column(i) for i in range(2, 6))], names=["open", "s1", "doc_id", "at", "size", "rep"])
 
-    met = cut(cuts.repartition(parts, "s1", "s2").sortWithinPartitions("s1", "s2", "doc_id").mapInArrow(settle, "open byte, s1 long, doc_id long, at long, size int, rep long"))
+    met = cut(cuts.repartition(parts, "s1", "s2").sortWithinPartitions("s1", "s2", "doc_id").mapInArrow(trimmed(settle), "open byte, s1 long, doc_id long, at long, size int, rep long"))
     drop(mine)
     whole = met.filter("open = 0").select("doc_id", "at", "size")
     # representatives with several classes of segments: their strings meet one by one
@@ -284,7 +284,7 @@ def repeated(docs: DataFrame) -> DataFrame:
                 at = (flat.field(0).to_numpy() << 16) | block.rows.column(block.rows.schema.get_field_index("tag")).to_numpy()[doc]
                 yield pa.RecordBatch.from_arrays([flat.field(2), pa.array(_ids(block)[doc]), pa.array(at), flat.field(1), pieces(block.buf, start, start + size + LENGTH - 1)], names=["rep", "doc_id", "at", "size", "bytes"])
 
-    copied = texts.join(wanted, ["doc_id", "tag"]).select("doc_id", "tag", "text", "segs").mapInArrow(copying, "rep long, doc_id long, at long, size int, bytes binary")
+    copied = texts.join(wanted, ["doc_id", "tag"]).select("doc_id", "tag", "text", "segs").mapInArrow(trimmed(copying), "rep long, doc_id long, at long, size int, bytes binary")
 
     def in_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Settles the strings of small groups; the rows of larger ones go on as they are."""
@@ -337,7 +337,7 @@ def repeated(docs: DataFrame) -> DataFrame:
         if held:
             yield from settled(held)
 
-    grouped = cut(copied.repartition(parts, "rep").sortWithinPartitions("rep").mapInArrow(in_groups, "doc_id long, at long, size int, bytes binary"))
+    grouped = cut(copied.repartition(parts, "rep").sortWithinPartitions("rep").mapInArrow(trimmed(in_groups), "doc_id long, at long, size int, bytes binary"))
     drop_later.append(grouped)
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,7 +350,7 @@ def repeated(docs: DataFrame) -> DataFrame:
                 name = np.where(done, mix(name ^ mix(who.view(np.uint64))), name)
                 yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(check.astype(np.int32)), pa.array(who), pa.array(at), pa.array(done.astype(np.int8))], names=["name", "mark", "doc_id", "at", "settled"])
 
-    named = grouped.filter("bytes is not null").mapInArrow(strings, "name long, mark int, doc_id long, at long, settled byte")
+    named = grouped.filter("bytes is not null").mapInArrow(trimmed(strings), "name long, mark int, doc_id long, at long, settled byte")
 
     def settle_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, least = None, 0
@@ -368,7 +368,7 @@ def repeated(docs: DataFrame) -> DataFrame:
             now, least = tuple(k[-1].tolist()), int(smallest[-1])
             yield pa.RecordBatch.from_arrays([b.column(2).take(pa.array(done)), b.column(3).take(pa.array(done)), pa.array(np.ones(len(done), np.int32))], names=["doc_id", "at", "size"])
 
-    single = named.repartition(parts, "name", "mark").sortWithinPartitions("name", "mark", "doc_id").mapInArrow(settle_strings, "doc_id long, at long, size int")
+    single = named.repartition(parts, "name", "mark").sortWithinPartitions("name", "mark", "doc_id").mapInArrow(trimmed(settle_strings), "doc_id long, at long, size int")
     marks = whole.union(grouped.filter("bytes is null").select("doc_id", "at", "size")).union(single)
     out = cut(marks.groupBy("doc_id", F.col("at").bitwiseAND(0xFFFF).alias("tag")).agg(F.collect_list(F.struct(F.shiftright("at", 16).alias("start"), "size")).alias("starts")))
     drop(*drop_later)
@@ -456,7 +456,7 @@ def find_repeats(docs: DataFrame) -> DataFrame:
             yield from map(digest, blocks(batch))
 
     joined = _with_starts(packed(keyed, ["__id", "__tag"]), repeated(docs)).select("__id", "text", "starts")
-    out = joined.mapInArrow(run, "__id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    out = joined.mapInArrow(trimmed(run), "__id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return out.select(F.when(F.col("__id") != LAST_ID, F.col("__id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
