@@ -137,8 +137,9 @@ def hashes_of(names: list[str]) -> np.ndarray:
 
 
 def suppressed(found: list[tuple[int, int, int, str, float]]) -> list[tuple[int, int, int, str, float]]:
-    """Detections (start, end, priority, label, confidence) that lie in no other of the same or a higher priority."""
-    found = sorted(set(found), key=lambda x: (x[0], -x[1], -x[2], x[3]))
+    """Detections (start, end, priority, label, confidence) that lie in no other of the same or a higher priority; of equal
+    ones the longest label, as the most special, then the first."""
+    found = sorted(set(found), key=lambda x: (x[0], -x[1], -x[2], -len(x[3]), x[3]))
     reach: dict[int, int] = {}
     kept = []
     for d in found:
