@@ -111,18 +111,22 @@ def _segments(c: Column) -> Column:
 
 
 def match_fetches(fetches: DataFrame, routes: DataFrame) -> DataFrame:
-    """source, fetch, route, ord: the first route (url, ord) that each fetch (source, url) matches. Routes with equally many
-    segments meet their fetches by that number and, where both have one, by the first plain segment; catch-all routes by prefix."""
+    """source, fetch, route, ord: the first route (url, ord) that each fetch (source, url) matches. Routes meet their
+    fetches by the number of segments and the first one, catch-all routes by the first one."""
     f = fetches.withColumn("fetch", fetch_url(F.col("url"))).filter("fetch is not null").select("source", "fetch", _segments(F.col("fetch")).alias("fs")).distinct()
     r = routes.select(F.col("url").alias("route"), "ord", _segments(F.col("url")).alias("rs"))
     wild = lambda p: p.startswith("[")
-    catch = F.coalesce(F.try_element_at("rs", F.lit(-1)).startswith("[...") | F.try_element_at("rs", F.lit(-1)).startswith("[[..."), F.lit(False))
+    last = F.try_element_at("rs", F.lit(-1))
+    catch = F.coalesce(last.startswith("[...") | last.startswith("[[..."), F.lit(False))
     same = lambda a, b: F.forall(F.zip_with(a, b, lambda x, y: wild(x) | wild(y) | (x == y)), lambda ok: ok)
-    plain = r.filter(~catch).join(f, F.size("fs") == F.size("rs")).filter(same(F.col("fs"), F.col("rs")))
+    # a plain first segment meets the same one or a wild one of the other side; "?" is where wild fetches look
+    first = lambda c: F.coalesce(F.try_element_at(c, F.lit(1)), F.lit(""))
+    keyed = f.withColumn("key", F.explode(F.when(wild(first("fs")), F.array(F.lit("?"))).otherwise(F.array(first("fs"), F.lit("*")))))
+    keys = F.array(F.when(wild(first("rs")), "*").otherwise(first("rs")), F.lit("?"))
+    plain = r.filter(~catch).withColumn("key", F.explode(keys)).withColumn("n", F.size("rs")).join(keyed.withColumn("n", F.size("fs")), ["n", "key"]).filter(same(F.col("fs"), F.col("rs")))
     head = F.slice("rs", 1, F.greatest(F.size("rs") - 1, F.lit(0)))
-    c = r.filter(catch)
-    # catch-all routes are few; each can take any longer fetch
-    long = c.join(f, F.size("fs") >= F.size("rs") - 1).filter(same(F.slice("fs", 1, F.greatest(F.size("rs") - 1, F.lit(0))), head))
+    taken = F.slice("fs", 1, F.greatest(F.size("rs") - 1, F.lit(0)))
+    long = r.filter(catch).withColumn("key", F.explode(keys)).join(keyed, "key").filter((F.size("fs") >= F.size("rs") - 1) & same(taken, head))
     w = W.partitionBy("source", "fetch").orderBy("ord")
     both = plain.select("source", "fetch", "route", "ord").union(long.select("source", "fetch", "route", "ord"))
     return both.withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn")

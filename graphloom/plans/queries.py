@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-for _name in ("relational_queries", "text_queries", "graph_queries", "boundary_queries"):
+for _name in ("relational_queries", "text_queries", "graph_queries", "boundary_queries", "extract_queries"):
     importlib.import_module(f".{_name}", __package__)
 
 __all__ = ["ORACLES", "QUERIES"]
