@@ -367,19 +367,25 @@ def g24_cyclic_components(spark, sf):
     return C.components_by_closure(_small(spark, sf)).filter("cyclic").select("scc").distinct()
 
 
-_CYCLES = "small AS (SELECT src::VARCHAR AS s, dst::VARCHAR AS d FROM calls WHERE src < 120 AND dst < 120), w AS (SELECT s AS start, d AS cur, [s] AS path FROM small WHERE d >= s UNION ALL SELECT w.start, e.d, list_append(w.path, w.cur) FROM w JOIN small e ON e.s = w.cur WHERE w.cur <> w.start AND NOT list_contains(w.path, w.cur) AND e.d >= w.start)"
+_CYCLES = "tr AS (SELECT event_type AS s, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS d FROM events), small AS (SELECT DISTINCT s, d FROM tr WHERE d IS NOT NULL), w AS (SELECT s AS start, d AS cur, [s] AS path FROM small WHERE d >= s UNION ALL SELECT w.start, e.d, list_append(w.path, w.cur) FROM w JOIN small e ON e.s = w.cur WHERE w.cur <> w.start AND NOT list_contains(w.path, w.cur) AND e.d >= w.start)"
 
 
-@query(X.sql("SELECT DISTINCT array_to_string(path, '>') AS cycle, 'complete' AS kind FROM w WHERE cur = start", _CYCLES, recursive=True))
+def _transitions(spark, sf):
+    from pyspark.sql import Window as W
+
+    e = X.table(spark, sf, "events")
+    nxt = F.lead("event_type").over(W.partitionBy("user_id").orderBy("ts", "event_id"))
+    return e.select(c("event_type").alias("source"), nxt.alias("target")).filter("target is not null").distinct()
+
+
+@query(f"WITH RECURSIVE {_CYCLES} SELECT DISTINCT array_to_string(path, '>') AS cycle, 'complete' AS kind FROM w WHERE cur = start")
 def g25_elementary_cycles(spark, sf):
-    e = X.calls(spark, sf).filter("src < 120 and dst < 120").select(c("src").alias("source"), c("dst").alias("target"))
-    return M.import_cycles(e).select(F.array_join("cycle", ">").alias("cycle"), "kind")
+    return M.import_cycles(_transitions(spark, sf)).select(F.array_join("cycle", ">").alias("cycle"), "kind")
 
 
 @query()
 def g26_representative_cycles(spark, sf):
-    e = X.calls(spark, sf).filter("src < 200 and dst < 200").select(c("src").alias("source"), c("dst").alias("target"))
-    return M.import_cycles(e, most=0).select("component", "size", "kind", F.array_join("cycle", ">").alias("cycle"))
+    return M.import_cycles(_transitions(spark, sf), most=0).select("component", "size", "kind", F.array_join("cycle", ">").alias("cycle"))
 
 
 _TREE = "small AS (SELECT sourceId AS s, targetId AS d FROM edges WHERE type = 'CALLS'), t AS (SELECT 'Method:P7' AS n, 0 AS depth UNION SELECT d, depth + 1 FROM t JOIN small ON s = t.n WHERE depth < 3)"
