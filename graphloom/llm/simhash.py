@@ -36,8 +36,7 @@ SHINGLE = 3
 #: First bit and width of each block.
 PARTS = ((0, 22), (22, 21), (43, 21))
 U64 = np.uint64
-#: For each byte, its bits as eight 16-bit lanes' worth of counts: byte -> eight counters, lowest bit first.
-BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
+
 
 
 def joined(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
