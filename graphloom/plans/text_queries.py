@@ -42,9 +42,6 @@ def a7_edge_scan(spark, sf):
     return readers.edge_scan(X.edges(spark, sf), ["CALLS"]).select("sourceId", "targetId", "confidence")
 
 
-_PAGES = [("http-host", "//[a-z0-9.-]+"), ("deep", "/[^/]+/[^/]+/[^/]+$"), ("any", ".")]
-
-
 @query("SELECT path, line, package FROM (VALUES ('a/Main.java', 2, 'org.springframework.web.bind.annotation.GetMapping'), ('a/Main.java', 3, 'java.util.List'), ('svc/app.py', 1, 'from fastapi import APIRouter'), ('svc/app.py', 2, 'requests'), ('web/x.ts', 1, 'axios from ''axios'''), ('n/P.cs', 1, 'System.Text')) AS t(path, line, package)")
 def a9_import_lines(spark, sf):
     return E.imports(frame(spark, SOURCES, "path, content"))
