@@ -30,6 +30,8 @@ a smaller document lose all bytes if they have 50 or more. Other columns are ign
 from __future__ import annotations
 
 import hashlib
+import os
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,6 +49,7 @@ SEED = 1
 U64 = np.uint64
 LAST_ID = 2**63 - 1
 GROUP = 4096
+HELD = 1 << 18
 
 
 def join_names(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -121,15 +124,51 @@ def local_shares(key: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarr
 SHARED, PASS = 1, 2
 
 
+class Held:
+    """Rows that wait for a second owner of their key: up to limit in memory, the others in a file."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.rows, self.n, self.file, self.sink = [], 0, None, None
+
+    def add(self, rows: pa.RecordBatch) -> None:
+        if not rows.num_rows:
+            return
+        self.rows.append(rows)
+        self.n += rows.num_rows
+        if self.n >= self.limit:
+            if self.sink is None:
+                self.file = tempfile.TemporaryFile(dir=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None)
+                self.sink = pa.ipc.new_stream(self.file, rows.schema)
+            for r in self.rows:
+                self.sink.write_batch(r)
+            self.rows, self.n = [], 0
+
+    def take(self) -> Iterator[pa.RecordBatch]:
+        if self.sink is not None:
+            self.sink.close()
+            self.file.seek(0)
+            yield from pa.ipc.open_stream(self.file)
+        yield from self.rows
+        self.drop()
+
+    def drop(self) -> None:
+        if self.sink is not None:
+            self.sink.close()
+            self.file.close()
+        self.rows, self.n, self.file, self.sink = [], 0, None, None
+
+
 def shared_rows(df: DataFrame, key: str, who: str, flag: str) -> DataFrame:
     """The rows whose key has two or more owners (who), or that pass; key may have several columns, comma-separated."""
     keys = key.split(",")
     cols = df.columns
     kinds = ", ".join(f"{c} {t}" for c, t in df.dtypes)
+    limit = HELD
     at_key, at_who, at_flag = [cols.index(k) for k in keys], cols.index(who), cols.index(flag)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, first, shared, held = None, 0, False, None
+        now, first, shared, held = None, 0, False, Held(limit)
         for batch in batches:
             n = batch.num_rows
             if not n:
@@ -148,15 +187,14 @@ def shared_rows(df: DataFrame, key: str, who: str, flag: str) -> DataFrame:
             many[group[(w != owner[group]) | (f & SHARED > 0)]] = True
             if goes_on:
                 many[0] |= shared
-                if many[0] and not shared and held is not None:
-                    yield held
+                if many[0] and not shared:
+                    yield from held.take()
             yield batch.filter(pa.array(many[group] | (f & PASS > 0)))
             now, first, shared = tuple(k[-1].tolist()), owner[-1], bool(many[-1])
-            if shared:
-                held = None
-            elif not (goes_on and len(heads) == 1 and held is not None):
-                held = batch.slice(int(heads[-1]), n - int(heads[-1]))
-                held = held.filter(pa.array(f[heads[-1] :] & PASS == 0)).slice(0, 1)
+            if shared or not goes_on or len(heads) > 1:
+                held.drop()
+            if not shared:
+                held.add(batch.slice(int(heads[-1])).filter(pa.array(f[heads[-1] :] & PASS == 0)))
 
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(trimmed(run), kinds)

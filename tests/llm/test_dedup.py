@@ -43,6 +43,34 @@ def test_suffixes_large_groups(spark, monkeypatch):
     assert want == sorted(brute.repeats(rows), key=str)
 
 
+@pytest.fixture
+def batches_of_two(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "2")
+    yield
+    spark.conf.set(name, before)
+
+
+@pytest.mark.parametrize("held", [1 << 18, 3])
+def test_shared_rows_across_batches(spark, batches_of_two, monkeypatch, held):
+    """All rows of a key whose second owner comes batches later; beyond HELD they wait in a file."""
+    monkeypatch.setattr(suffixes, "HELD", held, raising=False)
+    rows = [(1, 7, 0, k) for k in range(9)] + [(1, 8, 0, 9)] + [(2, 7, 0, k) for k in range(10, 15)] + [(3, 9, suffixes.PASS, 15), (4, 5, suffixes.SHARED, 16)]
+    df = spark.createDataFrame(rows, "key long, who long, flag int, n long")
+    got = suffixes.shared_rows(df, "key", "who", "flag").collect()
+    assert sorted(r.n for r in got) == [*range(10), 15, 16]
+
+
+def test_suffixes_small_batches(spark, batches_of_two):
+    """A document that repeats one segment, next to a partly equal one of a smaller document."""
+    rng = random.Random(7)
+    line = "".join(rng.choice("abcdefghij") for _ in range(90))
+    rows = [*corpus(1, 20), (1000, line[:70] + "#" * 20), *((1001 + d, "|".join(line + "!" * 20 for _ in range(30))) for d in range(2))]
+    got = suffixes.find_repeats(spark.createDataFrame(rows, DOCS).repartition(3)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(brute.repeats(rows), key=str)
+
+
 def test_suffixes_keep_columns(spark):
     rows = [(1, "y" * 60, "a", 9), (2, "z" + "y" * 60 + "é" * 3, "b", 8), (3, None, "c", 7)]
     df = spark.createDataFrame(rows, "doc_id long, text string, starts string, tag int")
