@@ -1,7 +1,8 @@
 """Substring deduplication by paragraph MinHash banding.
 
-A paragraph is a line of `MIN_WORDS` = 20 words or more, as the set of its 5-word shingles (words: lower-cased letters and
-digits). MinHash signatures of `BANDS` x `ROWS` = 16 x 5 make paragraphs of Jaccard similarity 0.8 collide with probability
+A paragraph is a line of `MIN_WORDS` = 20 words or more, or a run of consecutive shorter lines, as the set of its 5-word
+shingles (words: lower-cased letters and digits). Runs end at blank lines, long lines and the text's ends; one of fewer words
+than a shingle joins the run before it, else the one behind it. A whole text of fewer words is one paragraph. MinHash signatures of `BANDS` x `ROWS` = 16 x 5 make paragraphs of Jaccard similarity 0.8 collide with probability
 0.998. Colliding paragraphs are verified by their exact Jaccard similarity (`SIMILARITY` = 0.8 or more), and components of
 verified links decide: each paragraph that has a member of its component in a document with a smaller doc_id is removed.
 
@@ -9,10 +10,11 @@ Equal paragraphs are one class before banding. Inside a bucket, links are search
 component is compared with those not yet reached), so near-equal groups take one sweep and no pair of different texts is
 lost; buckets of more than `BUCKET` classes are cut into shards of which each two meet, so no task holds an unbounded group.
 
-A passage may also stand inside a longer line. Lines are cut at words that are smallest among their neighbours by hash, and
-two such pieces together (10 words or more) that are equal in two documents are removed from the larger one as well.
+A passage may also stand inside a paragraph or across several. Texts are cut at words that are smallest among their neighbours
+by hash, whatever their lines, and two such pieces together (10 words or more) that are equal in two documents are removed
+from the larger one as well. Of fewer than 5 words alone between long lines, only this search knows.
 
-Results: one row per input row. Null and empty texts have no paragraphs. Shorter lines are never removed. A null doc_id is
+Results: one row per input row. Null and empty texts have no paragraphs. A null doc_id is
 larger than all others and its component_id is null. Rows with one doc_id do not remove each other's paragraphs; inside a
 document repeated paragraphs stay. Other columns are ignored. No rows give no rows.
 """
@@ -44,7 +46,8 @@ U64 = np.uint64
 class Lines:
     """The paragraphs of a block: text number, byte span, first word and number of words of each; hashes of all words."""
 
-    def __init__(self, block: Block):
+    def __init__(self, block: Block, short: bool = True):
+        """short: with the runs of short lines."""
         self.starts, self.ends, self.doc = words(block, ALNUM)
         r = rolling(SEED)
         self.h = r.of(r.prefix(LOWER[block.buf]), self.starts, self.ends)
@@ -54,18 +57,40 @@ class Lines:
         first = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1]))) if len(line) else np.zeros(0, np.int64)
         size = np.diff(np.append(first, len(line)))
         on = size >= MIN_WORDS
+        if short and len(first):
+            first, size, on = self._runs(line, first, size, on)
         self.first, self.size = first[on], size[on]
         self.text = self.doc[self.first]
         self.a, self.b = self.starts[self.first], self.ends[self.first + self.size - 1]
 
+    def _runs(self, line: np.ndarray, first: np.ndarray, size: np.ndarray, long: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First word and number of words of the long lines and of the runs of others; and which of them are paragraphs."""
+        text = self.doc[first]
+        # a stretch: short lines of one text with no long one between
+        edge = np.concatenate(([True], (text[1:] != text[:-1]) | long[1:] | long[:-1]))
+        new = edge.copy()
+        new[1:] |= line[first[1:]] > line[first[:-1]] + 1
+        for behind in (False, True):
+            heads = np.flatnonzero(new)
+            n = np.add.reduceat(size, heads)
+            few = n < SHINGLE
+            if behind:  # only the first run of a stretch is still short
+                new[heads[1:][few[:-1]]] = edge[heads[1:][few[:-1]]]
+            else:
+                new[heads[few]] = edge[heads[few]]
+        heads = np.flatnonzero(new)
+        n = np.add.reduceat(size, heads)
+        alone = n == np.bincount(self.doc)[text[heads]]
+        return first[heads], n, (n >= SHINGLE) | alone
+
     def shingles(self, which: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All shingle hashes of the paragraphs, and how many each has."""
         first, size = (self.first, self.size) if which is None else (self.first[which], self.size[which])
-        n = size - SHINGLE + 1
+        n = np.maximum(size - SHINGLE + 1, 1)
         at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        h = self.h[at]
+        h, few = self.h[at], np.repeat(np.minimum(size, SHINGLE), n)
         for k in range(1, SHINGLE):
-            h = mix(h * U64(0x9E3779B97F4A7C15) + self.h[at + k])
+            h = mix(h * U64(0x9E3779B97F4A7C15) + np.where(k < few, self.h[np.minimum(at + k, len(self.h) - 1)], U64(0)))
         return h, n
 
     def names(self, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,10 +104,10 @@ class Lines:
         return out[0], out[1]
 
     def pieces(self) -> tuple[np.ndarray, np.ndarray]:
-        """First word and number of words of each two neighbouring pieces of a paragraph."""
+        """First word and number of words of each two neighbouring pieces of a text."""
         none = np.zeros(0, np.int64)
         n = len(self.h)
-        if not len(self.first) or n < 2 * NEIGHBOURS + 2:
+        if n < 2 * NEIGHBOURS + 2:
             return none, none
         pair = np.full(n, U64(2**64 - 1))
         pair[:-1] = mix(self.h[:-1] * U64(31) + self.h[1:])
@@ -90,14 +115,13 @@ class Lines:
         for k in range(1, NEIGHBOURS + 1):
             least[k:] = np.minimum(least[k:], pair[:-k])
             least[:-k] = np.minimum(least[:-k], pair[k:])
-        inside = np.repeat(np.arange(len(self.first)), self.size)
-        at = np.repeat(self.first - (np.cumsum(self.size) - self.size), self.size) + np.arange(self.size.sum())
-        edge = np.minimum(at - self.first[inside], self.first[inside] + self.size[inside] - 1 - at)
-        ok = (pair[at] == least[at]) & (edge > NEIGHBOURS)  # the neighbours are all in the line
-        cuts, line = at[ok], inside[ok]
+        at = np.arange(n)
+        edge = np.minimum(at - np.searchsorted(self.doc, self.doc), np.searchsorted(self.doc, self.doc, "right") - 1 - at)
+        cuts = np.flatnonzero((pair == least) & (edge > NEIGHBOURS))  # the neighbours are all in the text
+        text = self.doc[cuts]
         if len(cuts) < 3:
             return none, none
-        two = (line[2:] == line[:-2]) & (cuts[2:] - cuts[:-2] >= MIN_PIECE)
+        two = (text[2:] == text[:-2]) & (cuts[2:] - cuts[:-2] >= MIN_PIECE)
         return cuts[:-2][two], (cuts[2:] - cuts[:-2])[two]
 
 
@@ -148,7 +172,7 @@ def _column(block: Block, name: str) -> pa.Array:
     return block.rows.column(block.rows.schema.get_field_index(name))
 
 
-def _links(keyed: DataFrame, classes: DataFrame, parts: int) -> DataFrame:
+def _links(keyed: DataFrame, classes: DataFrame, parts: int, short: bool) -> DataFrame:
     """Verified links (a, b) between classes (node, bands, doc_id, tag, start)."""
     posted = classes.select("node", F.explode("bands").alias("key"), F.lit(0).cast("byte").alias("flag"))
     met = cut(shared_rows(posted.select("key", "node", "flag"), "key", "node", "flag").select("key", "node"))
@@ -157,7 +181,7 @@ def _links(keyed: DataFrame, classes: DataFrame, parts: int) -> DataFrame:
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in unpacked(batches):
             for block in blocks(batch):
-                lines = Lines(block)
+                lines = Lines(block, short)
                 want = [{s["start"]: s["node"] for s in row} for row in _column(block, "need").to_pylist()]
                 node = np.array([want[t].get(int(a - block.off[t]), -1) for t, a in zip(lines.text, lines.a, strict=True)], np.int64)
                 on = np.flatnonzero(node >= 0)
@@ -200,12 +224,13 @@ def _links(keyed: DataFrame, classes: DataFrame, parts: int) -> DataFrame:
 
 
 def repeated(docs: DataFrame, inner_passages: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Spans to remove: doc_id, tag, starts: array of (start, size) in bytes; and links of documents: a, b (b smaller)."""
+    """Spans to remove: doc_id, tag, starts: array of (start, size) in bytes; and links of documents: a, b (b smaller).
+    Without inner_passages, only lines of MIN_WORDS are compared."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = _keyed(docs)
 
     def paragraphs(block: Block) -> pa.RecordBatch:
-        lines = Lines(block)
+        lines = Lines(block, inner_passages)
         if not len(lines.first):
             return None
         h, n = lines.shingles()
@@ -219,7 +244,7 @@ def repeated(docs: DataFrame, inner_passages: bool = True) -> tuple[DataFrame, D
     # the class's smallest row stands for it; equal paragraphs add up before they travel
     groups = found.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "tag", "start")).alias("at"), F.first("bands").alias("bands"))
     classes = cut(groups.select(F.monotonically_increasing_id().alias("node"), "c1", "c2", "bands", "at.*"))
-    reached = components(_links(keyed, classes, parts))
+    reached = components(_links(keyed, classes, parts, inner_passages))
     named = classes.join(reached, "node", "left").select("c1", "c2", F.coalesce("component", "node").alias("component"), "doc_id")
     least = named.groupBy("component").agg(F.min("doc_id").alias("least"))
     told = named.join(least, "component").select("c1", "c2", "least")
@@ -278,7 +303,7 @@ def find_repeats(docs: DataFrame, inner_passages: bool = True) -> DataFrame:
     spans, links = repeated(docs, inner_passages)
 
     def digest(block: Block) -> pa.RecordBatch:
-        n = np.bincount(Lines(block).text, minlength=block.n)
+        n = np.bincount(Lines(block, inner_passages).text, minlength=block.n)
         return pa.RecordBatch.from_arrays([block.rows.column(0), pa.array(n), pa.array(block.sizes), *kept_digest(block, 0)], names=["__id", "n_paragraphs", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

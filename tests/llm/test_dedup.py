@@ -136,6 +136,20 @@ def test_paragraph_inside_a_line(spark):
     assert [got[k].n_removed for k in (1, 3, 4, 5)] == [0, 0, 0, 0] and got[5].component_id == 5
 
 
+def test_paragraphs_of_short_lines(spark):
+    """Copies, wrapped passages, lists and short texts; runs end at blank lines, and short ones join others."""
+    rng = random.Random(8)
+    text = lambda k: [f"v{rng.randrange(5000)}" for _ in range(k)]
+    wrap = lambda w, n: "\n".join(" ".join(w[k : k + n]) for k in range(0, len(w), n))
+    p, q, tale = text(40), text(70), wrap(text(90), 9)
+    rows = [(1, tale), (2, tale), (3, wrap(p, 10)), (4, wrap(text(12), 6) + "\n\n" + wrap(p, 10) + "\n\n" + wrap(text(12), 6))]
+    rows += [(5, wrap(q, 11)), (6, wrap([*text(30), *q, *text(30)], 7)), (7, "two words"), (8, "Two  words!"), (9, "a\n\nb\n\nc d\n\ne f"), (10, "a\n\nb\n\nc d\n\ne f"), (11, wrap(text(60), 8))]
+    got = {r.doc_id: r for r in paragraphs.find_repeats(spark.createDataFrame(rows, DOCS)).collect()}
+    assert [got[k].n_removed for k in (1, 3, 5, 7, 9, 11)] == [0] * 6
+    assert got[2].n_removed == len(tale) and got[4].n_removed == len(wrap(p, 10)) and got[8].n_removed == len("Two  words") and got[10].n_removed == len(rows[9][1])
+    assert got[6].n_removed > len(wrap(q, 7)) // 2 and [got[k].component_id for k in (2, 4, 6, 8, 10)] == [1, 3, 5, 7, 9]
+
+
 def vectors(seed=0, n=400, dim=16):
     rng = np.random.default_rng(seed)
     base = rng.normal(size=(n, dim))
