@@ -208,12 +208,12 @@ def g5_enclosing_callable(spark, sf):
     return L.enclosing(sites, X.nodes(spark, sf, {"Method"}))
 
 
-def _traced(spark, sf, limit: int = 30):
+def _traced(spark, sf):
     from ..operators.graph import adjacency
 
-    entries = L.candidates(_scores(spark, sf), limit).select("id")
+    entries = L.candidates(_scores(spark, sf)).select("id")
     sinks = X.nodes(spark, sf, {"Method"}).filter(c("id").endswith("0")).select("id")
-    return L.trace(entries, adjacency(X.edges(spark, sf, {"CALLS"})), sinks, depth=4), sinks
+    return L.trace(entries, adjacency(X.edges(spark, sf, {"CALLS"})), sinks), sinks
 
 
 @query()
@@ -258,7 +258,8 @@ def g11_process_cap(spark, sf):
 
 def _processes(spark, sf):
     traces, sinks = _traced(spark, sf)
-    chosen = L.round_robin(L.longest_per_ends(L.drop_contained(traces.select("path"), sinks)), sinks, 40)
+    most = X.nodes(spark, sf).filter("label <> 'File'").select(L.process_cap(F.count("*"))).first()[0]
+    chosen = L.round_robin(L.longest_per_ends(L.drop_contained(traces.select("path"), sinks)), sinks, most)
     m = X.nodes(spark, sf, {"Method"})
     return L.processes(chosen, m.select("id", "name"), m.select("id", c("filePath").alias("community")))
 
