@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 from .arrays import trimmed
 
 PART_EDGES = 1 << 20
+#: A node of more edges than HUB_ROWS, and than one in HUBS of all, is a hub.
+HUB_ROWS = 256
+HUBS = 4096
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -113,22 +116,31 @@ def contracted(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").mapInArrow(trimmed(run), "a long, b long")
 
 
+def with_least(rows: DataFrame, n: int) -> DataFrame:
+    """a, b, m: rows with the smallest b of their a. n: about the number of rows. An a of very many rows gets its m by
+    broadcast, where its rows are: there are at most 2 * `HUBS` such."""
+    least = rows.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    hubs = F.broadcast(least.filter(F.col("n") > max(HUB_ROWS, n // HUBS)).select("a", F.col("m").alias("hub")))
+    marked = rows.join(hubs, "a", "left")
+    rest = marked.filter("hub is null").select("a", "b").join(least.filter(F.col("n") <= max(HUB_ROWS, n // HUBS)).select("a", "m"), "a")
+    return rest.union(marked.filter("hub is not null").select("a", "b", F.col("hub").alias("m")))
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """node, component: the smallest node reachable, for each node of an edge (a, b) with a != b. Loops and null ends are
     left out, and so are nodes without an edge. Repeated edges count once."""
     e = cut(contracted(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a <> b")).distinct())
-    last = None
+    last, n = None, e.count()
     for _ in range(max_rounds):
         # large star: the larger neighbours of u go to the smallest of u and its neighbours
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = cut(with_least(both, n).filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).filter("a <> b").distinct())
         # small star: u and its smaller neighbours go to the smallest of them
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").union(least.select("a", F.col("m").alias("b"))).distinct()
+        small = with_least(large, n).select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e")).select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).filter("a <> b").distinct()
         new = cut(small)
         told = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        drop(e)
+        n = told[0]
+        drop(e, large)
         e = new
         if told == last:
             break

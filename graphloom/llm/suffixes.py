@@ -13,9 +13,11 @@ strings past the threshold are left:
    but those of the smallest document are settled at once, as one row for all their strings. Where all segments of a
    representative are equal, nothing is left.
 3. Round of 50 bytes: the strings of the other segments meet by their 50-byte names, inside the rows of their representative
-   where those are `GROUP` or fewer, and else one by one through a shuffle of their own.
+   where those have `STRINGS` strings or fewer, and else one by one through a shuffle of their own.
 
 Names are 64 bits in round 1, where a false meeting only costs work, and 128 (segments) and 80 (strings) bits after that.
+Plain prefix doubling sorts every position in each round (`doubling`); here the rounds between 20 and 50 bytes are taken inside
+the kernel, and only positions of the sample and of what repeats are sorted.
 
 Skew: rows of a name that a worker sees in several documents are settled where they are, and only one of them travels with
 the name; the others go their own ways. So a passage in a third of all documents gives one row for each block of texts.
@@ -37,7 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import Block, blocks, map_blocks, mix, rolling, trimmed, unmix
@@ -48,8 +50,12 @@ FIRST = 20
 SEED = 1
 U64 = np.uint64
 LAST_ID = 2**63 - 1
-GROUP = 4096
+#: Strings that one group may have to be settled in memory; strings of a segment (longer ones are cut, in equal places).
+STRINGS = 1 << 16
+SEGMENT = 4096
 HELD = 1 << 18
+#: Bits of a row's tag that travel with the names of round 1.
+LOW = (1 << 28) - 1
 
 
 def join_names(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -98,6 +104,10 @@ def segments(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     size = np.diff(np.append(start, len(rep)))
     on = inside[start]
     start, size = start[on], size[on]
+    n = -(-size // SEGMENT)
+    if (n > 1).any():  # long periods
+        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        start, size = np.repeat(start, n) + k * SEGMENT, np.minimum(np.repeat(size, n) - k * SEGMENT, SEGMENT)
     return rep[start], np.searchsorted(block.off, start, "right") - 1, start, size, names
 
 
@@ -200,10 +210,25 @@ def shared_rows(df: DataFrame, key: str, who: str, flag: str) -> DataFrame:
     return df.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(trimmed(run), kinds)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, and two hashes that stand for a row's doc_id and text."""
-    d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return d.withColumn("tag", F.xxhash64("text").bitwiseAND(0xFFFF))
+KEYS = ["doc_id", "row", "tag"]
+OWN = ["__id", "__row", "__tag"]
+
+
+def key_columns(names: list[str]) -> list[Column]:
+    """doc_id, the last one for null; row and tag: 96 bits of the text, which tell the rows of one doc_id apart. Rows that agree
+    in all are copies, and fare alike."""
+    text = F.coalesce("text", F.lit(""))
+    made = [F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), F.xxhash64(text), F.hash(text).cast("long").bitwiseAND(0xFFFFFFFF)]
+    return [c.alias(n) for c, n in zip(made, names, strict=True)]
+
+
+def _keyed(docs: DataFrame, names: list[str] = KEYS) -> DataFrame:
+    """The key columns and text; a null text is empty."""
+    return docs.select(*key_columns(names), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def column(block: Block, name: str) -> pa.Array:
+    return block.rows.column(block.rows.schema.get_field_index(name))
 
 
 def packed(keyed: DataFrame, keys: list[str]) -> DataFrame:
@@ -228,8 +253,12 @@ def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([texts if i == at else b.column(i) for i in range(b.num_columns)], names=b.schema.names)
 
 
+#: A string's text and place: at is the byte, and the tag below it.
+PLACE = "doc_id long, row long, at long"
+
+
 def repeated(docs: DataFrame) -> DataFrame:
-    """doc_id, tag, starts: array of (first string, number of strings) to remove, of the documents that have some."""
+    """doc_id, row, tag, starts: set of (first string, number of strings) to remove, of the texts that have some."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = _keyed(docs)
@@ -237,7 +266,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     def anchors(block: Block) -> pa.RecordBatch:
         rep, doc, _, _, _ = segments(block)
         ids = _ids(block)
-        tag = block.rows.column(block.rows.schema.get_field_index("tag")).to_numpy()
+        low = column(block, "tag").to_numpy() & LOW
         # one row for each text and representative
         at = np.argsort(rep, kind="stable")
         rep, doc = rep[at], doc[at]
@@ -248,25 +277,25 @@ def repeated(docs: DataFrame) -> DataFrame:
         shared, head = local_shares(rep, who)
         key = np.where(head, rep, mix(rep ^ mix(who.view(np.uint64))))
         flag = np.where(head, np.where(shared, SHARED, 0), PASS)
-        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(who), pa.array((tag[doc] << 2 | flag).astype(np.int32))], names=["key", "doc_id", "flag"])
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(who), pa.array((low[doc] << 2 | flag).astype(np.int32))], names=["key", "doc_id", "flag"])
 
     def own_reps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             key, who, flag = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy(), b.column(2).to_numpy()
             rep = np.where(flag & PASS > 0, unmix(key) ^ mix(who.view(np.uint64)), key)
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array((flag >> 2).astype(np.int64)), pa.array(rep.view(np.int64))], names=["doc_id", "tag", "rep"])
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array((flag >> 2).astype(np.int64)), pa.array(rep.view(np.int64))], names=["doc_id", "low", "rep"])
 
     long = keyed.filter(F.octet_length("text") >= LENGTH)
     sent = map_blocks(long.select("doc_id", "tag", "text"), anchors, "key long, doc_id long, flag int")
-    found = shared_rows(sent, "key", "doc_id", "flag").mapInArrow(trimmed(own_reps), "doc_id long, tag long, rep long")
-    mine = cut(found.groupBy("doc_id", "tag").agg(F.collect_list("rep").alias("reps")))
+    found = shared_rows(sent, "key", "doc_id", "flag").mapInArrow(trimmed(own_reps), "doc_id long, low long, rep long")
+    # texts of one doc_id whose low bits agree share a list, which only has more than they need
+    mine = cut(found.groupBy("doc_id", "low").agg(F.collect_set("rep").alias("reps")))
 
     def cutting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in unpacked(batches):
             for block in blocks(batch):
                 rep, doc, start, size, _ = segments(block)
-                reps = block.rows.column(block.rows.schema.get_field_index("reps"))
-                tag = block.rows.column(block.rows.schema.get_field_index("tag")).to_numpy()
+                reps = column(block, "reps")
                 n = reps.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
                 want = np.stack((np.repeat(np.arange(block.n), n).astype(np.uint64), reps.flatten().to_numpy().view(np.uint64)), 1)
                 on = np.isin(_two(doc.astype(np.uint64), rep), _two(want[:, 0], want[:, 1]))
@@ -274,14 +303,15 @@ def repeated(docs: DataFrame) -> DataFrame:
                 end = start + size + LENGTH - 1
                 a, b = rolling(SEED + 100), rolling(SEED + 200)
                 s1, s2 = a.of(a.prefix(block.buf), start, end), b.of(b.prefix(block.buf), start, end)
-                who = _ids(block)[doc]
+                place = ((start - block.off[doc]) << 32) | column(block, "tag").to_numpy()[doc]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(who), pa.array(((start - block.off[doc]) << 16) | tag[doc]), pa.array(size.astype(np.int32)), pa.array(rep.view(np.int64))],
-                    names=["s1", "s2", "doc_id", "at", "size", "rep"],
+                    [pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(_ids(block)[doc]), column(block, "row").take(pa.array(doc)), pa.array(place), pa.array(size.astype(np.int32)), pa.array(rep.view(np.int64))],
+                    names=["s1", "s2", "doc_id", "row", "at", "size", "rep"],
                 )
 
-    texts = packed(long, ["doc_id", "tag"])
-    cuts = texts.join(mine, ["doc_id", "tag"]).select("doc_id", "tag", "text", "reps").mapInArrow(trimmed(cutting), "s1 long, s2 long, doc_id long, at long, size int, rep long")
+    texts = packed(long, KEYS)
+    with_reps = texts.withColumn("low", F.col("tag").bitwiseAND(LOW)).join(mine, ["doc_id", "low"])
+    cuts = with_reps.select(*KEYS, "text", "reps").mapInArrow(trimmed(cutting), f"s1 long, s2 long, {PLACE}, size int, rep long")
 
     # equal segments: those of larger documents are settled, the first goes on
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,96 +329,87 @@ def repeated(docs: DataFrame) -> DataFrame:
             done = who > smallest
             now, least = tuple(k[-1].tolist()), int(smallest[-1])
             # the first row of each class goes on; others of its document say nothing new, and are settled with it later
-            yield pa.RecordBatch.from_arrays([pa.array(np.where(done, 0, 1).astype(np.int8)), b.column(0), *(b.column(i) for i in range(2, 6))], names=["open", "s1", "doc_id", "at", "size", "rep"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.where(done, 0, 1).astype(np.int8)), b.column(0), *(b.column(i) for i in range(2, 7))], names=["open", "s1", "doc_id", "row", "at", "size", "rep"])
 
-    met = cut(cuts.repartition(parts, "s1", "s2").sortWithinPartitions("s1", "s2", "doc_id").mapInArrow(trimmed(settle), "open byte, s1 long, doc_id long, at long, size int, rep long"))
+    met = cut(cuts.repartition(parts, "s1", "s2").sortWithinPartitions("s1", "s2", "doc_id").mapInArrow(trimmed(settle), f"open byte, s1 long, {PLACE}, size int, rep long"))
     drop(mine)
-    whole = met.filter("open = 0").select("doc_id", "at", "size")
-    # representatives with several classes of segments: their strings meet one by one
-    left = shared_rows(met.filter("open = 1").select("rep", "s1", F.lit(0).cast("byte").alias("flag"), "doc_id", "at", "size"), "rep", "s1", "flag")
-    wanted = cut(left.groupBy("doc_id", F.col("at").bitwiseAND(0xFFFF).alias("tag")).agg(F.collect_list(F.struct(F.shiftright("at", 16).alias("start"), "size", "rep")).alias("segs")))
-    drop_later = [met, wanted]
+    whole = met.filter("open = 0").select("doc_id", "row", "at", "size")
+    # representatives with several classes of segments: their strings meet one by one. Aggregates are combined before they
+    # travel, and the join with them splits a representative of very many rows.
+    open_ = met.filter("open = 1").select("rep", "s1", "doc_id", "row", "at", "size")
+    several = cut(open_.groupBy("rep").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi"), F.sum("size").alias("strings")).filter("lo < hi").select("rep", "strings"))
+    salt = F.when(F.col("strings") > STRINGS, F.xxhash64("doc_id", "at").bitwiseAND(0x7FFF) + 1).otherwise(0).cast("int")
+    left = open_.join(several, "rep").select("rep", salt.alias("salt"), "doc_id", "row", "at", "size")
+    seg = F.struct(F.shiftright("at", 32).alias("start"), "size", "rep", "salt")
+    wanted = cut(left.groupBy("doc_id", "row", F.col("at").bitwiseAND(0xFFFFFFFF).alias("tag")).agg(F.collect_set(seg).alias("segs")))
+    drop_later = [met, wanted, several]
 
     def copying(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The wanted segments with their bytes."""
         for batch in unpacked(batches):
             for block in blocks(batch):
-                segs = block.rows.column(block.rows.schema.get_field_index("segs"))
+                segs = column(block, "segs")
                 n = segs.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
                 flat = segs.flatten()
                 doc = np.repeat(np.arange(block.n), n)
-                start = flat.field(0).to_numpy() + block.off[doc]
-                size = flat.field(1).to_numpy().astype(np.int64)
-                at = (flat.field(0).to_numpy() << 16) | block.rows.column(block.rows.schema.get_field_index("tag")).to_numpy()[doc]
-                yield pa.RecordBatch.from_arrays([flat.field(2), pa.array(_ids(block)[doc]), pa.array(at), flat.field(1), pieces(block.buf, start, start + size + LENGTH - 1)], names=["rep", "doc_id", "at", "size", "bytes"])
-
-    copied = texts.join(wanted, ["doc_id", "tag"]).select("doc_id", "tag", "text", "segs").mapInArrow(trimmed(copying), "rep long, doc_id long, at long, size int, bytes binary")
+                first, size = flat.field(0).to_numpy(), flat.field(1).to_numpy().astype(np.int64)
+                at = (first << 32) | column(block, "tag").to_numpy()[doc]
+                for z in slices(size, 8 * STRINGS):
+                    a = first[z] + block.off[doc[z]]
+                    yield pa.RecordBatch.from_arrays(
+                        [flat.field(2)[z], flat.field(3)[z], pa.array(_ids(block)[doc[z]]), column(block, "row").take(pa.array(doc[z])), pa.array(at[z]), flat.field(1)[z], pieces(block.buf, a, a + size[z] + LENGTH - 1)], names=["rep", "salt", "doc_id", "row", "at", "size", "bytes"]
+                    )
+
+    copied = texts.join(wanted, KEYS).select(*KEYS, "text", "segs").mapInArrow(trimmed(copying), f"rep long, salt int, {PLACE}, size int, bytes binary")
+
+    def settled(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """The strings of whole groups, some groups at a time."""
+        rep = rows.column(0).to_numpy().view(np.uint64)
+        edges = np.flatnonzero(np.concatenate(([True], rep[1:] != rep[:-1]))) if len(rep) else np.zeros(0, np.int64)
+        size = rows.column(5).to_numpy().astype(np.int64)
+        for groups in slices(np.add.reduceat(size, edges) if len(edges) else size, STRINGS):
+            a, b = int(edges[groups][0]), int(edges[groups.stop]) if groups.stop < len(edges) else len(rep)
+            part = rows.slice(a, b - a)
+            name, check, of, at = string_names(part)
+            who = part.column(2).to_numpy()[of]
+            key = join_names(join_names(name, check), part.column(0).to_numpy().view(np.uint64)[of])
+            done = np.flatnonzero(later(key, who))
+            yield pa.RecordBatch.from_arrays([pa.array(who[done]), part.column(3).take(pa.array(of[done])), pa.array(at[done]), pa.array(np.ones(len(done), np.int32)), pa.nulls(len(done), pa.binary())], names=["doc_id", "row", "at", "size", "bytes"])
 
     def in_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Settles the strings of small groups; the rows of larger ones go on as they are."""
-        held: list[pa.RecordBatch] = []
-        rows, now, large = 0, None, False
-
-        def settled(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            got = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-            rep = got.column(0).to_numpy().view(np.uint64)
-            # whole groups, about a block at a time
-            edges = np.flatnonzero(np.concatenate(([True], rep[1:] != rep[:-1], [True])))
-            a = 0
-            while a < len(edges) - 1:
-                b = max(a + 1, int(np.searchsorted(edges, edges[a] + GROUP, "right")) - 1)
-                part = got.slice(int(edges[a]), int(edges[b] - edges[a]))
-                name, check, who, at = string_names(part)
-                key = join_names(join_names(name, check), np.repeat(part.column(0).to_numpy().view(np.uint64), part.column(3).to_numpy()))
-                done = np.flatnonzero(later(key, who))
-                yield pa.RecordBatch.from_arrays([pa.array(who[done]), pa.array(at[done]), pa.array(np.ones(len(done), np.int32)), pa.nulls(len(done), pa.binary())], names=["doc_id", "at", "size", "bytes"])
-                a = b
-
+        """Settles the strings of small groups (salt 0), which lie side by side; the rows of larger ones go on as they are."""
+        held: pa.RecordBatch | None = None
         for batch in batches:
-            if not batch.num_rows:
+            small = batch.column(1).to_numpy() == 0
+            if not small.all():
+                yield batch.filter(pa.array(~small)).select([2, 3, 4, 5, 6])
+            rows = batch.filter(pa.array(small))
+            if not rows.num_rows:
                 continue
-            rep = batch.column(0).to_numpy()
-            first = 0
-            if large:  # the rest of a large group
-                first = int(np.argmax(rep != now)) if (rep != now).any() else len(rep)
-                if first:
-                    yield batch.slice(0, first).select([1, 2, 3, 4])
-                if first == len(rep):
-                    continue
-                large = False
+            if held is not None:
+                rows = pa.Table.from_batches([held, rows]).combine_chunks().to_batches()[0]
+            rep = rows.column(0).to_numpy()
             last = len(rep) - int(np.argmax(rep[::-1] != rep[-1])) if (rep != rep[-1]).any() else 0
-            if last > first or not held or now != rep[-1]:
-                # what ends before the batch's last group is whole
-                cut_at = max(last, first)
-                if cut_at > first:
-                    held.append(batch.slice(first, cut_at - first))
-                if held and (cut_at > first or now != rep[-1]):
-                    yield from settled(held)
-                    held, rows = [], 0
-                first = cut_at
-            now = rep[-1]
-            held.append(batch.slice(first))
-            rows += len(rep) - first
-            if rows > GROUP:
-                yield from (h.select([1, 2, 3, 4]) for h in held)
-                held, rows, large = [], 0, True
-        if held:
+            yield from settled(rows.slice(0, last))
+            held = rows.slice(last)
+        if held is not None:
             yield from settled(held)
 
-    grouped = cut(copied.repartition(parts, "rep").sortWithinPartitions("rep").mapInArrow(trimmed(in_groups), "doc_id long, at long, size int, bytes binary"))
+    grouped = cut(copied.repartition(parts, "rep", "salt").sortWithinPartitions("salt", "rep").mapInArrow(trimmed(in_groups), f"{PLACE}, size int, bytes binary"))
     drop_later.append(grouped)
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for z in range(0, batch.num_rows, GROUP):
-                part = batch.slice(z, GROUP)
-                name, check, who, at = string_names(pa.RecordBatch.from_arrays([part.column(0), *(part.column(i) for i in range(4))], names=["rep", "doc_id", "at", "size", "bytes"]))
+            for z in slices(batch.column(3).to_numpy().astype(np.int64), STRINGS):
+                part = batch.slice(z.start, z.stop - z.start)
+                name, check, of, at = string_names(pa.RecordBatch.from_arrays([part.column(0), part.column(0), *(part.column(i) for i in range(5))], names=["rep", "salt", "doc_id", "row", "at", "size", "bytes"]))
+                who = part.column(0).to_numpy()[of]
                 # strings that several documents of this block hold are settled for all but the smallest
                 done = later(join_names(name, check), who)
                 name = np.where(done, mix(name ^ mix(who.view(np.uint64))), name)
-                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(check.astype(np.int32)), pa.array(who), pa.array(at), pa.array(done.astype(np.int8))], names=["name", "mark", "doc_id", "at", "settled"])
+                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(check.astype(np.int32)), pa.array(who), part.column(1).take(pa.array(of)), pa.array(at), pa.array(done.astype(np.int8))], names=["name", "mark", "doc_id", "row", "at", "settled"])
 
-    named = grouped.filter("bytes is not null").mapInArrow(trimmed(strings), "name long, mark int, doc_id long, at long, settled byte")
+    named = grouped.filter("bytes is not null").mapInArrow(trimmed(strings), f"name long, mark int, {PLACE}, settled byte")
 
     def settle_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, least = None, 0
@@ -396,35 +417,47 @@ def repeated(docs: DataFrame) -> DataFrame:
             if not b.num_rows:
                 continue
             k = np.stack((b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.int64)), 1)
-            who, sure = b.column(2).to_numpy(), b.column(4).to_numpy() > 0
+            who, sure = b.column(2).to_numpy(), b.column(5).to_numpy() > 0
             new = np.ones(len(k), bool)
             new[1:] = (k[1:] != k[:-1]).any(1)
             new[0] = now is None or tuple(k[0].tolist()) != now
             heads = np.flatnonzero(new)
             smallest = np.concatenate(([least], who[heads]))[np.cumsum(new)]
-            done = np.flatnonzero((who > smallest) | sure)
+            done = pa.array(np.flatnonzero((who > smallest) | sure))
             now, least = tuple(k[-1].tolist()), int(smallest[-1])
-            yield pa.RecordBatch.from_arrays([b.column(2).take(pa.array(done)), b.column(3).take(pa.array(done)), pa.array(np.ones(len(done), np.int32))], names=["doc_id", "at", "size"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(done) for i in (2, 3, 4)), pa.array(np.ones(len(done), np.int32))], names=["doc_id", "row", "at", "size"])
 
-    single = named.repartition(parts, "name", "mark").sortWithinPartitions("name", "mark", "doc_id").mapInArrow(trimmed(settle_strings), "doc_id long, at long, size int")
-    marks = whole.union(grouped.filter("bytes is null").select("doc_id", "at", "size")).union(single)
-    out = cut(marks.groupBy("doc_id", F.col("at").bitwiseAND(0xFFFF).alias("tag")).agg(F.collect_list(F.struct(F.shiftright("at", 16).alias("start"), "size")).alias("starts")))
+    single = named.repartition(parts, "name", "mark").sortWithinPartitions("name", "mark", "doc_id").mapInArrow(trimmed(settle_strings), f"{PLACE}, size int")
+    marks = whole.union(grouped.filter("bytes is null").select("doc_id", "row", "at", "size")).union(single)
+    out = cut(marks.groupBy("doc_id", "row", F.col("at").bitwiseAND(0xFFFFFFFF).alias("tag")).agg(F.collect_set(F.struct(F.shiftright("at", 32).alias("start"), "size")).alias("starts")))
     drop(*drop_later)
     return out
 
 
+def slices(sizes: np.ndarray, most: int) -> Iterator[slice]:
+    """Ranges of rows whose sizes add up to most, or one larger row each."""
+    stop = np.cumsum(sizes)
+    a = 0
+    while a < len(stop):
+        b = max(a + 1, int(np.searchsorted(stop, (stop[a - 1] if a else 0) + most, "right")))
+        yield slice(a, b)
+        a = b
+
+
 def string_names(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Name, check, document and place of each string of segments (rep, doc_id, at, size, bytes)."""
+    """Name, check, row number and place of each string of segments (rep, salt, doc_id, row, at, size, bytes)."""
+    if not rows.num_rows:
+        none = np.zeros(0, np.uint64)
+        return none, none, none.view(np.int64), none.view(np.int64)
     block = next(blocks(rows, "bytes", 1 << 62))
     r, c = rolling(SEED), rolling(SEED + 300)
     name = doubled(r.every(r.prefix(block.buf), FIRST))
     check = c.every(c.prefix(block.buf), LENGTH) & U64(0xFFFF)
-    size = rows.column(3).to_numpy().astype(np.int64)
-    row = np.repeat(np.arange(block.n), size)
-    inner = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-    place = block.off[row] + inner
-    at = rows.column(2).to_numpy()[row]
-    return name[place], check[place], rows.column(1).to_numpy()[row], (((at >> 16) + inner) << 16) | (at & 0xFFFF)
+    size = rows.column(5).to_numpy().astype(np.int64)
+    of = np.repeat(np.arange(block.n), size)
+    inner = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+    place = block.off[of] + inner
+    return name[place], check[place], of, rows.column(4).to_numpy()[of] + (inner << 32)
 
 
 def later(key: np.ndarray, who: np.ndarray) -> np.ndarray:
@@ -451,21 +484,20 @@ def _two(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return join_names(a, b)
 
 
-def removed(block: Block, longer: int = LENGTH - 1) -> tuple[np.ndarray, np.ndarray]:
+def removed(block: Block) -> tuple[np.ndarray, np.ndarray]:
     """Which bytes of the block go, and which texts lose some. Its rows have starts: lists of (start, size)."""
     col = block.rows.column(block.rows.schema.get_field_index("starts"))
     n = col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     flat = col.flatten()
     doc = np.repeat(np.arange(block.n), n)
     a = flat.field(0).to_numpy(zero_copy_only=False).astype(np.int64) + block.off[doc]
-    b = np.minimum(a + flat.field(1).to_numpy(zero_copy_only=False) + longer, block.off[doc + 1])
+    b = np.minimum(a + flat.field(1).to_numpy(zero_copy_only=False) + LENGTH - 1, block.off[doc + 1])
     d = np.bincount(a, minlength=len(block.buf) + 1)[: len(block.buf) + 1] - np.bincount(b, minlength=len(block.buf) + 1)[: len(block.buf) + 1]
     return np.cumsum(d[:-1]) > 0, n > 0
 
 
-def kept_digest(block: Block, longer: int = LENGTH - 1) -> tuple[pa.Array, pa.Array, pa.Array]:
-    """Bytes removed, maximal runs of them, and the SHA-256 of what is left."""
-    mask, some = removed(block, longer)
+def kept_digest(block: Block, mask: np.ndarray, some: np.ndarray) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """Bytes removed (mask, in the texts that lose some), maximal runs of them, and the SHA-256 of what is left."""
     gone, runs, sha = np.zeros(block.n, np.int64), np.zeros(block.n, np.int64), []
     for i in range(block.n):
         text = block.buf[block.off[i] : block.off[i + 1]]
@@ -478,22 +510,23 @@ def kept_digest(block: Block, longer: int = LENGTH - 1) -> tuple[pa.Array, pa.Ar
 
 
 def _with_starts(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs (columns of its own, key columns doc_id and tag) with starts."""
-    return docs.join(found.withColumnRenamed("doc_id", "__d").withColumnRenamed("tag", "__t"), (F.col("__id") == F.col("__d")) & (F.col("__tag") == F.col("__t")), "left")
+    """docs (key columns __id, __row and __tag) with starts."""
+    f = found.select(F.col("doc_id").alias("__d"), F.col("row").alias("__r"), F.col("tag").alias("__t"), "starts")
+    return docs.join(f, (F.col("__id") == F.col("__d")) & (F.col("__row") == F.col("__r")) & (F.col("__tag") == F.col("__t")), "left")
 
 
 def find_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    keyed = _keyed(docs).select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag"), "text")
+    keyed = _keyed(docs, OWN)
 
     def digest(block: Block) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([block.rows.column(0), pa.array(block.sizes), *kept_digest(block)], names=["__id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        return pa.RecordBatch.from_arrays([block.rows.column(0), pa.array(block.sizes), *kept_digest(block, *removed(block))], names=["__id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in unpacked(batches):
             yield from map(digest, blocks(batch))
 
-    joined = _with_starts(packed(keyed, ["__id", "__tag"]), repeated(docs)).select("__id", "text", "starts")
+    joined = _with_starts(packed(keyed, OWN), repeated(docs)).select("__id", "text", "starts")
     out = joined.mapInArrow(trimmed(run), "__id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return out.select(F.when(F.col("__id") != LAST_ID, F.col("__id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
@@ -503,7 +536,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     so texts stay valid; a text of which nothing is left is empty. Null texts stay null."""
     cols = docs.columns
     names = ["text" if c == "text" else f"c{i}" for i, c in enumerate(cols)]
-    d = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(cols, names, strict=True)), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("__id"), F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(0xFFFF).alias("__tag"))
+    d = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(cols, names, strict=True)), *key_columns(OWN))
     kinds = ", ".join(f"{n} {k}" for n, (_, k) in zip(names, docs.dtypes, strict=True))
     at = cols.index("text")
 
