@@ -53,6 +53,8 @@ LAST_ID = 2**63 - 1
 #: Strings that one group may have to be settled in memory; strings of a segment (longer ones are cut, in equal places).
 STRINGS = 1 << 16
 SEGMENT = 4096
+#: Names of FIRST bytes in a string; a segment of more strings is periodic.
+WIDTH = LENGTH - FIRST + 1
 HELD = 1 << 18
 #: Bits of a row's tag that travel with the names of round 1.
 LOW = (1 << 28) - 1
@@ -75,9 +77,9 @@ def doubled(names: np.ndarray) -> np.ndarray:
 
 def representatives(names: np.ndarray) -> np.ndarray:
     """For each LENGTH bytes, the smallest of the names inside."""
-    width, size = LENGTH - FIRST + 1, 1
-    while size < width:
-        step = min(size, width - size)
+    size = 1
+    while size < WIDTH:
+        step = min(size, WIDTH - size)
         names = np.minimum(names[:-step], names[step:]) if len(names) > step else names[:0]
         size += step
     return names
@@ -337,7 +339,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     # representatives with several classes of segments: their strings meet one by one. Aggregates are combined before they
     # travel, and the join with them splits a representative of very many rows.
     open_ = met.filter("open = 1").select("rep", "s1", "doc_id", "row", "at", "size")
-    several = cut(open_.groupBy("rep").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi"), F.sum("size").alias("strings")).filter("lo < hi").select("rep", "strings"))
+    several = cut(open_.groupBy("rep").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi"), F.sum(F.least("size", F.lit(WIDTH))).alias("strings")).filter("lo < hi").select("rep", "strings"))
     salt = F.when(F.col("strings") > STRINGS, F.xxhash64("doc_id", "at").bitwiseAND(0x7FFF) + 1).otherwise(0).cast("int")
     left = open_.join(several, "rep").select("rep", salt.alias("salt"), "doc_id", "row", "at", "size")
     seg = F.struct(F.shiftright("at", 32).alias("start"), "size", "rep", "salt")
@@ -366,15 +368,15 @@ def repeated(docs: DataFrame) -> DataFrame:
         """The strings of whole groups, some groups at a time."""
         rep = rows.column(0).to_numpy().view(np.uint64)
         edges = np.flatnonzero(np.concatenate(([True], rep[1:] != rep[:-1]))) if len(rep) else np.zeros(0, np.int64)
-        size = rows.column(5).to_numpy().astype(np.int64)
+        size = np.minimum(rows.column(5).to_numpy().astype(np.int64), WIDTH)
         for groups in slices(np.add.reduceat(size, edges) if len(edges) else size, STRINGS):
             a, b = int(edges[groups][0]), int(edges[groups.stop]) if groups.stop < len(edges) else len(rep)
             part = rows.slice(a, b - a)
-            name, check, of, at = string_names(part)
+            name, check, of, at, n = string_names(part)
             who = part.column(2).to_numpy()[of]
             key = join_names(join_names(name, check), part.column(0).to_numpy().view(np.uint64)[of])
             done = np.flatnonzero(later(key, who))
-            yield pa.RecordBatch.from_arrays([pa.array(who[done]), part.column(3).take(pa.array(of[done])), pa.array(at[done]), pa.array(np.ones(len(done), np.int32)), pa.nulls(len(done), pa.binary())], names=["doc_id", "row", "at", "size", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array(who[done]), part.column(3).take(pa.array(of[done])), pa.array(at[done]), pa.array(n[done]), pa.nulls(len(done), pa.binary())], names=["doc_id", "row", "at", "size", "bytes"])
 
     def in_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Settles the strings of small groups (salt 0), which lie side by side; the rows of larger ones go on as they are."""
@@ -402,14 +404,14 @@ def repeated(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for z in slices(batch.column(3).to_numpy().astype(np.int64), STRINGS):
                 part = batch.slice(z.start, z.stop - z.start)
-                name, check, of, at = string_names(pa.RecordBatch.from_arrays([part.column(0), part.column(0), *(part.column(i) for i in range(5))], names=["rep", "salt", "doc_id", "row", "at", "size", "bytes"]))
+                name, check, of, at, n = string_names(pa.RecordBatch.from_arrays([part.column(0), part.column(0), *(part.column(i) for i in range(5))], names=["rep", "salt", "doc_id", "row", "at", "size", "bytes"]))
                 who = part.column(0).to_numpy()[of]
                 # strings that several documents of this block hold are settled for all but the smallest
                 done = later(join_names(name, check), who)
                 name = np.where(done, mix(name ^ mix(who.view(np.uint64))), name)
-                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(check.astype(np.int32)), pa.array(who), part.column(1).take(pa.array(of)), pa.array(at), pa.array(done.astype(np.int8))], names=["name", "mark", "doc_id", "row", "at", "settled"])
+                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(check.astype(np.int32)), pa.array(who), part.column(1).take(pa.array(of)), pa.array(at), pa.array(n), pa.array(done.astype(np.int8))], names=["name", "mark", "doc_id", "row", "at", "size", "settled"])
 
-    named = grouped.filter("bytes is not null").mapInArrow(trimmed(strings), f"name long, mark int, {PLACE}, settled byte")
+    named = grouped.filter("bytes is not null").mapInArrow(trimmed(strings), f"name long, mark int, {PLACE}, size int, settled byte")
 
     def settle_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, least = None, 0
@@ -417,7 +419,7 @@ def repeated(docs: DataFrame) -> DataFrame:
             if not b.num_rows:
                 continue
             k = np.stack((b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.int64)), 1)
-            who, sure = b.column(2).to_numpy(), b.column(5).to_numpy() > 0
+            who, sure = b.column(2).to_numpy(), b.column(6).to_numpy() > 0
             new = np.ones(len(k), bool)
             new[1:] = (k[1:] != k[:-1]).any(1)
             new[0] = now is None or tuple(k[0].tolist()) != now
@@ -425,7 +427,7 @@ def repeated(docs: DataFrame) -> DataFrame:
             smallest = np.concatenate(([least], who[heads]))[np.cumsum(new)]
             done = pa.array(np.flatnonzero((who > smallest) | sure))
             now, least = tuple(k[-1].tolist()), int(smallest[-1])
-            yield pa.RecordBatch.from_arrays([*(b.column(i).take(done) for i in (2, 3, 4)), pa.array(np.ones(len(done), np.int32))], names=["doc_id", "row", "at", "size"])
+            yield pa.RecordBatch.from_arrays([b.column(i).take(done) for i in range(2, 6)], names=["doc_id", "row", "at", "size"])
 
     single = named.repartition(parts, "name", "mark").sortWithinPartitions("name", "mark", "doc_id").mapInArrow(trimmed(settle_strings), f"{PLACE}, size int")
     marks = whole.union(grouped.filter("bytes is null").select("doc_id", "row", "at", "size")).union(single)
@@ -444,20 +446,35 @@ def slices(sizes: np.ndarray, most: int) -> Iterator[slice]:
         a = b
 
 
-def string_names(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Name, check, row number and place of each string of segments (rep, salt, doc_id, row, at, size, bytes)."""
-    if not rows.num_rows:
-        none = np.zeros(0, np.uint64)
-        return none, none, none.view(np.int64), none.view(np.int64)
-    block = next(blocks(rows, "bytes", 1 << 62))
-    r, c = rolling(SEED), rolling(SEED + 300)
-    name = doubled(r.every(r.prefix(block.buf), FIRST))
-    check = c.every(c.prefix(block.buf), LENGTH) & U64(0xFFFF)
+def string_names(rows: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Name, check, row number, place and size of each different string of the segments (rep, salt, doc_id, row, at, size,
+    bytes). In a periodic segment a string comes again and again: where its places are at most LENGTH apart, they are one of a
+    larger size, as their bytes go together."""
     size = rows.column(5).to_numpy().astype(np.int64)
-    of = np.repeat(np.arange(block.n), size)
-    inner = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
-    place = block.off[of] + inner
-    return name[place], check[place], of, rows.column(4).to_numpy()[of] + (inner << 32)
+    out = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))]
+    for z in slices(size, STRINGS):
+        block = next(blocks(rows.slice(z.start, z.stop - z.start), "bytes", 1 << 62))
+        n = size[z]
+        r, c = rolling(SEED), rolling(SEED + 300)
+        name, check = doubled(r.every(r.prefix(block.buf), FIRST)), c.every(c.prefix(block.buf), LENGTH) & U64(0xFFFF)
+        of = np.repeat(np.arange(block.n), n)
+        inner = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        place = block.off[of] + inner
+        name, check = name[place], check[place]
+        stop = inner.copy()
+        periodic = np.flatnonzero(n[of] > WIDTH)
+        if len(periodic):
+            order = periodic[np.lexsort((inner[periodic], name[periodic], of[periodic]))]
+            new = np.ones(len(order), bool)
+            new[1:] = (of[order][1:] != of[order][:-1]) | (name[order][1:] != name[order][:-1]) | (np.diff(inner[order]) > LENGTH)
+            heads = np.flatnonzero(new)
+            stop[order[heads]] = inner[order][np.append(heads[1:], len(order)) - 1]
+            keep = np.ones(len(of), bool)
+            keep[periodic] = False
+            keep[order[heads]] = True
+            name, check, of, inner, stop = name[keep], check[keep], of[keep], inner[keep], stop[keep]
+        out.append((name, check, of + z.start, rows.column(4).to_numpy()[z][of] + (inner << 32), (stop - inner + 1).astype(np.int32)))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 def later(key: np.ndarray, who: np.ndarray) -> np.ndarray:
