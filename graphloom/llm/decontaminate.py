@@ -10,8 +10,10 @@ Nulls and empties: a null or empty text has no words; a null item or one without
 never listed (its words still hit). Repeated item_ids count once, repeated documents give repeated rows. An empty
 benchmark leaves all documents clean. Other columns pass through `keep` or are ignored.
 
-Items go to the executors in groups of `group_words` words at most, so what is broadcast has a bound; each group is one
-more map over the documents, without a shuffle.
+Items go into automata of `GROUP_WORDS` words at most, which are built from small dictionaries (100 MB) and kept as flat
+arrays; `PASS_WORDS` words of automata (about 70 MB) are broadcast at a time and looked through in one map over the documents,
+without a shuffle. Larger benchmarks take further maps. Texts of any length are matched whole; they follow the automata side
+by side.
 """
 
 from __future__ import annotations
@@ -26,64 +28,65 @@ from pyspark.sql import functions as F
 from .arrays import ALNUM, LOWER, Block, blocks, rolling, trimmed, words
 
 WINDOW = 10
-GROUP_WORDS = 2_000_000
+GROUP_WORDS = 200_000
+PASS_WORDS = 1_000_000
 SEED = 8
 
 
 class Automaton:
-    """Suffix automaton of several word sequences; items[state] and short[state] hold what ends there."""
-
-    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int):
-        self.window = window
-        self.ids: dict[bytes, int] = {}
-        seqs = [(item, [self.ids.setdefault(w, len(self.ids)) for w in ws]) for item, ws in items if ws]
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.len = [-1], [0]
+    """Suffix automaton of several sequences of word numbers below `words`, in arrays: sorted keys (state * words + word) of the
+    moves and where they lead; link and length of each state; for the states, the items that end there."""
+
+    def __init__(self, seqs: list[tuple[str | None, list[int]]], words: int, window: int):
+        self.words, self.window = words, window
+        self._next: list[dict[int, int]] = [{}]
+        self._link, self._len = [-1], [0]
         for _, seq in seqs:
             last = 0
             for c in seq:
                 last = self._extend(last, c)
-        order = sorted(range(len(self.len)), key=self.len.__getitem__)
-        self.top = list(range(len(self.len)))  # the state of the last `window` words
+        n = [len(d) for d in self._next]
+        keys = np.fromiter((c for d in self._next for c in d), np.int64, sum(n)) + np.repeat(np.arange(len(n)), n) * words
+        to = np.fromiter((v for d in self._next for v in d.values()), np.int32, sum(n))
+        at = np.argsort(keys)
+        self.keys, self.to = keys[at], to[at]
+        self.link, self.len = np.array(self._link, np.int32), np.array(self._len, np.int32)
+        self._tell(seqs)
+        del self._next, self._link, self._len
+
+    def _tell(self, seqs: list[tuple[str | None, list[int]]]) -> None:
+        """Items by state, as sorted (state, item) rows: of whole windows at the window's state, and of shorter items at each
+        state that ends in them."""
+        size, link = self._len, self._link
+        order = np.argsort(self.len, kind="stable").tolist()
+        top = list(range(len(size)))  # the state of the last `window` words
         for v in order:
-            if v and self.len[self.link[v]] >= window:
-                self.top[v] = self.top[self.link[v]]
-        self.items: dict[int, set] = {}
-        own: dict[int, list] = {}
+            if v and size[link[v]] >= self.window:
+                top[v] = top[link[v]]
+        ends, own = set(), {}
+        self.names = sorted({item for item, _ in seqs if item is not None})
+        number = {item: k for k, item in enumerate(self.names)} | {None: -1}
         for item, seq in seqs:
             v = 0
             for i, c in enumerate(seq):
-                v = self.next[v][c]
-                if i + 1 >= window:
-                    self.items.setdefault(self.top[v], set()).add(item)
-            if len(seq) < window:
-                while self.len[self.link[v]] >= len(seq):
-                    v = self.link[v]
-                own.setdefault(v, []).append((len(seq), item))
-        self.short: dict[int, list] = {}
+                v = self._next[v][c]
+                if i + 1 >= self.window:
+                    ends.add((top[v], number[item]))
+            if len(seq) < self.window:
+                while size[link[v]] >= len(seq):
+                    v = link[v]
+                own.setdefault(v, set()).add((len(seq), number[item]))
+        short: dict[int, set] = {}
         if own:
             for v in order:
-                if got := own.get(v, []) + self.short.get(self.link[v], []):
-                    self.short[v] = got
-        self.least = min([window, *(len(seq) for _, seq in seqs)])
-        hashes, numbers = self._hashes()
-        self.hashes, self.numbers = hashes, numbers
-        pairs = {a * len(self.ids) + b for _, seq in seqs for a, b in zip(seq, seq[1:], strict=False)}
-        self.pairs = np.array(sorted(pairs), np.int64)
-        self.seen = np.zeros(1 << 22, bool)
-        self.seen[hashes >> np.uint64(42)] = True
-
-    def _hashes(self) -> tuple[np.ndarray, np.ndarray]:
-        r = rolling(SEED)
-        text = list(self.ids)
-        buf = np.frombuffer(b"".join(text), np.uint8)
-        off = np.concatenate(([0], np.cumsum([len(w) for w in text]))).astype(np.int64)
-        h = np.concatenate([r.of(r.prefix(buf[a:b]), np.array([0]), np.array([b - a])) for a, b in zip(off, off[1:], strict=False)]) if text else np.zeros(0, np.uint64)
-        at = np.argsort(h)
-        return h[at], at.astype(np.int64)
+                if got := own.get(v, set()) | short.get(link[v], set()):
+                    short[v] = got
+        self.top = np.array(top, np.int32)
+        self.ends = np.array(sorted(ends), np.int64).reshape(-1, 2)
+        self.short = np.array(sorted((v, n, item) for v, got in short.items() for n, item in got), np.int64).reshape(-1, 3)
 
     def _extend(self, last: int, c: int) -> int:
-        nxt, link, size = self.next, self.link, self.len
+        nxt, link, size = self._next, self._link, self._len
         if c in nxt[last]:
             q = nxt[last][c]
             return q if size[q] == size[last] + 1 else self._clone(last, c, q)
@@ -101,7 +104,7 @@ class Automaton:
         return cur
 
     def _clone(self, p: int, c: int, q: int) -> int:
-        nxt, link, size = self.next, self.link, self.len
+        nxt, link, size = self._next, self._link, self._len
         new = len(size)
         nxt.append(dict(nxt[q]))
         size.append(size[p] + 1)
@@ -112,6 +115,91 @@ class Automaton:
             p = link[p]
         return new
 
+    def moves(self, v: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Where c leads from v; -1 for nowhere."""
+        key = v.astype(np.int64) * self.words + c
+        k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[k] == key, self.to[k], -1)
+
+    def walk(self, number: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of runs of words (first to last): place, state and length of the longest match at each word where it tells
+        something, and the run's number. All runs go one word further in each step."""
+        at_short = np.zeros(len(self.len), bool)
+        at_short[self.short[:, 0]] = True
+        order = np.argsort(first - last, kind="stable")  # the longest first
+        place, stop = first[order].copy(), last[order]
+        v, n = np.zeros(len(order), np.int32), np.zeros(len(order), np.int32)
+        out: list = []
+        while len(place):
+            c = number[place]
+            go = self.moves(v, c)
+            while len(lost := np.flatnonzero((go < 0) & (v > 0))):
+                v[lost] = self.link[v[lost]]
+                n[lost] = self.len[v[lost]]
+                go[lost] = self.moves(v[lost], c[lost])
+            v, n = np.where(go < 0, 0, go).astype(np.int32), np.where(go < 0, 0, n + 1)
+            tells = np.flatnonzero((n >= self.window) | at_short[v])
+            if len(tells):
+                out.append((place[tells], v[tells], n[tells], order[tells]))
+            place = place + 1
+            left = int(np.count_nonzero(place < stop))
+            place, stop, v, n, order = place[:left], stop[:left], v[:left], n[:left], order[:left]
+        none = np.zeros(0, np.int64)
+        return tuple(np.concatenate([none, *(o[k] for o in out)]).astype(np.int64) for k in range(4))
+
+    def told(self, place: np.ndarray, state: np.ndarray, length: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Adds the covered words to edges (+1 where a cover begins, -1 behind its end); gives (row, item) of what is found,
+        rows of place."""
+        long = length >= self.window
+        np.add.at(edges, (place - length + 1)[long], 1)
+        np.add.at(edges, (place + 1)[long], -1)
+        row, at = _rows_of(self.ends[:, 0], np.where(long, self.top[state], -1))
+        rows, items = [row], [self.ends[at, 1]]
+        row, at = _rows_of(self.short[:, 0], state)
+        fits = self.short[at, 1] <= length[row]
+        row, at = row[fits], at[fits]
+        np.add.at(edges, place[row] - self.short[at, 1] + 1, 1)
+        np.add.at(edges, place[row] + 1, -1)
+        return np.concatenate([*rows, row]), np.concatenate([*items, self.short[at, 2]])
+
+
+def _rows_of(sorted_keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) for each j with sorted_keys[j] == wanted[i]."""
+    lo, hi = np.searchsorted(sorted_keys, wanted, "left"), np.searchsorted(sorted_keys, wanted, "right")
+    n = hi - lo
+    return np.repeat(np.arange(len(wanted)), n), np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+class Benchmark:
+    """Automata over one numbering of words, and the filters that keep most words away from them."""
+
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int, group_words: int = GROUP_WORDS):
+        ids: dict[bytes, int] = {}
+        seqs = [(item, [ids.setdefault(w, len(ids)) for w in ws]) for item, ws in items if ws]
+        self.words = max(1, len(ids))
+        self.least = min([window, *(len(seq) for _, seq in seqs)])
+        self.hashes, self.numbers = self._hashes(list(ids))
+        ends = [np.array(seq, np.int64) for _, seq in seqs]
+        self.pairs = np.unique(np.concatenate([np.zeros(0, np.int64), *(e[:-1] * self.words + e[1:] for e in ends)]))
+        self.seen = np.zeros(1 << 22, bool)
+        self.seen[self.hashes >> np.uint64(42)] = True
+        self.automata: list[Automaton] = []
+        group, n = [], 0
+        for seq in [*seqs, None]:
+            if n and (seq is None or n + len(seq[1]) > group_words):
+                self.automata.append(Automaton(group, self.words, window))
+                group, n = [], 0
+            if seq is not None:
+                group.append(seq)
+                n += len(seq[1])
+
+    @staticmethod
+    def _hashes(text: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        r = rolling(SEED)
+        h = np.array([r.of(r.prefix(np.frombuffer(w, np.uint8)), np.array([0]), np.array([len(w)]))[0] for w in text], np.uint64)
+        at = np.argsort(h)
+        return h[at], at.astype(np.int64)
+
     def number(self, h: np.ndarray) -> np.ndarray:
         """The words' numbers, -1 for words of no item."""
         out = np.full(len(h), -1, np.int64)
@@ -122,27 +210,6 @@ class Automaton:
             out[at[ok]] = self.numbers[k[ok]]
         return out
 
-    def walk(self, seq: list[int], hit: np.ndarray, at: int, found: set) -> None:
-        """Marks the covered words of seq in hit, from `at` on, and adds the items."""
-        nxt, link, size, window = self.next, self.link, self.len, self.window
-        v = length = covered = 0
-        for i, c in enumerate(seq):
-            while v and c not in nxt[v]:
-                v = link[v]
-                length = size[v]
-            if c in nxt[v]:
-                v = nxt[v][c]
-                length += 1
-            if length >= window:
-                hit[at + max(covered, i + 1 - length) : at + i + 1] = True
-                covered = i + 1
-                found.update(self.items.get(self.top[v], ()))
-            if v in self.short:
-                for n, item in self.short[v]:
-                    if n <= length:
-                        hit[at + i + 1 - n : at + i + 1] = True
-                        found.add(item)
-
 
 def item_words(text: str | None) -> list[bytes]:
     b = np.frombuffer((text or "").encode(), np.uint8)
@@ -152,30 +219,36 @@ def item_words(text: str | None) -> list[bytes]:
     return [low[a:z] for a, z in zip(starts, ends, strict=True)]
 
 
-def match(block: Block, auto: Automaton) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, dict[int, set]]:
+def match(block: Block, bench: Benchmark) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, dict[int, set]]:
     """Starts, ends, text numbers and hits of the block's words; the items of each text that has some."""
     starts, ends, doc = words(block, ALNUM)
     hit, found = np.zeros(len(starts), bool), {}
-    if len(starts) and len(auto.hashes):
+    if len(starts) and len(bench.hashes):
         r = rolling(SEED)
-        number = auto.number(r.of(r.prefix(LOWER[block.buf]), starts, ends))
+        number = bench.number(r.of(r.prefix(LOWER[block.buf]), starts, ends))
         on = number >= 0
         joined = on[:-1] & on[1:] & (doc[:-1] == doc[1:])
         at = np.flatnonzero(joined)
-        if len(at) and len(auto.pairs):
-            key = number[at] * len(auto.ids) + number[at + 1]
-            k = np.minimum(np.searchsorted(auto.pairs, key), len(auto.pairs) - 1)
-            joined[at[auto.pairs[k] != key]] = False
+        if not len(bench.pairs):
+            joined[:] = False
+        elif len(at):
+            key = number[at] * bench.words + number[at + 1]
+            k = np.minimum(np.searchsorted(bench.pairs, key), len(bench.pairs) - 1)
+            joined[at[bench.pairs[k] != key]] = False
         # runs of words: each joined to the next
-        edge = np.concatenate(([True], ~joined, [True]))
-        cut = np.flatnonzero(edge)
+        cut = np.flatnonzero(np.concatenate(([True], ~joined, [True])))
         a, b = cut[:-1], cut[1:]
-        ok = (b - a >= auto.least) & on[a]
-        for x, y in zip(a[ok], b[ok], strict=True):
-            got: set = set()
-            auto.walk(number[x:y].tolist(), hit, x, got)
-            if got:
-                found.setdefault(int(doc[x]), set()).update(got)
+        ok = (b - a >= bench.least) & on[a]
+        a, b = a[ok], b[ok]
+        edges = np.zeros(len(starts) + 1, np.int64)
+        for auto in bench.automata if len(a) else ():
+            place, state, length, run = auto.walk(number, a, b)
+            row, item = auto.told(place, state, length, edges)
+            if len(row):
+                text = doc[a[run[row]]]
+                for d, i in np.unique(np.stack((text, item), 1), axis=0).tolist():
+                    found.setdefault(d, set()).add(auto.names[i] if i >= 0 else None)
+        hit = np.cumsum(edges[:-1]) > 0
     return starts, ends, doc, hit, found
 
 
@@ -206,21 +279,21 @@ def _group(df: DataFrame, auto, keep: list[str], kinds: str) -> DataFrame:
     return df.mapInArrow(trimmed(run), f"{kinds}, {HITS}")
 
 
-def automata(benchmark: DataFrame, window: int = WINDOW, group_words: int = GROUP_WORDS) -> Iterator[Automaton]:
-    """One automaton for each group of items; the driver holds one group at a time."""
+def passes(benchmark: DataFrame, window: int = WINDOW, group_words: int = GROUP_WORDS, pass_words: int = PASS_WORDS) -> Iterator[Benchmark]:
+    """The items, pass_words at a time; the driver holds one pass."""
     group, n = [], 0
     for row in benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").distinct().toLocalIterator():
         if ws := item_words(row["text"]):
-            if n and n + len(ws) > group_words:
-                yield Automaton(group, window)
+            if n and n + len(ws) > pass_words:
+                yield Benchmark(group, window, group_words)
                 group, n = [], 0
             group.append((row["item_id"], ws))
             n += len(ws)
     if group:
-        yield Automaton(group, window)
+        yield Benchmark(group, window, group_words)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, window: int = WINDOW, group_words: int = GROUP_WORDS) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, window: int = WINDOW, group_words: int = GROUP_WORDS, pass_words: int = PASS_WORDS) -> DataFrame:
     """keep, n_words, hits (runs of hit words: byte start and end, first and last word + 1) and items of each document."""
     keep = keep or ["doc_id"]
     kinds = lambda cols: ", ".join(f"`{c}` {dict(docs.dtypes)[c]}" for c in cols)
@@ -228,7 +301,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = N
     # other columns take a prefix, so that none clashes with the results
     out = None
     src = docs.select(*dict.fromkeys([*keep, "text"]))
-    for auto in automata(benchmark, window, group_words):
+    for auto in passes(benchmark, window, group_words, pass_words):
         b = sc.broadcast(auto)
         if out is None:
             out = _group(src, b, list(dict.fromkeys([*keep, "text"])), kinds(dict.fromkeys([*keep, "text"])))
@@ -238,7 +311,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = N
             out = _group(before, b, [*kept, "__before"], kinds(kept) + ", __before " + dict(before.dtypes)["__before"])
             out = out.select(*kept, "n_words", F.concat("__before.hits", "hits").alias("hits"), F.array_union("__before.items", "items").alias("items"))
     if out is None:
-        out = _group(src, sc.broadcast(Automaton([], window)), list(dict.fromkeys([*keep, "text"])), kinds(dict.fromkeys([*keep, "text"])))
+        out = _group(src, sc.broadcast(Benchmark([], window)), list(dict.fromkeys([*keep, "text"])), kinds(dict.fromkeys([*keep, "text"])))
     return out.withColumn("hits", merged(F.col("hits")))
 
 
