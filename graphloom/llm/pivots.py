@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import trimmed
@@ -37,26 +37,37 @@ SHARED = 3
 MIN_PIVOTS, MAX_PIVOTS = 16, 8192
 LIST = 4096
 STEP = 1024
+PIVOT_BYTES = 32 << 20
 
 
-def matrix(col: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors as rows, and which rows are valid."""
+def nearest_of(pivots: int) -> int:
+    """How many nearest pivots describe a vector. The more pivots, the smaller the regions in which the nearest ones are the
+    same for two vectors of cosine 0.95."""
+    return NEAREST + max(0, (max(1, pivots) // 512).bit_length() - 1)
+
+
+def matrix(col: pa.Array, width: int, kind: type = np.float64) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors as rows of one width, and which rows are valid."""
     col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
     n = col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    flat = col.flatten().cast(pa.float64())
+    flat = col.flatten().cast(pa.from_numpy_dtype(kind))
     bad = np.asarray(flat.is_null())
     values = flat.fill_null(0).to_numpy(zero_copy_only=False)
     bad = bad | ~np.isfinite(values)
     row = np.repeat(np.arange(len(n)), n)
     place = np.arange(len(values)) - np.repeat(np.cumsum(n) - n, n)
-    x = np.zeros((len(n), width))
+    x = np.zeros((len(n), width), kind)
     x[row[~bad], place[~bad]] = values[~bad]
     ok = np.bincount(row, weights=bad, minlength=len(n)) == 0
+    return x, ok & (np.abs(x).max(1, initial=0) > 0)
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1, in double precision."""
+    x = x.astype(np.float64)
     top = np.abs(x).max(1, initial=0)
-    ok &= top > 0
     x /= np.where(top > 0, top, 1)[:, None]  # large components do not overflow when squared
-    x /= np.maximum(np.sqrt((x * x).sum(1)), 1e-300)[:, None]
-    return x, ok
+    return x / np.maximum(np.sqrt((x * x).sum(1)), 1e-300)[:, None]
 
 
 def nearest(x: np.ndarray, pivots: np.ndarray, k: int) -> np.ndarray:
@@ -98,25 +109,25 @@ def pairs_of(node: np.ndarray, perm: np.ndarray, vec: np.ndarray, first: slice,
 def index(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Classes (node, embedding, size, least) and what the lists give: (kind, a, b), kind 0 counts links, 1 is an edge."""
     spark = vectors.sparkSession
-    known = vectors.filter("vec_id is not null and embedding is not null").groupBy("embedding").agg(F.count("*").alias("size"), F.min("vec_id").alias("least"))
+    known = vectors.filter(valid()).groupBy("embedding").agg(F.count("*").alias("size"), F.min("vec_id").alias("least"))
     classes = cut(known.withColumn("node", F.monotonically_increasing_id()))
     n, width = classes.agg(F.count("*"), F.max(F.size("embedding"))).first()
     width = max(1, width or 1)
-    want = min(MAX_PIVOTS, max(MIN_PIVOTS, 1 << (max(1, n // 32)).bit_length() - 1))
-    rows = classes.select("embedding", F.xxhash64("embedding").alias("draw")).orderBy("draw").limit(2 * want).select("embedding").toArrow().column(0)
-    pivots, ok = matrix(rows, width) if len(rows) else (np.zeros((0, width)), np.zeros(0, bool))
-    pivots = pivots[ok][:want]
-    k = min(NEAREST, len(pivots))
+    kind = np.float32 if dict(vectors.dtypes)["embedding"] == "array<float>" else np.float64
+    want = min(MAX_PIVOTS, PIVOT_BYTES // (8 * width), max(MIN_PIVOTS, 1 << (max(1, n // 32)).bit_length() - 1))
+    rows = classes.select("embedding", F.xxhash64("embedding").alias("draw")).orderBy("draw").limit(want).select("embedding").toArrow().column(0)
+    pivots = unit(matrix(rows, width, kind)[0]) if len(rows) else np.zeros((0, width))
+    k = min(nearest_of(len(pivots)), len(pivots))
     shared = spark.sparkContext.broadcast(pivots)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for z in range(0, batch.num_rows, 2048):
                 b = batch.slice(z, 2048)
-                x, ok = matrix(b.column(2), width)
+                x, ok = matrix(b.column(2), width, kind)
                 on = np.flatnonzero(ok)
                 if len(on) and k:
-                    perm = nearest(x[on], shared.value, k)
+                    perm = nearest(unit(x[on]), shared.value, k)
                     yield pa.RecordBatch.from_arrays(
                         [b.column(0).take(pa.array(on)), b.column(1).take(pa.array(on)), pa.array([r.tobytes() for r in perm], pa.binary()), pa.array([r.tobytes() for r in x[on]], pa.binary())],
                         names=["node", "size", "perm", "vec"],
@@ -165,7 +176,7 @@ def index(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
                 return None
             key, i, j, own, node, size = (t.column(c).to_numpy() for c in range(6))
             perm = np.frombuffer(b"".join(t.column(6).to_pylist()), np.int32).reshape(len(node), -1)
-            vec = np.frombuffer(b"".join(t.column(7).to_pylist()), np.float64).reshape(len(node), -1)
+            vec = unit(np.frombuffer(b"".join(t.column(7).to_pylist()), kind).reshape(len(node), -1))
             at = np.argsort(own, kind="stable")
             node, size, perm, vec, own = node[at], size[at], perm[at], vec[at], own[at]
             p, q = int(key[0] >> 32), int(key[0] & 0xFFFFFFFF) - 1
@@ -210,6 +221,12 @@ def _pivots_of(k: int):
     return run
 
 
+def valid() -> Column:
+    """Of rows that may link: with a vec_id, and a vector of finite components that are not all zero."""
+    odd = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    return F.coalesce(~F.exists("embedding", odd) & F.exists("embedding", lambda x: x != 0), F.lit(False)) & F.col("vec_id").isNotNull()
+
+
 def near_duplicates(vectors: DataFrame) -> DataFrame:
     """vec_id, n_links, component_id, kept."""
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
@@ -219,10 +236,8 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     named = named.withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("least").alias("first"))
     named = cut(named.join(least, "component").select("embedding", "size", F.coalesce("links", F.lit(0)).alias("links"), "first"))
-    odd = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-    valid = F.coalesce(~F.exists("embedding", odd) & F.exists("embedding", lambda x: x != 0), F.lit(False)) & F.col("vec_id").isNotNull()
     # only valid vectors look for their class, so rows without one do not meet on a null key
-    told = v.withColumn("valid", valid)
+    told = v.withColumn("valid", valid())
     out = told.filter("valid").join(named, "embedding").select("vec_id", (F.col("size") - 1 + F.col("links")).alias("n_links"), F.col("first").alias("component_id"))
     rest = told.filter("not valid").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.union(rest).withColumn("kept", F.col("vec_id") == F.col("component_id"))
