@@ -1,12 +1,15 @@
 """License scans: ordered signature rules behind a keyword gate.
 
-Rules are regular expressions over the lower-cased text with single spaces. Each has a label, a priority and the keywords
+Rules are regular expressions over the lower-cased text with single spaces and without comment marks, so that headers of
+source files match whatever comments them out. Each has a label, a priority and the keywords
 without which it cannot match; keywords are words, found for all texts at once, and a rule runs on the texts that have all
 of its keywords only. Overlapping detections are resolved by containment: a detection inside another one of the same or a
 higher priority is suppressed. The base phrases are found on word numbers alone and their labels always stay.
 
 Results: one row per input row. A null or empty text has no words, null first_word and last_word, empty labels and score 0.
-Repeated rows give repeated results; other columns are ignored. Whole texts are scanned, whatever their length.
+Repeated rows give repeated results; other columns, also those of clashing names, are ignored. No rows give no rows. Whole texts
+are scanned, whatever their length. A text with several licenses has all their labels; exceptions and offers of a choice have
+labels of their own.
 """
 
 from __future__ import annotations
@@ -74,7 +77,7 @@ FAMILIES = [
     ("cc-by-nc-sa", r"(?:cc[ -]by[ -]nc[ -]sa|creative commons attribution[ -]non ?commercial[ -]share ?alike)", "", r"cc-by-nc-sa-[1234]\.[05]", r"creativecommons\.org/licenses/by-nc-sa"),
     ("cc-by-nc-nd", r"(?:cc[ -]by[ -]nc[ -]nd|creative commons attribution[ -]non ?commercial[ -]no ?deriv(?:ative)?s?)", "", r"cc-by-nc-nd-[1234]\.[05]", r"creativecommons\.org/licenses/by-nc-nd"),
     ("public-domain", r"public domain", "public domain", r"(?:pddl-1\.0|licenseref-public-domain)", r"creativecommons\.org/publicdomain/mark"),
-    ("proprietary", r"all rights reserved", "all rights reserved", r"licenseref-proprietary", r"example\.invalid/eula"),
+    ("proprietary", r"all rights reserved", "all rights reserved", r"licenseref-(?:proprietary|commercial)", r"microsoft\.com/[^ ]{0,60}eula"),
 ]
 #: Permission texts that name no license.
 TEXTS = [
@@ -90,7 +93,91 @@ TEXTS = [
     ("zlib", r"this software is provided 'as-is', without any express or implied warranty", "software provided warranty"),
     ("unlicense", r"this is free and unencumbered software released into the public domain", "unencumbered public domain"),
     ("cc0", r"to the extent possible under law, .{0,80}? has waived all copyright", "waived copyright extent"),
+    ("mit", r"the software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability", "software provided merchantability"),
+    ("mit-0", r"permission is hereby granted, free of charge, to any person obtaining a copy of this software .{0,300}? to do so\. the software is provided", "permission hereby granted provided"),
+    ("x11", r"shall not be used in advertising or otherwise to promote the sale, use or other dealings in this software", "advertising promote dealings"),
+    ("isc", r"permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies", "permission fee granted appear"),
+    ("0bsd", r"permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted\. the software is provided", "permission modify distribute fee"),
+    ("hpnd", r"permission to use, copy, modify,? and distribute this software and its documentation for any purpose", "permission modify distribute documentation"),
+    ("bsd-2-clause", r"redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer", "redistributions retain disclaimer"),
+    ("bsd-3-clause", r"may be used to endorse or promote products derived from this software without specific prior written permission", "endorse promote derived prior"),
+    ("bsd-4-clause", r"all advertising materials mentioning features or use of this software must display the following acknowledgement", "advertising materials acknowledgement"),
+    ("bsd", r"use of this source code is governed by a bsd-style license", "governed bsd style"),
+    ("mit", r"use of this source code is governed by an mit-style license", "governed mit style"),
+    ("apache", r"unless required by applicable law or agreed to in writing, software distributed under the license is distributed on an \"?as is\"? basis", "applicable distributed basis"),
+    ("apache", r"licensed to the apache software foundation \(asf\) under one or more contributor license agreements", "apache foundation contributor"),
+    ("apache-1.1", r"this product includes software developed by the apache software foundation", "includes developed apache"),
+    ("gpl", r"this program is free software[:;] you can redistribute it and/or modify it", "free redistribute modify"),
+    ("gpl-2.0", r"either version 2 of the license, or \(at your option\) any later version", "version option later"),
+    ("gpl-3.0", r"either version 3 of the license, or \(at your option\) any later version", "version option later"),
+    ("lgpl-2.1", r"either version 2\.1 of the license, or \(at your option\) any later version", "version option later"),
+    ("gpl-2.0", r"under the terms of (?:the gnu general public license )?version 2 (?:only|as published by the free software foundation)", "terms version"),
+    ("gpl", r"you should have received a copy of the gnu general public license along with", "received gnu along"),
+    ("lgpl", r"you should have received a copy of the gnu (?:lesser|library) general public license along with", "received gnu along"),
+    ("agpl", r"you should have received a copy of the gnu affero general public license along with", "received affero along"),
+    ("gpl", r"this program is distributed in the hope that it will be useful, but without any warranty", "distributed hope useful"),
+    ("gfdl", r"permission is granted to copy, distribute and/or modify this document under the terms of the gnu free documentation", "permission document gnu documentation"),
+    ("mpl-1.1", r"the contents of this file are subject to the mozilla public license version 1\.1", "contents mozilla subject"),
+    ("mpl-2.0", r"if a copy of the mpl was not distributed with this file, you can obtain one at", "mpl distributed obtain"),
+    ("epl", r"this program and the accompanying materials are made available under the terms of the eclipse public", "accompanying materials eclipse"),
+    ("cddl", r"the contents of this file are subject to the terms of the common development and distribution license", "contents development distribution"),
+    ("cddl", r"you can obtain a copy of the license at usr/src/opensolaris\.license", "obtain opensolaris"),
+    ("zlib", r"altered source versions must be plainly marked as such, and must not be misrepresented as being the original software", "altered plainly misrepresented"),
+    ("bsl", r"permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation", "permission organization accompanying"),
+    ("artistic", r"the intent of this document is to state the conditions under which a package may be copied", "intent conditions package"),
+    ("artistic", r"you may distribute (?:this|it) under the terms of either the gnu general public license or the artistic license", "either gnu artistic"),
+    ("perl", r"free software; you can redistribute it and/or modify it under the same terms as perl", "redistribute terms perl"),
+    ("unlicense", r"anyone is free to copy, modify, publish, use, compile, sell, or distribute this software", "anyone compile sell"),
+    ("wtfpl", r"everyone is permitted to copy and distribute verbatim or modified copies of this license document", "everyone verbatim copies"),
+    ("wtfpl", r"you just do what the fuck you want to", "fuck want"),
+    ("ofl", r"this font software is licensed under the sil open font license", "font sil"),
+    ("postgresql", r"in no event shall the university of california be liable to any party for direct, indirect, special, incidental, or consequential damages", "university california liable"),
+    ("python", r"psf is making python available to licensee on an \"as is\" basis", "psf python licensee"),
+    ("openssl", r"this product includes software developed by the openssl project for use in the openssl toolkit", "includes openssl toolkit"),
+    ("ssleay", r"this product includes cryptographic software written by eric young", "cryptographic eric young"),
+    ("jpeg", r"this software is based in part on the work of the independent jpeg group", "independent jpeg group"),
+    ("libpng", r"the png reference library is supplied \"as is\"", "png reference supplied"),
+    ("curl", r"permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies\. the software is provided \"as is\", without warranty of any kind, express or implied, including .{0,120}? third party rights", "permission appear third party"),
+    ("ncsa", r"neither the names of .{0,120}? nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission\. the software is provided", "neither contributors endorse"),
+    ("afl", r"licensed under the academic free license version", "academic free"),
+    ("osl", r"licensed under the open software license version", "open software"),
+    ("sspl", r"if you make the functionality of the program or a modified version available to third parties as a service", "functionality third service"),
+    ("busl", r"the licensor hereby grants you the right to copy, modify, create derivative works, redistribute, and make non-production use", "licensor derivative production"),
+    ("elastic", r"you may not provide the software to third parties as a hosted or managed service", "hosted managed service"),
+    ("commons-clause", r"the license does not grant to you, the right to sell the software", "grant right sell"),
+    ("json", r"the software shall be used for good, not evil", "good evil"),
+    ("beerware", r"if we meet some ?day, and you think this stuff is worth it, you can buy me a beer", "meet stuff beer"),
+    ("public-domain", r"this (?:file|work|code|software|program) (?:is|has been|was) (?:hereby )?(?:placed|put|released|dedicated) (?:in|into|to) the public domain", "public domain"),
+    ("cc-by", r"this work is licensed under a creative commons attribution \d", "creative commons attribution"),
+    ("cc-by-sa", r"this work is licensed under a creative commons attribution[ -]share ?alike", "creative commons attribution"),
+    ("cc-by-nc", r"this work is licensed under a creative commons attribution[ -]non ?commercial \d", "creative commons attribution"),
+    ("proprietary", r"(?:confidential and proprietary|proprietary and confidential)", "confidential proprietary"),
+    ("proprietary", r"unauthori[sz]ed (?:copying|reproduction|use|distribution) of this (?:file|software|document|program)", "this"),
+    ("proprietary", r"this software is the confidential and proprietary information of", "confidential proprietary information"),
 ]
+#: Exceptions and choices that go with a license.
+EXCEPTIONS = [
+    ("classpath-exception", r"classpath[ -]exception(?:-2\.0)?", "classpath exception"),
+    ("classpath-exception", r"linking this library statically or dynamically with other modules is making a combined work", "linking statically combined"),
+    ("gcc-exception", r"gcc[ -](?:runtime library )?exception(?:-[23]\.[01])?", "gcc exception"),
+    ("autoconf-exception", r"autoconf[ -](?:configure script )?exception(?:-[23]\.0)?", "autoconf exception"),
+    ("bison-exception", r"bison[ -](?:parser )?exception(?:-2\.2)?|you may create a larger work that contains part or all of the bison parser skeleton", "bison"),
+    ("font-exception", r"font[ -]exception(?:-2\.0)?|if you create a document which uses this font, and embed this font", "font"),
+    ("llvm-exception", r"llvm[ -]exceptions?", "llvm"),
+    ("linux-syscall-note", r"linux-syscall-note", "linux syscall note"),
+    ("linux-syscall-note", r"cover user programs that use kernel services by normal system calls", "cover kernel services"),
+    ("openssl-exception", r"(?:permission|exception) to link .{0,80}? with the openssl", "openssl link"),
+    ("qt-exception", r"qt (?:company )?(?:gpl |lgpl )?exception", "qt exception"),
+    ("universal-foss-exception", r"universal foss exception", "foss exception"),
+    ("swift-exception", r"swift[ -]exception", "swift exception"),
+    ("swift-exception", r"runtime library exception to the apache", "runtime library apache"),
+    ("dual", r"(?:dual|multi|tri)[ -]?licen[sc]ed under", "under"),
+    ("dual", r"licen[sc]ed under (?:either|your choice) of", "under"),
+]
+
+
+#: What begins or ends a line of a comment.
+COMMENT = re.compile(r"^[ \t]*(?:/\*+|\*+/?|//+!?|#+!?|;+|--+|%+|!+|<!--|dnl\b|@?rem\b|\.\\\")[ \t]?|[ \t]*(?:\*+/|-->)[ \t]*$", re.M)
 
 
 class Rule(NamedTuple):
@@ -116,6 +203,7 @@ def rules() -> tuple[Rule, ...]:
         add(2, 0.9, rf"(?<![\w]){name}(?: licen[sc]e)?,? ?(?:\(?[a-z0-9-]{{2,10}}\)?,? ?)?(?:version |v\.? ?)?\d+(?:\.\d+)+(?![\w])", words_)
         add(1, 0.8, rf"(?<![\w]){name}(?![\w])", words_)
     out += [Rule(label, 4, 0.95, re.compile(text), tuple(keys.split())) for label, text, keys in TEXTS]
+    out += [Rule(label, 3, 0.9, re.compile(text), tuple(keys.split())) for label, text, keys in EXCEPTIONS]
     return tuple(out)
 
 
@@ -149,6 +237,11 @@ def suppressed(found: list[tuple[int, int, int, str, float]]) -> list[tuple[int,
     return kept
 
 
+def plain(text: str) -> str:
+    """One line, without the marks that begin the lines of comments."""
+    return re.sub(r"\s+", " ", COMMENT.sub(" ", text))
+
+
 def detect(text: str, have: set[str]) -> list[tuple[int, int, int, str, float]]:
     """Detections in a lower-cased text with single spaces; have: the keywords among its words."""
     gate = have | ({"license"} if "licence" in have else set())
@@ -194,7 +287,7 @@ def scan(docs: DataFrame) -> DataFrame:
         for x, y in zip(edge[:-1], edge[1:], strict=True):
             d = int(doc[on[x]])
             have = {names[k] for k in set(number[on[x:y]].tolist())}
-            text = re.sub(r"\s+", " ", low[block.off[d] : block.off[d + 1]].tobytes().decode())
+            text = plain(low[block.off[d] : block.off[d + 1]].tobytes().decode())
             found = detect(text, have)
             count[d] = len(found)
             labels[d] = ",".join(sorted(base[d] | {f[3] for f in found}))
