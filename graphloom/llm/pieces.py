@@ -2,7 +2,7 @@
 
 The vocabulary is a merge-type model file, read with the sentencepiece library and never trained. An agenda merges, in each
 word, the adjacent pair whose joint piece scores best, the leftmost among equals. With dropout p, a candidate merge is skipped
-if the keyed hash of (seed, doc_id, word, start, middle, end) falls below p; a skipped pair stays skipped until one of its
+if the keyed hash of (seed, doc_id, the word's place in the text, start, middle, end) falls below p; a skipped pair stays skipped until one of its
 sides changes, as in an agenda that drops what it skips. A seed thus gives one segmentation of each text, another seed
 another, the same on every executor and in every retry; p = 0 gives the model's own encoding.
 
@@ -10,7 +10,8 @@ Words of a block are segmented together, as matrices of words with equally many
 
 Encoding is lossless whatever the dropout: characters without a piece become byte pieces, and so does a literal U+2581,
 because decoding reads that mark as a space. Results: one row per input row; null and empty texts have no tokens and decode
-to the empty text. A null doc_id keys like 0. Repeated rows get equal tokens. No rows give no rows.
+to the empty text. A null doc_id keys like 0. Repeated rows get equal tokens. No rows give no rows. Other columns are ignored.
+Texts and words of any length are encoded whole.
 """
 
 from __future__ import annotations
@@ -245,17 +246,23 @@ def encode(block: Block, v: Vocabulary, doc_keys: np.ndarray, dropout: float = D
     begin[1:] |= (sp[1:] & ~sp[:-1]) | nl[1:] | nl[:-1]
     start = np.flatnonzero(begin)
     size = np.diff(np.append(start, len(cps)))
-    # a word occurs with its text's key
-    rng = np.random.default_rng(77)
-    p, t = int(rng.integers(0, 1 << 60)) * 8 + 5, rng.integers(1, 1 << 63, 1 << 11, dtype=np.uint64)
-    power = _powers(p, int(size.max()) + 1)
-    inside = np.arange(len(cps)) - np.repeat(start, size)
-    term = (t[cps & 2047] + cps.astype(np.uint64) * U64(0x9E3779B97F4A7C15)) * power[inside]
-    h = mix(np.add.reduceat(term, start) + size.astype(np.uint64))
-    key = mix(h ^ doc_keys[doc[start]])
-    _, pick, inverse = np.unique(key, return_index=True, return_inverse=True)
-    syms = v.chars[cps]
     below = min((1 << 64) - 1, int(dropout * (1 << 64)))
+    if below:
+        # each occurrence of a word is drawn for itself, by its text's key and its place
+        base = np.zeros(block.n, np.int64)
+        base[full] = first
+        key = mix(doc_keys[doc[start]] + mix((start - base[doc[start]]).astype(np.uint64)))
+        pick = inverse = np.arange(len(start))
+    else:
+        # equal words have equal pieces
+        rng = np.random.default_rng(77)
+        p, t = int(rng.integers(0, 1 << 60)) * 8 + 5, rng.integers(1, 1 << 63, 1 << 11, dtype=np.uint64)
+        power = _powers(p, int(size.max()) + 1)
+        inside = np.arange(len(cps)) - np.repeat(start, size)
+        term = (t[cps & 2047] + cps.astype(np.uint64) * U64(0x9E3779B97F4A7C15)) * power[inside]
+        key = mix(np.add.reduceat(term, start) + size.astype(np.uint64))
+        _, pick, inverse = np.unique(key, return_index=True, return_inverse=True)
+    syms = v.chars[cps]
     count = np.zeros(len(pick), np.int64)
     made: list = []
     for width in np.unique(size[pick]):
