@@ -158,6 +158,18 @@ def test_paragraphs_shared_ids(spark):
     assert sorted(map(tuple, got), key=str) == sorted(brute.paragraph_cuts(rows), key=str)
 
 
+def test_suffixes_periodic(spark, monkeypatch):
+    """Texts with periods, cut into segments, by both ways of settling strings."""
+    rng = random.Random(4)
+    unit = ["ab", "abc ", "etre ", "q" * 31 + "x", "w" * 3 + "e" * 45]
+    rows = [(k, rng.choice(["", "x", "lead "]) + u * rng.randint(3, 400 // len(u) + 3) + rng.choice(["", "tail", u[:1]])) for k in range(30) for u in [rng.choice(unit)]]
+    monkeypatch.setattr(suffixes, "SEGMENT", 64)
+    for most in (1 << 16, 40):
+        monkeypatch.setattr(suffixes, "STRINGS", most)
+        got = suffixes.find_repeats(spark.createDataFrame(rows, DOCS).repartition(3)).collect()
+        assert sorted(map(tuple, got), key=str) == sorted(brute.repeats(rows), key=str)
+
+
 def test_long_texts(spark):
     """Texts of many blocks' size, one of them periodic, a third with a very long line."""
     rng = random.Random(3)
@@ -240,6 +252,56 @@ def test_pivots(spark):
     assert [(r.n_links, r.component_id, r.kept) for r in got if r.vec_id is None] == [(0, None, None)]
 
 
+@pytest.mark.parametrize(("dim", "count"), [(64, pivots.MAX_PIVOTS), (64, 1024), (384, pivots.MAX_PIVOTS)])
+def test_pivots_recall_at_the_threshold(dim, count):
+    """Pairs of cosine just above 0.95 that share enough pivots, with as many pivots as production has."""
+    rng = np.random.default_rng(1)
+    x = pivots.unit(rng.normal(size=(count + 400, dim)))
+    pivot, x = x[:count], x[count:]
+    away = rng.normal(size=x.shape)
+    away = pivots.unit(away - (away * x).sum(1, keepdims=True) * x)
+    y = 0.9501 * x + np.sqrt(1 - 0.9501**2) * away
+    k = pivots.nearest_of(count)
+    a, b = pivots.nearest(x, pivot, k), pivots.nearest(y, pivot, k)
+    assert ((a[:, :, None] == b[:, None, :]).any(2).sum(1) >= pivots.SHARED).mean() > 0.985
+
+
+def test_pivots_planted_links(spark, tmp_path):
+    """On the driver's vectors with planted copies and neighbours of cosine 0.95 to 0.96: held against the query's SQL."""
+    import duckdb
+    from helpers import SF, same
+
+    from graphloom.llm import queries
+
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").collect()]
+    rng = np.random.default_rng(2)
+    for k, (_, v) in enumerate(rows[:120]):
+        x = np.array(v, np.float64)
+        x /= np.linalg.norm(x)
+        d = rng.normal(size=len(x))
+        d -= (d @ x) * x
+        c = 0.951 + 0.009 * rng.random()
+        rows.append((100_000 + k, (c * x + np.sqrt(1 - c * c) * d / np.linalg.norm(d)).astype(np.float32).tolist() if k % 3 else list(v)))
+    rows += [(200_000, None), (200_001, [0.0] * len(rows[0][1])), (200_002, [float("inf")] + [0.0] * (len(rows[0][1]) - 1))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    df = queries.op10_embedding_dedup(spark, str(tmp_path))
+    assert df.agg({"n_links": "sum"}).first()[0] >= 240
+    same(df, con, queries.OP10_SQL)
+
+
+def test_pivots_columns_and_kinds(spark):
+    """Clashing columns are ignored; float and double vectors, of very many dimensions too."""
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(40, 3000))
+    rows = [(i, v.tolist(), 1, "x") for i, v in enumerate(np.concatenate((base, base[:10] * 2.0, base[10:20] + 0.1 * rng.normal(size=(10, 3000)))))]
+    for kind in ("float", "double"):
+        df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, node int, size string")
+        got = {r.vec_id: r for r in pivots.near_duplicates(df).collect()}
+        assert [got[k].n_links for k in range(60)] == [1] * 20 + [0] * 20 + [1] * 20 and [got[k].component_id for k in range(40, 60)] == list(range(20))
+
+
 def test_pivots_long_lists(spark, monkeypatch):
     """Lists beyond the limit are split and sharded; the links are the same."""
     rng = np.random.default_rng(5)

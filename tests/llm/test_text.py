@@ -70,7 +70,8 @@ def test_decontaminate(spark):
     want = sorted(((i, len(w), sum(h), len(f), hashlib.sha256(",".join(sorted(f)).encode()).hexdigest(), any(h)) for (i, _), (w, h, f) in zip(docs, brute.leaks(docs, items), strict=True)), key=str)
     df = spark.createDataFrame(docs, DOCS).withColumn("items", F.lit("clash")).repartition(2)
     assert sorted(map(tuple, decontaminate.digest(decontaminate.find_leaks(df, bench)).collect()), key=str) == want
-    assert sorted(map(tuple, decontaminate.digest(decontaminate.find_leaks(df, bench, group_words=40)).collect()), key=str) == want
+    for group, most in ((40, 10**6), (40, 90), (1, 1)):  # several automata in a pass, and several passes
+        assert sorted(map(tuple, decontaminate.digest(decontaminate.find_leaks(df, bench, group_words=group, pass_words=most)).collect()), key=str) == want
     none = decontaminate.digest(decontaminate.find_leaks(df, bench.filter("false"))).collect()
     assert len(none) == len(docs) and not any(r["contaminated"] for r in none)
     kept = {r["doc_id"]: r for r in decontaminate.remove_leaks(df, bench).collect()}
@@ -99,6 +100,45 @@ def test_languages(spark):
     assert {r["doc_id"] for r in langid.keep_languages(df).collect()} == set(by) - {1000, 1001, 1002}
 
 
+def test_language_kernel():
+    """With all texts as landmarks, scores equal exact kernel ridge regression on the blended spectrum kernel."""
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("abcdeé ñ") for _ in range(rng.randint(1, 60))) for _ in range(40)]
+    langs = [rng.choice(["l1", "l2", "l3"]) for _ in texts]
+    (block,) = blocks(batch(texts), "text", 1 << 30)
+    x = langid.presence(block, 0, len(texts))
+    grams = [{b[k : k + n] for n in (1, 2, 3) for k in range(len(b) - n + 1)} for b in (t.encode() for t in texts)]
+    assert all(abs(int(r.sum()) - len(g)) <= 2 for r, g in zip(x, grams, strict=True))  # two grams rarely share a place
+    kernel = np.array([[len(a & b) / np.sqrt(len(a) * len(b)) for b in grams] for a in grams])
+    names = sorted(set(langs))
+    w = np.array([1 / langs.count(v) for v in langs])
+    y = np.array([[1.0 if v == n else -1.0 for n in names] for v in langs])
+    want = kernel @ np.linalg.solve(kernel + langid.RIDGE * w.mean() * np.diag(1 / w), y)
+    got = langid.fit(langs, x, per_lang=40).scores(x)
+    assert np.abs(got - want).max() < 0.05 and (got.argmax(1) == want.argmax(1)).mean() > 0.97
+
+
+def test_language_bounds():
+    """More languages than landmarks are still learned, one landmark each at most."""
+    rng = np.random.default_rng(1)
+    x = (rng.random((60, langid.DIM)) < 0.01).astype(np.uint8)
+    before = langid.LANDMARKS
+    langid.LANDMARKS = 16
+    try:
+        m = langid.fit([f"l{k % 30}" for k in range(60)], x)
+    finally:
+        langid.LANDMARKS = before
+    assert m.landmarks.shape[1] == 16 and len(m.langs) == 30 and np.isfinite(m.scores(x)).all()
+
+
+def test_languages_kept(spark):
+    """Without anything to learn from, all texts with a letter stay; columns of clashing names too."""
+    rows = [(1, "some words", None, 3, "a"), (2, "12", None, 4, "b"), (3, None, None, 5, "c"), (4, "é", None, 6, "d"), (4, "é", None, 6, "d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int, lang_pred string")
+    assert sorted(map(tuple, langid.keep_languages(df).collect())) == sorted(rows[:1] + rows[3:])
+    assert langid.keep_languages(df.filter("false")).count() == 0
+
+
 def test_language_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out and lang is not null")
@@ -129,6 +169,63 @@ def test_toxicity(spark):
     assert toxicity.detect(docs.filter("false"), lab).count() == 0
 
 
+def test_boosting():
+    """The first tree's splits and leaves equal a search over all features and thresholds; more trees lower the loss."""
+    rng = np.random.default_rng(2)
+    x = np.round(rng.normal(size=(300, 3)), 1)
+    y = (x[:, 0] + 0.5 * x[:, 1] ** 2 + 0.3 * rng.normal(size=300) > 0.3).astype(float)
+    w = rng.uniform(0.5, 2, 300)
+    model = toxicity.boost(x, y, w)
+    mean = (w * y).sum() / w.sum()
+    assert abs(model.start - np.log(mean / (1 - mean))) < 1e-9
+    g, h = w * (y - mean), w * mean * (1 - mean)
+
+    def best(at):
+        top = (1e-9, 0, np.inf)
+        for f in range(x.shape[1]):
+            for t in np.unique(np.quantile(x[:, f], np.linspace(0, 1, toxicity.BINS + 1)[1:-1])):
+                left = at[x[at, f] <= t]
+                right = np.setdiff1d(at, left)
+                if len(left) >= toxicity.LEAF and len(right) >= toxicity.LEAF and len(at) >= 2 * toxicity.LEAF:
+                    gain = g[left].sum() ** 2 / (h[left].sum() + 1) + g[right].sum() ** 2 / (h[right].sum() + 1) - g[at].sum() ** 2 / (h[at].sum() + 1)
+                    if gain > top[0] + 1e-9:
+                        top = (gain, f, t)
+        return top
+
+    node = {0: np.arange(300)}
+    for k in range(7):
+        gain, f, t = best(node[k])
+        assert (model.feature[0, k], model.threshold[0, k]) == (f, t)
+        node[2 * k + 1], node[2 * k + 2] = node[k][x[node[k], f] <= t], node[k][x[node[k], f] > t]
+    for leaf in range(8):
+        at = node[7 + leaf]
+        assert abs(model.leaf[0, leaf] - toxicity.RATE * g[at].sum() / (h[at].sum() + 1)) < 1e-9
+    p = 1 / (1 + np.exp(-model.raw(x)))
+    assert -(w * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum() < -(w * (y * np.log(mean) + (1 - y) * np.log(1 - mean))).sum() / 3
+
+
+def test_isotonic_against_brute_force():
+    """The least-squares rising fit: the largest of all averages that begin at or before a point, over the smallest that end at
+    or behind it."""
+    rng = np.random.default_rng(3)
+    x, y, w = np.sort(rng.normal(size=60)), rng.random(60).round(), rng.uniform(0.2, 3, 60)
+    xs, ys = toxicity.isotonic(x, y, w)
+    mean = lambda a, b: (w[a:b] * y[a:b]).sum() / w[a:b].sum()
+    want = [max(min(mean(a, b) for b in range(i + 1, 61)) for a in range(i + 1)) for i in range(60)]
+    assert np.abs(np.interp(x, xs, ys) - want).max() < 1e-9
+
+
+def test_toxicity_rows(spark):
+    """Repeated rows, very long texts, clashing columns."""
+    rows = [(k, ("fine words here " if k % 2 else "you idiot scum ") * (k % 5 + 1)) for k in range(300)]
+    rows += [rows[0], rows[0], (999, "calm " * 200_000)]
+    df = spark.createDataFrame(rows, DOCS).withColumn("predicted", F.lit("x")).withColumn("y", F.lit(7)).withColumn("held_out", F.lit(True))
+    lab = spark.createDataFrame([(k, 1 - k % 2) for k in range(300)], "doc_id long, toxic int").withColumn("score", F.lit(1))
+    got = toxicity.detect(df, lab).collect()
+    assert len(got) == len(rows) and len({r["score"] for r in got if r["doc_id"] == 0}) == 1
+    assert {r["predicted"] for r in got if r["doc_id"] == 999} == {0}
+
+
 def test_isotonic():
     x = np.array([0.0, 1, 2, 3, 4, 4])
     xs, ys = toxicity.isotonic(x, np.array([0.0, 1, 0, 1, 1, 0]), np.ones(6))
@@ -157,6 +254,30 @@ def test_licenses(spark):
     assert licenses.scan(df.filter("false")).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("header", "want"),
+    [
+        ("/*\n * Licensed under the Apache\n * License, Version 2.0\n */", "apache"),
+        ("# Permission is hereby granted, free of\n# charge, to any person obtaining a\n# copy of this", "mit"),
+        ("// This program is free software: you can\n// redistribute it and/or modify it", "gpl"),
+        ("<!-- SPDX-License-Identifier:\n  MPL-2.0 -->", "mpl"),
+        ("dnl You may not use this file except\ndnl in compliance with the License", "apache"),
+        ("dual-licensed under the MIT License and the Eclipse Public License 2.0", "dual,epl,mit"),
+        ("GNU General Public License version 2.0 with Classpath exception", "classpath-exception,gpl"),
+    ],
+)
+def test_license_headers(header, want):
+    text = licenses.plain(header.lower())
+    found = licenses.detect(text, set(brute.words(header)))
+    assert ",".join(sorted({f[3] for f in found})) == want, found
+
+
+def test_license_rules_can_match():
+    """Each rule's keywords are words of what it matches: every text rule is held against its own pattern, read as words."""
+    for label, text, keys in licenses.TEXTS + licenses.EXCEPTIONS:
+        assert all(re.search(rf"(?<![a-z]){k}", text.replace("\\", "")) for k in keys.split()), (label, keys)
+
+
 def test_license_gate_and_suppression():
     rng = random.Random(7)
     bits = ["licensed under the", "gnu general public license", "version 3.0", "apache license", "bsd-3-clause", "spdx-license-identifier:", "mit license", "eclipse public license", "and", "cc by-sa 4.0", "all rights reserved", "http://www.apache.org/licenses/x"]
@@ -197,6 +318,47 @@ def test_pieces(dropout):
             at += b.n
 
 
+def agenda(v, syms, key, below):
+    """One word, plainly: offers of adjacent symbols wait in a list, the best is merged or skipped."""
+    parts = [(int(s), k, k + 1) for k, s in enumerate(syms)]
+    offers = set(zip(parts, parts[1:]))
+    while True:
+        good = []
+        for a, b in offers:
+            rank, made = v.merge(np.array([a[0]]), np.array([b[0]]))
+            if rank[0] != pieces.NEVER:
+                good.append((int(rank[0]), a[1], int(made[0]), a, b))
+        if not good:
+            return [p[0] for p in parts]
+        _, _, made, a, b = min(good)
+        span = (a[1] << 42) | (a[2] << 21) | b[2]
+        if int(mix(np.array([key ^ mix(np.array([span + 1], np.uint64))[0]]))[0]) < below:
+            offers.discard((a, b))
+            continue
+        k = parts.index(a)
+        new = (made, a[1], b[2])
+        parts[k : k + 2] = [new]
+        offers = {(x, y) for x, y in offers if not {x, y} & {a, b}}
+        if k:
+            offers.add((parts[k - 1], new))
+        if k + 1 < len(parts):
+            offers.add((new, parts[k + 1]))
+
+
+@pytest.mark.parametrize("dropout", [0.0, 0.1, 0.5])
+def test_pieces_against_a_plain_agenda(dropout):
+    v = pieces.vocabulary(pieces._model_bytes(MODEL))
+    rng = random.Random(11)
+    below = int(dropout * (1 << 64))
+    for _ in range(150):
+        s = v.chars[np.array([ord(rng.choice("aethingouéx")) for _ in range(rng.randint(2, 60))])]
+        key = np.uint64(rng.getrandbits(64))
+        want = agenda(v, s, key, below)
+        assert pieces.segment_long(v, s, key, below) == want
+        out, n = pieces.segment_equal(v, s[None, :], np.array([key], np.uint64), below)
+        assert out[0, : n[0]].tolist() == want
+
+
 def test_pieces_long_words_equal_short_ones(monkeypatch):
     v = pieces.vocabulary(pieces._model_bytes(MODEL))
     rng = random.Random(9)
@@ -208,6 +370,17 @@ def test_pieces_long_words_equal_short_ones(monkeypatch):
             assert out[0, : n[0]].tolist() == pieces.segment_long(v, s, key, below)
 
 
+def test_pieces_vary_inside_a_text():
+    """Occurrences of one word are drawn one by one."""
+    v = pieces.vocabulary(pieces._model_bytes(MODEL))
+    (b,) = blocks(batch([" ".join(["information"] * 200)]), "text", 1 << 20)
+    tokens, _ = pieces.encode(b, v, mix(np.arange(1).astype(np.uint64)), 0.3)
+    words, at = set(), [k for k, t in enumerate(tokens) if v.text[v.at[t] : v.at[t] + 1].tobytes() == b" "]
+    for x, y in zip(at, [*at[1:], len(tokens)]):
+        words.add(tuple(tokens[x:y].tolist()))
+    assert len(at) == 200 and len(words) > 10
+
+
 def test_pieces_on_spark(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", F.lit(1).alias("tokens"))
     one, two = (pieces.encode_documents(docs, seed=s).collect() for s in (1, 2))
