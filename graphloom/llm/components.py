@@ -26,10 +26,14 @@ HUBS = 4096
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; sets one only where none is named, as in tests."""
+    """The folder the cluster names in spark.checkpoint.dir. Only a session whose executors are this very process may do without
+    that setting, and gets a temporary folder."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="graphloom-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="graphloom-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -59,18 +63,26 @@ def cut(df: DataFrame) -> DataFrame:
     name = f"{checkpoint_dir(spark)}/graphloom-{uuid.uuid4().hex}"
     with released(spark):
         df.select("*").write.parquet(name)
-    path, fs = _path(spark, name)
-    fs.deleteOnExit(path)
+    remove_at_end(spark, name)
     out = spark.read.schema(df.schema).parquet(name)
     out._graphloom_table = name
     return out
 
 
+def remove_at_end(spark: SparkSession, name: str) -> None:
+    path, fs = _path(spark, name)
+    fs.deleteOnExit(path)
+
+
+def remove(spark: SparkSession, name: str) -> None:
+    path, fs = _path(spark, name)
+    fs.delete(path, True)
+
+
 def drop(*tables: DataFrame) -> None:
     """Removes tables of cut() that nothing reads any more."""
     for t in tables:
-        path, fs = _path(t.sparkSession, t._graphloom_table)
-        fs.delete(path, True)
+        remove(t.sparkSession, t._graphloom_table)
 
 
 def union(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

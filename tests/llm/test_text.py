@@ -428,3 +428,27 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     for i, tokens in got.items():
         data, _ = pieces.decode(np.array(tokens, np.int32), np.array([len(tokens)]), v)
         assert data.tobytes().decode() == want[i]
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """No language to learn from, nulls, ties, repeated rows, a very long text, clashing columns; and an empty table."""
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(100_000))
+    rows = [(1, "one short text", None), (1, "one short text", None), (2, "another text here", None), (None, "no number at all", None), (None, "no number at all", None), (3, long, None), (4, None, None), (5, "", None), (6, "42", None)]
+    cols = "doc_id long, text string, lang string, source string, n_chars long, tag int, starts string, score double, component_id int"
+    docs = spark.createDataFrame([(*r, "s", len(r[1] or ""), 1, "x", 0.5, 9) for r in rows], cols)
+    (tmp_path / "a").mkdir()
+    docs.write.parquet(str(tmp_path / "a/documents.parquet"))
+    spark.createDataFrame([(None, None)], "item_id long, text string").write.parquet(str(tmp_path / "a/benchmark.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path / "a")).collect()
+    assert sorted((r["doc_id"] or 0 for r in got)) == [0, 0, 1, 1, 2, 3]  # rows of a kept doc_id, and without one, stay
+    v = pieces.vocabulary(pieces._model_bytes(MODEL))
+    (whole,) = (r["tokens"] for r in got if r["doc_id"] == 3)
+    assert pieces.decode(np.array(whole, np.int32), np.array([len(whole)]), v)[0].tobytes().decode() == long
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, str(tmp_path / "a")).schema == docs.schema
+    docs.filter("false").write.parquet(str(tmp_path / "b/documents.parquet"))
+    spark.createDataFrame([(1, "x")], "item_id long, text string").write.parquet(str(tmp_path / "b/benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "b")).count() == 0
