@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,23 +13,28 @@ from pyspark.sql import functions as F
 from ..session import settle
 
 
-def reach(edges: DataFrame, starts: DataFrame | None = None, max_depth: int = 50, order: str | None = None) -> DataFrame:
+def reach(edges: DataFrame, starts: DataFrame | None = None, max_depth: int = 50, order: str | None = None, until: str | None = None) -> DataFrame:
     """start, node, depth, via (the first hop), path (ordinals of the first-seen way): every node reachable from each start.
 
     edges: src, dst and, for the first-seen order, an ordinal column. Semi-naive: each round joins only the newest nodes, and
-    drops what the start has seen already. The start itself counts only when a cycle leads back to it."""
+    drops what the start has seen already. The start itself counts only when a cycle leads back to it. Rounds are kept as they
+    are and put together at the end. until: starts that have reached this column's node go no further."""
     e = edges.select("src", "dst", (F.lpad(F.col(order).cast("string"), 6, "0") if order else F.col("dst").cast("string")).alias("ord")).distinct()
     s = e.select(F.col("src").alias("start")).distinct() if starts is None else starts.select("start").distinct()
     first = lambda d: d.groupBy("start", "node").agg(F.min(F.struct("path", "via")).alias("m")).select("start", "node", "m.via", "m.path")
     new = first(s.join(e, F.col("start") == F.col("src")).select("start", F.col("dst").alias("node"), F.col("dst").alias("via"), F.array("ord").alias("path"))).withColumn("depth", F.lit(1))
-    seen = new = settle(new)
+    new = settle(new)
+    rounds = [new]
     for depth in range(2, max_depth + 1):
+        if until is not None:
+            new = new.join(new.filter(F.col("node") == F.col(until)).select("start"), "start", "left_anti")
         step = new.join(e, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node"), "via", F.concat("path", F.array("ord")).alias("path"))
-        new = settle(first(step).join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        seen = reduce(DataFrame.unionByName, [r.select("start", "node") for r in rounds])
+        new = settle(first(step).join(seen, ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if new.isEmpty():
             break
-        seen = settle(seen.unionByName(new))
-    return seen.select("start", "node", "depth", "via", "path")
+        rounds.append(new)
+    return reduce(DataFrame.unionByName, rounds).select("start", "node", "depth", "via", "path")
 
 
 def tree(edges: DataFrame, root: str, max_depth: int = 3) -> DataFrame:
@@ -34,14 +43,58 @@ def tree(edges: DataFrame, root: str, max_depth: int = 3) -> DataFrame:
     return reach(edges, starts, max_depth).filter(F.col("node") != root).select("node", "depth")
 
 
-def components_by_closure(edges: DataFrame) -> DataFrame:
-    """node, scc (its smallest member), size, cyclic: nodes that reach each other. For graphs whose closure is small."""
-    r = reach(edges).select("start", "node")
-    mutual = r.join(r.select(F.col("start").alias("node"), F.col("node").alias("start")), ["start", "node"])
-    own = edges.select(F.explode(F.array("src", "dst")).alias("start")).distinct()
-    named = own.join(mutual, "start", "left").groupBy(F.col("start").alias("node")).agg(F.least(F.min("node"), F.first("start")).alias("scc"), F.count("node").alias("n"))
+def spread_least(edges: DataFrame, nodes: DataFrame, value: str, rounds: int = 1_000_000) -> DataFrame:
+    """nodes with value: the smallest value of all nodes that lead to it along edges (src, dst), its own included. Only nodes whose
+    value fell are heard in the next round."""
+    known = settle(nodes.select("node", value))
+    fresh = known
+    for _ in range(rounds):
+        told = edges.join(fresh.select(F.col("node").alias("src"), F.col(value).alias("new")), "src").groupBy(F.col("dst").alias("node")).agg(F.min("new").alias("new"))
+        now = settle(known.join(told, "node", "left").select("node", F.least(value, "new").alias(value), (F.col("new") < F.col(value)).alias("fell")))
+        known, fresh = now.select("node", value), now.filter("fell").select("node", value)
+        if fresh.isEmpty():
+            break
+    return known
+
+
+def strongly_connected(edges: DataFrame, kernel_edges: int = 1_000_000) -> DataFrame:
+    """node, scc (its smallest member), size, cyclic: nodes that reach each other, for every node of an edge (src, dst).
+
+    While the graph has more than kernel_edges edges, each round colours every node with the smallest node that leads to it;
+    the nodes that lead back to their colour's name inside the colour are its component, and leave. Nodes without edges in or
+    out leave first, as components of their own. What is left goes through one kernel. No closure is formed."""
+    e = settle(edges.select("src", "dst").filter("src is not null and dst is not null").distinct())
+    loops = e.filter("src = dst").select(F.col("src").alias("node")).withColumn("loop", F.lit(True))
+    every = settle(e.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
+    left, found = settle(e.filter("src <> dst")), []
+    while left.count() > kernel_edges:
+        into, out = left.select(F.col("dst").alias("node")).distinct(), left.select(F.col("src").alias("node")).distinct()
+        inner = settle(into.join(out, "node", "left_semi"))
+        left = settle(left.join(inner.select(F.col("node").alias("src")), "src", "left_semi").join(inner.select(F.col("node").alias("dst")), "dst", "left_semi"))
+        colour = spread_least(left, inner.withColumn("colour", F.col("node")), "colour")
+        side = lambda k: colour.select(F.col("node").alias(k), F.col("colour").alias(f"c_{k}"))  # noqa: E731, B023
+        same = settle(left.join(side("src"), "src").join(side("dst"), "dst").filter("c_src = c_dst").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        roots = colour.withColumn("far", F.when(F.col("node") == F.col("colour"), 0).otherwise(1))
+        back = spread_least(same, roots, "far").filter("far = 0").join(colour, "node").select("node", F.col("colour").alias("scc"))
+        found.append(settle(back))
+        left = settle(left.join(back.select(F.col("node").alias("src")), "src", "left_anti").join(back.select(F.col("node").alias("dst")), "dst", "left_anti"))
+    kind = dict(e.dtypes)["src"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from .communities import strong_components
+
+        table: dict = {}
+        for pdf in batches:
+            for a, b in zip(pdf["src"], pdf["dst"], strict=True):
+                table.setdefault(a, []).append(b)
+        parts = strong_components({v: sorted(n) for v, n in table.items()})
+        yield pd.DataFrame([(v, p[0]) for p in parts for v in p], columns=["node", "scc"])
+
+    found.append(left.repartition(1).mapInPandas(run, f"node {kind}, scc {kind}"))
+    known = settle(reduce(DataFrame.unionByName, found))
+    named = every.join(known, "node", "left").select("node", F.coalesce("scc", "node").alias("scc"))
     sizes = named.groupBy("scc").agg(F.count("*").alias("size"))
-    return named.join(sizes, "scc").select("node", "scc", "size", (F.col("n") > 0).alias("cyclic"))
+    return named.join(sizes, "scc").join(loops, "node", "left").select("node", "scc", "size", ((F.col("size") > 1) | F.coalesce("loop", F.lit(False))).alias("cyclic"))
 
 
 def bounded_search(edges: DataFrame, starts: DataFrame, max_depth: int = 4) -> DataFrame:

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import random
+from collections import defaultdict
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import settle
 from .flows import capitalised
 from .graph import Graph, degrees, simple_undirected
 
@@ -16,6 +19,8 @@ LABELS = ("Function", "Class", "Method", "Interface")
 TYPES = ("CALLS", "EXTENDS", "IMPLEMENTS")
 LARGE = 10_000
 SEED = 0xC0DE
+#: Edges that one kernel takes; larger components go through joins first.
+KERNEL_EDGES = 1_000_000
 #: Folders that name nothing.
 STOP_FOLDERS = ["src", "lib", "core", "utils", "common", "shared", "helpers"]
 
@@ -35,17 +40,18 @@ def projection(g: Graph, large: bool | None = None) -> DataFrame:
     return pairs
 
 
-def local_moves(edges: list[tuple[str, str]], resolution: float = 1.0, seed: int = SEED) -> dict[str, int]:
-    """Seeded Louvain: nodes move to the neighbouring community that gains most modularity, then communities are merged into
-    nodes, until nothing moves. The order is the sorted one, shuffled by the seed."""
-    nodes = sorted({v for e in edges for v in e})
+def local_moves(edges: list[tuple[str, str, float]], resolution: float = 1.0, seed: int = SEED, total: float | None = None) -> dict[str, int]:
+    """Seeded modularity optimisation of a weighted graph (a, b, weight; a = b is a node's inner weight): nodes move to the
+    neighbouring community that gains most, then communities are merged into nodes, until nothing moves. The order is the
+    sorted one, shuffled by the seed. total: twice the weight of the whole graph, of which these edges may be a part."""
+    nodes = sorted({v for e in edges for v in e[:2]})
     at = {v: i for i, v in enumerate(nodes)}
     near: list[dict[int, float]] = [{} for _ in nodes]
-    for a, b in edges:
+    for a, b, w in edges:
         i, j = at[a], at[b]
-        near[i][j] = near[i].get(j, 0) + 1.0
-        near[j][i] = near[j].get(i, 0) + 1.0
-    total = sum(sum(n.values()) for n in near)
+        near[i][j] = near[i].get(j, 0) + w
+        near[j][i] = near[j].get(i, 0) + w
+    total = total or sum(sum(n.values()) for n in near)
     home = list(range(len(nodes)))
     rng = random.Random(seed)
     while total:
@@ -84,25 +90,61 @@ def local_moves(edges: list[tuple[str, str]], resolution: float = 1.0, seed: int
     return {v: home[i] for v, i in at.items()}
 
 
-def detect(pairs: DataFrame, resolution: float = 1.0, seed: int = SEED) -> DataFrame:
-    """id, community (numbered by first appearance inside its component), component. Communities never span components, so the
-    kernel takes one component at a time; components come from label spreading over the edges."""
+def coarsened(edges: DataFrame, resolution: float, total: float) -> tuple[DataFrame, DataFrame]:
+    """One level by joins: id, home; and the edges (a, b, weight) between homes. Each node prefers the neighbour whose community
+    of one it would gain most by joining; nodes follow a preference only from a larger hash to a smaller one, so that
+    preferences form stars and nobody moves away from what others move to."""
+    both = edges.filter("a <> b").select("a", "b", "weight").union(edges.filter("a <> b").select("b", "a", "weight"))
+    loops = edges.filter("a = b").select("a", (2 * F.col("weight")).alias("w"))
+    load = settle(both.select("a", F.col("weight").alias("w")).union(loops).groupBy("a").agg(F.sum("w").alias("load")))
+    gain = F.col("weight") - F.lit(resolution / total) * F.col("load") * F.col("other")
+    ties = both.join(load, "a").join(load.select(F.col("a").alias("b"), F.col("load").alias("other")), "b")
+    best = ties.filter(gain > 0).groupBy("a").agg(F.max_by("b", F.struct(gain, "b")).alias("to"))
+    rank = lambda c: F.struct(F.xxhash64(c), F.col(c))
+    moves = settle(best.filter(rank("to") < rank("a")))
+    # who moves to a node that moves itself stays where it is
+    moving = moves.select(F.col("a").alias("to")).withColumn("gone", F.lit(True))
+    homes = settle(load.select("a").join(moves.join(moving, "to", "left").filter("gone is null").select("a", "to"), "a", "left").select(F.col("a").alias("id"), F.coalesce("to", "a").alias("home")))
+    x = edges.join(homes.select(F.col("id").alias("a"), F.col("home").alias("x")), "a").join(homes.select(F.col("id").alias("b"), F.col("home").alias("y")), "b")
+    return homes, settle(x.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("weight").alias("weight")))
+
+
+def detect(pairs: DataFrame, resolution: float = 1.0, seed: int = SEED, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
+    """id, community (component#number, numbered by first member). Communities never span connected components, so a kernel takes
+    one component at a time; components of more than kernel_edges edges are first made smaller, level by level, with joins. At
+    the end communities are refined: one that is not connected inside falls into its connected parts."""
     comp = spread(pairs)
-    x = pairs.join(comp.select(F.col("id").alias("a"), "component"), "a")
+    x = settle(pairs.join(comp.select(F.col("id").alias("a"), "component"), "a").select("component", "a", "b", F.lit(1.0).alias("weight")))
+    count = settle(x.groupBy("component").agg(F.count("*").alias("n")))
+    home = settle(comp.select("id", F.col("id").alias("home")))
+    big = x.join(count.filter(F.col("n") > kernel_edges), "component", "left_semi").drop("component")
+    n = big.count()
+    total = 2.0 * n
+    small = x.join(count.filter(F.col("n") <= kernel_edges), "component", "left_semi")
+    while n > kernel_edges:
+        homes, big = coarsened(big, resolution, total)
+        home = settle(home.join(homes.select(F.col("id").alias("home"), F.col("home").alias("to")), "home", "left").select("id", F.coalesce("to", "home").alias("home")))
+        before, n = n, big.count()
+        if n > 0.95 * before:
+            break
+    left = big.join(comp.select(F.col("id").alias("a"), "component"), "a").select("component", "a", "b", "weight")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = local_moves(sorted(zip(pdf["a"], pdf["b"], strict=True)), resolution, seed)
-        names: dict[int, int] = {}
-        rows = [(v, names.setdefault(found[v], len(names))) for v in sorted(found)]
-        return pd.DataFrame({"id": [r[0] for r in rows], "community": [f"{pdf['component'].iloc[0]}#{r[1]}" for r in rows]})
+        found = local_moves(sorted(zip(pdf["a"], pdf["b"], pdf["weight"], strict=True)), resolution, seed)
+        return pd.DataFrame({"home": list(found), "group": list(found.values()), "component": pdf["component"].iloc[0]})
 
-    return x.groupBy("component").applyInPandas(run, "id string, community string")
+    found = small.union(left).groupBy("component").applyInPandas(run, "home string, group int, component string")
+    named = settle(home.join(found, "home").select("id", "component", "group"))
+    one, two = (named.select(F.col("id").alias(k), F.col("group").alias(f"g{k}")) for k in ("a", "b"))
+    inside = pairs.join(one, "a").join(two, "b").filter("ga = gb").select("a", "b")
+    parts = spread(inside).select("id", F.col("component").alias("first"))
+    firsts = named.join(parts, "id", "left").select("id", "component", F.coalesce("first", "id").alias("first"))
+    numbers = firsts.select("component", "first").distinct().withColumn("k", F.row_number().over(W.partitionBy("component").orderBy("first")) - 1)
+    return firsts.join(numbers, ["component", "first"]).select("id", F.concat_ws("#", "component", F.col("k").cast("string")).alias("community"))
 
 
 def spread(pairs: DataFrame, rounds: int = 100) -> DataFrame:
     """id, component (its smallest member), by spreading the smallest known label, with pointer jumps in between."""
-    from ..session import settle
-
     both = settle(pairs.select(F.col("a").alias("id"), F.col("b").alias("n")).union(pairs.select(F.col("b"), F.col("a"))).distinct())
     label = settle(both.groupBy("id").agg(F.least(F.min("n"), F.col("id")).alias("component")))
     for _ in range(rounds):
@@ -166,94 +208,106 @@ def modularity(pairs: DataFrame, membership: DataFrame, resolution: float = 1.0)
 # --- import cycles ------------------------------------------------------------------------------
 
 
-def strong_components(edges: dict[str, list[str]]) -> list[list[str]]:
-    """Tarjan without recursion; members sorted."""
-    index: dict[str, int] = {}
-    low: dict[str, int] = {}
-    on, stack, out = set(), [], []
-    for root in sorted(edges):
-        if root in index:
-            continue
-        work = [(root, iter(edges.get(root, ())))]
-        index[root] = low[root] = len(index)
-        stack.append(root)
-        on.add(root)
-        while work:
-            v, it = work[-1]
-            for u in it:
-                if u not in index:
-                    index[u] = low[u] = len(index)
-                    stack.append(u)
-                    on.add(u)
-                    work.append((u, iter(edges.get(u, ()))))
+def strong_components(edges: dict) -> list[list]:
+    """Strong components by Gabow's path method, without recursion; members sorted. Nodes that only appear as targets count."""
+    number: dict = {}  # order of discovery; -1 once the component is told
+    path, bounds, out = [], [], []
+    for root in sorted(set(edges) | {u for n in edges.values() for u in n}):
+        todo = [(root, None)]
+        while todo:
+            v, ways = todo.pop()
+            if ways is None:
+                if v in number:
+                    continue
+                number[v] = len(number)
+                path.append(v)
+                bounds.append(number[v])
+                ways = iter(edges.get(v, ()))
+            for u in ways:
+                if u not in number:
+                    todo += [(v, ways), (u, None)]
                     break
-                if u in on:
-                    low[v] = min(low[v], index[u])
+                if number[u] >= 0:  # still on the path: all since u are one
+                    while bounds[-1] > number[u]:
+                        bounds.pop()
             else:
-                work.pop()
-                if work:
-                    low[work[-1][0]] = min(low[work[-1][0]], low[v])
-                if low[v] == index[v]:
-                    part = []
-                    while True:
-                        u = stack.pop()
-                        on.discard(u)
-                        part.append(u)
-                        if u == v:
-                            break
+                if bounds[-1] == number[v]:
+                    bounds.pop()
+                    part = [path.pop()]
+                    while part[-1] != v:
+                        part.append(path.pop())
+                    for u in part:
+                        number[u] = -1
                     out.append(sorted(part))
     return out
 
 
+def cycles_through(root: str, part: dict[str, list[str]], budget: list[int]) -> Iterator[list[str]]:
+    """The elementary cycles through root inside one strong component (Johnson 1975): a node whose search found no cycle stays
+    shut until a node that it leads to is opened again. budget[0] counts down with each edge looked at."""
+    shut: set[str] = {root}
+    wakes: dict[str, set[str]] = defaultdict(set)
+    trail = [root]
+    todo = [list(reversed(part[root]))]
+    fruitful = [False]
+
+    def open_again(v: str) -> None:
+        ready = {v}
+        while ready:
+            w = ready.pop()
+            shut.discard(w)
+            ready |= wakes.pop(w, set()) & shut
+
+    while trail:
+        if todo[-1]:
+            nxt = todo[-1].pop()
+            budget[0] -= 1
+            if budget[0] < 0:
+                return
+            if nxt == root:
+                fruitful[-1] = True
+                yield trail.copy()
+            elif nxt not in shut:
+                shut.add(nxt)
+                trail.append(nxt)
+                todo.append(list(reversed(part[nxt])))
+                fruitful.append(False)
+            continue
+        v, good = trail.pop(), fruitful.pop()
+        todo.pop()
+        if good:
+            open_again(v)
+            if fruitful:
+                fruitful[-1] = True
+        else:
+            for w in part[v]:
+                wakes[w].add(v)
+
+
 def elementary_cycles(edges: dict[str, list[str]], most: int = 10_000, work: int = 10_000_000) -> list[list[str]] | None:
-    """All elementary cycles, each from its least node, sorted (Johnson's blocking); None beyond the limits."""
-    out: list[list[str]] = []
-    spent = 0
-    for start in sorted(edges):
-        blocked: set[str] = set()
-        waiting: dict[str, set[str]] = {}
-        path, frames = [start], [(start, iter([u for u in edges[start] if u >= start]), False)]
-        blocked.add(start)
-        while frames:
-            v, it, found = frames[-1]
-            moved = False
-            for u in it:
-                spent += 1
-                if spent > work or len(out) > most:
+    """All elementary cycles, each from its least node, sorted; None beyond the limits. When all cycles through the least node
+    of a component are told, the rest of the component falls into smaller ones, and only those go on."""
+    budget, out = [work], []
+    parts = [set(p) for p in strong_components(edges)]
+    while parts:
+        members = parts.pop()
+        inside = {v: sorted(u for u in edges.get(v, ()) if u in members) for v in members}
+        budget[0] -= len(members)
+        root = min(members)
+        if len(members) > 1 or root in inside[root]:
+            for c in cycles_through(root, inside, budget):
+                out.append(c)
+                if len(out) > most:
                     return None
-                if u == start:
-                    out.append(path[:])
-                    found = True
-                elif u not in blocked:
-                    frames[-1] = (v, it, found)
-                    path.append(u)
-                    blocked.add(u)
-                    frames.append((u, iter([w for w in edges.get(u, ()) if w >= start]), False))
-                    moved = True
-                    break
-            if moved:
-                continue
-            frames.pop()
-            path.pop()
-            if found:
-                free = [v]
-                while free:
-                    w = free.pop()
-                    if w in blocked:
-                        blocked.discard(w)
-                        free += waiting.pop(w, ())
-            else:
-                for u in edges.get(v, ()):
-                    if u >= start:
-                        waiting.setdefault(u, set()).add(v)
-            if frames and found:
-                p, pit, _ = frames[-1]
-                frames[-1] = (p, pit, True)
-    return sorted(out) if len(out) <= most else None
+        if budget[0] < 0:
+            return None
+        rest = {v: [u for u in n if u != root] for v, n in inside.items() if v != root}
+        parts += [set(p) for p in strong_components(rest) if len(p) > 1 or p[0] in rest.get(p[0], ())]
+    return sorted(out)
 
 
 def shortest_cycle(edges: dict[str, list[str]], start: str) -> list[str]:
-    """A shortest cycle through start, the first in breadth-first order."""
+    """The shortest cycle through start, the first in the order of its nodes."""
     came: dict[str, str] = {}
     queue = [start]
     for v in queue:
@@ -269,29 +323,43 @@ def shortest_cycle(edges: dict[str, list[str]], start: str) -> list[str]:
     return []
 
 
-def import_cycles(edges: DataFrame, most: int = 10_000, work: int = 10_000_000) -> DataFrame:
-    """component (least node), size, kind (complete, representatives), cycle: one kernel for each weakly connected part."""
-    e = edges.select(F.col("source").cast("string").alias("a"), F.col("target").cast("string").alias("b")).distinct()
-    part = spread(e.filter("a <> b"))
-    x = e.join(part.select(F.col("id").alias("a"), "component"), "a", "left").select("a", "b", F.coalesce("component", "a").alias("component"))
+def import_cycles(edges: DataFrame, most: int = 10_000, work: int = 10_000_000, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
+    """component (least node), size, kind (complete, representatives), cycle: one kernel for each cyclic strong component. Of
+    components with more than kernel_edges edges, whose cycles are beyond any limit, the representative is searched by joins."""
+    from .closure import reach, strongly_connected
+
+    e = edges.select(F.col("source").cast("string").alias("src"), F.col("target").cast("string").alias("dst")).filter("src is not null and dst is not null").distinct()
+    member = settle(strongly_connected(e, kernel_edges).filter("cyclic").select("node", "scc", "size"))
+    x = e.join(member.select(F.col("node").alias("src"), "scc", "size"), "src").join(member.select(F.col("node").alias("dst"), F.col("scc").alias("to")), "dst").filter("scc = to").select("src", "dst", "scc", "size")
+    count = settle(x.groupBy("scc").agg(F.count("*").alias("n")))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         table: dict[str, list[str]] = {}
-        for a, b in sorted(zip(pdf["a"], pdf["b"], strict=True)):
+        for a, b in sorted(zip(pdf["src"], pdf["dst"], strict=True)):
             table.setdefault(a, []).append(b)
-        out = []
-        for members in strong_components(table):
-            inside = set(members)
-            sub = {v: [u for u in table.get(v, ()) if u in inside] for v in members}
-            if len(members) == 1 and members[0] not in sub[members[0]]:
-                continue
-            cycles = elementary_cycles(sub, most, work)
-            kind = "complete" if cycles is not None else "representatives"
-            for c in cycles if cycles is not None else [shortest_cycle(sub, members[0])]:
-                out.append((members[0], len(members), kind, c))
-        return pd.DataFrame(out, columns=["component", "size", "kind", "cycle"])
-
-    return x.groupBy("component").applyInPandas(run, "component string, size int, kind string, cycle array<string>")
+        least = pdf["scc"].iloc[0]
+        cycles = elementary_cycles(table, most, work)
+        rows = cycles if cycles is not None else [shortest_cycle(table, least)]
+        return pd.DataFrame({"component": least, "size": int(pdf["size"].iloc[0]), "kind": "complete" if cycles is not None else "representatives", "cycle": rows}, columns=["component", "size", "kind", "cycle"])
+
+    kinds = "component string, size int, kind string, cycle array<string>"
+    out = x.join(count.filter(F.col("n") <= kernel_edges), "scc", "left_semi").groupBy("scc").applyInPandas(run, kinds)
+    large = count.filter(F.col("n") > kernel_edges)
+    if large.isEmpty():
+        return out
+    y = x.join(large, "scc", "left_semi").select("src", "dst", F.dense_rank().over(W.partitionBy("src").orderBy("dst")).alias("ord"), "scc", "size")
+    starts = y.select(F.col("scc").alias("start"), F.col("size")).distinct()
+    back = reach(y, starts, order="ord", until="start").filter("start = node").select("start", "path")
+    # the ordinals of the way, walked again
+    way = back.select("start", "path", F.array("start").alias("cycle"), F.lit(0).alias("k"))
+    done = None
+    while not way.isEmpty():
+        step = way.join(y.select("src", "dst", F.lpad(F.col("ord").cast("string"), 6, "0").alias("o")), (F.element_at("cycle", -1) == F.col("src")) & (F.get("path", F.col("k")) == F.col("o")))
+        step = settle(step.select("start", "path", F.concat("cycle", F.array("dst")).alias("cycle"), (F.col("k") + 1).alias("k")))
+        full = step.filter(F.col("k") == F.size("path")).select("start", F.slice("cycle", 1, F.size("cycle") - 1).alias("cycle"))
+        done = full if done is None else done.union(full)
+        way = step.filter(F.col("k") < F.size("path"))
+    return out.union(done.join(starts, "start").select(F.col("start").alias("component"), F.col("size").cast("int").alias("size"), F.lit("representatives").alias("kind"), "cycle"))
 
 
 def local_values(g: Graph) -> DataFrame:

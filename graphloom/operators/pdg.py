@@ -113,6 +113,58 @@ def post_dominators(n: int, exit_: int, edges: list[tuple[int, int, str]]) -> li
     return [-1 if v == exit_ or v not in idom else idom[v] for v in range(n)]
 
 
+def dominators(n: int, entry: int, edges: list[tuple[int, int, str]]) -> list[int]:
+    """The immediate dominator of each block: post-dominators of the graph turned around. -1 for the entry and for blocks that it
+    does not reach."""
+    return post_dominators(n, entry, [(b, a, kind) for a, b, kind in edges])
+
+
+def frontiers(n: int, entry: int, edges: list[tuple[int, int, str]]) -> dict[int, list[int]]:
+    """Where each block's dominance ends: blocks that it does not strictly dominate, though it dominates a predecessor."""
+    idom = dominators(n, entry, edges)
+    out: dict[int, set[int]] = {}
+    for a, b, _ in edges:
+        v = a if a == entry or idom[a] >= 0 else -1
+        while v not in (-1, idom[b]):
+            out.setdefault(v, set()).add(b)
+            v = idom[v]
+    return {v: sorted(f) for v, f in sorted(out.items())}
+
+
+def reverse_postorder(entry: int, edges: list[tuple[int, int, str]]) -> list[int]:
+    """Blocks that the entry reaches, each before those that only it leads to; successors are visited in the order of their
+    numbers."""
+    out: dict[int, list[int]] = {}
+    for a, b in sorted({(a, b) for a, b, _ in edges}):
+        out.setdefault(a, []).append(b)
+    order, seen, open_ = [], {entry}, [(entry, 0)]
+    while open_:
+        v, k = open_.pop()
+        ways = out.get(v, [])
+        while k < len(ways) and ways[k] in seen:
+            k += 1
+        if k < len(ways):
+            seen.add(ways[k])
+            open_ += [(v, k + 1), (ways[k], 0)]
+        else:
+            order.append(v)
+    return order[::-1]
+
+
+def condensed(n: int, edges: list[tuple[int, int, str]]) -> list[int]:
+    """Each block's strong component, named by its smallest block."""
+    from .communities import strong_components
+
+    table: dict[int, list[int]] = {b: [] for b in range(n)}
+    for a, b, _ in edges:
+        table[a].append(b)
+    out = list(range(n))
+    for part in strong_components(table):
+        for b in part:
+            out[b] = part[0]
+    return out
+
+
 def control_dependence(n: int, exit_: int, edges: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """(controller, dependent, label): for each branch edge, all blocks from its target up to the branch's post-dominator."""
     ip = post_dominators(n, exit_, with_escapes(n, exit_, edges))
@@ -162,12 +214,12 @@ def reaching_definitions(n: int, entry: int, edges: list[tuple[int, int, str]],
 
     inn: dict[int, dict[str, frozenset]] = {b: {} for b in range(n)}
     out = {b: through(b, {}) for b in range(n)}
-    open_, visits = sorted(reachable(n, entry, edges)), 0
-    limit = max_visits or 64 * max(1, n)
+    rank = {b: k for k, b in enumerate(reverse_postorder(entry, edges))}
+    open_, visits = sorted(rank, key=rank.__getitem__), 0
     while open_:
         b = open_.pop(0)
         visits += 1
-        if visits > limit:
+        if max_visits is not None and visits > max_visits:
             return "truncated", []
         state: dict[str, frozenset] = {}
         for p, thrown in pred.get(b, ()):
@@ -211,6 +263,26 @@ def post_dominator_edges(cfgs: DataFrame) -> DataFrame:
     return _each(cfgs, lambda r: [(r.fn, b, p) for b, p in enumerate(post_dominators(r.n, r.exit, with_escapes(r.n, r.exit, _edges(r))))], "fn string, block int, ipdom int")
 
 
+def dominator_edges(cfgs: DataFrame) -> DataFrame:
+    """fn, block, idom."""
+    return _each(cfgs, lambda r: [(r.fn, b, d) for b, d in enumerate(dominators(r.n, r.entry, _edges(r)))], "fn string, block int, idom int")
+
+
+def frontier_rows(cfgs: DataFrame) -> DataFrame:
+    """fn, block, frontier."""
+    return _each(cfgs, lambda r: [(r.fn, b, f) for b, fs in frontiers(r.n, r.entry, _edges(r)).items() for f in fs], "fn string, block int, frontier int")
+
+
+def block_order(cfgs: DataFrame) -> DataFrame:
+    """fn, block, ord: reverse postorder."""
+    return _each(cfgs, lambda r: [(r.fn, b, k) for k, b in enumerate(reverse_postorder(r.entry, _edges(r)))], "fn string, block int, ord int")
+
+
+def block_components(cfgs: DataFrame) -> DataFrame:
+    """fn, block, component."""
+    return _each(cfgs, lambda r: [(r.fn, b, k) for b, k in enumerate(condensed(r.n, _edges(r)))], "fn string, block int, component int")
+
+
 def control_edges(cfgs: DataFrame, cap: int = MAX_CDG) -> DataFrame:
     return _each(cfgs, lambda r: [(r.fn, a, b, k) for a, b, k in control_dependence(r.n, r.exit, _edges(r))[:cap]], "fn string, controller int, dependent int, label string")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars
@@ -384,18 +385,18 @@ def n2_accessors(spark, sf):
     return N.worth_asking(spark.createDataFrame(rows, "id string, name string, startLine int, endLine int")).select("id")
 
 
-@query(X.sql("SELECT n.id AS sourceId, 'I' AS targetId, 1.0::DOUBLE AS confidence FROM nodes n WHERE n.label = 'Class' AND n.name LIKE '%1'"))
+@query(X.sql("SELECT n.id AS sourceId, 'I' AS targetId, 1.0::DOUBLE AS confidence FROM nodes n WHERE n.label = 'Class'"))
 def n3_implementations(spark, sf):
     cls = X.nodes(spark, sf, {"Class"}).withColumn("filePath", c("name"))
-    return N.implementation_edges(cls.filter(c("name").endswith("1")).select(c("name").alias("file"), F.lit("I").alias("interfaceId")), cls)
+    return N.implementation_edges(cls.select(c("name").alias("file"), F.lit("I").alias("interfaceId")), cls)
 
 
-_LSP = "lsp AS (SELECT 'Method:P' || src AS callerId, p_name AS calleeName, p_brand AS calleeFile FROM calls JOIN part ON p_partkey = dst WHERE src % 50 = 1), loc AS (SELECT DISTINCT callerId AS caller, callee, calleeFile AS file FROM (SELECT l.*, n.id AS callee, row_number() OVER (PARTITION BY callerId, calleeName, calleeFile ORDER BY n.id) AS rn FROM lsp l JOIN nodes n ON n.label = 'Method' AND n.filePath = l.calleeFile AND n.name = l.calleeName) WHERE rn = 1 AND callee <> callerId), wrong AS (SELECT DISTINCT e.sourceId, e.targetId FROM edges e JOIN nodes t ON t.id = e.targetId JOIN loc ON loc.caller = e.sourceId AND loc.file = t.filePath AND loc.callee <> e.targetId WHERE e.type = 'CALLS' AND e.confidence < 1.0)"
+_LSP = "lsp AS (SELECT 'Method:P' || src AS callerId, p_name AS calleeName, p_brand AS calleeFile FROM calls JOIN part ON p_partkey = dst), loc AS (SELECT DISTINCT callerId AS caller, callee, calleeFile AS file FROM (SELECT l.*, n.id AS callee, row_number() OVER (PARTITION BY callerId, calleeName, calleeFile ORDER BY n.id) AS rn FROM lsp l JOIN nodes n ON n.label = 'Method' AND n.filePath = l.calleeFile AND n.name = l.calleeName) WHERE rn = 1 AND callee <> callerId), wrong AS (SELECT DISTINCT e.sourceId, e.targetId FROM edges e JOIN nodes t ON t.id = e.targetId JOIN loc ON loc.caller = e.sourceId AND loc.file = t.filePath AND loc.callee <> e.targetId WHERE e.type = 'CALLS' AND e.confidence < 1.0)"
 
 
 def _lsp(spark, sf):
     part = X.table(spark, sf, "part").select("p_partkey", c("p_name").alias("calleeName"), c("p_brand").alias("calleeFile"))
-    return X.calls(spark, sf).filter("src % 50 = 1").join(part, c("dst") == c("p_partkey")).select(F.concat(F.lit("Method:P"), c("src").cast("string")).alias("callerId"), "calleeName", "calleeFile")
+    return X.calls(spark, sf).join(part, c("dst") == c("p_partkey")).select(F.concat(F.lit("Method:P"), c("src").cast("string")).alias("callerId"), "calleeName", "calleeFile")
 
 
 @query(X.sql("SELECT caller, callee, file FROM loc", _LSP))
@@ -403,10 +404,10 @@ def n4_locate(spark, sf):
     return N.locate(_lsp(spark, sf), X.nodes(spark, sf, {"Method"}))
 
 
-@query(X.sql("SELECT sourceId, targetId, confidence FROM edges e WHERE type = 'CALLS' AND sourceId LIKE '%1' AND NOT (confidence < 1.0 AND EXISTS (SELECT 1 FROM wrong w WHERE w.sourceId = e.sourceId AND w.targetId = e.targetId)) UNION ALL SELECT caller, callee, 1.0 FROM loc WHERE caller LIKE '%1'", _LSP))
+@query(X.sql("SELECT sourceId, targetId, confidence FROM edges e WHERE type = 'CALLS' AND NOT (confidence < 1.0 AND EXISTS (SELECT 1 FROM wrong w WHERE w.sourceId = e.sourceId AND w.targetId = e.targetId)) UNION ALL SELECT caller, callee, 1.0 FROM loc", _LSP))
 def n5_conflict_pruning(spark, sf):
     g, _ = N.enrich(X.graph(spark, sf, {"Method"}, {"CALLS"}), _lsp(spark, sf))
-    return g.edges.filter(c("sourceId").endswith("1")).select("sourceId", "targetId", "confidence")
+    return g.edges.select("sourceId", "targetId", "confidence")
 
 
 @query(X.sql("SELECT (SELECT count(*) FROM loc) AS calls, (SELECT count(*) FROM wrong) AS conflicts", _LSP))
@@ -426,42 +427,129 @@ CFGS = [
 
 
 def _cfgs(spark):
+    """Four functions whose facts are known by hand (tests)."""
     return spark.createDataFrame(CFGS, CFG_TYPE)
 
 
-@query("SELECT * FROM (VALUES ('diamond', 5), ('loop', 4), ('forever', 3), ('thrower', 4)) AS t(fn, edges)")
+def _order_cfgs(spark, sf):
+    """Each order as a function: a block for each item between entry and exit; returned items branch, some loop back, some throw.
+    Item k stands in line k, defines one of three variables and uses one."""
+    name = lambda x: F.concat(F.lit("v"), (x % 3).cast("string"))
+    none = F.lit(None).cast("struct<src:int,dst:int,kind:string>")
+    edge = lambda a, b, kind: F.struct(a.cast("int").alias("src"), b.cast("int").alias("dst"), F.lit(kind).alias("kind"))
+    s = X.steps(spark, sf).select("l_orderkey", "step", c("l_partkey").alias("p"), c("l_suppkey").alias("s"), c("l_returnflag").alias("f"))
+    s = s.withColumn("m", F.count("*").over(W.partitionBy("l_orderkey")))
+    back = c("f") == "R"
+    s = s.withColumn("edges", F.array_compact(F.array(
+        F.when(c("step") == 1, edge(F.lit(0), F.lit(1), "seq")).otherwise(none), F.when(back, edge(c("step"), c("step") + 1, "cond-true")).otherwise(edge(c("step"), c("step") + 1, "seq")),
+        F.when(back, edge(c("step"), F.least(c("step") + 2, c("m") + 1), "cond-false")), F.when(c("p") % 5 == 0, edge(c("step"), F.greatest(F.lit(1), c("step") - 2), "loop-back")), F.when(c("s") % 7 == 0, edge(c("step"), F.least(c("step") + 3, c("m") + 1), "throw")),
+    )))
+    at = [c("step").cast("int").alias("block"), c("step").cast("int").alias("line")]
+    empty = F.array().cast("array<string>")
+    fact = F.struct(*at, F.array(name(c("p"))).alias("defs"), F.array(name(c("s"))).alias("uses"), empty.alias("may"))
+    role = lambda on, kind: F.array_sort(F.collect_list(F.when(on, F.struct(*at, kind.alias("kind")))))
+    kind = F.when(c("f") == "N", "html").otherwise("sql")
+    return s.groupBy("l_orderkey").agg(
+        (F.max("m") + 2).cast("int").alias("n"), (F.max("m") + 1).cast("int").alias("exit"), F.flatten(F.collect_list("edges")).alias("edges"), F.collect_list(fact).alias("facts"),
+        role(c("p") % 4 == 0, F.lit("")).alias("sources"), role(c("s") % 4 == 0, kind).alias("sinks"), role(c("p") % 6 == 5, F.lit("sql")).alias("cleans"),
+    ).select(c("l_orderkey").cast("string").alias("fn"), "n", F.lit(0).alias("entry"), "exit", "edges", "facts", "sources", "sinks", "cleans")
+
+
+#: The same in SQL: items st, edges ce, blocks bl; definitions that reach uses (df), and what they carry of sources.
+_CFG = """st AS MATERIALIZED (SELECT l_orderkey::VARCHAR AS fn, step::INT AS k, l_partkey AS p, l_suppkey AS s, l_returnflag AS f, (count(*) OVER (PARTITION BY l_orderkey))::INT AS m FROM steps),
+ce AS MATERIALIZED (SELECT fn, 0 AS src, 1 AS dst, 'seq' AS kind FROM st WHERE k = 1
+  UNION ALL SELECT fn, k, k + 1, CASE WHEN f = 'R' THEN 'cond-true' ELSE 'seq' END FROM st
+  UNION ALL SELECT fn, k, least(k + 2, m + 1), 'cond-false' FROM st WHERE f = 'R'
+  UNION ALL SELECT fn, k, greatest(1, k - 2), 'loop-back' FROM st WHERE p % 5 = 0
+  UNION ALL SELECT fn, k, least(k + 3, m + 1), 'throw' FROM st WHERE s % 7 = 0),
+bl AS MATERIALIZED (SELECT fn, m + 1 AS x, unnest(range(0, m + 2))::INT AS b FROM st WHERE k = 1)"""
+#: Post-dominance by its definition: every way from b to the exit has y on it.
+_PDOM = _CFG + """, off AS (SELECT fn, b AS y, x AS b FROM bl WHERE b <> x UNION SELECT o.fn, o.y, e.src FROM off o JOIN ce e ON e.fn = o.fn AND e.dst = o.b WHERE e.src <> o.y),
+pd AS MATERIALIZED (SELECT p.fn, p.b, q.b AS y FROM bl p JOIN bl q ON q.fn = p.fn AND q.b <> p.b AND p.b <> p.x WHERE NOT EXISTS (SELECT 1 FROM off o WHERE o.fn = p.fn AND o.y = q.b AND o.b = p.b))"""
+_DOM = _CFG + """, off AS (SELECT fn, b AS y, 0 AS b FROM bl WHERE b <> 0 UNION SELECT o.fn, o.y, e.dst FROM off o JOIN ce e ON e.fn = o.fn AND e.src = o.b WHERE e.dst <> o.y),
+pd AS MATERIALIZED (SELECT p.fn, p.b, q.b AS y FROM bl p JOIN bl q ON q.fn = p.fn AND q.b <> p.b AND p.b <> 0 WHERE NOT EXISTS (SELECT 1 FROM off o WHERE o.fn = p.fn AND o.y = q.b AND o.b = p.b))"""
+#: The immediate one is the one that most others dominate.
+_NEXT = "SELECT bl.fn, bl.b AS block, coalesce(i.y, -1)::INT AS {0} FROM bl LEFT JOIN (SELECT pd.fn, pd.b, arg_max(pd.y, coalesce(n.k, 0)) AS y FROM pd LEFT JOIN (SELECT fn, b, count(*) AS k FROM pd GROUP BY 1, 2) n ON n.fn = pd.fn AND n.b = pd.y GROUP BY 1, 2) i ON i.fn = bl.fn AND i.b = bl.b"
+_DEFS = _CFG + """, live AS (SELECT DISTINCT st.fn, 'v' || (p % 3) AS v, k AS d, dst AS b FROM st JOIN ce ON ce.fn = st.fn AND ce.src = st.k
+  UNION SELECT l.fn, l.v, l.d, e.dst FROM live l JOIN ce e ON e.fn = l.fn AND e.src = l.b LEFT JOIN st ON st.fn = l.fn AND st.k = l.b WHERE e.kind = 'throw' OR st.k IS NULL OR 'v' || (st.p % 3) <> l.v),
+df AS MATERIALIZED (SELECT l.fn, l.v, l.d, st.k AS u FROM live l JOIN st ON st.fn = l.fn AND st.k = l.b AND 'v' || (st.s % 3) = l.v)"""
+_TAINT = _DEFS + """, kinds AS (SELECT unnest(['sql', 'html', 'any']) AS kind), clean AS (SELECT fn, k, 'sql' AS kind FROM st WHERE p % 6 = 5),
+t AS (SELECT fn, kind, k AS src, k AS at FROM st, kinds WHERE p % 4 = 0
+  UNION SELECT t.fn, t.kind, t.src, df.u FROM t JOIN df ON df.fn = t.fn AND df.d = t.at WHERE NOT EXISTS (SELECT 1 FROM clean c WHERE c.fn = df.fn AND c.k = df.u AND c.kind = t.kind)),
+found AS (SELECT DISTINCT t.fn, 'finding' AS kind_of, t.src AS src_block, t.src AS src_line, df.u AS block, df.u AS line, t.kind FROM t JOIN df ON df.fn = t.fn AND df.d = t.at
+    JOIN st ON st.fn = df.fn AND st.k = df.u AND st.s % 4 = 0 AND CASE WHEN st.f = 'N' THEN 'html' ELSE 'sql' END = t.kind WHERE NOT EXISTS (SELECT 1 FROM clean c WHERE c.fn = df.fn AND c.k = df.u AND c.kind = t.kind)
+  UNION ALL SELECT DISTINCT df.fn, 'kill', NULL, NULL, df.u, df.u, c.kind FROM t JOIN df ON df.fn = t.fn AND df.d = t.at JOIN clean c ON c.fn = df.fn AND c.k = df.u WHERE t.kind = 'any')"""
+
+
+def _sql(body, ctes):
+    return X.sql(body, ctes, recursive=True)
+
+
+@query(_sql("SELECT fn, count(*) AS edges FROM ce GROUP BY fn", _CFG))
 def k2_cfg_edges(spark, sf):
-    return P.blocks(_cfgs(spark)).groupBy("fn").agg(F.count("*").alias("edges"))
+    return P.blocks(_order_cfgs(spark, sf)).groupBy("fn").agg(F.count("*").alias("edges"))
 
 
-@query("SELECT fn, count(*) AS blocks FROM (VALUES ('diamond', 0), ('diamond', 1), ('diamond', 2), ('diamond', 3), ('diamond', 4), ('loop', 0), ('loop', 1), ('loop', 2), ('loop', 3), ('forever', 0), ('forever', 1), ('forever', 2), ('thrower', 0), ('thrower', 1), ('thrower', 2), ('thrower', 3)) AS t(fn, b) GROUP BY fn")
+@query(_sql("SELECT fn, count(*) AS blocks FROM r GROUP BY fn", _CFG + ", r AS (SELECT fn, 0 AS b FROM bl WHERE b = 0 UNION SELECT r.fn, dst FROM r JOIN ce ON ce.fn = r.fn AND ce.src = r.b)"))
 def k4_reachable_blocks(spark, sf):
-    return P.reachable_blocks(_cfgs(spark)).groupBy("fn").agg(F.count("*").alias("blocks"))
+    return P.reachable_blocks(_order_cfgs(spark, sf)).groupBy("fn").agg(F.count("*").alias("blocks"))
 
 
-@query("SELECT * FROM (VALUES ('diamond', 0, 3), ('diamond', 1, 3), ('diamond', 2, 3), ('diamond', 3, 4), ('diamond', 4, -1), ('loop', 0, 1), ('loop', 1, 3), ('loop', 2, 1), ('loop', 3, -1), ('forever', 0, 1), ('forever', 1, 3), ('forever', 2, 1), ('forever', 3, -1), ('thrower', 0, 1), ('thrower', 1, 3), ('thrower', 2, 3), ('thrower', 3, -1)) AS t(fn, block, ipdom)")
+@query(_sql(_NEXT.format("ipdom"), _PDOM))
 def k5_post_dominators(spark, sf):
-    return P.post_dominator_edges(_cfgs(spark))
+    return P.post_dominator_edges(_order_cfgs(spark, sf))
 
 
-@query()
+@query(
+    _sql(
+        "SELECT DISTINCT e.fn, e.src AS controller, v.y AS dependent, CASE WHEN e.kind = 'cond-false' THEN 'F' ELSE 'T' END AS label FROM ce e JOIN (SELECT fn, b, b AS y FROM bl UNION ALL SELECT fn, b, y FROM pd) v ON v.fn = e.fn AND v.b = e.dst "
+        "WHERE NOT EXISTS (SELECT 1 FROM pd q WHERE q.fn = e.fn AND q.b = e.src AND q.y = v.y) AND NOT (v.y = e.src AND e.dst = e.src)",
+        _PDOM,
+    )
+)
 def k7_control_dependence(spark, sf):
-    return P.control_edges(_cfgs(spark))
+    return P.control_edges(_order_cfgs(spark, sf))
 
 
-@query()
+@query(_sql("SELECT f.fn, 'computed' AS status, v AS binding, d AS def_block, d AS def_line, u AS use_block, u AS use_line FROM (SELECT DISTINCT fn FROM st) f LEFT JOIN df ON df.fn = f.fn", _DEFS))
 def k8_reaching_definitions(spark, sf):
-    return P.definition_facts(_cfgs(spark))
+    return P.definition_facts(_order_cfgs(spark, sf))
 
 
-@query()
+@query(_sql("SELECT fn, d AS def_block, u AS use_block, 'v1|' || v || '|' || d || '-' || u AS reason FROM df", _DEFS))
 def k9_definition_edges(spark, sf):
-    return P.definition_edges(P.definition_facts(_cfgs(spark)))
+    return P.definition_edges(P.definition_facts(_order_cfgs(spark, sf)))
+
+
+@query(_sql(_NEXT.format("idom"), _DOM))
+def k11_dominators(spark, sf):
+    return P.dominator_edges(_order_cfgs(spark, sf))
+
+
+@query(
+    _sql(
+        "SELECT DISTINCT e.fn, d.y AS block, e.dst AS frontier FROM ce e JOIN (SELECT fn, b, b AS y FROM bl UNION ALL SELECT fn, b, y FROM pd) d ON d.fn = e.fn AND d.b = e.src "
+        "WHERE NOT EXISTS (SELECT 1 FROM pd q WHERE q.fn = e.fn AND q.b = e.dst AND q.y = d.y)",
+        _DOM,
+    )
+)
+def k11_frontiers(spark, sf):
+    return P.frontier_rows(_order_cfgs(spark, sf))
 
 
-@query("SELECT l_orderkey AS o, 'p|' || l_partkey AS binding, count(*) AS n FROM lineitem WHERE l_orderkey < 500 GROUP BY 1, 2")
+@query(_sql("SELECT bl.fn, bl.b AS block, least(bl.b, coalesce(min(x.d), bl.b))::INT AS component FROM bl LEFT JOIN (SELECT p.fn, p.s, p.d FROM r p JOIN r q ON q.fn = p.fn AND q.s = p.d AND q.d = p.s) x ON x.fn = bl.fn AND x.s = bl.b GROUP BY bl.fn, bl.b", _CFG + ", r AS (SELECT fn, src AS s, dst AS d FROM ce UNION SELECT r.fn, r.s, ce.dst FROM r JOIN ce ON ce.fn = r.fn AND ce.src = r.d)"))
+def k11_condensation(spark, sf):
+    return P.block_components(_order_cfgs(spark, sf))
+
+
+@query()
+def k11_reverse_postorder(spark, sf):
+    return P.block_order(_order_cfgs(spark, sf))
+
+
+@query("SELECT l_orderkey AS o, 'p|' || l_partkey AS binding, count(*) AS n FROM lineitem GROUP BY 1, 2")
 def k10_reason_codec(spark, sf):
-    li = X.table(spark, sf, "lineitem").filter("l_orderkey < 500").groupBy("l_orderkey", F.concat(F.lit("p|"), c("l_partkey").cast("string")).alias("binding")).agg(F.collect_list(F.struct(c("l_linenumber").alias("def_line"), c("l_linenumber").alias("use_line"))).alias("pairs"))
+    li = X.table(spark, sf, "lineitem").groupBy("l_orderkey", F.concat(F.lit("p|"), c("l_partkey").cast("string")).alias("binding")).agg(F.collect_list(F.struct(c("l_linenumber").alias("def_line"), c("l_linenumber").alias("use_line"))).alias("pairs"))
     d = li.select("l_orderkey", P.decode_reason(P.encode_reason(c("binding"), c("pairs"))).alias("d"))
     return d.select(c("l_orderkey").alias("o"), c("d.binding").alias("binding"), F.size("d.pairs").cast("long").alias("n"))
 
@@ -472,14 +560,20 @@ def k14_site_matching(spark, sf):
     return P.match_sites(sites, frame(spark, [("sink", "sql", "query", "db"), ("source", "", "param", None)], "role, kind, callee, receiver")).select("fn", "line", "role", "kind")
 
 
-@query()
+@query(_sql("SELECT fn, kind_of, src_block, src_line, block, line, kind FROM found", _TAINT))
 def k15_taint(spark, sf):
-    return P.taint(_cfgs(spark))
+    return P.taint(_order_cfgs(spark, sf))
 
 
-@query()
+@query(
+    _sql(
+        "SELECT *, substring(sha256(type || '|' || sourceId || '|' || targetId || '|' || reason), 1, 16) AS id FROM (SELECT DISTINCT CASE WHEN kind_of = 'finding' THEN 'TAINTED' ELSE 'SANITIZES' END AS type, "
+        "'BasicBlock:' || fn || ':' || coalesce(src_block, block) AS sourceId, 'BasicBlock:' || fn || ':' || block AS targetId, kind AS reason FROM found)",
+        _TAINT,
+    )
+)
 def k16_taint_edges(spark, sf):
-    return P.taint_edges(P.taint(_cfgs(spark)))
+    return P.taint_edges(P.taint(_order_cfgs(spark, sf)))
 
 
 FACTS = [
@@ -513,15 +607,15 @@ def k19_taint_paths(spark, sf):
     return P.taint_paths(P.interprocedural(_facts(spark), _calls(spark)), frame(spark, [("a",), ("c",)], "id")).select("sourceId", "targetId", "confidence", "reason")
 
 
-@query("SELECT l_orderkey AS o, CASE WHEN octet_length(encode(string_agg('P' || l_partkey, '->' ORDER BY l_partkey))) <= 4091 THEN string_agg('P' || l_partkey, '->' ORDER BY l_partkey) END AS path FROM lineitem WHERE l_orderkey < 300 GROUP BY 1")
+@query("SELECT l_orderkey AS o, CASE WHEN octet_length(encode(string_agg('P' || l_partkey, '->' ORDER BY l_partkey))) <= 4091 THEN string_agg('P' || l_partkey, '->' ORDER BY l_partkey) END AS path FROM lineitem GROUP BY 1")
 def k20_path_codec(spark, sf):
-    g = X.table(spark, sf, "lineitem").filter("l_orderkey < 300").groupBy(c("l_orderkey").alias("o")).agg(F.transform(F.array_sort(F.collect_list("l_partkey")), lambda p: F.concat(F.lit("P"), p.cast("string"))).alias("hops"))
+    g = X.table(spark, sf, "lineitem").groupBy(c("l_orderkey").alias("o")).agg(F.transform(F.array_sort(F.collect_list("l_partkey")), lambda p: F.concat(F.lit("P"), p.cast("string"))).alias("hops"))
     return g.select("o", P.encode_path(c("hops")).alias("path"))
 
 
-@query("SELECT l_orderkey AS o, array_to_string(list_sort(list(DISTINCT l_partkey % 100)), ' ') AS params FROM lineitem WHERE l_orderkey < 300 GROUP BY 1")
+@query("SELECT l_orderkey AS o, array_to_string(list_sort(list(DISTINCT l_partkey % 100)), ' ') AS params FROM lineitem GROUP BY 1")
 def k21_parameter_codec(spark, sf):
-    g = X.table(spark, sf, "lineitem").filter("l_orderkey < 300").groupBy(c("l_orderkey").alias("o")).agg(F.collect_set((c("l_partkey") % 100).cast("int")).alias("ps"))
+    g = X.table(spark, sf, "lineitem").groupBy(c("l_orderkey").alias("o")).agg(F.collect_set((c("l_partkey") % 100).cast("int")).alias("ps"))
     return g.select("o", F.array_join(P.decode_params(P.encode_params(c("ps"))), " ").alias("params"))
 
 

@@ -51,11 +51,10 @@ def nodes(spark: SparkSession, sf: str, labels: set[str] | None = None) -> DataF
     def process() -> DataFrame:
         ends = (
             steps(spark, sf)
-            .filter("l_orderkey % 10 = 0")
             .groupBy("l_orderkey")
             .agg(F.min_by("l_partkey", "step").alias("first"), F.max_by("l_partkey", "step").alias("last"))
         )
-        o = t("orders").filter("o_orderkey % 10 = 0").join(ends, c("o_orderkey") == c("l_orderkey"), "left")
+        o = t("orders").join(ends, c("o_orderkey") == c("l_orderkey"), "left")
         return _node(o, "Process", cat("proc_", "o_orderkey"), c("o_orderpriority"), entryPointId=cat("Method:P", "first"), terminalId=cat("Method:P", "last"))
 
     made = {
@@ -88,7 +87,7 @@ def edges(spark: SparkSession, sf: str, types: set[str] | None = None) -> DataFr
         "IMPLEMENTS": lambda: edge(t("supplier").join(F.broadcast(t("nation")), c("s_nationkey") == c("n_nationkey")), "IMPLEMENTS", cat("Class:S", "s_suppkey"), cat("Interface:", "n_name")),
         "HAS_METHOD": lambda: edge(t("lineitem").select("l_suppkey", "l_partkey").distinct(), "HAS_METHOD", cat("Class:S", "l_suppkey"), cat("Method:P", "l_partkey")),
         "CALLS": lambda: edge(calls(spark, sf), "CALLS", cat("Method:P", "src"), cat("Method:P", "dst"), c("confidence"), F.when(c("verified") == 1, "LSP: fixture").otherwise("fixture"), order=c("emit_ord")),
-        "STEP_IN_PROCESS": lambda: edge(steps(spark, sf).filter("l_orderkey % 10 = 0"), "STEP_IN_PROCESS", cat("Method:P", "l_partkey"), cat("proc_", "l_orderkey"), step=c("step")),
+        "STEP_IN_PROCESS": lambda: edge(steps(spark, sf), "STEP_IN_PROCESS", cat("Method:P", "l_partkey"), cat("proc_", "l_orderkey"), step=c("step")),
         "MEMBER_OF": lambda: edge(t("customer"), "MEMBER_OF", cat("Function:C", "c_custkey"), cat("comm_", "c_mktsegment")),
     }
     out = None
@@ -108,14 +107,14 @@ steps AS (SELECT l_orderkey, l_partkey, l_suppkey, l_discount, l_returnflag,
 calls AS (SELECT a.l_partkey AS src, b.l_partkey AS dst, round(max(1.0 - 5 * b.l_discount), 6) AS confidence,
     max(CASE WHEN b.l_returnflag = 'R' THEN 1 ELSE 0 END) AS verified, min(a.l_orderkey * 100 + a.step) AS emit_ord
   FROM steps a JOIN steps b ON a.l_orderkey = b.l_orderkey AND b.step = a.step + 1 WHERE a.l_partkey <> b.l_partkey GROUP BY 1, 2),
-ends AS (SELECT l_orderkey, arg_min(l_partkey, step) AS first, arg_max(l_partkey, step) AS last FROM steps WHERE l_orderkey % 10 = 0 GROUP BY 1),
+ends AS (SELECT l_orderkey, arg_min(l_partkey, step) AS first, arg_max(l_partkey, step) AS last FROM steps GROUP BY 1),
 nodes AS (
   SELECT 'Folder:' || r_name AS id, 'Folder' AS label, r_name AS name, NULL::VARCHAR AS filePath, NULL::BIGINT AS startLine, NULL::BIGINT AS endLine, NULL::BOOLEAN AS isExported, NULL::VARCHAR AS method, NULL::VARCHAR AS entryPointId, NULL::VARCHAR AS terminalId FROM region
   UNION ALL SELECT 'Interface:' || n_name, 'Interface', n_name, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM nation
   UNION ALL SELECT 'Class:S' || s_suppkey, 'Class', s_name, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM supplier
   UNION ALL SELECT 'Method:P' || p_partkey, 'Method', p_name, p_brand, p_partkey * 10, p_partkey * 10 + p_size, p_size > 25, NULL, NULL, NULL FROM part
   UNION ALL SELECT 'Function:C' || c_custkey, 'Function', c_name, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM customer
-  UNION ALL SELECT 'proc_' || o_orderkey, 'Process', o_orderpriority, NULL, NULL, NULL, NULL, NULL, 'Method:P' || first, 'Method:P' || last FROM orders LEFT JOIN ends ON o_orderkey = l_orderkey WHERE o_orderkey % 10 = 0
+  UNION ALL SELECT 'proc_' || o_orderkey, 'Process', o_orderpriority, NULL, NULL, NULL, NULL, NULL, 'Method:P' || first, 'Method:P' || last FROM orders LEFT JOIN ends ON o_orderkey = l_orderkey
   UNION ALL SELECT DISTINCT 'comm_' || c_mktsegment, 'Community', c_mktsegment, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM customer
   UNION ALL SELECT DISTINCT 'Route:' || o_orderstatus || ' /' || o_orderpriority, 'Route', '/' || o_orderpriority, NULL, NULL, NULL, NULL, o_orderstatus, NULL, NULL FROM orders
   UNION ALL SELECT 'File:' || doc_id, 'File', source, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM documents),
@@ -124,7 +123,7 @@ edges AS (
   UNION ALL SELECT 'Class:S' || s_suppkey, 'Interface:' || n_name, 'IMPLEMENTS', 1.0, 'fixture', 0, 0 FROM supplier JOIN nation ON s_nationkey = n_nationkey
   UNION ALL SELECT DISTINCT 'Class:S' || l_suppkey, 'Method:P' || l_partkey, 'HAS_METHOD', 1.0, 'fixture', 0, 0 FROM lineitem
   UNION ALL SELECT 'Method:P' || src, 'Method:P' || dst, 'CALLS', confidence, CASE WHEN verified = 1 THEN 'LSP: fixture' ELSE 'fixture' END, 0, emit_ord FROM calls
-  UNION ALL SELECT 'Method:P' || l_partkey, 'proc_' || l_orderkey, 'STEP_IN_PROCESS', 1.0, 'fixture', step, 0 FROM steps WHERE l_orderkey % 10 = 0
+  UNION ALL SELECT 'Method:P' || l_partkey, 'proc_' || l_orderkey, 'STEP_IN_PROCESS', 1.0, 'fixture', step, 0 FROM steps
   UNION ALL SELECT 'Function:C' || c_custkey, 'comm_' || c_mktsegment, 'MEMBER_OF', 1.0, 'fixture', 0, 0 FROM customer)
 """
 

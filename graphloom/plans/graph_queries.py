@@ -25,7 +25,7 @@ up AS (SELECT class, ancestor, depth, kind, row_number() OVER (PARTITION BY clas
   FROM (SELECT *, row_number() OVER (PARTITION BY class, ancestor ORDER BY depth, path) AS rn FROM r) WHERE rn = 1),
 mem AS (SELECT 'S' || l_suppkey AS class, 'S' || l_suppkey || '.P' || p_partkey AS method, p_brand || '.' || (p_size % 9) AS name, p_size = 1 AS is_property,
     CASE WHEN p_size % 5 = 0 THEN []::VARCHAR[] ELSE [p_type] END AS types, CASE WHEN p_size % 7 = 0 THEN NULL ELSE p_size % 3 END AS n
-  FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) JOIN part ON p_partkey = l_partkey WHERE p_partkey % 10 = 0),
+  FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) JOIN part ON p_partkey = l_partkey),
 conf AS (SELECT u.class, m.name, arg_min(m.method, (u.mro_pos, u.ancestor, m.method)) AS first_def, count(DISTINCT m.method) AS k,
     arg_min(m.method, (u.mro_pos, u.ancestor, m.method)) FILTER (u.kind <> 'IMPLEMENTS') AS first_class
   FROM up u JOIN mem m ON m.class = u.ancestor AND NOT m.is_property GROUP BY 1, 2 HAVING count(DISTINCT m.method) >= 2),
@@ -47,8 +47,8 @@ def _parents(spark, sf):
 
 
 def _members(spark, sf):
-    part = X.table(spark, sf, "part").filter("p_partkey % 10 = 0")
-    li = X.table(spark, sf, "lineitem").filter("l_partkey % 10 = 0").select("l_suppkey", "l_partkey").distinct()
+    part = X.table(spark, sf, "part")
+    li = X.table(spark, sf, "lineitem").select("l_suppkey", "l_partkey").distinct()
     x = li.join(part, c("l_partkey") == c("p_partkey"))
     cls = F.concat(F.lit("S"), c("l_suppkey").cast("string"))
     return x.select(cls.alias("class"), F.concat(cls, F.lit(".P"), c("p_partkey").cast("string")).alias("method"), F.concat_ws(".", "p_brand", (c("p_size") % 9).cast("string")).alias("name"), (c("p_size") == 1).alias("is_property"), F.when(c("p_size") % 5 == 0, F.array().cast("array<string>")).otherwise(F.array("p_type")).alias("types"), F.when(c("p_size") % 7 != 0, c("p_size") % 3).alias("count"))
@@ -199,12 +199,12 @@ def g4_candidates(spark, sf):
     return L.candidates(_scores(spark, sf))
 
 
-_SITES = "sites AS (SELECT DISTINCT p_brand AS filePath, p_partkey * 10 + 7 AS line FROM part WHERE p_partkey % 3 = 0)"
+_SITES = "sites AS (SELECT DISTINCT p_brand AS filePath, p_partkey * 10 + 7 AS line FROM part)"
 
 
 @query(X.sql("SELECT filePath, line, id FROM (SELECT s.filePath, s.line, n.id, row_number() OVER (PARTITION BY s.filePath, s.line ORDER BY n.endLine - n.startLine, n.id) AS rn FROM sites s JOIN nodes n ON n.label = 'Method' AND n.filePath = s.filePath AND n.startLine <= s.line AND s.line <= n.endLine) WHERE rn = 1", _SITES))
 def g5_enclosing_callable(spark, sf):
-    sites = X.table(spark, sf, "part").filter("p_partkey % 3 = 0").select(c("p_brand").alias("filePath"), (c("p_partkey") * 10 + 7).alias("line"))
+    sites = X.table(spark, sf, "part").select(c("p_brand").alias("filePath"), (c("p_partkey") * 10 + 7).alias("line"))
     return L.enclosing(sites, X.nodes(spark, sf, {"Method"}))
 
 
@@ -221,11 +221,11 @@ def g6_traces(spark, sf):
     return _traced(spark, sf)[0]
 
 
-_TRACES = "tr AS (SELECT l_orderkey AS o, list('Method:P' || l_partkey ORDER BY step) AS path FROM steps WHERE l_orderkey % 10 = 0 GROUP BY 1), ks AS (SELECT DISTINCT path, '->' || array_to_string(path, '->') || '->' AS k FROM tr)"
+_TRACES = "tr AS (SELECT l_orderkey AS o, list('Method:P' || l_partkey ORDER BY step) AS path FROM steps GROUP BY 1), ks AS (SELECT DISTINCT path, '->' || array_to_string(path, '->') || '->' AS k FROM tr)"
 
 
 def _orders(spark, sf):
-    s = X.steps(spark, sf).filter("l_orderkey % 10 = 0")
+    s = X.steps(spark, sf)
     return s.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "l_partkey"))), lambda x: F.concat(F.lit("Method:P"), x["l_partkey"].cast("string"))).alias("path")).select("path")
 
 
@@ -233,7 +233,7 @@ def _no_sinks(spark):
     return spark.createDataFrame([("Method:P1",), ("Method:P2",)], "id string")
 
 
-@query(X.sql("SELECT array_to_string(path, ',') AS path FROM ks a WHERE path[-1] IN ('Method:P1', 'Method:P2') OR NOT EXISTS (SELECT 1 FROM ks b WHERE len(b.path) > len(a.path) AND contains(b.k, a.k))", _TRACES))
+@query(X.sql("SELECT array_to_string(path, ',') AS path FROM ks a WHERE path[-1] IN ('Method:P1', 'Method:P2') OR k NOT IN (SELECT a.k FROM ks a JOIN (SELECT k, len(path) AS n, unnest(list_distinct(path)) AS node FROM ks) b ON b.node = a.path[1] AND b.n > len(a.path) AND contains(b.k, a.k))", _TRACES))
 def g8_drop_contained(spark, sf):
     return L.drop_contained(_orders(spark, sf), _no_sinks(spark)).select(F.array_join("path", ",").alias("path"))
 
@@ -279,9 +279,9 @@ def g13_flow_stats(spark, sf):
     return L.flow_stats(_processes(spark, sf)[0])
 
 
-@query(X.sql("SELECT r.o_orderkey::VARCHAR AS sourceId, p.id AS targetId, 'handler' AS reason FROM orders r JOIN nodes p ON p.label = 'Process' AND p.entryPointId = 'Method:P' || (r.o_orderkey % 100) WHERE r.o_orderkey < 200 UNION ALL SELECT r.o_orderkey::VARCHAR, p.id, 'file' FROM orders r JOIN nodes p ON p.label = 'Process' JOIN nodes m ON m.id = p.entryPointId AND m.filePath = 'Brand#1' || (r.o_orderkey % 5 + 1) WHERE r.o_orderkey < 200 AND NOT EXISTS (SELECT 1 FROM nodes q WHERE q.label = 'Process' AND q.entryPointId = 'Method:P' || (r.o_orderkey % 100))"))
+@query(X.sql("SELECT r.o_orderkey::VARCHAR AS sourceId, p.id AS targetId, 'handler' AS reason FROM orders r JOIN nodes p ON p.label = 'Process' AND p.entryPointId = 'Method:P' || r.o_custkey UNION ALL SELECT r.o_orderkey::VARCHAR, p.id, 'file' FROM orders r JOIN nodes p ON p.label = 'Process' JOIN nodes m ON m.id = p.entryPointId AND m.filePath = 'Brand#1' || (r.o_orderkey % 5 + 1) WHERE 'Method:P' || r.o_custkey NOT IN (SELECT q.entryPointId FROM nodes q WHERE q.label = 'Process' AND q.entryPointId IS NOT NULL)"))
 def g14_entry_links(spark, sf):
-    src = X.table(spark, sf, "orders").filter("o_orderkey < 200").select(c("o_orderkey").cast("string").alias("id"), F.concat(F.lit("Method:P"), (c("o_orderkey") % 100).cast("string")).alias("handlerId"), F.concat(F.lit("Brand#1"), (c("o_orderkey") % 5 + 1).cast("string")).alias("filePath"))
+    src = X.table(spark, sf, "orders").select(c("o_orderkey").cast("string").alias("id"), F.concat(F.lit("Method:P"), c("o_custkey").cast("string")).alias("handlerId"), F.concat(F.lit("Brand#1"), (c("o_orderkey") % 5 + 1).cast("string")).alias("filePath"))
     n = X.nodes(spark, sf, {"Method", "Process"})
     return L.entry_links(src, n.filter("label = 'Process'").select("id", "entryPointId"), n.filter("label = 'Method'"))
 
@@ -305,14 +305,9 @@ def g15_projection(spark, sf):
     return _proj(spark, sf)
 
 
-def _few_calls(spark, sf):
-    e = X.edges(spark, sf, {"CALLS"}).filter("confidence >= 0.95")
-    return M.projection(Graph(X.nodes(spark, sf, {"Method"}), e), large=False)
-
-
 @query()
 def g16_communities(spark, sf):
-    return M.detect(_few_calls(spark, sf))
+    return M.detect(_proj(spark, sf))
 
 
 @query("SELECT DENSE_RANK() OVER (ORDER BY f) - 1 AS num, source FROM (SELECT source, min(doc_id) AS f FROM documents GROUP BY source)")
@@ -348,24 +343,21 @@ def g22_modularity(spark, sf):
 
 # --- cycles and reachability ---------------------------------------------------------------------
 
-_SMALL = "small AS (SELECT src, dst FROM calls WHERE src < {0} AND dst < {0})"
-
-
-def _small(spark, sf, n: int = 150):
-    return X.calls(spark, sf).filter((c("src") < n) & (c("dst") < n)).select("src", "dst")
+_SCC = "pairs AS MATERIALIZED (SELECT src, dst FROM calls), reach AS (SELECT src, dst FROM pairs UNION SELECT r.src, s.dst FROM reach r JOIN pairs s ON s.src = r.dst), back AS (SELECT a.src AS node, min(a.dst) AS least, count(*) AS n FROM reach a JOIN reach b ON b.src = a.dst AND b.dst = a.src GROUP BY 1), ns AS (SELECT src AS n FROM pairs UNION SELECT dst FROM pairs), scc AS (SELECT ns.n AS node, least(ns.n, coalesce(back.least, ns.n)) AS scc, back.n IS NOT NULL AS cyclic FROM ns LEFT JOIN back ON back.node = ns.n)"
 
 
-_REACH = _SMALL.format(150) + ", reach AS (SELECT src, dst FROM small UNION SELECT r.src, s.dst FROM reach r JOIN small s ON s.src = r.dst), ns AS (SELECT src AS n FROM small UNION SELECT dst FROM small), scc AS (SELECT n AS node, least(n, coalesce((SELECT min(a.dst) FROM reach a JOIN reach b ON b.src = a.dst AND b.dst = a.src WHERE a.src = n), n)) AS scc, EXISTS (SELECT 1 FROM reach WHERE src = n AND dst = n) AS cyclic FROM ns)"
+def _pairs(spark, sf):
+    return X.calls(spark, sf).select("src", "dst")
 
 
-@query(X.sql("SELECT node, scc, count(*) OVER (PARTITION BY scc) AS size FROM scc", _REACH, recursive=True))
+@query(X.sql("SELECT node, scc, count(*) OVER (PARTITION BY scc) AS size FROM scc", _SCC, recursive=True))
 def g23_strong_components(spark, sf):
-    return C.components_by_closure(_small(spark, sf)).select("node", "scc", "size")
+    return C.strongly_connected(_pairs(spark, sf)).select("node", "scc", "size")
 
 
-@query(X.sql("SELECT DISTINCT scc FROM scc WHERE cyclic", _REACH, recursive=True))
+@query(X.sql("SELECT DISTINCT scc FROM scc WHERE cyclic", _SCC, recursive=True))
 def g24_cyclic_components(spark, sf):
-    return C.components_by_closure(_small(spark, sf)).filter("cyclic").select("scc").distinct()
+    return C.strongly_connected(_pairs(spark, sf)).filter("cyclic").select("scc").distinct()
 
 
 _CYCLES = "tr AS (SELECT event_type AS s, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS d FROM events), small AS (SELECT DISTINCT s, d FROM tr WHERE d IS NOT NULL), w AS (SELECT s AS start, d AS cur, [s] AS path FROM small WHERE d >= s UNION ALL SELECT w.start, e.d, list_append(w.path, w.cur) FROM w JOIN small e ON e.s = w.cur WHERE w.cur <> w.start AND NOT list_contains(w.path, w.cur) AND e.d >= w.start)"
@@ -385,8 +377,24 @@ def g25_elementary_cycles(spark, sf):
 
 
 @query()
+def g25_call_cycles(spark, sf):
+    """Cycles of the whole call graph; where they are more than the limit, a representative of each component."""
+    e = X.edges(spark, sf, {"CALLS"}).select(c("sourceId").alias("source"), c("targetId").alias("target"))
+    return M.import_cycles(e).select("component", "size", "kind", F.array_join("cycle", ">").alias("cycle"))
+
+
+#: The first shortest cycle from the least node of each cyclic component, in the order of its nodes' ids.
+_SHORTEST = _SCC + """, comp AS MATERIALIZED (SELECT min('Method:P' || node) AS component, count(*) AS size, scc FROM scc WHERE cyclic GROUP BY scc),
+e AS MATERIALIZED (SELECT 'Method:P' || a.src AS s, 'Method:P' || a.dst AS d FROM pairs a JOIN scc x ON x.node = a.src JOIN scc y ON y.node = a.dst AND x.scc = y.scc),
+dist AS (SELECT component, component AS n, 0 AS depth FROM comp UNION SELECT dist.component, e.d, depth + 1 FROM dist JOIN e ON e.s = dist.n WHERE depth < 12 AND (depth = 0 OR n <> component)),
+short AS (SELECT component, min(depth) AS k FROM dist WHERE n = component AND depth > 0 GROUP BY 1),
+way AS (SELECT component, component AS n, [component] AS path FROM comp UNION ALL SELECT w.component, e.d, list_append(w.path, e.d) FROM way w JOIN e ON e.s = w.n JOIN short USING (component) WHERE len(w.path) < short.k)"""
+
+
+@query(X.sql("SELECT component, size, 'representatives' AS kind, array_to_string(min(path), '>') AS cycle FROM way JOIN short USING (component) JOIN comp USING (component) JOIN e ON e.s = way.n AND e.d = component WHERE len(path) = short.k GROUP BY component, size", _SHORTEST, recursive=True))
 def g26_representative_cycles(spark, sf):
-    return M.import_cycles(_transitions(spark, sf), most=0).select("component", "size", "kind", F.array_join("cycle", ">").alias("cycle"))
+    e = X.edges(spark, sf, {"CALLS"}).select(c("sourceId").alias("source"), c("targetId").alias("target"))
+    return M.import_cycles(e, most=0).select("component", "size", "kind", F.array_join("cycle", ">").alias("cycle"))
 
 
 _TREE = "small AS (SELECT sourceId AS s, targetId AS d FROM edges WHERE type = 'CALLS'), t AS (SELECT 'Method:P7' AS n, 0 AS depth UNION SELECT d, depth + 1 FROM t JOIN small ON s = t.n WHERE depth < 3)"
@@ -398,9 +406,9 @@ def g27_call_tree(spark, sf):
     return C.tree(e, "Method:P7", 3)
 
 
-@query(X.sql("SELECT start, n AS node, min(depth) AS depth FROM t GROUP BY 1, 2", _SMALL.format(300) + ", t AS (SELECT x AS start, x AS n, 0 AS depth FROM (VALUES (7::BIGINT), (11), (250)) AS v(x) UNION SELECT t.start, s.dst, t.depth + 1 FROM t JOIN small s ON s.src = t.n WHERE depth < 4)", recursive=True))
+@query(X.sql("SELECT start, n AS node, min(depth) AS depth FROM t GROUP BY 1, 2", "t AS (SELECT x AS start, x AS n, 0 AS depth FROM (VALUES (7::BIGINT), (11), (250)) AS v(x) UNION SELECT t.start, s.dst, t.depth + 1 FROM t JOIN calls s ON s.src = t.n WHERE depth < 4)", recursive=True))
 def g28_bounded_search(spark, sf):
-    return C.bounded_search(_small(spark, sf, 300), spark.createDataFrame([(7,), (11,), (250,)], "start long"), 4)
+    return C.bounded_search(_pairs(spark, sf), spark.createDataFrame([(7,), (11,), (250,)], "start long"), 4)
 
 
 @query("SELECT * FROM (VALUES ('v1'), ('v4')) AS t(id)")

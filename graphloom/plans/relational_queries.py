@@ -43,10 +43,10 @@ def c5_equality(spark, sf):
     return X.nodes(spark, sf, {"Method"}).filter("id = 'Method:P7'").select("id", "name", "filePath")
 
 
-@query(X.sql("SELECT a.name AS caller, b.name AS callee, e.confidence FROM edges e JOIN nodes a ON a.id = e.sourceId JOIN nodes b ON b.id = e.targetId WHERE e.type = 'CALLS' AND contains(a.name, 'part 1')"))
+@query(X.sql("SELECT a.name AS caller, b.name AS callee, e.confidence FROM edges e JOIN nodes a ON a.id = e.sourceId JOIN nodes b ON b.id = e.targetId WHERE e.type = 'CALLS' AND contains(a.name, 'ea')"))
 def c6_contains(spark, sf):
     g = X.graph(spark, sf, {"Method"}, {"CALLS"})
-    return R.match_edge(g, ["CALLS"], src=c("name").contains("part 1")).select(c("a_name").alias("caller"), c("b_name").alias("callee"), "confidence")
+    return R.match_edge(g, ["CALLS"], src=c("name").contains("ea")).select(c("a_name").alias("caller"), c("b_name").alias("callee"), "confidence")
 
 
 @query(X.sql("SELECT type, count(*) AS n FROM edges WHERE type IN ('CALLS', 'CONTAINS', 'HAS_METHOD') AND type NOT IN ('CONTAINS') GROUP BY type"))
@@ -228,9 +228,9 @@ def c36_calls_by_name(spark, sf):
     return R.match_edge(g, ["CALLS"]).select(c("a_name").alias("caller"), c("b_name").alias("callee"), F.when(R.verified(), "LSP").otherwise("AST").alias("source"))
 
 
-@query(X.sql("SELECT b.name AS callee, count(*) AS calls FROM edges e JOIN nodes a ON a.id = e.sourceId AND a.label = 'Method' JOIN nodes b ON b.id = e.targetId AND b.label = 'Method' WHERE e.type = 'CALLS' AND e.confidence >= 0.8 AND contains(a.name, '1') GROUP BY 1 ORDER BY calls DESC, callee LIMIT 20"))
+@query(X.sql("SELECT b.name AS callee, count(*) AS calls FROM edges e JOIN nodes a ON a.id = e.sourceId AND a.label = 'Method' JOIN nodes b ON b.id = e.targetId AND b.label = 'Method' WHERE e.type = 'CALLS' AND e.confidence >= 0.8 AND contains(a.name, 'e') GROUP BY 1 ORDER BY calls DESC, callee LIMIT 20"))
 def c37_pattern_text(spark, sf):
-    return cypher.run(X.graph(spark, sf, {"Method"}, {"CALLS"}), "MATCH (a:Method)-[r:CALLS]->(b:Method) WHERE r.confidence >= 0.8 AND a.name CONTAINS $x RETURN b.name AS callee, count(*) AS calls ORDER BY calls DESC, callee LIMIT 20", {"x": "1"})
+    return cypher.run(X.graph(spark, sf, {"Method"}, {"CALLS"}), "MATCH (a:Method)-[r:CALLS]->(b:Method) WHERE r.confidence >= 0.8 AND a.name CONTAINS $x RETURN b.name AS callee, count(*) AS calls ORDER BY calls DESC, callee LIMIT 20", {"x": "e"})
 
 
 @query(X.sql("SELECT id, name FROM nodes WHERE label = 'Interface' AND name >= 'J'"))

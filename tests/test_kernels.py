@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from graphloom.operators import closure as C
 from graphloom.operators import communities as M
 from graphloom.operators import flows as L
 from graphloom.operators import hierarchy as H
@@ -55,10 +56,107 @@ def test_strong_components(g):
 def test_communities_are_valid_and_stable():
     a = [(f"a{i}", f"a{j}") for i in range(6) for j in range(i)]
     b = [(f"b{i}", f"b{j}") for i in range(6) for j in range(i)]
-    found = M.local_moves([*a, *b, ("a0", "b0")])
+    edges = [(x, y, 1.0) for x, y in [*a, *b, ("a0", "b0")]]
+    found = M.local_moves(edges)
     assert len({found[f"a{i}"] for i in range(6)}) == len({found[f"b{i}"] for i in range(6)}) == 1
     assert found["a0"] != found["b0"]
-    assert found == M.local_moves([*a, *b, ("a0", "b0")])
+    assert found == M.local_moves(edges)
+
+
+def test_one_long_ring():
+    """Its only cycle is told at once: what is left of a component is no component any more."""
+    ring = {f"{k:05d}": [f"{(k + 1) % 6000:05d}"] for k in range(6000)}
+    assert len(M.elementary_cycles(ring, work=50_000)) == 1
+
+
+def labelled_graph(seed, n=60, m=90):
+    rng = random.Random(seed)
+    return sorted({(f"n{rng.randrange(n):02d}", f"n{rng.randrange(n):02d}") for _ in range(m)} | {("t1", "t2"), ("t2", "t3"), ("self", "self")})
+
+
+@pytest.mark.parametrize(("seed", "kernel"), [(1, 10**6), (1, 0), (2, 0), (3, 40)])
+def test_strongly_connected(spark, seed, kernel):
+    """By the kernel and by rounds of joins, against reachability."""
+    e = labelled_graph(seed)
+    names = sorted({v for x in e for v in x})
+    reach = {v: {b for a, b in e if a == v} for v in names}
+    for _ in names:
+        for v in names:
+            reach[v] |= {w for u in reach[v] for w in reach[u]}
+    same = {v: [u for u in names if u == v or (u in reach[v] and v in reach[u])] for v in names}
+    want = sorted((v, same[v][0], len(same[v]), v in reach[v]) for v in names)
+    got = C.strongly_connected(spark.createDataFrame([*e, e[0], (None, "n01")], "src string, dst string"), kernel).collect()
+    assert sorted(map(tuple, got)) == want
+
+
+@pytest.mark.parametrize("kernel", [10**6, 0])
+def test_import_cycles(spark, kernel):
+    """Complete in the kernel; representatives where a component is too large for it."""
+    e = labelled_graph(4, 20, 34)
+    table = {}
+    for a, b in e:
+        table.setdefault(a, []).append(b)
+    parts = [p for p in M.strong_components(table) if len(p) > 1 or p[0] in table.get(p[0], [])]
+    got = M.import_cycles(spark.createDataFrame(e, "source string, target string"), kernel_edges=kernel).collect()
+    if kernel:
+        assert sorted(list(r.cycle) for r in got) == M.elementary_cycles(table) and {r.kind for r in got} == {"complete"}
+    else:
+        inside = {p[0]: {v: [u for u in table.get(v, []) if u in p] for v in p} for p in parts}
+        assert {r.component: list(r.cycle) for r in got} == {k: M.shortest_cycle(t, k) for k, t in inside.items()}
+        assert {r.kind for r in got} == {"representatives"}
+
+
+@pytest.mark.parametrize("kernel", [10**6, 60])
+def test_detect(spark, kernel):
+    """Communities lie inside components, are connected, and are no worse than single nodes; dense groups stay together."""
+    rng = random.Random(5)
+    pairs = {tuple(sorted((f"{g}{a}", f"{g}{b}"))) for g in "abcdef" for a in range(8) for b in range(a) if rng.random() < 0.8}
+    pairs |= {("a0", "b0"), ("b1", "c1"), ("c2", "d2"), ("x1", "x2")}
+    got = {r.id: r.community for r in M.detect(spark.createDataFrame(sorted(pairs), "a string, b string"), kernel_edges=kernel).collect()}
+    assert set(got) == {v for p in pairs for v in p} and got["x1"] == got["x2"] != got["a0"]
+    for c in set(got.values()):
+        members = {v for v in got if got[v] == c}
+        seen, todo = set(), [min(members)]
+        while todo:
+            v = todo.pop()
+            if v not in seen:
+                seen.add(v)
+                todo += [u for p in pairs if v in p for u in p if u in members]
+        assert seen == members
+    for g in "abcdef":
+        assert len({got[f"{g}{k}"] for k in range(1, 8) if f"{g}{k}" in got}) <= 2
+    m = len(pairs)
+    degree = {v: sum(v in p for p in pairs) for v in got}
+    q = sum(got[a] == got[b] for a, b in pairs) / m - sum(sum(degree[v] for v in got if got[v] == c) ** 2 for c in set(got.values())) / (4 * m * m)
+    assert q > 0.6
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_block_analyses(seed):
+    """Dominators, frontiers, order and condensation by their definitions."""
+    rng = random.Random(seed)
+    n = 7
+    edges = sorted({(rng.randrange(n), rng.randrange(n), "seq") for _ in range(11)})
+    live = P.reachable(n, 0, edges)
+    without = lambda d: P.reachable(n, 0, [e for e in edges if d not in e[:2]]) if d else set()
+    dom = {v: {d for d in live if d == v or v not in without(d)} for v in live}
+    idom = P.dominators(n, 0, edges)
+    for v in range(n):
+        strict = dom.get(v, {v}) - {v}
+        assert idom[v] == (max(strict, key=lambda d: len(dom[d])) if v in live and strict else -1)
+    want = {}
+    for a, b, _ in edges:
+        for d in dom.get(a, ()):
+            if d not in dom[b] - {b}:
+                want.setdefault(d, set()).add(b)
+    assert {k: set(v) for k, v in P.frontiers(n, 0, [e for e in edges if e[0] in live]).items()} == want
+    order = P.reverse_postorder(0, edges)
+    assert set(order) == live and order[0] == 0
+    comp = P.condensed(n, edges)
+    at = {v: k for k, v in enumerate(order)}
+    assert all(at[a] < at[b] for a, b, _ in edges if a in live and comp[a] != comp[b])
+    reach = {v: P.reachable(n, v, edges) for v in range(n)}
+    assert comp == [min(u for u in range(n) if u in reach[v] and v in reach[u]) for v in range(n)]
 
 
 def test_c3():
