@@ -10,10 +10,15 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from py4j.protocol import Py4JError
+from pyspark.accumulators import Accumulator
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..session import settle
 from .graph import Graph
 from .structure import folders, imports, lines
 
@@ -32,6 +37,48 @@ DEFINITIONS = [
     (".ts", "Function", r"^\s*(?:export\s+)?const\s+(\w+)\s*=\s*(?:async\s*)?\("),
     (".go", "Function", r"^func\s+(?:\([^)]*\)\s*)?(\w+)\s*\("),
     (".cs", "Class", r"\bclass\s+(\w+)"),
+    (".cs", "Interface", r"\binterface\s+(\w+)"),
+    (".cs", "Method", r"^\s+(?:public|protected|private|internal)\s+(?:static\s+|async\s+|override\s+|virtual\s+)*[\w<>\[\], ?]+\s+(\w+)\s*\("),
+    (".js", "Class", r"^\s*(?:export\s+)?(?:default\s+)?class\s+(\w+)"),
+    (".js", "Function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s+(\w+)"),
+    (".js", "Function", r"^\s*(?:export\s+)?const\s+(\w+)\s*=\s*(?:async\s*)?\("),
+    (".tsx", "Function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s+(\w+)"),
+    (".tsx", "Function", r"^\s*(?:export\s+)?const\s+(\w+)\s*(?::[^=]+)?=\s*(?:async\s*)?\("),
+    (".jsx", "Function", r"^\s*(?:export\s+)?(?:default\s+)?function\s+(\w+)"),
+    (".vue", "Function", r"^\s*(?:async\s+)?function\s+(\w+)"),
+    (".kt", "Interface", r"\binterface\s+(\w+)"),
+    (".kt", "Class", r"^\s*(?:(?:public|private|internal|open|abstract|data|sealed|enum)\s+)*(?:class|object)\s+(\w+)"),
+    (".kt", "Method", r"^\s+(?:(?:public|private|internal|protected|open|override|suspend)\s+)*fun\s+(?:<[^>]*>\s*)?(?:\w+\.)?(\w+)\s*\("),
+    (".kt", "Function", r"^(?:(?:public|private|internal|suspend|inline)\s+)*fun\s+(?:<[^>]*>\s*)?(?:\w+\.)?(\w+)\s*\("),
+    (".rs", "Struct", r"^\s*(?:pub(?:\([a-z]+\))?\s+)?struct\s+(\w+)"),
+    (".rs", "Enum", r"^\s*(?:pub(?:\([a-z]+\))?\s+)?enum\s+(\w+)"),
+    (".rs", "Trait", r"^\s*(?:pub(?:\([a-z]+\))?\s+)?trait\s+(\w+)"),
+    (".rs", "Method", r"^\s+(?:pub(?:\([a-z]+\))?\s+)?(?:async\s+|unsafe\s+|const\s+)*fn\s+(\w+)"),
+    (".rs", "Function", r"^(?:pub(?:\([a-z]+\))?\s+)?(?:async\s+|unsafe\s+|const\s+)*fn\s+(\w+)"),
+    (".go", "Struct", r"^type\s+(\w+)\s+struct\b"),
+    (".go", "Interface", r"^type\s+(\w+)\s+interface\b"),
+    (".php", "Class", r"^\s*(?:abstract\s+|final\s+)?class\s+(\w+)"),
+    (".php", "Interface", r"^\s*interface\s+(\w+)"),
+    (".php", "Trait", r"^\s*trait\s+(\w+)"),
+    (".php", "Method", r"^\s+(?:(?:public|protected|private|static|abstract|final)\s+)*function\s+&?(\w+)"),
+    (".php", "Function", r"^function\s+&?(\w+)"),
+    (".rb", "Class", r"^\s*class\s+(\w+)"),
+    (".rb", "Module", r"^\s*module\s+(\w+)"),
+    (".rb", "Method", r"^\s+def\s+(?:self\.)?(\w+[?!]?)"),
+    (".rb", "Function", r"^def\s+(\w+[?!]?)"),
+    (".swift", "Class", r"^\s*(?:(?:public|open|final|private|internal)\s+)*class\s+(\w+)"),
+    (".swift", "Struct", r"^\s*(?:(?:public|private|internal)\s+)*struct\s+(\w+)"),
+    (".swift", "Interface", r"^\s*(?:public\s+)?protocol\s+(\w+)"),
+    (".swift", "Method", r"^\s+(?:(?:public|private|internal|open|override|static|class|mutating)\s+)*func\s+(\w+)"),
+    (".swift", "Function", r"^(?:public\s+)?func\s+(\w+)"),
+    (".dart", "Class", r"^\s*(?:abstract\s+)?class\s+(\w+)"),
+    (".dart", "Function", r"^(?:[\w<>?]+\s+)(\w+)\s*\([^;]*\)\s*(?:async\s*)?\{"),
+    (".c", "Function", r"^(?:static\s+|inline\s+|const\s+|unsigned\s+|struct\s+)*\w+[\s*]+(\w+)\s*\([^;]*$"),
+    (".c", "Struct", r"^\s*(?:typedef\s+)?struct\s+(\w+)"),
+    (".cpp", "Class", r"^\s*class\s+(\w+)"),
+    (".cpp", "Struct", r"^\s*struct\s+(\w+)"),
+    (".cpp", "Method", r"^[\w:<>*&\s]+\s[\w<>]+::(~?\w+)\s*\("),
+    (".cpp", "Function", r"^(?:static\s+|inline\s+|const\s+)*[\w:<>]+[\s*&]+(\w+)\s*\([^;]*$"),
 ]
 KEYWORDS = ["if", "for", "while", "switch", "catch", "return", "new", "function", "def", "class", "super", "elif", "print", "throw", "else"]
 
@@ -46,7 +93,8 @@ def symbols(files: DataFrame) -> DataFrame:
     s = text.withColumn("d", F.coalesce(*found)).filter("d is not null and d.name <> ''").filter(~F.col("d.name").isin(KEYWORDS))
     total = files.select("path", F.size(F.split("content", "\n")).alias("total"))
     end = F.coalesce(F.lead("line").over(W.partitionBy("path").orderBy("line")) - 1, F.col("total"))
-    exported = F.when(F.col("path").endswith(".py"), ~F.col("d.name").startswith("_")).otherwise(F.col("text").rlike(r"\b(public|export)\b"))
+    exported = F.when(F.col("path").rlike(r"\.(py|rb|dart)$"), ~F.col("d.name").startswith("_")).when(F.col("path").endswith(".go"), F.col("d.name").rlike("^[A-Z]"))
+    exported = exported.when(F.col("path").rlike(r"\.(c|cpp)$"), ~F.col("text").rlike(r"\bstatic\b")).when(F.col("path").rlike(r"\.(kt|php)$"), ~F.col("text").rlike(r"\b(private|protected|internal)\b")).otherwise(F.col("text").rlike(r"\b(public|export|pub|open)\b"))
     return s.join(total, "path").select("path", "line", end.alias("endLine"), "d.label", "d.name", exported.alias("isExported"))
 
 
@@ -89,9 +137,9 @@ def repository_graph(files: DataFrame) -> Graph:
     return Graph(places.unionByName(defs), edge(contains, "CONTAINS").union(edge(defines, "DEFINES")).union(edge(imported, "IMPORTS")).union(edge(calls(files, s), "CALLS")))
 
 
-def plug_in(files: DataFrame, extractor: Callable[[str, str], list[tuple]], schema: str) -> DataFrame:
-    """Rows of any extractor of (path, content), in batches; a file that fails gives none."""
-    names = [p.strip().split(" ")[0] for p in schema.split(",")]
+def plug_in(files: DataFrame, extractor: Callable[[str, str], list[tuple]], schema: str, failed: Accumulator | None = None) -> DataFrame:
+    """Rows of any extractor of (path, content), in batches; a file that fails gives none and adds one to the counter."""
+    names = [f.name for f in T.StructType.fromDDL(schema).fields]
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
@@ -100,7 +148,8 @@ def plug_in(files: DataFrame, extractor: Callable[[str, str], list[tuple]], sche
                 try:
                     rows += extractor(path, content or "")
                 except Exception:  # one unreadable file must not stop a repository
-                    continue
+                    if failed is not None:
+                        failed.add(1)
             yield pd.DataFrame(rows, columns=names)
 
     return files.select("path", "content").mapInPandas(run, schema)
@@ -249,13 +298,17 @@ def pointcut_pattern(pointcut: Column) -> Column:
     return F.concat(F.lit("^"), body, F.when(pointcut.startswith("within"), "(\\.[^.]+)?").otherwise(""), F.lit("$"))
 
 
-def advised(aspects: DataFrame, candidates: DataFrame, budget: int = 10_000) -> DataFrame:
+def advised(aspects: DataFrame, candidates: DataFrame) -> DataFrame:
     """ADVISED_BY: methods (method, qualified, annotations) that a pointcut (aspect, pointcut) takes; 1.0, for annotations
-    0.95. Pointcuts are few: they are a broadcast-sized table that adaptive execution may send, up to the budget."""
-    few = aspects.limit(budget)
+    0.95. A pointcut meets only methods that share a whole name with it: the method's own where the pointcut spells it out, else
+    its class, else a package; pointcuts of wild cards alone meet all methods, once each pattern."""
     note = F.regexp_extract("pointcut", r"@annotation\(\s*(?:[\w.]*\.)?(\w+)\s*\)", 1)
-    tagged = few.withColumn("note", note).filter("note <> ''").join(candidates.select("method", F.explode("annotations").alias("note")), "note").select("method", "aspect", F.lit(0.95).alias("confidence"))
-    named = few.filter(F.col("pointcut").rlike(r"^(execution|within)\(")).withColumn("rx", pointcut_pattern(F.col("pointcut"))).join(candidates, F.regexp_like("qualified", F.col("rx"))).select("method", "aspect", F.lit(1.0).alias("confidence"))
+    tagged = aspects.withColumn("note", note).filter("note <> ''").join(candidates.select("method", F.explode("annotations").alias("note")), "note").select("method", "aspect", F.lit(0.95).alias("confidence"))
+    body = F.regexp_extract("pointcut", r"(?:execution|within)\(\s*(?:public\s+|protected\s+)?(?:[\w*.<>]+\s+)?([\w.*]+)", 1)
+    whole = F.filter(F.split(body, r"\."), lambda p: (p != "") & ~p.contains("*"))
+    x = aspects.filter(F.col("pointcut").rlike(r"^(execution|within)\(")).withColumn("rx", pointcut_pattern(F.col("pointcut"))).withColumn("word", F.coalesce(F.try_element_at(whole, F.lit(-1)), F.lit("*")))
+    words = candidates.select("method", "qualified", F.explode(F.array_distinct(F.concat(F.split("qualified", r"\."), F.array(F.lit("*"))))).alias("word"))
+    named = x.join(words, "word").filter(F.regexp_like("qualified", F.col("rx"))).select("method", "aspect", F.lit(1.0).alias("confidence"))
     return named.union(tagged).groupBy("method", "aspect").agg(F.max("confidence").alias("confidence"))
 
 
@@ -286,28 +339,34 @@ def first_traces(traces: DataFrame, scores: DataFrame, most: int) -> DataFrame:
     return traces.join(n.withColumn("before", before).filter(F.col("before") < 2 * most).select("entry"), "entry", "left_semi")
 
 
-def hybrid(lexical: Callable[[], DataFrame], semantic: Callable[[], DataFrame], limit: int = 10) -> DataFrame:
-    """Fusion of two searches that give (filePath, rank); one that cannot be planned is left out, both failing is an error."""
-    from pyspark.errors import PySparkException
+def search_all(indexes: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame | None, dict[str, str]]:
+    """Rows of all indexes (each a function that gives one table), with a column `index`, and why others failed. Each one is run
+    by itself, so an index that is missing or broken when it is read costs its own rows only; None if all fail."""
+    out, failed = None, {}
+    for name, ask in indexes.items():
+        try:
+            got = settle(ask().withColumn("index", F.lit(name)))
+        except (PySparkException, Py4JError) as e:
+            failed[name] = str(e).splitlines()[0]
+            continue
+        out = got if out is None else out.unionByName(got)
+    return out, failed
+
 
+def hybrid(lexical: Callable[[], DataFrame], semantic: Callable[[], DataFrame], limit: int = 10) -> DataFrame:
+    """Fusion of two searches that give (filePath, rank); one that fails, when it is planned or when it runs, is left out, both
+    failing is an error."""
     from .search import fuse
 
-    got, last = {}, None
-    for name, ask in (("bm25", lexical), ("semantic", semantic)):
-        try:
-            got[name] = ask()
-        except PySparkException as e:
-            last = e
-    if not got:
-        raise last
-    return fuse(got, limit)
+    got, failed = search_all({"bm25": lexical, "semantic": semantic})
+    if got is None:
+        raise ValueError(f"no search succeeded: {failed}")
+    return fuse({name: got.filter(F.col("index") == name).select("filePath", "rank") for name in ("bm25", "semantic") if name not in failed}, limit)
 
 
 def label_spreading(pairs: DataFrame, rounds: int = 8) -> DataFrame:
     """id, community: another engine for communities: each node takes the most frequent label around it, the smallest among
     equals. Joins only, a fixed number of rounds."""
-    from ..session import settle
-
     both = settle(pairs.select(F.col("a").alias("id"), F.col("b").alias("n")).union(pairs.select("b", "a")).distinct())
     label = settle(both.select("id", F.col("id").alias("community")).distinct())
     for _ in range(rounds):

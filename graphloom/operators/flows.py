@@ -7,55 +7,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .conventions import definition_hint, language_of, name_multiplier, path_hint
+
 MAX_DEPTH, MAX_BRANCHING, MIN_STEPS = 10, 4, 3
 MAX_CANDIDATES = 200
 
-#: Names of entry points, of utilities, and parts of test and utility paths.
-ENTRY_NAMES = [r"(?i)^(main|init|bootstrap|start|run|setup|configure)$", r"^(handle|on|process|execute|perform|dispatch|trigger|fire|emit)[A-Z]", r"(Handler|Controller)$"]
-UTILITY_NAMES = [
-    r"^(get|set|is|has|can|should|will|did)[A-Z]", r"^_", r"(?i)^(format|parse|validate|convert|transform)", r"(?i)^(log|debug|error|warn|info)$", r"^(to|from)[A-Z]",
-    r"(?i)^(encode|decode)", r"(?i)^(serialize|deserialize)", r"(?i)^(clone|copy|deep)", r"(?i)^(merge|extend|assign)", r"(?i)^(filter|map|reduce|sort|find)", r"(Helper|Util|Utils)$", r"(?i)^(utils?|helpers?)$",
-]
+#: Parts and ends of test and utility paths.
 TEST_PARTS = ".test. .spec. __tests__/ __mocks__/ /test/ /tests/ /testing/ /test_ /src/test/ uitests/ .tests/ .test/ .integrationtests/ .unittests/ /testproject/ /tests/feature/ /tests/unit/ /spec/ /test/fixtures/".split()
 TEST_ENDS = "_test.py _test.go tests.swift test.swift tests.cs test.cs test.php spec.php _spec.rb _test.rb".split()
 UTILITY_PARTS = "/utils/ /util/ /helpers/ /helper/ /common/ /shared/ /lib/".split()
 UTILITY_ENDS = "/utils.ts /utils.js /helpers.ts /helpers.js _utils.py _helpers.py".split()
-#: What paths tell of frameworks, in order: multiplier, reason, pattern of the lower-cased path with a leading slash.
-FRAMEWORKS = [
-    (3.0, "nextjs-page", r"^(?!.*/_)(?!.*/api/).*/pages/.*\.(tsx|ts|jsx|js)$"),
-    (3.0, "nextjs-app-page", r"/app/.*page\.(tsx|ts|jsx|js)$"),
-    (3.0, "nextjs-api-route", r"/pages/api/|/app/.*/api/.*route\.ts$"),
-    (2.0, "nextjs-layout", r"^(?!.*_layout).*/app/.*layout\.(tsx|ts)$"),
-    (2.0, "expo-layout", r"/app/(.*/)?_layout[^/]*\.(tsx|ts|jsx|js)$"),
-    (1.5, "expo-special-route", r"/app/(.*/)?\+(?!api)[^/]*\.(tsx|ts|jsx|js)$"),
-    (3.0, "expo-api-route", r"/app/.*\+api\.(ts|tsx)$"),
-    (2.5, "expo-screen", r"/app/.*\.(tsx|ts|jsx|js)$"),
-    (1.5, "prisma-schema", r"/prisma/.*schema\.prisma$"),
-    (1.5, "supabase-client", r"(/lib/supabase|/utils/supabase|/supabase/).*\.(ts|js)$"),
-    (2.5, "routes-folder", r"/routes/.*\.(ts|js)$"),
-    (2.5, "controllers-folder", r"/controllers/.*\.(ts|js)$"),
-    (2.5, "handlers-folder", r"/handlers/.*\.(ts|js)$"),
-    (3.0, "django-views", r"views\.py$"),
-    (2.0, "django-urls", r"urls\.py$"),
-    (2.5, "api-routers", r"/(routers|endpoints|routes)/.*\.py$"),
-    (2.0, "api-folder", r"^(?!.*__init__\.py$).*/api/.*\.py$"),
-    (3.0, "spring-controller", r"/controllers?/.*\.java$"),
-    (3.0, "spring-controller-file", r"controller\.java$"),
-    (1.8, "java-service", r"/services?/.*\.java$"),
-    (3.0, "spring-kotlin-controller", r"/controllers?/.*\.kt$|controller\.kt$"),
-    (2.5, "ktor-routes", r"/routes/.*\.kt$"),
-    (2.0, "ktor-plugin", r"/plugins/.*\.kt$"),
-    (2.5, "ktor-routing-file", r"(routing|routes)\.kt$"),
-]
-
-
-def _any(c: Column, patterns: list[str]) -> Column:
-    out = F.lit(False)
-    for p in patterns:
-        out |= c.rlike(p)
-    return out
-
-
 def _path(c: Column) -> Column:
     return F.lower(F.replace(c, F.lit("\\"), F.lit("/")))
 
@@ -77,24 +38,17 @@ def is_utility_file(path: Column) -> Column:
     return _parts(path, UTILITY_PARTS, UTILITY_ENDS)
 
 
-def framework_hint(path: Column) -> tuple[Column, Column]:
-    """Multiplier (1 without a hint) and reason of the first rule that matches."""
-    p = _path(path)
-    p = F.when(p.startswith("/"), p).otherwise(F.concat(F.lit("/"), p))
-    m, r = F.when(p.isNull(), 1.0), F.when(p.isNull(), F.lit(None).cast("string"))
-    for mult, reason, rx in FRAMEWORKS:
-        m, r = m.when(p.rlike(rx), mult), r.when(p.rlike(rx), reason)
-    return m.otherwise(1.0), r
-
-
 def entry_scores(nodes: DataFrame, calls: DataFrame, least: float = 0.5) -> DataFrame:
-    """id, score of callables (id, name, filePath, isExported): callees / (callers + 1), doubled if exported, by name and path."""
+    """id, score of callables (id, name, filePath, isExported; language, else it follows from the path; definition, the text that
+    shows decorators, if there is such a column): callees / (callers + 1), doubled if exported, by name, path and definition."""
     e = calls.filter(F.col("confidence") >= least)
     out = e.groupBy(F.col("sourceId").alias("id")).agg(F.count("*").alias("callees"))
     into = e.groupBy(F.col("targetId").alias("id")).agg(F.count("*").alias("callers"))
     x = nodes.filter(~is_test_file(F.col("filePath"))).join(out, "id").join(into, "id", "left")
-    name = F.when(_any(F.col("name"), UTILITY_NAMES), 0.3).when(_any(F.col("name"), ENTRY_NAMES), 1.5).otherwise(1.0)
-    score = F.col("callees") / (F.coalesce("callers", F.lit(0)) + 1) * F.when(F.col("isExported"), 2.0).otherwise(1.0) * name * framework_hint(F.col("filePath"))[0]
+    language = F.col("language") if "language" in nodes.columns else language_of(F.col("filePath"))
+    score = F.col("callees") / (F.coalesce("callers", F.lit(0)) + 1) * F.when(F.col("isExported"), 2.0).otherwise(1.0) * name_multiplier(F.col("name"), language) * path_hint(F.col("filePath"))[0]
+    if "definition" in nodes.columns:
+        score = score * F.coalesce(definition_hint(language, F.col("definition"))["multiplier"], F.lit(1.0))
     return x.select("id", F.round(score, 9).alias("score"))
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -76,3 +78,15 @@ def insert_edges(g: Graph, pairs: DataFrame, type_: str, confidence: float = 1.0
     """Adds edges between existing nodes (sourceId, targetId); others are left out."""
     new = endpoints_exist(pairs, g.nodes).select("sourceId", "targetId", F.lit(type_).alias("type"), F.lit(confidence).alias("confidence"), F.lit(reason).alias("reason"), F.lit(0).alias("step"), F.lit(0).cast("long").alias("emit_ord"))
     return Graph(g.nodes, g.edges.unionByName(new, allowMissingColumns=True))
+
+
+def stream(rows: DataFrame, batch: int = 1000) -> Iterator[list[Row]]:
+    """The rows in order, batch by batch: the driver holds one partition, and what is not asked for is not computed."""
+    got: list[Row] = []
+    for row in rows.toLocalIterator(prefetchPartitions=False):
+        got.append(row)
+        if len(got) == batch:
+            yield got
+            got = []
+    if got:
+        yield got

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import closure as C
 from ..operators import communities as M
+from ..operators import conventions as N
 from ..operators import flows as L
 from ..operators import hierarchy as H
 from ..operators.graph import Graph
@@ -158,6 +159,13 @@ def f13_summary(spark, sf):
     return H.resolve_split(_conflicts(spark, sf)).agg(F.count("*").alias("entries"), F.count_if(c("resolved").isNull()).alias("ambiguous"))
 
 
+@query(_h("SELECT class, ancestor, depth, mro_pos FROM up"))
+def f14_order_from_edges(spark, sf):
+    """The same orders from the inheritance edges of a graph."""
+    e = _parents(spark, sf).select(c("child").alias("sourceId"), c("parent").alias("targetId"), "type", c("ord").cast("long").alias("emit_ord"))
+    return H.ancestors(H.parents_of(e)).select("class", "ancestor", "depth", "mro_pos")
+
+
 # --- flows -----------------------------------------------------------------------------------------
 
 _SCORES = "o AS (SELECT sourceId AS id, count(*) AS n FROM edges WHERE type = 'CALLS' AND confidence >= 0.5 GROUP BY 1), i AS (SELECT targetId AS id, count(*) AS n FROM edges WHERE type = 'CALLS' AND confidence >= 0.5 GROUP BY 1), scores AS (SELECT m.id, round(o.n / (coalesce(i.n, 0) + 1) * CASE WHEN m.isExported THEN 2.0 ELSE 1.0 END, 9) AS score FROM nodes m JOIN o ON o.id = m.id LEFT JOIN i ON i.id = m.id WHERE m.label = 'Method')"
@@ -177,7 +185,7 @@ NAMES = ["handleLogin", "main", "getUser", "processPayment", "UserController", "
 
 @query("SELECT * REPLACE (multiplier::DOUBLE AS multiplier) FROM (VALUES ('handleLogin', 1.5), ('main', 1.5), ('getUser', 0.3), ('processPayment', 1.5), ('UserController', 1.5), ('parseArgs', 0.3), ('_hidden', 0.3), ('Setup', 1.5), ('toString', 0.3), ('plain', 1.0), ('emitEvent', 1.5), ('StringUtils', 0.3)) AS t(name, multiplier)")
 def g1_name_multipliers(spark, sf):
-    return frame(spark, [(n,) for n in NAMES], "name").select("name", F.when(L._any(c("name"), L.UTILITY_NAMES), 0.3).when(L._any(c("name"), L.ENTRY_NAMES), 1.5).otherwise(1.0).alias("multiplier"))
+    return frame(spark, [(n,) for n in NAMES], "name").select("name", N.name_multiplier(c("name")).alias("multiplier"))
 
 
 PATHS = ["src/app.test.ts", "src/test/java/A.java", "pkg/a_test.go", "lib/utils/x.ts", "pages/index.tsx", "src/app/dash/page.tsx", "pages/api/x.ts", "app/_layout.tsx", "src/routes/a.ts", "shop/views.py", "a/controller/B.java", "c/UserController.java", "x/service/Y.java", "m/routes/R.kt", "README.md", "api/v1/x.py"]
@@ -190,7 +198,7 @@ def g2_file_predicates(spark, sf):
 
 @query("SELECT * REPLACE (multiplier::DOUBLE AS multiplier) FROM (VALUES ('pages/index.tsx', 3.0, 'nextjs-page'), ('src/app/dash/page.tsx', 3.0, 'nextjs-app-page'), ('pages/api/x.ts', 3.0, 'nextjs-api-route'), ('app/_layout.tsx', 2.0, 'expo-layout'), ('src/routes/a.ts', 2.5, 'routes-folder'), ('shop/views.py', 3.0, 'django-views'), ('a/controller/B.java', 3.0, 'spring-controller'), ('c/UserController.java', 3.0, 'spring-controller-file'), ('x/service/Y.java', 1.8, 'java-service'), ('m/routes/R.kt', 2.5, 'ktor-routes'), ('README.md', 1.0, NULL), ('api/v1/x.py', 2.0, 'api-folder')) AS t(path, multiplier, reason)")
 def g3_framework_hints(spark, sf):
-    m, r = L.framework_hint(c("path"))
+    m, r = N.path_hint(c("path"))
     return frame(spark, [(p,) for p in PATHS[4:]], "path").select("path", m.alias("multiplier"), r.alias("reason"))
 
 

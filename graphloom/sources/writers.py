@@ -43,6 +43,21 @@ def json_lines(g: Graph) -> DataFrame:
     return n.union(g.edges.select(F.lit("relationship"), F.to_json(F.struct(*g.edges.columns))))
 
 
+def workflow_json(workflows: DataFrame) -> DataFrame:
+    """entry, json: each workflow (entry, name, controllers, services, egressSinks) as a document with its steps in order."""
+    roles = [("controller", "controllers"), ("service", "services"), ("egress", "egressSinks")]
+    told = lambda role: lambda s: F.struct(F.lit(role).alias("role"), s.alias("name"))
+    steps = F.concat(*(F.transform(names, told(role)) for role, names in roles))
+    numbered = F.transform(steps, lambda s, i: F.struct((i + 1).alias("step"), s["role"].alias("role"), s["name"].alias("name")))
+    doc = F.struct(F.col("entry").alias("entryPoint"), "name", "controllers", "services", "egressSinks", numbered.alias("steps"), (F.size(steps) + 1).alias("totalSteps"))
+    return workflows.select("entry", F.to_json(doc).alias("json"))
+
+
+def write_workflows(workflows: DataFrame, path: str) -> None:
+    """One document a line, wherever Spark can write."""
+    workflow_json(workflows).select(F.col("json").alias("value")).write.mode("overwrite").text(path)
+
+
 def mermaid(workflows: DataFrame) -> DataFrame:
     """entry, diagram: a flowchart of each workflow (entry, name, controllers, services, egressSinks)."""
     quote = lambda c: F.regexp_replace(c, r'["\[\]{}()<>]', " ")
