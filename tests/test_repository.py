@@ -156,6 +156,8 @@ def test_control_flow_is_what_runs(name):
             sys.settrace(None)
         told = [x for x in seen if x in at]
         for x, y in zip(told, told[1:]):
+            if y < x and SOURCE.split("\n")[y - 1].strip().startswith("with "):
+                continue  # the end of a with shows its first line again
             ok = set(at[x])
             todo = list(ok)
             while todo:
