@@ -13,14 +13,59 @@ from pyspark.sql import functions as F
 from ..session import settle
 
 
-def reach(edges: DataFrame, starts: DataFrame | None = None, max_depth: int = 50, order: str | None = None, until: str | None = None) -> DataFrame:
+#: Edges that every worker may hold as a table of its own (about 30 MB); larger graphs are searched by rounds of joins.
+SMALL_EDGES = 100_000
+
+
+def _searched(e: DataFrame, s: DataFrame, max_depth: int, until: str | None) -> DataFrame:
+    """reach() over a graph that fits every worker: starts are dealt out, each is searched level by level."""
+    kind = dict(e.dtypes)["src"]
+    rows = e.collect()  # SMALL_EDGES at most, as counted
+    table: dict = {}
+    for r in rows:
+        table.setdefault(r["src"], []).append((r["dst"], r["ord"]))
+    shared = e.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ways = shared.value
+        for pdf in batches:
+            out: list = []
+            for start in pdf["start"]:
+                seen: set = set()
+                level = {start: ((), None)}
+                for depth in range(1, max_depth + 1):
+                    new: dict = {}
+                    for node, (path, via) in level.items():
+                        for dst, ord_ in ways.get(node, ()):
+                            if dst not in seen:
+                                told = ((*path, ord_), dst if via is None else via)
+                                if dst not in new or told < new[dst]:
+                                    new[dst] = told
+                    out += [(start, node, depth, via, list(path)) for node, (path, via) in new.items()]
+                    seen |= new.keys()
+                    level = new
+                    if not new or (until is not None and start in new):
+                        break
+                if len(out) > 50_000:
+                    yield pd.DataFrame(out, columns=["start", "node", "depth", "via", "path"])
+                    out = []
+            yield pd.DataFrame(out, columns=["start", "node", "depth", "via", "path"])
+
+    return s.select("start").repartition("start").mapInPandas(run, f"start {kind}, node {kind}, depth int, via {kind}, path array<string>")
+
+
+def reach(edges: DataFrame, starts: DataFrame | None = None, max_depth: int = 50, order: str | None = None, until: str | None = None, small_edges: int = SMALL_EDGES) -> DataFrame:
     """start, node, depth, via (the first hop), path (ordinals of the first-seen way): every node reachable from each start.
 
     edges: src, dst and, for the first-seen order, an ordinal column. Semi-naive: each round joins only the newest nodes, and
     drops what the start has seen already. The start itself counts only when a cycle leads back to it. Rounds are kept as they
-    are and put together at the end. until: starts that have reached this column's node go no further."""
+    are and put together at the end. Graphs of up to small_edges edges are searched without rounds. until: starts that have reached this
+    column's node go no further (only "start" can be asked for)."""
     e = edges.select("src", "dst", (F.lpad(F.col(order).cast("string"), 6, "0") if order else F.col("dst").cast("string")).alias("ord")).distinct()
     s = e.select(F.col("src").alias("start")).distinct() if starts is None else starts.select("start").distinct()
+    s = s.filter("start is not null")
+    if dict(s.dtypes)["start"] == dict(e.dtypes)["src"] and e.limit(small_edges + 1).count() <= small_edges:
+        return _searched(e, s, max_depth, until)
     first = lambda d: d.groupBy("start", "node").agg(F.min(F.struct("path", "via")).alias("m")).select("start", "node", "m.via", "m.path")
     new = first(s.join(e, F.col("start") == F.col("src")).select("start", F.col("dst").alias("node"), F.col("dst").alias("via"), F.array("ord").alias("path"))).withColumn("depth", F.lit(1))
     new = settle(new)

@@ -349,7 +349,7 @@ def import_cycles(edges: DataFrame, most: int = 10_000, work: int = 10_000_000,
         return out
     y = x.join(large, "scc", "left_semi").select("src", "dst", F.dense_rank().over(W.partitionBy("src").orderBy("dst")).alias("ord"), "scc", "size")
     starts = y.select(F.col("scc").alias("start"), F.col("size")).distinct()
-    back = reach(y, starts, order="ord", until="start").filter("start = node").select("start", "path")
+    back = reach(y, starts, order="ord", until="start", small_edges=0).filter("start = node").select("start", "path")
     # the ordinals of the way, walked again
     way = back.select("start", "path", F.array("start").alias("cycle"), F.lit(0).alias("k"))
     done = None

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import settle
+from .closure import SMALL_EDGES
 from .conventions import definition_hint, language_of, name_multiplier, path_hint
 
 MAX_DEPTH, MAX_BRANCHING, MIN_STEPS = 10, 4, 3
@@ -80,20 +85,35 @@ def walk(entry: str, callees: dict[str, list[str]], sinks: set[str], depth: int
     return found
 
 
-def trace(entries: DataFrame, adjacency: DataFrame, sinks: DataFrame, depth: int = MAX_DEPTH, branching: int = MAX_BRANCHING, least: int = MIN_STEPS) -> DataFrame:
-    """entry, trace_no, path. The neighbourhood of each entry is gathered by joins (branching ** depth bounds it only on
-    paper: nodes are distinct), then walked by one kernel for each entry."""
-    from ..session import settle
-
+def trace(entries: DataFrame, adjacency: DataFrame, sinks: DataFrame, depth: int = MAX_DEPTH, branching: int = MAX_BRANCHING, least: int = MIN_STEPS, small_edges: int = SMALL_EDGES) -> DataFrame:
+    """entry, trace_no, path: one walk for each entry. Only the first `branching` callees count; if those are small_edges at most,
+    every worker holds them as a table, else each entry's neighbourhood is gathered by rounds of joins (branching ** depth
+    bounds it only on paper: nodes are distinct)."""
+    flagged = sinks.select("id").distinct().withColumn("sink", F.lit(True))
     near = adjacency.select("id", F.slice("neighbours", 1, branching).alias("neighbours"))
-    seen = new = entries.select(F.col("id").alias("entry"), "id").distinct()
+    kinds = "entry string, trace_no int, path array<string>"
+    ways = settle(near.join(flagged, "id", "left"))
+    if (ways.agg(F.sum(F.size("neighbours"))).first()[0] or 0) <= small_edges:
+        rows = ways.collect()  # small_edges at most
+        shared = ways.sparkSession.sparkContext.broadcast(({r.id: list(r.neighbours) for r in rows}, {r.id for r in rows if r.sink}))
+
+        def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            table, ends = shared.value
+            for pdf in batches:
+                found = [(e, k, p) for e in pdf["id"] for k, p in enumerate(walk(e, table, ends, depth, branching, least))]
+                yield pd.DataFrame(found, columns=["entry", "trace_no", "path"])
+
+        return entries.select("id").distinct().repartition("id").mapInPandas(go, kinds)
+    near = ways.select("id", "neighbours")
+    new = entries.select(F.col("id").alias("entry"), "id").distinct()
+    rounds = [new]
     for _ in range(depth - 1):
         step = new.join(near, "id").select("entry", F.explode("neighbours").alias("id")).distinct()
-        new = settle(step.join(seen, ["entry", "id"], "left_anti"))
+        new = settle(step.join(reduce(DataFrame.union, rounds), ["entry", "id"], "left_anti"))
         if new.isEmpty():
             break
-        seen = settle(seen.union(new))
-    told = seen.join(near, "id", "left").join(sinks.select("id").distinct().withColumn("sink", F.lit(True)), "id", "left").select("entry", "id", "neighbours", F.coalesce("sink", F.lit(False)).alias("sink"))
+        rounds.append(new)
+    told = reduce(DataFrame.union, rounds).join(near, "id", "left").join(flagged, "id", "left").select("entry", "id", "neighbours", F.coalesce("sink", F.lit(False)).alias("sink"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         entry = pdf["entry"].iloc[0]
@@ -101,7 +121,7 @@ def trace(entries: DataFrame, adjacency: DataFrame, sinks: DataFrame, depth: int
         paths = walk(entry, table, set(pdf.loc[pdf["sink"], "id"]), depth, branching, least)
         return pd.DataFrame({"entry": [entry] * len(paths), "trace_no": range(len(paths)), "path": paths})
 
-    return told.groupBy("entry").applyInPandas(run, "entry string, trace_no int, path array<string>")
+    return told.groupBy("entry").applyInPandas(run, kinds)
 
 
 def drop_contained(traces: DataFrame, sinks: DataFrame, key: str = "path") -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import settle
+
 
 @dataclass(frozen=True)
 class Graph:
@@ -67,11 +69,11 @@ def csr(pairs: DataFrame) -> DataFrame:
     return running_offset(rows, "id", F.size("neighbours"), "offset")
 
 
-def running_offset(rows: DataFrame, key: str, size, name: str, prefix: int = 10) -> DataFrame:
-    """The sum of the sizes of all rows before this one in the order of key. Two levels: inside the keys with one beginning,
-    then over the beginnings' sums, so that no task sorts everything."""
-    sized = rows.withColumn("__size", size.cast("long")).withColumn("__part", F.substring(key, 1, prefix))
-    sums = sized.groupBy("__part").agg(F.sum("__size").alias("__sum"))
+def running_offset(rows: DataFrame, key: str, size, name: str) -> DataFrame:
+    """The sum of the sizes of all rows before this one in the order of key: rows are dealt out by ranges of keys, sums run inside
+    each range, and the ranges' totals (one row each) run over all. The ranges are settled, so both see the same."""
+    ranged = settle(rows.withColumn("__size", size.cast("long")).repartitionByRange(key).withColumn("__part", F.spark_partition_id()))
+    sums = ranged.groupBy("__part").agg(F.sum("__size").alias("__sum"))
     before = sums.select("__part", F.coalesce(F.sum("__sum").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     inside = F.coalesce(F.sum("__size").over(W.partitionBy("__part").orderBy(key).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return sized.join(before, "__part").withColumn(name, F.col("__before") + inside).drop("__size", "__part", "__before")
+    return ranged.join(before, "__part").withColumn(name, F.col("__before") + inside).drop("__size", "__part", "__before")

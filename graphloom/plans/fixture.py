@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.graph import Graph
+from ..session import checkpoint_folder
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -16,15 +20,32 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 STEP_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
 
 
+def stored(spark: SparkSession, sf: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A part of the graph that is derived from large tables: written once for each session and input, as a graph is loaded into
+    a store once, in the folder of spark.checkpoint.dir. Queries read its columns and push their filters into the scan."""
+    folder = checkpoint_folder(spark)
+    path = f"{folder}/graph-{hashlib.sha256(sf.encode()).hexdigest()[:16]}/{name}"
+    if path not in _STORED.setdefault(spark.sparkContext.applicationId, set()):
+        make().write.mode("overwrite").parquet(path)
+        _STORED[spark.sparkContext.applicationId].add(path)
+    return spark.read.parquet(path)
+
+
+_STORED: dict[str, set[str]] = {}
+
+
 def steps(spark: SparkSession, sf: str) -> DataFrame:
     """Each order's line items in a fixed order: step counts from 1."""
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_discount", "l_returnflag", "l_linenumber", "l_quantity", "l_extendedprice")
-    return li.withColumn("step", F.row_number().over(W.partitionBy("l_orderkey").orderBy(*STEP_ORDER)))
+    return stored(spark, sf, "steps", lambda: li.withColumn("step", F.row_number().over(W.partitionBy("l_orderkey").orderBy(*STEP_ORDER))))
 
 
 def calls(spark: SparkSession, sf: str) -> DataFrame:
     """src, dst, confidence, verified, emit_ord: from part to the next part of an order. One window, no self-join."""
-    s = steps(spark, sf)
+    return stored(spark, sf, "calls", lambda: _calls(steps(spark, sf)))
+
+
+def _calls(s: DataFrame) -> DataFrame:
     order = W.partitionBy("l_orderkey").orderBy(*STEP_ORDER)
     nxt = lambda c: F.lead(c).over(order)
     pairs = s.select("l_orderkey", "step", F.col("l_partkey").alias("src"), nxt("l_partkey").alias("dst"), nxt("l_discount").alias("d"), nxt("l_returnflag").alias("f"))
@@ -63,7 +84,7 @@ def nodes(spark: SparkSession, sf: str, labels: set[str] | None = None) -> DataF
         "Class": lambda: _node(t("supplier"), "Class", cat("Class:S", "s_suppkey"), c("s_name")),
         "Method": lambda: _node(t("part"), "Method", cat("Method:P", "p_partkey"), c("p_name"), filePath=c("p_brand"), startLine=c("p_partkey") * 10, endLine=c("p_partkey") * 10 + c("p_size"), isExported=c("p_size") > 25),
         "Function": lambda: _node(t("customer"), "Function", cat("Function:C", "c_custkey"), c("c_name")),
-        "Process": process,
+        "Process": lambda: stored(spark, sf, "process", process),
         "Community": lambda: _node(t("customer").select("c_mktsegment").distinct(), "Community", cat("comm_", "c_mktsegment"), c("c_mktsegment")),
         "Route": lambda: _node(t("orders").select("o_orderstatus", "o_orderpriority").distinct(), "Route", F.concat(F.lit("Route:"), c("o_orderstatus"), F.lit(" /"), c("o_orderpriority")), cat("/", "o_orderpriority"), method=c("o_orderstatus")),
         "File": lambda: _node(t("documents"), "File", cat("File:", "doc_id"), c("source")),
@@ -85,7 +106,7 @@ def edges(spark: SparkSession, sf: str, types: set[str] | None = None) -> DataFr
     made = {
         "CONTAINS": lambda: edge(t("nation").join(F.broadcast(t("region")), c("n_regionkey") == c("r_regionkey")), "CONTAINS", cat("Folder:", "r_name"), cat("Interface:", "n_name")),
         "IMPLEMENTS": lambda: edge(t("supplier").join(F.broadcast(t("nation")), c("s_nationkey") == c("n_nationkey")), "IMPLEMENTS", cat("Class:S", "s_suppkey"), cat("Interface:", "n_name")),
-        "HAS_METHOD": lambda: edge(t("lineitem").select("l_suppkey", "l_partkey").distinct(), "HAS_METHOD", cat("Class:S", "l_suppkey"), cat("Method:P", "l_partkey")),
+        "HAS_METHOD": lambda: edge(stored(spark, sf, "has_method", lambda: t("lineitem").select("l_suppkey", "l_partkey").distinct()), "HAS_METHOD", cat("Class:S", "l_suppkey"), cat("Method:P", "l_partkey")),
         "CALLS": lambda: edge(calls(spark, sf), "CALLS", cat("Method:P", "src"), cat("Method:P", "dst"), c("confidence"), F.when(c("verified") == 1, "LSP: fixture").otherwise("fixture"), order=c("emit_ord")),
         "STEP_IN_PROCESS": lambda: edge(steps(spark, sf), "STEP_IN_PROCESS", cat("Method:P", "l_partkey"), cat("proc_", "l_orderkey"), step=c("step")),
         "MEMBER_OF": lambda: edge(t("customer"), "MEMBER_OF", cat("Function:C", "c_custkey"), cat("comm_", "c_mktsegment")),

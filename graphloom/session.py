@@ -25,10 +25,18 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def settle(df):
-    """df computed once, in the folder of spark.checkpoint.dir (a temporary one only where none is named), so that loops keep
-    short plans and survive lost executors."""
-    sc = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share. Only a local session may do without that setting."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="graphloom-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="graphloom-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def settle(df):
+    """df computed once, in the folder of spark.checkpoint.dir, so that loops keep short plans and survive lost executors."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -2,6 +2,7 @@
 
 from helpers import SF
 
+from graphloom.operators import flows as L
 from graphloom.operators.graph import adjacency
 from graphloom.plans import fixture as X
 from graphloom.plans import graph_queries as G
@@ -36,3 +37,12 @@ def test_process_cap(spark):
     symbols = X.nodes(spark, SF).filter("label <> 'File'").count()
     rows = G.g12_processes(spark, SF).count()
     assert 40 < rows <= max(20, int(symbols / 10 + 0.5))
+
+
+def test_traces_by_rounds(spark):
+    """Neighbourhoods gathered by joins give the walks that workers' tables give."""
+    edges = X.edges(spark, SF, {"CALLS"})
+    entries = L.candidates(G._scores(spark, SF)).select("id").limit(20)
+    sinks = X.nodes(spark, SF, {"Method"}).filter("id like '%0'").select("id")
+    one, two = (sorted((r.entry, r.trace_no, tuple(r.path)) for r in L.trace(entries, adjacency(edges), sinks, depth=4, small_edges=small).collect()) for small in (10**6, 0))
+    assert one == two and len(one) > 100

@@ -89,6 +89,18 @@ def test_strongly_connected(spark, seed, kernel):
     assert sorted(map(tuple, got)) == want
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("depth", [2, 50])
+def test_reach_both_ways(spark, seed, depth):
+    """A search in workers' tables and rounds of joins give the same rows, first-seen paths too."""
+    e = labelled_graph(seed, 25, 60)
+    df = spark.createDataFrame([(a, b, k % 7) for k, (a, b) in enumerate(e)], "src string, dst string, ord int")
+    starts = spark.createDataFrame([("n01",), ("n02",), ("t1",), ("none",), (None,)], "start string")
+    for s in (starts, None):
+        one, two = (sorted((r.start, r.node, r.depth, r.via, tuple(r.path)) for r in C.reach(df, s, depth, "ord", small_edges=small).collect()) for small in (10**6, 0))
+        assert one == two and len(one) > 5
+
+
 @pytest.mark.parametrize("kernel", [10**6, 0])
 def test_import_cycles(spark, kernel):
     """Complete in the kernel; representatives where a component is too large for it."""
