@@ -237,7 +237,7 @@ def packed(keyed: DataFrame, keys: list[str]) -> DataFrame:
     """keys and text, with the text compressed for the way through a shuffle."""
 
     def run(block: Block) -> pa.RecordBatch:
-        z = zstandard.ZstdCompressor(level=3)
+        z = zstandard.ZstdCompressor(level=1)
         return pa.RecordBatch.from_arrays([*(block.rows.column(i) for i in range(len(keys))), pa.array([None if block.null[i] else z.compress(block.text(i)) for i in range(block.n)], pa.binary())], names=[*keys, "text"])
 
     kinds = dict(keyed.dtypes)
@@ -306,8 +306,12 @@ def repeated(docs: DataFrame) -> DataFrame:
                 a, b = rolling(SEED + 100), rolling(SEED + 200)
                 s1, s2 = a.of(a.prefix(block.buf), start, end), b.of(b.prefix(block.buf), start, end)
                 place = ((start - block.off[doc]) << 32) | column(block, "tag").to_numpy()[doc]
+                who = _ids(block)[doc]
+                # segments that a smaller document of this block has are settled here (a negative size), and go their own ways
+                done = later(join_names(s1, s2), who)
+                s1 = np.where(done, mix(s1 ^ mix(who.view(np.uint64) + mix(place.view(np.uint64)))), s1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(_ids(block)[doc]), column(block, "row").take(pa.array(doc)), pa.array(place), pa.array(size.astype(np.int32)), pa.array(rep.view(np.int64))],
+                    [pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(who), column(block, "row").take(pa.array(doc)), pa.array(place), pa.array(np.where(done, -size, size).astype(np.int32)), pa.array(rep.view(np.int64))],
                     names=["s1", "s2", "doc_id", "row", "at", "size", "rep"],
                 )
 
@@ -322,16 +326,16 @@ def repeated(docs: DataFrame) -> DataFrame:
             if not b.num_rows:
                 continue
             k = np.stack((b.column(0).to_numpy(), b.column(1).to_numpy()), 1)
-            who = b.column(2).to_numpy()
+            who, size = b.column(2).to_numpy(), b.column(5).to_numpy()
             new = np.ones(len(k), bool)
             new[1:] = (k[1:] != k[:-1]).any(1)
             new[0] = now is None or tuple(k[0].tolist()) != now
             heads = np.flatnonzero(new)
             smallest = np.concatenate(([least], who[heads]))[np.cumsum(new)]
-            done = who > smallest
+            done = (who > smallest) | (size < 0)
             now, least = tuple(k[-1].tolist()), int(smallest[-1])
             # the first row of each class goes on; others of its document say nothing new, and are settled with it later
-            yield pa.RecordBatch.from_arrays([pa.array(np.where(done, 0, 1).astype(np.int8)), b.column(0), *(b.column(i) for i in range(2, 7))], names=["open", "s1", "doc_id", "row", "at", "size", "rep"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.where(done, 0, 1).astype(np.int8)), b.column(0), *(b.column(i) for i in range(2, 5)), pa.array(np.abs(size)), b.column(6)], names=["open", "s1", "doc_id", "row", "at", "size", "rep"])
 
     met = cut(cuts.repartition(parts, "s1", "s2").sortWithinPartitions("s1", "s2", "doc_id").mapInArrow(trimmed(settle), f"open byte, s1 long, {PLACE}, size int, rep long"))
     drop(mine)
