@@ -276,24 +276,42 @@ def m2_ranking(spark, sf):
     return R.rank(_candidates(spark, sf)).filter("rn = 1").select("site", "id")
 
 
-_SCOPES = [("s0", None), ("s1", "s0"), ("s2", "s1"), ("s3", "s2")]
+#: Scopes: supplier k lies inside supplier k // 2; what a scope binds comes from the first lines of orders.
+_SC = """sc AS MATERIALIZED (SELECT s_suppkey AS scope, CASE WHEN s_suppkey // 2 >= 1 AND s_suppkey // 2 <> s_suppkey THEN s_suppkey // 2 END AS parent FROM supplier),
+up AS (SELECT scope, scope AS anc, 0 AS depth FROM sc UNION ALL SELECT up.scope, sc.parent, depth + 1 FROM up JOIN sc ON sc.scope = up.anc WHERE sc.parent IS NOT NULL),
+bind AS MATERIALIZED (SELECT DISTINCT l_suppkey AS scope, 'n' || (l_partkey % 50) AS name, CASE WHEN l_partkey % 2 = 0 THEN 'var' ELSE 'fn' END AS kind FROM lineitem WHERE l_linenumber = 1),
+site AS MATERIALIZED (SELECT DISTINCT l_orderkey || '-' || l_linenumber || '-' || l_partkey AS site, l_suppkey AS scope, 'n' || (l_partkey % 50) AS name, l_linenumber AS k FROM lineitem)"""
 
 
-def _chain(spark):
-    return R.scope_chain(frame(spark, _SCOPES, "scope, parent"))
+def _scopes(spark, sf):
+    half = F.floor(c("s_suppkey") / 2)
+    return X.table(spark, sf, "supplier").select(c("s_suppkey").alias("scope"), F.when((half >= 1) & (half != c("s_suppkey")), half).cast("long").alias("parent"))
 
 
-@query("SELECT * FROM (VALUES ('a', 'x2', 1), ('c', 'y0', 3)) AS t(site, id, depth)")
+def _bindings(spark, sf):
+    b = X.table(spark, sf, "lineitem").filter("l_linenumber = 1").select(c("l_suppkey").alias("scope"), F.concat(F.lit("n"), (c("l_partkey") % 50).cast("string")).alias("name"), F.when(c("l_partkey") % 2 == 0, "var").otherwise("fn").alias("kind")).distinct()
+    return b.withColumn("id", F.concat_ws(":", c("scope").cast("string"), "name", "kind"))
+
+
+def _sites(spark, sf):
+    return X.table(spark, sf, "lineitem").select(F.concat_ws("-", c("l_orderkey").cast("string"), c("l_linenumber").cast("string"), c("l_partkey").cast("string")).alias("site"), c("l_suppkey").alias("scope"), F.concat(F.lit("n"), (c("l_partkey") % 50).cast("string")).alias("name"), c("l_linenumber").alias("k")).distinct()
+
+
+@query(
+    "WITH RECURSIVE " + _SC + " SELECT site, id, depth FROM (SELECT s.site, s.k, b.kind, b.scope || ':' || b.name || ':' || b.kind AS id, u.depth, min(u.depth) OVER (PARTITION BY s.site) AS m FROM site s JOIN up u ON u.scope = s.scope JOIN bind b ON b.scope = u.anc AND b.name = s.name) "
+    "WHERE depth = m AND (kind = 'fn' OR k % 2 = 0)"
+)
 def m3_lexical_lookup(spark, sf):
-    sites = spark.createDataFrame([("a", "s3", "x", ["fn"]), ("b", "s1", "x", ["fn"]), ("c", "s3", "y", ["fn", "var"])], "site string, scope string, name string, kinds array<string>")
-    b = frame(spark, [("s2", "x", "x2", "fn"), ("s0", "x", "x0", "fn"), ("s1", "x", "x1", "var"), ("s0", "y", "y0", "var")], "scope, name, id, kind")
-    return R.lexical(sites, _chain(spark), b)
+    sites = _sites(spark, sf).withColumn("kinds", F.when(c("k") % 2 == 0, F.array(F.lit("fn"), F.lit("var"))).otherwise(F.array(F.lit("fn"))))
+    return R.lexical(sites, R.scope_chain(_scopes(spark, sf)), _bindings(spark, sf))
 
 
-@query("SELECT * FROM (VALUES ('a', 'B.run', 1), ('b', 'C.own', 0)) AS t(site, id, mro_depth)")
+@query(
+    "WITH RECURSIVE " + _SC + " SELECT site, id, mro_depth FROM (SELECT s.site, b.scope || ':' || b.name || ':' || b.kind AS id, u.depth AS mro_depth, min(u.depth) OVER (PARTITION BY s.site) AS m FROM site s JOIN up u ON u.scope = s.scope JOIN bind b ON b.scope = u.anc AND b.name = s.name) WHERE mro_depth = m"
+)
 def m4_receiver_members(spark, sf):
-    mro = spark.createDataFrame([("C", "B", 1), ("C", "A", 2)], "class string, ancestor string, depth int")
-    return R.members_of(frame(spark, [("a", "C", "run"), ("b", "C", "own")], "site, type, name"), mro, frame(spark, [("A", "run", "A.run"), ("B", "run", "B.run"), ("C", "own", "C.own"), ("A", "own", "A.own")], "class, name, id"))
+    mro = R.scope_chain(_scopes(spark, sf)).filter("depth > 0").select(c("scope").alias("class"), "ancestor", "depth")
+    return R.members_of(_sites(spark, sf).select("site", c("scope").alias("type"), "name"), mro, _bindings(spark, sf).select(c("scope").alias("class"), "name", "id"))
 
 
 @query("SELECT l_orderkey AS site, l_linenumber AS args, CASE WHEN l_linenumber >= 2 AND l_linenumber <= 4 THEN 'compatible' ELSE 'incompatible' END AS arity FROM lineitem WHERE l_linenumber >= 2 AND l_linenumber <= 4")
@@ -302,42 +320,70 @@ def m5_arity_filter(spark, sf):
     return R.arity_filter(x)
 
 
-@query("SELECT * FROM (VALUES ('a', 'l1', 'local'), ('b', 'g1', 'global-qualified')) AS t(site, id, origin)")
+@query("SELECT o_orderkey AS site, 'l' || o_custkey AS id, 'local' AS origin FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey, 'g' || n_nationkey, 'global-qualified' FROM orders JOIN nation ON n_nationkey = o_custkey % 40 WHERE o_orderstatus <> 'F'")
 def m6_global_fallback(spark, sf):
-    return R.with_fallback(frame(spark, [("a", "l1", "local")], "site, id, origin"), frame(spark, [("a", "n.x"), ("b", "n.x"), ("c", "none")], "site, name"), frame(spark, [("n.x", "g1")], "qualified, id"))
+    o = X.table(spark, sf, "orders")
+    found = o.filter("o_orderstatus = 'F'").select(c("o_orderkey").alias("site"), F.concat(F.lit("l"), c("o_custkey").cast("string")).alias("id"), F.lit("local").alias("origin"))
+    names = X.table(spark, sf, "nation").select(c("n_nationkey").cast("long").alias("qualified"), F.concat(F.lit("g"), c("n_nationkey").cast("string")).alias("id"))
+    return R.with_fallback(found, o.select(c("o_orderkey").alias("site"), (c("o_custkey") % 40).alias("name")), names)
 
 
-@query("SELECT * FROM (VALUES ('fn', 't1', 'CALLS', 0), ('fn', 'p', 'ACCESSES', 1), ('cls', 'b', 'INHERITS', 0)) AS t(sourceId, targetId, type, step)")
+@query(
+    "WITH RECURSIVE " + _SC + ", own AS (SELECT up.scope, arg_min(anc, depth) AS owner FROM up WHERE anc % 3 = 0 GROUP BY 1), refs AS (SELECT DISTINCT l_suppkey AS scope, 'P' || l_partkey AS id, CASE l_linenumber % 4 WHEN 0 THEN 'call' WHEN 1 THEN 'read' WHEN 2 THEN 'write' ELSE 'type' END AS kind FROM lineitem) "
+    "SELECT DISTINCT 'S' || owner AS sourceId, id AS targetId, CASE kind WHEN 'call' THEN 'CALLS' WHEN 'type' THEN 'USES' ELSE 'ACCESSES' END AS type, CASE kind WHEN 'read' THEN 1 WHEN 'write' THEN 2 ELSE 0 END AS step FROM refs JOIN own USING (scope)"
+)
 def m8_reference_edges(spark, sf):
-    refs = frame(spark, [("s3", "t1", "call"), ("s2", "p", "read"), ("s1", "b", "inherits"), ("s0", "q", "call")], "scope, id, kind")
-    return R.reference_edges(refs, frame(spark, [("s0", None), ("s1", "cls"), ("s2", "fn"), ("s3", None)], "scope, owner"), _chain(spark))
+    scopes = _scopes(spark, sf)
+    kinds = F.element_at(F.array(F.lit("call"), F.lit("read"), F.lit("write"), F.lit("type")), (c("l_linenumber") % 4 + 1).cast("int"))
+    refs = X.table(spark, sf, "lineitem").select(c("l_suppkey").alias("scope"), F.concat(F.lit("P"), c("l_partkey").cast("string")).alias("id"), kinds.alias("kind"))
+    return R.reference_edges(refs, scopes.withColumn("owner", F.when(c("scope") % 3 == 0, F.concat(F.lit("S"), c("scope").cast("string")))), R.scope_chain(scopes))
 
 
-@query("SELECT * FROM (VALUES ('a', 'x1'), ('b', 'y2')) AS t(site, id)")
+@query("SELECT DISTINCT site, id FROM (SELECT l_orderkey AS site, l_partkey AS id, CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END AS k, min(CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END) OVER (PARTITION BY l_orderkey) AS m FROM lineitem) WHERE k = m")
 def m9_first_case(spark, sf):
-    return R.first_case([frame(spark, [("a", "x1")], "site, id"), frame(spark, [("a", "x2"), ("b", "y2")], "site, id")]).select("site", "id")
+    li = X.table(spark, sf, "lineitem").select(c("l_orderkey").alias("site"), c("l_partkey").alias("id"), "l_returnflag")
+    return R.first_case([li.filter(c("l_returnflag") == f).select("site", "id").distinct() for f in ("R", "A", "N")]).select("site", "id")
+
+
+#: Types: supplier k has fields a and b of the types 2k and 2k + 1; a chain for each customer, by the digits of its key.
+_CHAIN = "chain AS MATERIALIZED (SELECT c_custkey AS chain, 1 + c_custkey % 3 AS type, list_transform(range(0, c_custkey % 5), lambda i: CASE WHEN (c_custkey // (2 ** i)::BIGINT) % 2 = 0 THEN 'a' ELSE 'b' END) AS parts FROM customer), w AS (SELECT chain, type, parts, 0 AS i FROM chain UNION ALL SELECT w.chain, 2 * w.type + CASE w.parts[w.i + 1] WHEN 'a' THEN 0 ELSE 1 END, w.parts, w.i + 1 FROM w JOIN supplier ON s_suppkey = w.type WHERE w.i < len(w.parts))"
 
 
-@query("SELECT * FROM (VALUES ('a.b', 'T2'), ('a.b.c', 'T3'), ('a', 'T1')) AS t(chain, type)")
+@query(f"WITH RECURSIVE {_CHAIN} SELECT chain, type FROM w WHERE i = len(parts)")
 def m10_compound_types(spark, sf):
-    chains = spark.createDataFrame([("a", "T1", []), ("a.b", "T1", ["b"]), ("a.b.c", "T1", ["b", "c"]), ("a.z", "T1", ["z"])], "chain string, type string, parts array<string>")
-    return R.compound_types(frame(spark, [("T1", "b", "T2"), ("T2", "c", "T3")], "type, name, result"), chains)
+    s = X.table(spark, sf, "supplier").select(c("s_suppkey").alias("type"), F.explode(F.array(F.struct(F.lit("a").alias("name"), (2 * c("s_suppkey")).alias("result")), F.struct(F.lit("b").alias("name"), (2 * c("s_suppkey") + 1).alias("result")))).alias("f"))
+    k = c("c_custkey")
+    bit = lambda i: F.when(F.floor(k / F.pow(F.lit(2), i)) % 2 == 0, "a").otherwise("b")
+    parts = F.when(k % 5 > 0, F.transform(F.sequence(F.lit(0), (k % 5 - 1).cast("int")), bit)).otherwise(F.array().cast("array<string>"))
+    chains = X.table(spark, sf, "customer").select(k.alias("chain"), (1 + k % 3).alias("type"), parts.alias("parts"))
+    return R.compound_types(s.select("type", "f.name", "f.result"), chains)
+
+
+_OVER = "o AS (SELECT DISTINCT l_orderkey AS site, l_partkey AS id, [CASE WHEN l_orderkey % 4 = 0 THEN NULL ELSE 'T' || (l_orderkey % 3) END, 'U' || (l_orderkey % 2)] AS args, CASE WHEN l_partkey % 5 = 0 THEN ['T0'] ELSE ['T' || (l_partkey % 3), CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE 'U' || (l_partkey % 2) END] END AS types FROM lineitem), h AS (SELECT site, id, CASE WHEN args[1] = types[1] THEN 1 WHEN args[1] IS NULL THEN 0 ELSE -100 END + CASE WHEN types[2] IS NULL THEN 0 WHEN args[2] = types[2] THEN 1 ELSE -100 END AS hits FROM o WHERE len(types) = 2)"
 
 
-@query("SELECT * FROM (VALUES ('s', 'o2'), ('u', 'o4')) AS t(site, id)")
+@query(f"WITH {_OVER} SELECT site, id FROM (SELECT *, max(hits) OVER (PARTITION BY site) AS m FROM h WHERE hits >= 0) WHERE hits = m")
 def m11_overloads(spark, sf):
-    d = spark.createDataFrame([("s", "o1", ["A", "B"], ["A", "C"]), ("s", "o2", ["A", "B"], ["A", "B"]), ("s", "o3", ["A", "B"], ["A"]), ("u", "o4", [None], ["X"])], "site string, id string, args array<string>, types array<string>")
-    return R.narrow_overloads(d).select("site", "id")
+    o, p = c("l_orderkey"), c("l_partkey")
+    name = lambda k, x: F.concat(F.lit(k), x.cast("string"))
+    x = X.table(spark, sf, "lineitem").select("l_orderkey", "l_partkey").distinct()
+    args = F.array(F.when(o % 4 != 0, name("T", o % 3)), name("U", o % 2))
+    types = F.when(p % 5 == 0, F.array(F.lit("T0"))).otherwise(F.array(name("T", p % 3), F.when(p % 7 != 0, name("U", p % 2))))
+    return R.narrow_overloads(x.select(o.alias("site"), p.alias("id"), args.alias("args"), types.alias("types"))).select("site", "id")
 
 
-@query("SELECT * FROM (VALUES ('h', 'T'), ('g', 'T'), ('f', 'T')) AS t(name, type)")
+@query("WITH RECURSIVE " + _SC + ", own AS (SELECT s_suppkey AS name, n_name AS type FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey % 4 = 0), t AS (SELECT up.scope AS name, arg_min(own.type, up.depth) AS type FROM up JOIN own ON own.name = up.anc GROUP BY 1) SELECT name, type FROM t")
 def m12_return_types(spark, sf):
-    return R.propagated_types(frame(spark, [("h", "T")], "name, type"), frame(spark, [("g", "h"), ("f", "g"), ("x", "y")], "name, callee"))
+    own = X.table(spark, sf, "supplier").filter("s_suppkey % 4 = 0").join(X.table(spark, sf, "nation"), c("s_nationkey") == c("n_nationkey")).select(c("s_suppkey").alias("name"), c("n_name").alias("type"))
+    return R.propagated_types(own, _scopes(spark, sf).filter("parent is not null").select(c("scope").alias("name"), c("parent").alias("callee")))
 
 
-@query("SELECT * REPLACE (confidence::DOUBLE AS confidence) FROM (VALUES ('f1', 'v', 0.9)) AS t(sourceId, targetId, confidence)")
+@query("SELECT DISTINCT 'P' || l.l_partkey AS sourceId, 'V' || e.s_suppkey AS targetId, 0.9::DOUBLE AS confidence FROM lineitem l JOIN supplier i ON i.s_suppkey = l.l_suppkey AND l.l_partkey % 5 = i.s_suppkey % 5 JOIN supplier e ON e.s_suppkey = i.s_suppkey // 2 AND (2 * e.s_suppkey) % 5 = i.s_suppkey % 5 WHERE e.s_suppkey <> i.s_suppkey")
 def m13_imported_values(spark, sf):
-    return R.imported_values(frame(spark, [("a.ts", "K", "f1"), ("b.ts", "K", "f2")], "file, name, source"), frame(spark, [("a.ts", "K", "b.ts"), ("b.ts", "K", "b.ts")], "file, name, target"), frame(spark, [("b.ts", "K", "v")], "file, name, id"))
+    s = X.table(spark, sf, "supplier").select("s_suppkey")
+    refs = X.table(spark, sf, "lineitem").select(c("l_suppkey").alias("file"), (c("l_partkey") % 5).alias("name"), F.concat(F.lit("P"), c("l_partkey").cast("string")).alias("source"))
+    imports = s.select(c("s_suppkey").alias("file"), (c("s_suppkey") % 5).alias("name"), F.floor(c("s_suppkey") / 2).cast("long").alias("target"))
+    return R.imported_values(refs, imports, s.select(c("s_suppkey").alias("file"), (2 * c("s_suppkey") % 5).alias("name"), F.concat(F.lit("V"), c("s_suppkey").cast("string")).alias("id")))
 
 
 @query("SELECT c_name AS site, c_name AS sourceId, 'I' || min_key AS targetId, 0.5::DOUBLE AS confidence FROM customer JOIN (SELECT n_nationkey AS k, min(s_suppkey) AS min_key FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1 HAVING count(*) = 1) ON k = c_nationkey WHERE c_custkey % 2 = 1")
@@ -353,9 +399,14 @@ def m16_dispatch(spark, sf):
     return R.dispatched(reg, X.table(spark, sf, "customer").select(c("c_nationkey").alias("key"), c("c_name").alias("source")), fan_out=4)
 
 
-@query("SELECT * REPLACE (confidence::DOUBLE AS confidence) FROM (VALUES ('s1', 'f1', 0.8), ('s2', 'f1', 0.7), ('s2', 'f2', 0.7)) AS t(sourceId, targetId, confidence)")
+@query(
+    "WITH RECURSIVE " + _SC + ", pts AS (SELECT DISTINCT up.scope AS variable, 'f' || up.anc AS id FROM up WHERE up.anc % 5 = 1), x AS (SELECT DISTINCT c_name AS sourceId, variable, id AS targetId FROM customer JOIN pts ON variable = c_custkey % 97), n AS (SELECT *, count(*) OVER (PARTITION BY sourceId, variable) AS k FROM x) "
+    "SELECT sourceId, targetId, max(CASE WHEN k = 1 THEN 0.8 ELSE 0.7 END)::DOUBLE AS confidence FROM n GROUP BY 1, 2"
+)
 def m17_value_flow(spark, sf):
-    return R.value_flow(frame(spark, [("a", "f1"), ("d", "f2")], "variable, id"), frame(spark, [("a", "b"), ("b", "c"), ("d", "c")], "from, to"), frame(spark, [("s1", "b"), ("s2", "c")], "source, variable"))
+    s = _scopes(spark, sf)
+    assigned = s.filter("scope % 5 = 1").select(c("scope").alias("variable"), F.concat(F.lit("f"), c("scope").cast("string")).alias("id"))
+    return R.value_flow(assigned, s.filter("parent is not null").select(c("parent").alias("from"), c("scope").alias("to")), X.table(spark, sf, "customer").select(c("c_name").alias("source"), (c("c_custkey") % 97).alias("variable")))
 
 
 @query("SELECT user_id AS source, event_type AS target, CASE min(event_id % 3) WHEN 0 THEN 'import' WHEN 1 THEN 'import (deferred)' ELSE 'import (type-only)' END AS reason FROM events GROUP BY 1, 2")
@@ -374,15 +425,21 @@ def m21_structural_interfaces(spark, sf):
 # --- enrichment -----------------------------------------------------------------------------------
 
 
-@query("SELECT * FROM (VALUES ('a.java', 'java'), ('b.tsx', 'typescript'), ('c.rb', NULL)) AS t(path, language)")
+@query("SELECT 'f' || p_partkey || ext AS path, CASE ext WHEN '.java' THEN 'java' WHEN '.tsx' THEN 'typescript' WHEN '.py' THEN 'python' WHEN '.go' THEN 'go' END AS language FROM (SELECT p_partkey, ['.java', '.tsx', '.rb', '.py', '.go', ''][1 + p_partkey % 6] AS ext FROM part)")
 def n1_languages(spark, sf):
-    return frame(spark, [("a.java",), ("b.tsx",), ("c.rb",)], "path").select("path", N.language_of(c("path")).alias("language"))
+    ext = F.element_at(F.array(*(F.lit(x) for x in (".java", ".tsx", ".rb", ".py", ".go", ""))), (c("p_partkey") % 6 + 1).cast("int"))
+    return X.table(spark, sf, "part").select(F.concat(F.lit("f"), c("p_partkey").cast("string"), ext).alias("path")).select("path", N.language_of(c("path")).alias("language"))
+
+
+_ACC = "a AS (SELECT 'm' || p_partkey AS id, ['get', 'set', 'run'][1 + p_partkey % 3] || (p_partkey % 700) AS name, p_partkey AS startLine, p_partkey + p_size % 4 AS endLine FROM part)"
 
 
-@query("SELECT * FROM (VALUES ('b'), ('c'), ('d'), ('e')) AS t(id)")
+@query(f"WITH {_ACC} SELECT id FROM (SELECT *, count(*) OVER (PARTITION BY name) AS n FROM a) WHERE NOT (endLine - startLine <= 1 AND n <= 1 AND (name LIKE 'get%' OR name LIKE 'set%'))")
 def n2_accessors(spark, sf):
-    rows = [("a", "getX", 1, 2), ("b", "getY", 1, 9), ("c", "getZ", 1, 2), ("d", "getZ", 5, 6), ("e", "run", 1, 1)]
-    return N.worth_asking(spark.createDataFrame(rows, "id string, name string, startLine int, endLine int")).select("id")
+    k = c("p_partkey")
+    kind = F.element_at(F.array(F.lit("get"), F.lit("set"), F.lit("run")), (k % 3 + 1).cast("int"))
+    rows = X.table(spark, sf, "part").select(F.concat(F.lit("m"), k.cast("string")).alias("id"), F.concat(kind, (k % 700).cast("string")).alias("name"), k.alias("startLine"), (k + c("p_size") % 4).alias("endLine"))
+    return N.worth_asking(rows).select("id")
 
 
 @query(X.sql("SELECT n.id AS sourceId, 'I' AS targetId, 1.0::DOUBLE AS confidence FROM nodes n WHERE n.label = 'Class'"))
@@ -554,10 +611,11 @@ def k10_reason_codec(spark, sf):
     return d.select(c("l_orderkey").alias("o"), c("d.binding").alias("binding"), F.size("d.pairs").cast("long").alias("n"))
 
 
-@query("SELECT * FROM (VALUES ('f', 1, 'sink', 'sql'), ('f', 2, 'source', '')) AS t(fn, line, role, kind)")
+@query("SELECT user_id AS fn, event_id AS line, m.role, m.kind FROM events JOIN (VALUES ('sink', 'sql', 'purchase', 1), ('sink', 'html', 'view', NULL), ('source', '', 'click', NULL), ('source', '', 'click', 2)) AS m(role, kind, callee, receiver) ON m.callee = event_type AND (m.receiver IS NULL OR m.receiver = user_id % 3)")
 def k14_site_matching(spark, sf):
-    sites = spark.createDataFrame([("f", 0, 1, "query", "db"), ("f", 0, 2, "param", None), ("f", 0, 3, "query", "other")], "fn string, block int, line int, callee string, receiver string")
-    return P.match_sites(sites, frame(spark, [("sink", "sql", "query", "db"), ("source", "", "param", None)], "role, kind, callee, receiver")).select("fn", "line", "role", "kind")
+    sites = X.table(spark, sf, "events").select(c("user_id").alias("fn"), F.lit(0).alias("block"), c("event_id").alias("line"), c("event_type").alias("callee"), (c("user_id") % 3).cast("int").alias("receiver"))
+    model = spark.createDataFrame([("sink", "sql", "purchase", 1), ("sink", "html", "view", None), ("source", "", "click", None), ("source", "", "click", 2)], "role string, kind string, callee string, receiver int")
+    return P.match_sites(sites, model).select("fn", "line", "role", "kind")
 
 
 @query(_sql("SELECT fn, kind_of, src_block, src_line, block, line, kind FROM found", _TAINT))

@@ -42,9 +42,21 @@ def a7_edge_scan(spark, sf):
     return readers.edge_scan(X.edges(spark, sf), ["CALLS"]).select("sourceId", "targetId", "confidence")
 
 
-@query("SELECT path, line, package FROM (VALUES ('a/Main.java', 2, 'org.springframework.web.bind.annotation.GetMapping'), ('a/Main.java', 3, 'java.util.List'), ('svc/app.py', 1, 'from fastapi import APIRouter'), ('svc/app.py', 2, 'requests'), ('web/x.ts', 1, 'axios from ''axios'''), ('n/P.cs', 1, 'System.Text')) AS t(path, line, package)")
+_CODE = "src AS (SELECT CASE l_orderkey % 5 WHEN 0 THEN 'src/o' || l_orderkey || '.java' WHEN 1 THEN 'app/o' || l_orderkey || '.py' WHEN 2 THEN 'node_modules/o' || l_orderkey || '.ts' WHEN 3 THEN '.o' || l_orderkey || '.py' ELSE 'n/o' || l_orderkey || '.cs' END AS path, l_orderkey % 5 AS k, step, l_partkey AS p FROM steps)"
+
+
+@query(X.sql("SELECT path, step + 1 AS line, CASE k WHEN 1 THEN 'from m' || p || ' import x' ELSE 'a.P' || p END AS package FROM src WHERE k IN (0, 1, 4) AND p % 3 > 0", _CODE))
 def a9_import_lines(spark, sf):
-    return E.imports(frame(spark, SOURCES, "path, content"))
+    return E.imports(_sources(spark, sf))
+
+
+def _sources(spark, sf):
+    """A source for each order: a comment, then an import or another line for each item."""
+    k, p, o = c("l_orderkey") % 5, c("l_partkey").cast("string"), c("l_orderkey").cast("string")
+    path = F.when(k == 0, F.concat(F.lit("src/o"), o, F.lit(".java"))).when(k == 1, F.concat(F.lit("app/o"), o, F.lit(".py"))).when(k == 2, F.concat(F.lit("node_modules/o"), o, F.lit(".ts"))).when(k == 3, F.concat(F.lit(".o"), o, F.lit(".py"))).otherwise(F.concat(F.lit("n/o"), o, F.lit(".cs")))
+    line = F.when(c("l_partkey") % 3 == 0, F.concat(F.lit("important a.P"), p)).when(k == 4, F.concat(F.lit("using a.P"), p, F.lit(";"))).when(k == 1, F.concat(F.lit("from m"), p, F.lit(" import x"))).otherwise(F.concat(F.lit("  import a.P"), p, F.lit(";")))
+    g = X.steps(spark, sf).select(path.alias("path"), "step", line.alias("t")).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("step", "t"))).alias("ts"))
+    return g.select("path", F.concat(F.lit("# order\n"), F.array_join(F.transform("ts", lambda t: t["t"]), "\n")).alias("content"))
 
 
 SOURCES = [
@@ -66,18 +78,38 @@ def a3_ignore_rules(spark, sf):
     return kept.select(c("path").alias("url"), c("path").endswith(".html").alias("page"), c("path").contains("docs").alias("docs"))
 
 
-DIFF = "diff --git a/x b/x\n--- a/src/x.ts\n+++ b/src/x.ts\n@@ -1,3 +1,4 @@\n ctx\n+new\n@@ -10 +12,0 @@\n-gone\n@@ -20,2 +20 @@\n+y\n--- a/old\n+++ /dev/null\n@@ -1,2 +0,0 @@\n-a\n--- a/lib/y.py\n+++ b/lib/y.py\n@@ -5,0 +6,3 @@\n+q"
+#: A diff for each order: a file for each item, with a hunk whose counts come from the item.
+_DIFFS = "d AS (SELECT l_orderkey AS diff, l_partkey AS p, step, l_suppkey % 4 AS n FROM steps)"
 
 
-@query("SELECT * FROM (VALUES ('d1', 'src/x.ts', 1, 4), ('d1', 'src/x.ts', 12, 12), ('d1', 'src/x.ts', 20, 20), ('d1', 'lib/y.py', 6, 8)) AS t(diff, filePath, startLine, endLine)")
+@query(X.sql("SELECT diff, 'src/P' || p || '.ts' AS filePath, greatest(p, 1) AS startLine, CASE WHEN n = 0 THEN greatest(p, 1) ELSE p + n - 1 END AS endLine FROM d WHERE step % 3 > 0", _DIFFS))
 def a11_diff_hunks(spark, sf):
-    return E.hunks(frame(spark, [("d1", DIFF)], "diff, text"))
+    p, n = c("l_partkey").cast("string"), c("l_suppkey") % 4
+    new = F.when(c("step") % 3 == 0, F.lit("+++ /dev/null")).otherwise(F.concat(F.lit("+++ b/src/P"), p, F.lit(".ts")))
+    at = F.concat(F.lit("@@ -5,2 +"), p, F.when(n == 1, F.lit("")).otherwise(F.concat(F.lit(","), n.cast("string"))), F.lit(" @@ context"))
+    text = F.concat(F.lit("--- a/old\n"), new, F.lit("\n"), at, F.lit("\n ctx\n+new\n-old"))
+    g = X.steps(spark, sf).select(c("l_orderkey").alias("diff"), "step", text.alias("t")).groupBy("diff").agg(F.array_sort(F.collect_list(F.struct("step", "t"))).alias("ts"))
+    return E.hunks(g.select("diff", F.array_join(F.transform("ts", lambda t: t["t"]), "\n").alias("text")))
+
 
+_KEYS = "k AS (SELECT l_orderkey AS o, 's' || l_suppkey AS s, 'p' || l_partkey AS p, l_partkey, step FROM steps)"
 
-@query("SELECT * FROM (VALUES ('application.properties', 'server.port'), ('application.properties', 'app.name'), ('application-dev.yml', 'spring.datasource.url'), ('application-dev.yml', 'spring.profiles')) AS t(path, name)")
+
+@query(
+    X.sql(
+        "SELECT 'a/application-' || o || '.properties' AS path, s || '.' || p AS name FROM k WHERE o % 2 = 0 AND l_partkey % 7 > 0 UNION ALL SELECT 'application-' || o || '.yml', s || '.' || p FROM k WHERE o % 2 = 1",
+        _KEYS,
+    )
+)
 def a15_config_keys(spark, sf):
-    files = [("application.properties", "# c\nserver.port=80\napp.name : x\n\n! d"), ("application-dev.yml", "spring:\n  datasource:\n    url: jdbc\n  profiles: dev\n"), ("other.properties", "no=1")]
-    return readers.config_keys(frame(spark, files, "path, content"))
+    """Properties of even orders (each seventh line is a comment), nested keys of odd ones, and files of other names."""
+    o, s, p = c("l_orderkey").cast("string"), F.concat(F.lit("s"), c("l_suppkey").cast("string")), F.concat(F.lit("p"), c("l_partkey").cast("string"))
+    prop = F.concat(F.when(c("l_partkey") % 7 == 0, "# ").otherwise(" "), s, F.lit("."), p, F.when(c("l_partkey") % 2 == 0, " = 1").otherwise(": 2"))
+    yml = F.concat(s, F.lit(":\n  # note: no\n  "), p, F.lit(": 1"))
+    path = F.when(c("l_orderkey") % 2 == 0, F.concat(F.lit("a/application-"), o, F.lit(".properties"))).otherwise(F.concat(F.lit("application-"), o, F.lit(".yml")))
+    g = X.steps(spark, sf).select(path.alias("path"), "step", F.when(c("l_orderkey") % 2 == 0, prop).otherwise(yml).alias("t")).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("step", "t"))).alias("ts"))
+    files = g.select("path", F.array_join(F.transform("ts", lambda t: t["t"]), "\n").alias("content"))
+    return readers.config_keys(files.union(files.select(F.concat(F.lit("other/"), F.regexp_replace("path", "application", "settings")), "content")))
 
 
 @query("SELECT * FROM (VALUES ('META-INF/spring.factories', 'com.a.One'), ('META-INF/spring.factories', 'com.a.Two'), ('META-INF/spring/org.springframework.boot.autoconfigure.AutoConfiguration.imports', 'com.b.Three')) AS t(path, class)")
@@ -94,31 +126,36 @@ def e1_folders(spark, sf):
     return E.folders(X.table(spark, sf, "pages").select(F.regexp_replace("url", "^https?://", "").alias("path")))
 
 
-MARKDOWN = [
-    ("docs/a.md", "# Top\ntext [b](b.md#x) and [web](https://x.y)\n## One\nbody\n### Deep\n[up](../readme.md)\n## Two\n#nospace\n# Next\n[gone](no.md) [me](a.md)"),
-    ("docs/b.md", "no heading\n## Only\n[a](./a.md) [a again](a.md)"),
-    ("readme.md", "# R\n[d](docs/b.md) [h](#r) [m](mailto:x@y)"),
-]
+#: Each order as a document: a heading and a line of text with a link for each item. Levels follow the line number.
+_MD = "md AS MATERIALIZED (SELECT 'o' || l_orderkey || '.md' AS path, 2 * row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS line, 1 + l_partkey % 4 AS level, 'P' || l_partkey AS title, l_partkey AS p, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)"
+
+
+def _markdown(spark, sf):
+    p = c("l_partkey").cast("string")
+    s = X.steps(spark, sf)
+    text = F.concat(F.repeat(F.lit("#"), (1 + c("l_partkey") % 4).cast("int")), F.lit(" P"), p, F.lit("\nsee [it](./x/../o"), p, F.lit(".md#part) or [web](https://a.b/o1.md)"))
+    g = s.groupBy(F.concat(F.lit("o"), c("l_orderkey").cast("string"), F.lit(".md")).alias("path")).agg(F.array_sort(F.collect_list(F.struct("step", text.alias("t")))).alias("ts"))
+    return g.select("path", F.array_join(F.transform("ts", lambda t: t["t"]), "\n").alias("content"))
 
 
-@query("SELECT * FROM (VALUES ('docs/a.md', 1, 1, 'Top'), ('docs/a.md', 3, 2, 'One'), ('docs/a.md', 5, 3, 'Deep'), ('docs/a.md', 7, 2, 'Two'), ('docs/a.md', 9, 1, 'Next'), ('docs/b.md', 2, 2, 'Only'), ('readme.md', 1, 1, 'R')) AS t(path, line, level, title)")
+@query(f"WITH {_MD} SELECT path, line, level, title FROM md")
 def e2_headings(spark, sf):
-    return E.headings(frame(spark, MARKDOWN, "path, content"))
+    return E.headings(_markdown(spark, sf))
 
 
-@query("SELECT * FROM (VALUES ('docs/a.md', 1, 8), ('docs/a.md', 3, 6), ('docs/a.md', 5, 6), ('docs/a.md', 7, 8), ('docs/a.md', 9, 10), ('docs/b.md', 2, 3), ('readme.md', 1, 2)) AS t(path, line, end_line)")
+@query(f"WITH {_MD} SELECT a.path, a.line, coalesce(min(b.line) - 1, max(2 * a.n)) AS end_line FROM md a LEFT JOIN md b ON b.path = a.path AND b.line > a.line AND b.level <= a.level GROUP BY a.path, a.line")
 def e3_section_extent(spark, sf):
-    return E.sections(frame(spark, MARKDOWN, "path, content")).select("path", "line", "end_line")
+    return E.sections(_markdown(spark, sf)).select("path", "line", "end_line")
 
 
-@query("SELECT * FROM (VALUES ('docs/a.md', 1, NULL), ('docs/a.md', 3, 1), ('docs/a.md', 5, 3), ('docs/a.md', 7, 1), ('docs/a.md', 9, NULL), ('docs/b.md', 2, NULL), ('readme.md', 1, NULL)) AS t(path, line, parent_line)")
+@query(f"WITH {_MD} SELECT a.path, a.line, max(b.line) AS parent_line FROM md a LEFT JOIN md b ON b.path = a.path AND b.line < a.line AND b.level < a.level GROUP BY a.path, a.line")
 def e4_section_nesting(spark, sf):
-    return E.sections(frame(spark, MARKDOWN, "path, content")).select("path", "line", "parent_line")
+    return E.sections(_markdown(spark, sf)).select("path", "line", "parent_line")
 
 
-@query("SELECT * FROM (VALUES ('docs/a.md', 'docs/b.md'), ('docs/a.md', 'readme.md'), ('docs/b.md', 'docs/a.md'), ('readme.md', 'docs/b.md')) AS t(source, target)")
+@query(f"WITH {_MD} SELECT DISTINCT path AS source, 'o' || p || '.md' AS target FROM md WHERE 'o' || p || '.md' IN (SELECT path FROM md) AND 'o' || p || '.md' <> path")
 def e5_links(spark, sf):
-    return E.links(frame(spark, MARKDOWN, "path, content"))
+    return E.links(_markdown(spark, sf))
 
 
 @query("SELECT doc_id, left(array_to_string(string_split(text, chr(10))[2:3], chr(10)), 5000) || CASE WHEN length(array_to_string(string_split(text, chr(10))[2:3], chr(10))) > 5000 THEN chr(10) || '... [truncated]' ELSE '' END AS snippet FROM documents")
