@@ -14,7 +14,7 @@ from ..operators import structure as E
 from ..sources import writers
 from . import fixture as X
 from .registry import query
-from .text_queries import SOURCES, frame
+from .text_queries import _CODE, _sources, frame
 
 c = F.col
 
@@ -36,9 +36,17 @@ def a8_registry_scan(spark, sf):
     return _rules(spark).filter("boundary = 'egress'").select("boundary", "id")
 
 
-@query("SELECT * FROM (VALUES ('ingress', 'HTTP / REST API', 'org.springframework.web.bind.annotation.GetMapping', 'a/Main.java'), ('ingress', 'HTTP / REST API', 'from fastapi import APIRouter', 'svc/app.py'), ('egress', 'Outbound HTTP Client', 'requests', 'svc/app.py'), ('egress', 'Outbound HTTP Client', 'axios from ''axios''', 'web/x.ts')) AS t(boundary, category, package, file)")
+@query(
+    X.sql(
+        "SELECT boundary, category, package, path AS file FROM (SELECT *, CASE WHEN k = 1 AND p % 2 = 1 THEN 'ingress' WHEN k <> 1 AND p % 10 = 1 THEN 'egress' END AS boundary, CASE WHEN k = 1 AND p % 2 = 1 THEN 'Odd module' WHEN k <> 1 AND p % 10 = 1 THEN 'Ends in one' END AS category, "
+        "CASE k WHEN 1 THEN 'from m' || p || ' import x' ELSE 'a.P' || p END AS package FROM src WHERE k IN (0, 1, 4) AND p % 3 > 0) WHERE boundary IS NOT NULL",
+        _CODE,
+    )
+)
 def h1_registry_match(spark, sf):
-    return B.match_rules(E.imports(frame(spark, SOURCES, "path, content")), _rules(spark)).select("boundary", "category", "package", "file")
+    rules = [("ingress", 0, "odd", "python", "Odd module", r"from m\d*[13579] import", ""), ("ingress", 1, "odd again", "python", "Never first", r"from m\d*[13] import", ""), ("egress", 0, "one", "", "Ends in one", r"\.P\d*1$", "")]
+    r = spark.createDataFrame(rules, "boundary string, rule_ord int, id string, language string, category string, pattern string, description string")
+    return B.match_rules(E.imports(_sources(spark, sf)), r).select("boundary", "category", "package", "file")
 
 
 _URLS = "CASE WHEN regexp_matches(url, '/docs?/') THEN 'Docs' WHEN regexp_matches(url, '[0-9]') THEN 'Numbered' ELSE 'Other' END"
@@ -96,13 +104,28 @@ def h8_route_registry(spark, sf):
     return B.register_routes(d, ["doc"]).select("key", "doc", "duplicates")
 
 
-FETCHES = [("a", "/api/users/${id}?x=1"), ("a", "/api/users/7/posts"), ("b", "/api/files/a/b/c"), ("b", "`/api/upload.php`"), ("c", "/api/" + "+ x"), ("c", "http://x/y"), ("c", "/api/none/at/all"), ("d", "/api/users/new")]
-ROUTES = [("/api/users/[id]", 0), ("/api/users/new", 1), ("/api/users/[id]/posts", 2), ("/api/files/[...path]", 3), ("/api/upload", 4)]
+#: Fetches of each order's items; routes of even parts, and one for all others.
+_FETCH = "f AS (SELECT DISTINCT 'o' || l_orderkey AS source, '/api/p' || l_partkey || CASE step % 4 WHEN 0 THEN '/[param]' WHEN 1 THEN '/' || step WHEN 2 THEN '/' || step ELSE '/a/b' END AS fetched, l_partkey AS p, step % 4 AS k FROM steps), hit AS (SELECT source, fetched, CASE WHEN k < 3 AND p % 2 = 0 THEN '/api/p' || p || '/[id]' WHEN k = 3 THEN '/api/[...rest]' END AS route FROM f)"
 
 
-@query("SELECT * FROM (VALUES ('a', '/api/users/[param]', '/api/users/[id]'), ('a', '/api/users/7/posts', '/api/users/[id]/posts'), ('b', '/api/files/a/b/c', '/api/files/[...path]'), ('b', '/api/upload', '/api/upload'), ('d', '/api/users/new', '/api/users/[id]')) AS t(source, fetched, route)")
+def _fetches(spark, sf):
+    k, p, n = c("step") % 4, c("l_partkey").cast("string"), c("step").cast("string")
+    tail = F.when(k == 0, F.lit("/${id}")).when(k == 1, F.concat(F.lit("/"), n)).when(k == 2, F.concat(F.lit("/"), n, F.lit("?x=1"))).otherwise(F.lit("/a/b"))
+    return X.steps(spark, sf).select(F.concat(F.lit("o"), c("l_orderkey").cast("string")).alias("source"), F.concat(F.lit("/api/p"), p, tail).alias("url"))
+
+
+def _fetch_routes(spark, sf):
+    own = X.table(spark, sf, "part").filter("p_partkey % 2 = 0").select(F.concat(F.lit("/api/p"), c("p_partkey").cast("string"), F.lit("/[id]")).alias("url"), F.lit(0).alias("ord"))
+    return own.union(spark.createDataFrame([("/api/[...rest]", 1)], "url string, ord int"))
+
+
+@query(X.sql("SELECT source, fetched, coalesce(route, '/api/[...rest]') AS route FROM hit", _FETCH))
 def h9_fetch_matching(spark, sf):
-    return B.match_fetches(frame(spark, FETCHES, "source, url"), spark.createDataFrame(ROUTES, "url string, ord int")).select("source", c("fetch").alias("fetched"), "route")
+    return B.match_fetches(_fetches(spark, sf), _fetch_routes(spark, sf)).select("source", c("fetch").alias("fetched"), "route")
+
+
+FETCHES = [("a", "/api/users/${id}?x=1"), ("a", "/api/users/7/posts"), ("b", "/api/files/a/b/c"), ("b", "`/api/upload.php`"), ("c", "/api/" + "+ x"), ("c", "http://x/y"), ("c", "/api/none/at/all"), ("d", "/api/users/new")]
+ROUTES = [("/api/users/[id]", 0), ("/api/users/new", 1), ("/api/users/[id]/posts", 2), ("/api/files/[...path]", 3), ("/api/upload", 4)]
 
 
 @query("SELECT * FROM (VALUES ('a', '/api/users/[id]', 'fetch|keys:id,name|fetches:2'), ('a', '/api/users/[id]/posts', 'fetch|keys:id,name|fetches:2'), ('d', '/api/users/[id]', 'fetch')) AS t(source, route, reason)")
@@ -116,24 +139,40 @@ def h11_template_urls(spark, sf):
     return X.table(spark, sf, "pages").select("page_id", F.array_join(F.array_sort(B.template_urls(c("html"))), " ").alias("urls"))
 
 
-@query("SELECT * FROM (VALUES ('w.ts', 2, '/api/a'), ('w.ts', 3, '/api/b'), ('w.ts', 3, '/api/c')) AS t(path, line, url)")
+def _order_lines(spark, sf, text):
+    """A file for each order: a first line, and a line for each item."""
+    g = X.steps(spark, sf).select(F.concat(F.lit("o"), c("l_orderkey").cast("string"), F.lit(".ts")).alias("path"), "step", text.alias("t")).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("step", "t"))).alias("ts"))
+    return E.lines(g.select("path", F.concat(F.lit("// order\n"), F.array_join(F.transform("ts", lambda t: t["t"]), "\n")).alias("content")))
+
+
+@query(X.sql("SELECT 'o' || l_orderkey || '.ts' AS path, step + 1 AS line, unnest(CASE l_partkey % 3 WHEN 0 THEN ['/api/a' || l_partkey] WHEN 1 THEN ['/api/b', '/c' || l_suppkey] ELSE []::VARCHAR[] END) AS url FROM steps"))
 def h12_wrapper_urls(spark, sf):
-    f = frame(spark, [("w.ts", "x\nconst r = apiFetch('/api/a');\napiFetch(\"/api/b\"); apiFetch(`/api/c`); myapiFetch(x)")], "path, content")
-    return B.wrapper_urls(E.lines(f), "apiFetch")
+    p, s = c("l_partkey").cast("string"), c("l_suppkey").cast("string")
+    text = F.when(c("l_partkey") % 3 == 0, F.concat(F.lit("const r = apiFetch('/api/a"), p, F.lit("');"))).when(c("l_partkey") % 3 == 1, F.concat(F.lit('apiFetch("/api/b"); apiFetch(`/c'), s, F.lit("`)"))).otherwise(F.lit("myapiFetch('/no'); apiFetch(x)"))
+    return B.wrapper_urls(_order_lines(spark, sf, text), "apiFetch")
 
 
-@query("SELECT * REPLACE (confidence::DOUBLE AS confidence) FROM (VALUES ('File:r.php', 'Method:u1', 1.0), ('File:r.php', 'Method:U.php:gone', 0.8)) AS t(sourceId, targetId, confidence)")
-def h16_handler_calls(spark, sf):
-    routes = frame(spark, [("r.php", "UserC", "index"), ("r.php", "UserC", "gone"), ("r.php", "Dup", "x")], "file, controller, action")
-    return B.handler_calls(routes, frame(spark, [("UserC", "U.php", "index", "Method:u1"), ("Dup", "a.php", "x", "m1"), ("Dup", "b.php", "x", "m2")], "class, file, method, id"))
+_HANDLERS = "cls AS (SELECT 'C' || (s_suppkey % 70) AS class, min('f' || s_suppkey) AS file FROM supplier GROUP BY 1 HAVING count(*) = 1), sym AS (SELECT 'C' || (s_suppkey % 70) AS class, 'm' || (s_nationkey % 5) AS method, 'M' || s_suppkey AS id FROM supplier), r AS (SELECT 'r' || c_custkey AS file, 'C' || (c_custkey % 90) AS controller, 'm' || (c_nationkey % 5) AS action FROM customer)"
 
 
-ORM = [("svc.ts", "a\nawait prisma.user.findMany({}); prisma.post.create()\nsupabase.from('items').select('*')\nprisma.user.findMany()")]
+@query(f"WITH {_HANDLERS} SELECT 'File:' || r.file AS sourceId, coalesce(sym.id, 'Method:' || cls.file || ':' || action) AS targetId, CASE WHEN sym.id IS NULL THEN 0.8 ELSE 1.0 END::DOUBLE AS confidence FROM r JOIN cls ON cls.class = controller LEFT JOIN sym ON sym.class = controller AND sym.method = action")
+def h16_handler_calls(spark, sf):
+    name = lambda k, x: F.concat(F.lit(k), x.cast("string"))
+    symbols = X.table(spark, sf, "supplier").select(name("C", c("s_suppkey") % 70).alias("class"), name("f", c("s_suppkey")).alias("file"), name("m", c("s_nationkey") % 5).alias("method"), name("M", c("s_suppkey")).alias("id"))
+    routes = X.table(spark, sf, "customer").select(name("r", c("c_custkey")).alias("file"), name("C", c("c_custkey") % 90).alias("controller"), name("m", c("c_nationkey") % 5).alias("action"))
+    return B.handler_calls(routes, symbols)
 
 
-@query("SELECT * FROM (VALUES ('svc.ts', 1, 'prisma', 'user', 'findMany'), ('svc.ts', 1, 'prisma', 'post', 'create'), ('svc.ts', 2, 'supabase', 'items', 'select'), ('svc.ts', 3, 'prisma', 'user', 'findMany')) AS t(path, line, orm, model, method)")
+@query(
+    X.sql(
+        "SELECT 'o' || l_orderkey || '.ts' AS path, step AS line, unnest(CASE l_partkey % 3 WHEN 0 THEN [{'orm': 'prisma', 'model': 'm' || l_partkey, 'method': 'findMany'}, {'orm': 'prisma', 'model': 'post', 'method': 'create'}] "
+        "WHEN 1 THEN [{'orm': 'supabase', 'model': 'i' || l_suppkey, 'method': 'select'}] ELSE [] END, recursive := true) FROM steps"
+    )
+)
 def h17_orm_calls(spark, sf):
-    return B.orm_calls(E.lines(frame(spark, ORM, "path, content")))
+    p, s = c("l_partkey").cast("string"), c("l_suppkey").cast("string")
+    text = F.when(c("l_partkey") % 3 == 0, F.concat(F.lit("await prisma.m"), p, F.lit(".findMany({}); prisma.post.create()"))).when(c("l_partkey") % 3 == 1, F.concat(F.lit("supabase.from('i"), s, F.lit("').select('*')"))).otherwise(F.lit("prisma.x.other(); supabase.rpc('y')"))
+    return B.orm_calls(_order_lines(spark, sf, text))
 
 
 @query("SELECT DISTINCT 'File:' || user_id AS sourceId, CASE WHEN event_type IN ('click', 'view') THEN 'Class:' || event_type ELSE 'CodeElement:orm.' || event_type END AS targetId, event_type NOT IN ('click', 'view') AS created FROM events")
@@ -173,9 +212,11 @@ def h24_config_bindings(spark, sf):
     return B.config_bindings(b, frame(spark, [("k1", "app.a.x"), ("k2", "app.a.y"), ("k3", "app.ab")], "id, name"))
 
 
-@query("SELECT * FROM (VALUES ('File:f', 'Class:1', false), ('File:f', 'Class:synthetic:com.Gone', true)) AS t(sourceId, targetId, synthetic)")
+@query("SELECT DISTINCT 'File:o' || l_orderkey AS sourceId, CASE WHEN l_suppkey % 2 = 0 THEN 'Class:' || l_suppkey ELSE 'Class:synthetic:c.S' || l_suppkey END AS targetId, l_suppkey % 2 = 1 AS synthetic FROM lineitem")
 def h25_auto_configuration(spark, sf):
-    return B.declared_configurations(frame(spark, [("f", "com.Here"), ("f", "com.Gone")], "path, class"), frame(spark, [("Class:1", "com.Here")], "id, qualified"))
+    name = lambda k, x: F.concat(F.lit(k), x.cast("string"))
+    told = X.table(spark, sf, "lineitem").select(name("o", c("l_orderkey")).alias("path"), name("c.S", c("l_suppkey")).alias("class")).distinct()
+    return B.declared_configurations(told, X.table(spark, sf, "supplier").filter("s_suppkey % 2 = 0").select(name("Class:", c("s_suppkey")).alias("id"), name("c.S", c("s_suppkey")).alias("qualified")))
 
 
 @query("SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN greatest(c_nationkey / 5.0, 3.0) ELSE c_nationkey / 5.0 END AS multiplier FROM customer")

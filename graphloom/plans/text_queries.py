@@ -59,18 +59,6 @@ def _sources(spark, sf):
     return g.select("path", F.concat(F.lit("# order\n"), F.array_join(F.transform("ts", lambda t: t["t"]), "\n")).alias("content"))
 
 
-SOURCES = [
-    ("a/Main.java", "package a;\nimport org.springframework.web.bind.annotation.GetMapping;\n  import java.util.List;\nclass Main {}"),
-    ("svc/app.py", "from fastapi import APIRouter\nimport requests\nx = 1"),
-    ("web/x.ts", "import axios from 'axios';\nconst y = 2;"),
-    ("n/P.cs", "using System.Text;\nclass P {}"),
-    ("node_modules/z.ts", "import z from 'z';"),
-    ("build/target/T.java", "import t.T;"),
-    (".hidden/h.py", "import h"),
-    ("readme.md", "import nothing"),
-]
-
-
 @query("SELECT url, url LIKE '%.html' AS page, url LIKE '%docs%' AS docs FROM pages WHERE NOT (url LIKE '%private%' OR url LIKE '%/7%')")
 def a3_ignore_rules(spark, sf):
     rules = spark.createDataFrame([("private",), ("/7",)], "pattern string")
