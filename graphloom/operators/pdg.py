@@ -6,12 +6,17 @@ A control-flow graph is a row: fn, n (blocks), entry, exit, edges (array of (src
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import settle
 
+#: Facts and calls that every worker may hold (about 60 MB).
+SMALL_FACTS = 200_000
 MAX_BLOCKS, MAX_CDG, MAX_LINES, MAX_FINDINGS, MAX_PATHS, MAX_HOPS = 5000, 5000, 2000, 2000, 1000, 32
 
 
@@ -405,14 +410,92 @@ def harvest(summaries: DataFrame) -> DataFrame:
     return summaries.groupBy("fn").agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_set(row)), ";"), 256), 1, 16).alias("version"))
 
 
-def interprocedural(facts: DataFrame, calls: DataFrame, max_hops: int = MAX_HOPS, cap: int = MAX_FINDINGS) -> DataFrame:
+class Summaries:
+    """Facts and calls that one worker holds: where each source's taint begins, how it moves, and where it sinks."""
+
+    def __init__(self, facts: list, calls: list, max_hops: int):
+        into: dict[tuple, list] = defaultdict(list)
+        for r in {(c["caller"], c["name"], c["callee"], c["params"]) for c in calls}:
+            into[r[0], r[1]].append(r[2:])
+        targets = lambda f, callee, arg: [t for t, n in into.get((f, callee), ()) if n is None or arg < n]
+        by: dict[str, list] = defaultdict(list)
+        for r in facts:
+            by[r["fact"]].append(r)
+        gives = {r["fn"] for r in by["source-return"]}
+        back = {(r["fn"], t) for r in by["call-return"] for t, _ in into.get((r["fn"], r["callee"]), ())}
+        for _ in range(max_hops):
+            more = {f for f, t in back if t in gives} - gives
+            if not more:
+                break
+            gives |= more
+        self.seeds: dict[str, set] = defaultdict(set)
+        for r in by["source-call"]:
+            self.seeds[r["fn"]] |= {(t, r["arg"]) for t in targets(r["fn"], r["callee"], r["arg"])}
+        for r in by["result-call"]:
+            if any(t in gives for t, _ in into.get((r["fn"], r["kind"]), ())):
+                self.seeds[r["fn"]] |= {(t, r["arg"]) for t, _ in into.get((r["fn"], r["callee"]), ())}
+        cleans: dict[tuple, set] = defaultdict(set)
+        for r in by["param-clean"]:
+            cleans[r["fn"], r["param"], r["callee"], r["arg"]].add(r["kind"])
+        self.moves: dict[tuple, list] = defaultdict(list)
+        for r in by["param-call"]:
+            clean = frozenset(cleans.get((r["fn"], r["param"], r["callee"], r["arg"]), ()))
+            self.moves[r["fn"], r["param"]] += [(t, r["arg"], clean) for t in targets(r["fn"], r["callee"], r["arg"])]
+        self.sinks: dict[tuple, set] = defaultdict(set)
+        for r in by["param-sink"]:
+            self.sinks[r["fn"], r["param"]].add(r["kind"])
+        self.max_hops = max_hops
+
+    def findings(self, source: str) -> list[tuple[str, str, str, int]]:
+        state = dict.fromkeys(self.seeds[source], (frozenset(), 1))
+        new = state
+        for h in range(2, self.max_hops + 1):
+            met: dict[tuple, frozenset] = {}
+            for at, (off, _) in new.items():
+                for target, arg, clean in self.moves.get(at, ()):
+                    told = off | clean
+                    met[target, arg] = met[target, arg] & told if (target, arg) in met else told
+            fresh = {}
+            for at, off in met.items():
+                old = state.get(at)
+                now = off if old is None else old[0] & off
+                if old is None or len(now) < len(old[0]):
+                    fresh[at] = (now, h if old is None else old[1])
+            if not fresh:
+                break
+            state, new = state | fresh, fresh
+        best: dict[tuple, int] = {}
+        for (fn, param), (off, hops) in state.items():
+            for kind in self.sinks.get((fn, param), set()) - off:
+                best[fn, kind] = min(hops, best.get((fn, kind), hops))
+        return [(source, fn, kind, hops) for (fn, kind), hops in best.items()]
+
+
+def _solved(facts: DataFrame, calls: DataFrame, max_hops: int) -> DataFrame:
+    """Findings of every source, each by itself, over facts that every worker holds."""
+    spark = facts.sparkSession
+    table = Summaries(facts.collect(), calls.collect(), max_hops)  # SMALL_FACTS at most, as counted
+    shared = spark.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame([f for source in pdf["source"] for f in shared.value.findings(source)], columns=["source_fn", "sink_fn", "kind", "hops"])
+
+    sources = spark.createDataFrame([(s,) for s in sorted(table.seeds)], "source string")
+    return sources.repartition("source").mapInPandas(run, "source_fn string, sink_fn string, kind string, hops int")
+
+
+def interprocedural(facts: DataFrame, calls: DataFrame, max_hops: int = MAX_HOPS, cap: int = MAX_FINDINGS, small_facts: int = SMALL_FACTS) -> DataFrame:
     """source_fn, sink_fn, kind, hops: taint across functions.
 
     facts (fn, fact, param, callee, arg, kind): source-call (a source reaches argument arg of callee), param-call (parameter
     param does), param-sink (it reaches a sink of a kind), param-clean (kind is neutralised on the way to callee's arg),
     source-return and call-return are closed first: a function that returns a source's or such a call's value is a source where
     it is called with fact result-call (its result reaches callee's arg; param holds nothing). calls: caller, callee, name,
-    params. Semi-naive: a state (source, fn, param) goes on only with fewer neutralised kinds than before."""
+    params. Semi-naive: a state (source, fn, param) goes on only with fewer neutralised kinds than before. Up to small_facts facts
+    and calls, every worker holds them and sources are dealt out; beyond, each round is a join."""
+    if facts.limit(small_facts + 1).count() + calls.limit(small_facts + 1).count() <= small_facts:
+        return _solved(facts, calls, max_hops).orderBy("source_fn", "sink_fn", "kind").limit(cap)
     by_name = calls.select(F.col("caller").alias("fn"), F.col("name").alias("callee"), F.col("callee").alias("target"), "params").distinct()
     hop = lambda f: facts.filter(F.col("fact") == f).join(by_name, ["fn", "callee"]).filter(F.col("params").isNull() | (F.col("arg") < F.col("params")))
     # functions whose result is tainted

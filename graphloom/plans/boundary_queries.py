@@ -675,35 +675,49 @@ def k16_taint_edges(spark, sf):
     return P.taint_edges(P.taint(_order_cfgs(spark, sf)))
 
 
-FACTS = [
-    ("a", "source-call", None, "b", 0, None), ("b", "param-call", 0, "c", 1, None), ("b", "param-call", 0, "d", 0, None), ("b", "param-clean", 0, "d", 0, "sql"), ("c", "param-sink", 1, None, None, "sql"),
-    ("d", "param-sink", 0, None, None, "sql"), ("d", "param-sink", 0, None, None, "html"), ("c", "param-call", 1, "b", 0, None), ("s", "source-return", None, None, None, None), ("t", "call-return", None, "s", None, None),
-    ("u", "result-call", None, "d", 0, "t"), ("e", "source-call", None, "c", 5, None),
-]
+#: Suppliers as functions: k calls 2k, 2k + 1 and k + 3; some are sources, sinks, and clean a kind on one way.
+_FN = """e AS MATERIALIZED (SELECT DISTINCT k, d FROM (SELECT s_suppkey AS k, unnest([2 * s_suppkey, 2 * s_suppkey + 1, s_suppkey + 3]) AS d FROM supplier) JOIN supplier ON s_suppkey = d WHERE k <> d),
+kinds AS (SELECT unnest(['sql', 'html']) AS kind),
+t AS (SELECT k AS src, kind, d AS fn FROM e, kinds WHERE k % 7 = 1 AND d = 2 * k UNION SELECT t.src, t.kind, e.d FROM t JOIN e ON e.k = t.fn WHERE NOT (t.kind = 'sql' AND t.fn % 4 = 1 AND e.d = 2 * t.fn)),
+found AS (SELECT DISTINCT 'S' || src AS source_fn, 'S' || fn AS sink_fn, kind FROM t WHERE (kind = 'sql' AND fn % 3 = 0) OR (kind = 'html' AND fn % 5 = 0)),
+capped AS (SELECT * FROM found ORDER BY source_fn, sink_fn, kind LIMIT 2000),
+fact AS (SELECT 'S' || k AS fn, 'source-call,,S' || d || ',0,' AS row FROM e WHERE k % 7 = 1 AND d = 2 * k UNION ALL SELECT 'S' || k, 'param-call,0,S' || d || ',0,' FROM e UNION ALL SELECT 'S' || k, 'param-clean,0,S' || d || ',0,sql' FROM e WHERE k % 4 = 1 AND d = 2 * k
+  UNION ALL SELECT 'S' || s_suppkey, 'param-sink,0,,,sql' FROM supplier WHERE s_suppkey % 3 = 0 UNION ALL SELECT 'S' || s_suppkey, 'param-sink,0,,,html' FROM supplier WHERE s_suppkey % 5 = 0)"""
 
 
-def _facts(spark):
-    return spark.createDataFrame(FACTS, "fn string, fact string, param int, callee string, arg int, kind string")
+def _fn_edges(spark, sf):
+    s = X.table(spark, sf, "supplier").select(c("s_suppkey").alias("k"))
+    return s.select("k", F.explode(F.array(2 * c("k"), 2 * c("k") + 1, c("k") + 3)).alias("d")).distinct().join(s.select(c("k").alias("d")), "d").filter("k <> d")
 
 
-def _calls(spark):
-    rows = [("a", "b", "b", 1), ("b", "c", "c", 2), ("b", "d", "d", 1), ("c", "b", "b", 1), ("t", "s", "s", 0), ("u", "t", "t", 0), ("u", "d", "d", 1), ("e", "c", "c", 2)]
-    return spark.createDataFrame(rows, "caller string, callee string, name string, params int")
+def _facts(spark, sf):
+    e, s = _fn_edges(spark, sf), X.table(spark, sf, "supplier").select(c("s_suppkey").alias("k"))
+    name, none = lambda x: F.concat(F.lit("S"), x.cast("string")), F.lit(None)
+    to = lambda rows, fact, param, kind: rows.select(name(c("k")).alias("fn"), F.lit(fact).alias("fact"), param.cast("int").alias("param"), name(c("d")).alias("callee"), F.lit(0).alias("arg"), kind.cast("string").alias("kind"))
+    sink = lambda n, kind: s.filter(c("k") % n == 0).select(name(c("k")), F.lit("param-sink"), F.lit(0), none.cast("string"), none.cast("int"), F.lit(kind))
+    calls = to(e.filter("k % 7 = 1 and d = 2 * k"), "source-call", none, none).union(to(e, "param-call", F.lit(0), none)).union(to(e.filter("k % 4 = 1 and d = 2 * k"), "param-clean", F.lit(0), F.lit("sql")))
+    return calls.union(sink(3, "sql")).union(sink(5, "html"))
 
 
-@query()
+def _calls(spark, sf):
+    name = lambda x: F.concat(F.lit("S"), x.cast("string"))
+    return _fn_edges(spark, sf).select(name(c("k")).alias("caller"), name(c("d")).alias("callee"), name(c("d")).alias("name"), F.lit(1).alias("params"))
+
+
+@query(f"WITH RECURSIVE {_FN} SELECT fn, substring(sha256(string_agg(DISTINCT row, ';' ORDER BY row)), 1, 16) AS version FROM fact GROUP BY fn")
 def k17_summary_versions(spark, sf):
-    return P.harvest(_facts(spark))
+    return P.harvest(_facts(spark, sf))
 
 
-@query("SELECT * FROM (VALUES ('a', 'c', 'sql'), ('a', 'd', 'html'), ('u', 'd', 'sql'), ('u', 'd', 'html')) AS t(source_fn, sink_fn, kind)")
+@query(f"WITH RECURSIVE {_FN} SELECT * FROM capped")
 def k18_interprocedural(spark, sf):
-    return P.interprocedural(_facts(spark), _calls(spark)).select("source_fn", "sink_fn", "kind")
+    return P.interprocedural(_facts(spark, sf), _calls(spark, sf)).select("source_fn", "sink_fn", "kind")
 
 
-@query("SELECT * FROM (VALUES ('a', 'c', 0.6::DOUBLE, 'sql')) AS t(sourceId, targetId, confidence, reason)")
+@query(f"WITH RECURSIVE {_FN} SELECT source_fn AS sourceId, sink_fn AS targetId, 0.6::DOUBLE AS confidence, kind AS reason FROM capped WHERE sink_fn IN (SELECT 'S' || s_suppkey FROM supplier WHERE s_suppkey % 2 = 0) AND source_fn IN (SELECT 'S' || s_suppkey FROM supplier WHERE s_suppkey % 2 = 0) ORDER BY 1, 2, 4 LIMIT 1000")
 def k19_taint_paths(spark, sf):
-    return P.taint_paths(P.interprocedural(_facts(spark), _calls(spark)), frame(spark, [("a",), ("c",)], "id")).select("sourceId", "targetId", "confidence", "reason")
+    ids = X.table(spark, sf, "supplier").filter("s_suppkey % 2 = 0").select(F.concat(F.lit("S"), c("s_suppkey").cast("string")).alias("id"))
+    return P.taint_paths(P.interprocedural(_facts(spark, sf), _calls(spark, sf)), ids).select("sourceId", "targetId", "confidence", "reason")
 
 
 @query("SELECT l_orderkey AS o, CASE WHEN octet_length(encode(string_agg('P' || l_partkey, '->' ORDER BY l_partkey))) <= 4091 THEN string_agg('P' || l_partkey, '->' ORDER BY l_partkey) END AS path FROM lineitem GROUP BY 1")

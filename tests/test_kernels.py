@@ -275,3 +275,48 @@ def test_stages():
         ordered([Stage("x", id, ("y",)), Stage("y", id, ("x",))])
     with pytest.raises(ValueError, match="needs"):
         ordered([Stage("x", id, ("q",))])
+
+
+FACTS = [
+    ("a", "source-call", None, "b", 0, None), ("b", "param-call", 0, "c", 1, None), ("b", "param-call", 0, "d", 0, None), ("b", "param-clean", 0, "d", 0, "sql"), ("c", "param-sink", 1, None, None, "sql"),
+    ("d", "param-sink", 0, None, None, "sql"), ("d", "param-sink", 0, None, None, "html"), ("c", "param-call", 1, "b", 0, None), ("s", "source-return", None, None, None, None), ("t", "call-return", None, "s", None, None),
+    ("u", "result-call", None, "d", 0, "t"), ("e", "source-call", None, "c", 5, None),
+]
+
+
+def test_returned_sources(spark):
+    """Sources that functions return, calls with too few parameters, cycles, and kinds that are cleaned on the only way."""
+    facts = spark.createDataFrame(FACTS, "fn string, fact string, param int, callee string, arg int, kind string")
+    rows = [("a", "b", "b", 1), ("b", "c", "c", 2), ("b", "d", "d", 1), ("c", "b", "b", 1), ("t", "s", "s", 0), ("u", "t", "t", 0), ("u", "d", "d", 1), ("e", "c", "c", 2)]
+    calls = spark.createDataFrame(rows, "caller string, callee string, name string, params int")
+    one, two = ({tuple(r) for r in P.interprocedural(facts, calls, small_facts=small).collect()} for small in (10**6, 0))
+    assert one == two and {r[:3] for r in one} == {("a", "c", "sql"), ("a", "d", "html"), ("u", "d", "sql"), ("u", "d", "html")}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_interprocedural_both_ways(spark, seed):
+    """In workers' tables and by rounds of joins, on random facts."""
+    rng = random.Random(seed)
+    fns = [f"f{k}" for k in range(12)]
+    calls = [(a, b, b, rng.choice([1, 2, None])) for a in fns for b in rng.sample(fns, 3)]
+    facts = [(rng.choice(fns), "source-call", None, rng.choice(fns), rng.randrange(2), None) for _ in range(8)]
+    facts += [(a, "param-call", rng.randrange(2), b, rng.randrange(2), None) for a, b, *_ in calls]
+    facts += [(f[0], "param-clean", f[2], f[3], f[4], rng.choice(["sql", "html"])) for f in facts[8:] if rng.random() < 0.4]
+    facts += [(rng.choice(fns), "param-sink", rng.randrange(2), None, None, rng.choice(["sql", "html"])) for _ in range(10)]
+    f, c = spark.createDataFrame(facts, "fn string, fact string, param int, callee string, arg int, kind string"), spark.createDataFrame(calls, "caller string, callee string, name string, params int")
+    one, two = (sorted(map(tuple, P.interprocedural(f, c, small_facts=small).collect())) for small in (10**6, 0))
+    assert one == two
+
+
+def test_functions_by_hand(spark):
+    """Control-flow graphs whose facts are known by hand."""
+    from graphloom.plans import boundary_queries as Bq
+
+    cfgs = Bq._cfgs(spark)
+    ip = {(r.fn, r.block): r.ipdom for r in P.post_dominator_edges(cfgs).collect()}
+    assert [ip["diamond", b] for b in range(5)] == [3, 3, 3, 4, -1] and [ip["loop", b] for b in range(4)] == [1, 3, 1, -1]
+    assert [ip["forever", b] for b in range(4)] == [1, 3, 1, -1] and [ip["thrower", b] for b in range(4)] == [1, 3, 3, -1]
+    live = {}
+    for r in P.reachable_blocks(cfgs).collect():
+        live.setdefault(r.fn, set()).add(r.block)
+    assert live == {"diamond": {0, 1, 2, 3, 4}, "loop": {0, 1, 2, 3}, "forever": {0, 1, 2}, "thrower": {0, 1, 2, 3}}
