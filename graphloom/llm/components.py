@@ -146,13 +146,14 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         # large star: the larger neighbours of u go to the smallest of u and its neighbours
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = cut(with_least(both, n).filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).filter("a <> b").distinct())
-        # small star: u and its smaller neighbours go to the smallest of them
-        small = with_least(large, n).select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e")).select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).filter("a <> b").distinct()
+        large = with_least(both, n).filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).filter("a <> b").distinct()
+        # small star: u and its smaller neighbours, which are few, as stars come from whole partitions, go to the smallest
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").union(least.select("a", F.col("m").alias("b"))).distinct()
         new = cut(small)
         told = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         n = told[0]
-        drop(e, large)
+        drop(e)
         e = new
         if told == last:
             break
