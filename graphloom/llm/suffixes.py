@@ -1,10 +1,10 @@
-"""Substring deduplication by distributed prefix doubling.
+"""Substring deduplication by distributed prefix doubling over a sample of positions.
 
-Every byte covered by a string of `LENGTH` = 50 bytes that also starts in a document with a smaller doc_id is removed. The
-order of equal strings is all that counts, so ranks are names: equal strings of one length have equal names. Names start at
-`FIRST` = 20 bytes and double: the name of 40 bytes at i is made of the 20-byte names at i and i + 20, the name of 50 bytes
-of the 40-byte names at i and i + 10. Between rounds Spark sorts (name, position) rows and drops what is unique, until only
-strings past the threshold are left:
+Every byte covered by a string of `LENGTH` = 50 bytes that also starts in a document with a smaller doc_id is removed. Ranks are
+names here (only the equality of strings counts, not their order): the name of 40 bytes at i is made of the 20-byte names at i
+and i + 20, the name of 50 bytes of the 40-byte names at i and i + 10. The plain form of the method, with a sort of every
+position in each round, is in `doubling`; this one sorts (name, position) rows in two rounds, drops what is unique between them,
+and takes the steps from 20 to 50 bytes inside the kernel:
 
 1. Round of 20 bytes, at the positions that matter: every 50-byte string is represented by the smallest 20-byte name in it
    (about one position in sixteen is one). A string that repeats has a representative that repeats, so documents keep only
@@ -16,17 +16,16 @@ strings past the threshold are left:
    where those have `STRINGS` strings or fewer, and else one by one through a shuffle of their own.
 
 Names are 64 bits in round 1, where a false meeting only costs work, and 128 (segments) and 80 (strings) bits after that.
-Plain prefix doubling sorts every position in each round (`doubling`); here the rounds between 20 and 50 bytes are taken inside
-the kernel, and only positions of the sample and of what repeats are sorted.
 
 Skew: rows of a name that a worker sees in several documents are settled where they are, and only one of them travels with
 the name; the others go their own ways. So a passage in a third of all documents gives one row for each block of texts.
-Rows stream through sorted runs, with one row of state; no group is held. Texts travel compressed, and each step ends in a
-table, after which its shuffle files go.
+Rows stream through sorted runs, with one row of state; no group is held but those of at most `STRINGS` strings. Texts travel
+compressed, and each step ends in a table, after which its shuffle files go.
 
-Results: one row per input row. Null and empty texts have no bytes. A null doc_id is larger than all others. Rows with the
-same doc_id are the same document, so they do not remove each other's strings, whether their texts are equal or not. Copies of
-a smaller document lose all bytes if they have 50 or more. Other columns are ignored (`remove_repeats` keeps them).
+Results: one row per input row. Null and empty texts have no bytes. A null doc_id is larger than all others. Rows with the same
+doc_id are the same document, so they do not remove each other's strings, whether their texts are equal or not; they are told
+apart by 96 bits of their texts. Copies of a smaller document lose all bytes if they have 50 or more. Other columns, also those
+of clashing names, are ignored (`remove_repeats` keeps them). No rows give no rows. Texts of any length are treated whole.
 """
 
 from __future__ import annotations
@@ -34,7 +33,7 @@ from __future__ import annotations
 import hashlib
 import os
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -536,8 +535,8 @@ def _with_starts(docs: DataFrame, found: DataFrame) -> DataFrame:
     return docs.join(f, (F.col("__id") == F.col("__d")) & (F.col("__row") == F.col("__r")) & (F.col("__tag") == F.col("__t")), "left")
 
 
-def find_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+def find_repeats(docs: DataFrame, search: Callable[[DataFrame], DataFrame] = repeated) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256. search: repeated, or that of doubling."""
     keyed = _keyed(docs, OWN)
 
     def digest(block: Block) -> pa.RecordBatch:
@@ -547,7 +546,7 @@ def find_repeats(docs: DataFrame) -> DataFrame:
         for batch in unpacked(batches):
             yield from map(digest, blocks(batch))
 
-    joined = _with_starts(packed(keyed, OWN), repeated(docs)).select("__id", "text", "starts")
+    joined = _with_starts(packed(keyed, OWN), search(docs)).select("__id", "text", "starts")
     out = joined.mapInArrow(trimmed(run), "__id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return out.select(F.when(F.col("__id") != LAST_ID, F.col("__id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 

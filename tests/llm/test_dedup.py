@@ -6,7 +6,7 @@ import brute
 import numpy as np
 import pytest
 
-from graphloom.llm import components, paragraphs, pivots, simhash, suffixes
+from graphloom.llm import components, doubling, paragraphs, pivots, simhash, suffixes
 
 DOCS = "doc_id long, text string"
 
@@ -158,6 +158,15 @@ def test_paragraphs_shared_ids(spark):
     assert sorted(map(tuple, got), key=str) == sorted(brute.paragraph_cuts(rows), key=str)
 
 
+@pytest.mark.parametrize("seed", [1, 4])
+def test_plain_doubling(spark, seed):
+    """The method's plain form gives the same rows as the sampled one and as brute force."""
+    rows = corpus(seed, 40)
+    got = suffixes.find_repeats(spark.createDataFrame(rows, DOCS).repartition(3), doubling.repeated).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(brute.repeats(rows), key=str)
+    assert suffixes.find_repeats(spark.createDataFrame([], DOCS), doubling.repeated).count() == 0
+
+
 def test_suffixes_periodic(spark, monkeypatch):
     """Texts with periods, cut into segments, by both ways of settling strings."""
     rng = random.Random(4)
