@@ -77,11 +77,11 @@ def h4_flow_summaries(spark, sf):
     return B.flow_summaries(X.nodes(spark, sf, {"Process"}).join(n, "id"))
 
 
-@query(X.sql("SELECT process, class, callee FROM (SELECT p.id AS process, h.sourceId AS class, e.targetId AS callee, row_number() OVER (PARTITION BY p.id, h.sourceId ORDER BY e.emit_ord, e.targetId) AS rn FROM nodes p JOIN edges h ON h.targetId = p.entryPointId AND h.type = 'HAS_METHOD' JOIN edges e ON e.sourceId = p.entryPointId AND e.type = 'CALLS' WHERE p.label = 'Process' AND p.name = '1-URGENT') WHERE rn <= 4"))
+@query(X.sql("SELECT process, class, callee FROM (SELECT p.id AS process, h.sourceId AS class, e.targetId AS callee, row_number() OVER (PARTITION BY p.id, h.sourceId ORDER BY e.emit_ord, e.targetId) AS rn FROM nodes p JOIN edges h ON h.targetId = p.entryPointId AND h.type = 'HAS_METHOD' JOIN edges e ON e.sourceId = p.entryPointId AND e.type = 'CALLS' WHERE p.label = 'Process') WHERE rn <= 4"))
 def h5_ingress_linking(spark, sf):
     from ..operators.relational import first_k, hop
 
-    p = X.nodes(spark, sf, {"Process"}).filter("name = '1-URGENT'").select(c("id").alias("process"), "entryPointId")
+    p = X.nodes(spark, sf, {"Process"}).select(c("id").alias("process"), "entryPointId")
     owner = hop(p, "entryPointId", X.edges(spark, sf, {"HAS_METHOD"}), "k_", reverse=True)
     x = owner.join(X.edges(spark, sf, {"CALLS"}), c("entryPointId") == c("sourceId"))
     return first_k(x, ["process", "k_id"], ["emit_ord", "targetId"], 4).select("process", c("k_id").alias("class"), c("targetId").alias("callee"))
@@ -251,14 +251,14 @@ def h29_entry_points(spark, sf):
 
 _FLOW = (
     _FILES
-    + ", ent AS (SELECT id FROM files WHERE contains(filePath, 'listener') AND id IN ('Method:P5', 'Method:P10', 'Method:P25')), w AS (SELECT id AS entry, id AS node, 0 AS depth FROM ent UNION SELECT w.entry, e.targetId, w.depth + 1 FROM w JOIN edges e ON e.type = 'CALLS' AND e.sourceId = w.node AND e.confidence >= 0.8 WHERE depth < 2), best AS (SELECT entry, node, min(depth) AS depth FROM w GROUP BY 1, 2), "
+    + ", ent AS (SELECT id FROM files WHERE contains(filePath, 'listener')), w AS (SELECT id AS entry, id AS node, 0 AS depth FROM ent UNION SELECT w.entry, e.targetId, w.depth + 1 FROM w JOIN edges e ON e.type = 'CALLS' AND e.sourceId = w.node AND e.confidence >= 0.8 WHERE depth < 2), best AS (SELECT entry, node, min(depth) AS depth FROM w GROUP BY 1, 2), "
     + f"st AS (SELECT entry, CASE WHEN {_ROLE} IN ('Egress', 'Controller') THEN {_ROLE} ELSE 'Service' END AS role, node AS id, name, depth FROM best JOIN files ON files.id = node WHERE node <> entry), uniq AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entry, role, name ORDER BY depth, id) AS rn FROM st) WHERE rn = 1)"
 )
 
 
 def _steps(spark, sf):
     files = _files(spark, sf)
-    entries = files.filter("id in ('Method:P5', 'Method:P10', 'Method:P25')")
+    entries = files.filter(c("filePath").contains("listener"))
     calls = X.edges(spark, sf, {"CALLS"}).filter("confidence >= 0.8")
     return B.workflow_steps(entries, frame(spark, [("none", "none")], "route, handler"), files, calls, hops=2), entries
 
