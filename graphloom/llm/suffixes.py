@@ -482,13 +482,13 @@ def string_names(rows: pa.RecordBatch) -> tuple[np.ndarray, ...]:
 
 def later(key: np.ndarray, who: np.ndarray) -> np.ndarray:
     """Which rows have a smaller owner of their key among these rows."""
-    order = np.lexsort((who, key))
-    k, w = key[order], who[order]
-    new = np.ones(len(k), bool)
-    new[1:] = k[1:] != k[:-1]
     out = np.zeros(len(key), bool)
-    if len(k):
-        out[order] = w > w[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    if len(key):
+        order = np.argsort(key)
+        k, w = key[order], who[order]
+        new = np.ones(len(k), bool)
+        new[1:] = k[1:] != k[:-1]
+        out[order] = w > np.minimum.reduceat(w, np.flatnonzero(new))[np.cumsum(new) - 1]
     return out
 
 
