@@ -3,7 +3,7 @@
 A paragraph is a line of `MIN_WORDS` = 20 words or more, or a run of consecutive shorter lines, as the set of its 5-word
 shingles (words: lower-cased letters and digits). Runs end at blank lines, long lines and the text's ends; one of fewer words
 than a shingle joins the run before it, else the one behind it. A whole text of fewer words is one paragraph. MinHash
-signatures of `BANDS` x `ROWS` = 16 x 5 make paragraphs of Jaccard similarity 0.8 collide with probability 0.998. Colliding
+signatures of `BANDS` x `ROWS` = 12 x 4 make paragraphs of Jaccard similarity 0.8 collide with probability 0.998. Colliding
 paragraphs are verified by their exact Jaccard similarity (`SIMILARITY` = 0.8 or more), and components of verified links
 decide: each paragraph that has a member of its component in a document with a smaller doc_id is removed.
 
@@ -40,7 +40,7 @@ from .suffixes import KEYS, LAST_ID, OWN, PLACE, _keyed, _with_starts, column, j
 MIN_WORDS = 20
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 16, 5
+BANDS, ROWS = 12, 4
 NEIGHBOURS = 4
 MIN_PIECE = 10
 CONTEXT = 14
@@ -291,11 +291,14 @@ def repeated(docs: DataFrame, inner_passages: bool = True) -> tuple[DataFrame, D
         key = join_names(one, two)
         near = lines.around(first, size)
         # what this block settles: pieces of larger documents go their own way, only the smallest one's looks for others
-        order = np.lexsort((at, row, who, key))
-        new = np.ones(len(key), bool)
-        new[1:] = key[order][1:] != key[order][:-1]
-        head = np.empty(len(key), np.int64)
-        head[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        order = np.argsort(key)
+        same = key[order][1:] == key[order][:-1]
+        again = order[np.concatenate((same, [False])) | np.concatenate(([False], same))]
+        again = again[np.lexsort((at[again], row[again], who[again], key[again]))]
+        new = np.ones(len(again), bool)
+        new[1:] = key[again][1:] != key[again][:-1]
+        head = np.arange(len(key))
+        head[again] = again[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(again) else again
         done = who > who[head]
         flag = done.astype(np.int8)
         flag[head[done]] = HEAD
