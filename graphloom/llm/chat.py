@@ -18,6 +18,7 @@ A formatted conversation is one value, so it must fit a row (2 GB); turns are fo
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
@@ -132,3 +133,18 @@ def digest(chats: DataFrame) -> DataFrame:
 def events_of(conversations: DataFrame) -> DataFrame:
     """Finished messages as a log: a row is a message whose turn is its place."""
     return conversations.select("conv_id", F.col("turn").alias("seq"), "turn", F.lit("message").alias("op"), "role", "text")
+
+
+def streamed(conversations: DataFrame) -> DataFrame:
+    """Finished messages as the log that a service writes while they come about: each begins with a draft, which an assistant's
+    regenerate discards and another's edit empties, and then comes in two deltas. seq counts inside a turn; messages of one turn
+    follow each other by role and text."""
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    half = F.floor(F.length("text") / 2).cast("int")
+    before = 4 * (F.row_number().over(W.partitionBy("conv_id", "turn").orderBy("role", "text")) - 1)
+    event = lambda k, op, who, what: F.struct((F.col("before") + k).cast("long").alias("seq"), op.alias("op"), who.alias("role"), what.alias("text"))
+    first, second, none = F.substr("text", F.lit(1), half), F.substr("text", half + 1), F.lit("")
+    redo = F.when(F.col("role") == "assistant", "regenerate").otherwise("edit")
+    log = F.array(event(0, F.lit("message"), F.col("role"), second), event(1, redo, none, none), event(2, F.lit("delta"), none, first), event(3, F.lit("delta"), none, second))
+    rows = conversations.select("conv_id", "turn", role.alias("role"), text.alias("text")).withColumn("before", before)
+    return rows.select("conv_id", "turn", F.explode(log).alias("e")).select("conv_id", "e.seq", "turn", "e.op", "e.role", "e.text")

@@ -45,6 +45,19 @@ def test_chat_events(spark):
     assert chat.digest(chat.format_chats(df.filter("false"))).count() == 0
 
 
+def test_chat_streams(spark):
+    """A log of drafts, edits, regenerations and deltas folds into the messages that it was made of; ties, nulls and long texts too."""
+    rng = random.Random(2)
+    rows = [(rng.choice([1, 2, None]), rng.choice([0, 1, 2, 7, None]), rng.choice(["user", "assistant", "", None]), rng.choice(["", "a", "é🙂", "<|im_end|>", None, "many words " * 3])) for _ in range(80)]
+    rows += [rows[0], rows[0], (5, 0, "assistant", "x" * 300_000), (5, 1, "user", "漢" * 99_999)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    log = chat.streamed(df)
+    assert log.count() == 4 * len(rows) and {r["op"] for r in log.select("op").distinct().collect()} == {"message", "edit", "regenerate", "delta"}
+    told = lambda d: {r["conv_id"]: [tuple(m) for m in r["messages"]] for r in chat.fold(d.repartition(5)).collect()}
+    assert told(log) == told(chat.events_of(df))
+    assert chat.streamed(df.filter("false")).count() == 0
+
+
 def test_chat_escapes(spark):
     rng = random.Random(1)
     bits = ["\\", "b", "p", "n", "<|", "|>", "<", "|", "\n", "im_end", "<|im_end|>\n", "é"]
