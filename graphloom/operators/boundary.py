@@ -54,6 +54,7 @@ def flow_summaries(processes: DataFrame) -> DataFrame:
 
 # --- routes ---------------------------------------------------------------------------------------
 
+#: Verbs of routes.
 METHODS = ["GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS", "TRACE", "CONNECT"]
 
 
@@ -255,20 +256,28 @@ def _holds(p: Column, *words: str) -> Column:
     return reduce(lambda a, b: a | b, [p.contains(w) for w in words])
 
 
-def role(path: Column, label: Column) -> Column:
+#: Roles, and categories of egress, by parts of the lower-cased path, in this order.
+ROLE_WORDS = [("Ingress", ["ingress", "listener", "consumer"]), ("Egress", ["egress", "client", "producer", "repo", "store"]), ("Controller", ["workflow", "controller"])]
+EGRESS_WORDS = [
+    ("Outbound HTTP / REST Client", ["http", "client", "swift", "clearing"]), ("Database / JPA / ORM", ["repo", "db", "store", "ledger"]), ("Message Queue / Kafka Producer", ["producer", "kafka", "mq"]),
+    ("Temporal Activity / RPC Sink", ["activity"]),
+]
+
+
+def _by_words(path: Column, table: list[tuple[str, list[str]]], default: str) -> Column:
     p = F.lower(F.coalesce(path, F.lit("")))
-    return F.when((label == "Route") | _holds(p, "ingress", "listener", "consumer"), "Ingress").when(_holds(p, "egress", "client", "producer", "repo", "store"), "Egress").when(_holds(p, "workflow", "controller"), "Controller").otherwise("Service")
+    out = F.when(F.lit(False), F.lit(""))
+    for name, words in table:
+        out = out.when(_holds(p, *words), name)
+    return out.otherwise(default)
+
+
+def role(path: Column, label: Column) -> Column:
+    return F.when(label == "Route", "Ingress").otherwise(_by_words(path, ROLE_WORDS, "Service"))
 
 
 def egress_category(path: Column) -> Column:
-    p = F.lower(F.coalesce(path, F.lit("")))
-    return (
-        F.when(_holds(p, "http", "client", "swift", "clearing"), "Outbound HTTP / REST Client")
-        .when(_holds(p, "repo", "db", "store", "ledger"), "Database / JPA / ORM")
-        .when(_holds(p, "producer", "kafka", "mq"), "Message Queue / Kafka Producer")
-        .when(p.contains("activity"), "Temporal Activity / RPC Sink")
-        .otherwise("Outbound Integration Sink")
-    )
+    return _by_words(path, EGRESS_WORDS, "Outbound Integration Sink")
 
 
 def route_handlers(routes: DataFrame, handles: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -164,14 +164,36 @@ ROUTES = [
     ("django", r"""\b(?:re_)?path\(\s*r?["']([^"']*)["']\s*,\s*([\w.]+)""", (0, 1, 2)),
     ("laravel", r"""Route::(get|post|put|patch|delete|any|resource)\(\s*["']([^"']*)["']\s*,\s*\[?([\w\\]+)""", (1, 2, 3)),
     ("express", r"""\b(?:app|router)\.(get|post|put|patch|delete|all)\(\s*["'`]([^"'`]*)["'`]\s*,\s*([\w.]+)?""", (1, 2, 3)),
+    ("flask", r"""@\w+\.route\(\s*["']([^"']*)["'](?:.*methods\s*=\s*\[\s*["'](\w+)["'])?""", (2, 1, 0)),
+    ("nestjs", r"""@(Get|Post|Put|Patch|Delete)\(\s*(?:["'`]([^"'`]*)["'`])?\s*\)""", (1, 2, 0)),
+    ("aspnet", r"""\[Http(Get|Post|Put|Patch|Delete)(?:\(\s*"([^"]*)"\s*[^)]*\))?\]""", (1, 2, 0)),
+    ("rails", r"""^\s*(get|post|put|patch|delete)\s+["']([^"']*)["']\s*(?:=>|,\s*to:)\s*["']([\w/#]+)["']""", (1, 2, 3)),
+    ("gin", r"""\b\w+\.(GET|POST|PUT|PATCH|DELETE)\(\s*"([^"]*)"\s*,\s*([\w.]+)""", (1, 2, 3)),
+    ("go-http", r"""\bhttp\.HandleFunc\(\s*"([^"]*)"\s*,\s*([\w.]+)""", (0, 1, 2)),
+    ("actix", r"""^\s*#\[(get|post|put|patch|delete)\(\s*"([^"]*)"\s*\)\]""", (1, 2, 0)),
+    ("ktor", r"""^\s*(get|post|put|patch|delete)\(\s*"([^"]*)"\s*\)\s*\{""", (1, 2, 0)),
+    ("table", r"""\bmethod\s*:\s*["'](GET|POST|PUT|PATCH|DELETE)["'].*?\b(?:path|url)\s*:\s*["']([^"']*)["'](?:.*?\bhandler\s*:\s*([\w.]+))?""", (1, 2, 3)),
+    ("guard", r"""\b(?:pathname|path|url)\s*===?\s*["'](/[^"']*)["'](?:.*\bmethod\s*===?\s*["'](\w+)["'])?""", (2, 1, 0)),
 ]
 
 
+def with_constants(text: DataFrame) -> DataFrame:
+    """Lines with the names that stand where a route's url is expected replaced by what the file says they are: NAME = "value"."""
+    said = r"""^\s*(?:export\s+)?(?:public\s+|private\s+|static\s+|final\s+)*(?:const\s+|let\s+|String\s+)?([A-Z][A-Z0-9_]+)\s*(?::[^=]+)?=\s*["']([^"']*)["']"""
+    asked = r"""(?:\(|,\s*|=\s*)([A-Z][A-Z0-9_]+)\s*[,)]"""
+    known = text.filter(F.col("text").rlike(said)).groupBy("path", F.regexp_extract("text", said, 1).alias("name")).agg(F.min_by(F.regexp_extract("text", said, 2), "line").alias("value"))
+    x = text.withColumn("name", F.when(~F.col("text").rlike(said), F.regexp_extract("text", asked, 1))).join(known, ["path", "name"], "left")
+    at = F.instr("text", F.col("name"))
+    put = F.concat(F.substr("text", F.lit(1), at - 1), F.lit('"'), F.col("value"), F.lit('"'), F.substr("text", at + F.length("name")))
+    return x.select("path", "line", F.when(F.col("value").isNotNull(), put).otherwise(F.col("text")).alias("text"))
+
+
 def framework_routes(files: DataFrame) -> DataFrame:
-    """path, line, framework, method, url, handler; a class's own mapping is the prefix of its methods' paths."""
+    """path, line, framework, method, url, handler; a class's own mapping is the prefix of its methods' paths. Urls may be names of
+    string constants of the same file."""
     from .boundary import route_method, route_path
 
-    text = lines(files)
+    text = with_constants(lines(files))
     prefix = text.filter(F.col("text").rlike(r"@RequestMapping\(")).groupBy("path").agg(F.min_by(F.regexp_extract("text", r'@RequestMapping\(\s*(?:value\s*=\s*|path\s*=\s*)?"([^"]*)"', 1), "line").alias("prefix"))
     out = None
     for name, rx, (m, p, h) in ROUTES:
@@ -186,6 +208,7 @@ def framework_routes(files: DataFrame) -> DataFrame:
 
 # --- COBOL ----------------------------------------------------------------------------------------
 
+#: What lines of programs and job control tell: kind, and pattern with the name as its group.
 COBOL = [
     ("program", r"(?i)PROGRAM-ID\.\s+([\w-]+)"), ("section", r"(?i)^\s*([\w-]+)\s+SECTION\s*\."), ("perform", r"(?i)\bPERFORM\s+([\w-]+)"), ("call", r"""(?i)\bCALL\s+["']([\w-]+)["']"""),
     ("copy", r"(?i)\bCOPY\s+([\w-]+)"), ("sql", r"(?i)EXEC\s+SQL.*?\b(?:FROM|INTO|UPDATE)\s+([\w.-]+)"), ("cics", r"(?i)EXEC\s+CICS\s+(\w+)"), ("dli", r"(?i)EXEC\s+DLI\s+(\w+)"), ("job", r"^//(\w+)\s+JOB\b"), ("exec", r"^//\w*\s+EXEC\s+(?:PGM=)?(\w+)"),

@@ -233,3 +233,17 @@ def test_conventions(spark):
     hints = spark.createDataFrame([("java", "@RestController class A", "spring-annotation"), ("go", "func (c *GIN.Context)", "gin-handler"), ("go", "@RestController", None), (None, "x", None)], "l string, t string, r string")
     assert hints.filter(~conventions.definition_hint(F.col("l"), F.col("t"))["reason"].eqNullSafe(F.col("r"))).collect() == []
     assert len(conventions.PATH_RULES) > 75
+
+
+def test_framework_routes(spark):
+    """Routes of each framework, of data tables and of guards, and urls by constants."""
+    rows = [
+        ("a.py", '@app.route("/f", methods=["POST"])\n@app.route("/g")\nUSERS = "/users"\n@router.get(USERS)\n'), ("n.ts", "@Get('x/:id')\n@Post()\nif (pathname === '/old' && req.method === 'PUT') {}\nconst t = [{ method: 'GET', path: '/t', handler: list }]\n"),
+        ("c.cs", '[HttpGet("y")]\n[HttpDelete]\n'), ("r.rb", "  get '/r', to: 'users#index'\n"), ("m.go", 'r.POST("/p", h.create)\nhttp.HandleFunc("/q", serve)\n'), ("s.rs", '#[put("/s")]\n'), ("k.kt", '  get("/k") {\n'),
+        ("J.java", 'static final String BASE = "/b";\n@RequestMapping("/api")\n@GetMapping(BASE)\n'),
+    ]
+    got = {(r.framework, r.method, r.url, r.handler) for r in extract.framework_routes(spark.createDataFrame(rows, "path string, content string")).collect()}
+    assert got >= {
+        ("flask", "POST", "/f", None), ("flask", "*", "/g", None), ("fastapi", "GET", "/users", None), ("nestjs", "GET", "/x/:id", None), ("nestjs", "POST", "/", None), ("guard", "PUT", "/old", None), ("table", "GET", "/t", "list"), ("aspnet", "GET", "/y", None),
+        ("aspnet", "DELETE", "/", None), ("rails", "GET", "/r", "users#index"), ("gin", "POST", "/p", "h.create"), ("go-http", "*", "/q", "serve"), ("actix", "PUT", "/s", None), ("ktor", "GET", "/k", None), ("spring", "GET", "/api/b", None),
+    }
