@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import random
-from collections import defaultdict
+from collections import defaultdict, deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -58,25 +58,33 @@ def local_moves(edges: list[tuple[str, str, float]], resolution: float = 1.0, se
         weight = [sum(n.values()) for n in near]
         group = list(range(len(near)))
         load = weight[:]
-        moved, order = True, list(range(len(near)))
+        order = list(range(len(near)))
         rng.shuffle(order)
-        any_move = False
-        while moved:
-            moved = False
-            for v in order:
-                ties: dict[int, float] = {}
-                for u, w in near[v].items():
-                    if u != v:
-                        ties[group[u]] = ties.get(group[u], 0) + w
-                load[group[v]] -= weight[v]
-                best, gain = group[v], ties.get(group[v], 0) - resolution * weight[v] * load[group[v]] / total
-                for g, w in sorted(ties.items()):
-                    new = w - resolution * weight[v] * load[g] / total
-                    if new > gain + 1e-12:
-                        best, gain = g, new
-                load[best] += weight[v]
-                if best != group[v]:
-                    group[v], moved, any_move = best, True, True
+        # nodes wait in a queue; one that moves calls back its neighbours outside its new community
+        queue, waits, any_move = deque(order), [True] * len(near), False
+        while queue:
+            v = queue.popleft()
+            waits[v] = False
+            here, own = group[v], weight[v]
+            ties: dict[int, float] = {}
+            for u, w in near[v].items():
+                if u != v:
+                    g = group[u]
+                    ties[g] = ties.get(g, 0.0) + w
+            load[here] -= own
+            scale = resolution * own / total
+            best, gain = here, ties.get(here, 0.0) - scale * load[here]
+            for g, w in ties.items():
+                new = w - scale * load[g]
+                if new > gain + 1e-12 or (g < best and best != here and new > gain - 1e-12):
+                    best, gain = g, new
+            load[best] += own
+            if best != here:
+                group[v], any_move = best, True
+                for u in near[v]:
+                    if not waits[u] and group[u] != best:
+                        waits[u] = True
+                        queue.append(u)
         if not any_move:
             break
         names = {g: i for i, g in enumerate(sorted(set(group)))}
