@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 from collections import defaultdict, deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -120,7 +120,10 @@ def coarsened(edges: DataFrame, resolution: float, total: float) -> tuple[DataFr
 def detect(pairs: DataFrame, resolution: float = 1.0, seed: int = SEED, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
     """id, community (component#number, numbered by first member). Communities never span connected components, so a kernel takes
     one component at a time; components of more than kernel_edges edges are first made smaller, level by level, with joins. At
-    the end communities are refined: one that is not connected inside falls into its connected parts."""
+    the end communities are refined: one that is not connected inside falls into its connected parts. A graph of kernel_edges
+    edges at most is one kernel's work altogether."""
+    if pairs.limit(kernel_edges + 1).count() <= kernel_edges:
+        return _detected(pairs, resolution, seed)
     comp = spread(pairs)
     x = settle(pairs.join(comp.select(F.col("id").alias("a"), "component"), "a").select("component", "a", "b", F.lit(1.0).alias("weight")))
     count = settle(x.groupBy("component").agg(F.count("*").alias("n")))
@@ -151,6 +154,46 @@ def detect(pairs: DataFrame, resolution: float = 1.0, seed: int = SEED, kernel_e
     return firsts.join(numbers, ["component", "first"]).select("id", F.concat_ws("#", "component", F.col("k").cast("string")).alias("community"))
 
 
+def connected_parts(near: dict[str, list[str]], among: Callable[[str, str], bool]) -> dict[str, str]:
+    """Each node's connected part, named by its smallest node; edges count where among() says so."""
+    out: dict[str, str] = {}
+    for v in sorted(near):
+        if v not in out:
+            out[v], open_ = v, [v]
+            while open_:
+                x = open_.pop()
+                for u in near[x]:
+                    if u not in out and among(x, u):
+                        out[u] = v
+                        open_.append(u)
+    return out
+
+
+def _detected(pairs: DataFrame, resolution: float, seed: int) -> DataFrame:
+    """detect() of a graph that one kernel takes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        edges = sorted(e for pdf in batches for e in zip(pdf["a"], pdf["b"], strict=True))
+        near: dict[str, list[str]] = defaultdict(list)
+        for a, b in edges:
+            near[a].append(b)
+            near[b].append(a)
+        part = connected_parts(near, lambda a, b: True)
+        inside: dict[str, list] = defaultdict(list)
+        for a, b in edges:
+            inside[part[a]].append((a, b, 1.0))
+        group: dict[str, tuple] = {}
+        for name, own in inside.items():
+            group.update({v: (name, g) for v, g in local_moves(own, resolution, seed).items()})
+        whole = connected_parts(near, lambda a, b: group[a] == group[b])
+        numbers: dict[str, dict[str, int]] = defaultdict(dict)
+        for v in sorted(near):
+            numbers[part[v]].setdefault(whole[v], len(numbers[part[v]]))
+        yield pd.DataFrame([(v, f"{part[v]}#{numbers[part[v]][whole[v]]}") for v in near], columns=["id", "community"])
+
+    return pairs.select("a", "b").repartition(1).mapInPandas(run, "id string, community string")
+
+
 def spread(pairs: DataFrame, rounds: int = 100) -> DataFrame:
     """id, component (its smallest member), by spreading the smallest known label, with pointer jumps in between."""
     both = settle(pairs.select(F.col("a").alias("id"), F.col("b").alias("n")).union(pairs.select(F.col("b"), F.col("a"))).distinct())
