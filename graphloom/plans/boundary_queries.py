@@ -105,21 +105,21 @@ def h8_route_registry(spark, sf):
 
 
 #: Fetches of each order's items; routes of even parts, and one for all others.
-_FETCH = "f AS (SELECT DISTINCT 'o' || l_orderkey AS source, '/api/p' || l_partkey || CASE step % 4 WHEN 0 THEN '/[param]' WHEN 1 THEN '/' || step WHEN 2 THEN '/' || step ELSE '/a/b' END AS fetched, l_partkey AS p, step % 4 AS k FROM steps), hit AS (SELECT source, fetched, CASE WHEN k < 3 AND p % 2 = 0 THEN '/api/p' || p || '/[id]' WHEN k = 3 THEN '/api/[...rest]' END AS route FROM f)"
+_FETCH = "f AS (SELECT DISTINCT 'o' || l_orderkey AS source, '/p' || l_partkey || '/api' || CASE step % 4 WHEN 0 THEN '/[param]' WHEN 1 THEN '/' || step WHEN 2 THEN '/' || step ELSE '/a/b' END AS fetched, l_partkey AS p, step % 4 AS k FROM steps), hit AS (SELECT source, fetched, CASE WHEN k < 3 AND p % 2 = 0 THEN '/p' || p || '/api/[id]' WHEN k = 3 THEN '/[...rest]' END AS route FROM f)"
 
 
 def _fetches(spark, sf):
     k, p, n = c("step") % 4, c("l_partkey").cast("string"), c("step").cast("string")
     tail = F.when(k == 0, F.lit("/${id}")).when(k == 1, F.concat(F.lit("/"), n)).when(k == 2, F.concat(F.lit("/"), n, F.lit("?x=1"))).otherwise(F.lit("/a/b"))
-    return X.steps(spark, sf).select(F.concat(F.lit("o"), c("l_orderkey").cast("string")).alias("source"), F.concat(F.lit("/api/p"), p, tail).alias("url"))
+    return X.steps(spark, sf).select(F.concat(F.lit("o"), c("l_orderkey").cast("string")).alias("source"), F.concat(F.lit("/p"), p, F.lit("/api"), tail).alias("url"))
 
 
 def _fetch_routes(spark, sf):
-    own = X.table(spark, sf, "part").filter("p_partkey % 2 = 0").select(F.concat(F.lit("/api/p"), c("p_partkey").cast("string"), F.lit("/[id]")).alias("url"), F.lit(0).alias("ord"))
-    return own.union(spark.createDataFrame([("/api/[...rest]", 1)], "url string, ord int"))
+    own = X.table(spark, sf, "part").filter("p_partkey % 2 = 0").select(F.concat(F.lit("/p"), c("p_partkey").cast("string"), F.lit("/api/[id]")).alias("url"), F.lit(0).alias("ord"))
+    return own.union(spark.createDataFrame([("/[...rest]", 1)], "url string, ord int"))
 
 
-@query(X.sql("SELECT source, fetched, coalesce(route, '/api/[...rest]') AS route FROM hit", _FETCH))
+@query(X.sql("SELECT source, fetched, coalesce(route, '/[...rest]') AS route FROM hit", _FETCH))
 def h9_fetch_matching(spark, sf):
     return B.match_fetches(_fetches(spark, sf), _fetch_routes(spark, sf)).select("source", c("fetch").alias("fetched"), "route")
 
