@@ -36,9 +36,10 @@ def locate(calls: DataFrame, nodes: DataFrame, order: str = "id") -> DataFrame:
     """caller, callee, file: the first symbol of the file with the called name; calls to oneself are left out."""
     simple = F.trim(F.split("calleeName", r"\(")[0])
     n = nodes.filter(F.col("label").isin("Method", "Function", "Class", "Struct")).select(F.col("id").alias("callee"), F.col("name").alias("__name"), F.col("filePath").alias("calleeFile"), F.col(order).alias("__ord"))
-    x = calls.withColumn("__name", simple).join(n, ["calleeFile", "__name"])
-    first = x.withColumn("rn", F.row_number().over(W.partitionBy("callerId", "calleeName", "calleeFile").orderBy("__ord"))).filter("rn = 1")
-    return first.filter("callee <> callerId").select(F.col("callerId").alias("caller"), "callee", F.col("calleeFile").alias("file")).distinct()
+    # the first of a name is the same for all who call it: symbols are cut before calls meet them
+    first = n.groupBy("calleeFile", "__name").agg(F.min(F.struct("__ord", "callee"))["callee"].alias("callee"))
+    x = calls.select("callerId", simple.alias("__name"), "calleeFile").join(first, ["calleeFile", "__name"]).filter("callee <> callerId")
+    return x.groupBy("calleeFile", "__name", "callerId", "callee").agg(F.lit(1)).select(F.col("callerId").alias("caller"), "callee", F.col("calleeFile").alias("file"))
 
 
 def enrich(g: Graph, calls: DataFrame) -> tuple[Graph, DataFrame]:
@@ -47,7 +48,9 @@ def enrich(g: Graph, calls: DataFrame) -> tuple[Graph, DataFrame]:
     sure = locate(calls, g.nodes)
     files = g.nodes.select(F.col("id").alias("targetId"), F.col("filePath").alias("__file"))
     weak = g.edges.filter("type = 'CALLS' and confidence < 1.0").join(files, "targetId")
-    wrong = weak.join(sure.select(F.col("caller").alias("sourceId"), F.col("file").alias("__file"), "callee"), ["sourceId", "__file"]).filter("targetId <> callee").select("sourceId", "targetId").distinct().withColumn("type", F.lit("CALLS")).withColumn("__weak", F.lit(True))
+    # some callee of the file is another one if the least or the largest is
+    ends = sure.groupBy(F.col("caller").alias("sourceId"), F.col("file").alias("__file")).agg(F.min("callee").alias("lo"), F.max("callee").alias("hi"))
+    wrong = weak.select("sourceId", "targetId", "__file").join(ends, ["sourceId", "__file"]).filter("targetId <> lo or targetId <> hi").select("sourceId", "targetId").distinct().withColumn("type", F.lit("CALLS")).withColumn("__weak", F.lit(True))
     kept = g.edges.withColumn("__weak", (F.col("confidence") < 1.0) & (F.col("type") == "CALLS")).join(wrong, ["sourceId", "targetId", "type", "__weak"], "left_anti").drop("__weak")
     new = sure.select(F.col("caller").alias("sourceId"), F.col("callee").alias("targetId"), F.lit("CALLS").alias("type"), F.lit(1.0).alias("confidence"), F.lit("LSP: call hierarchy").alias("reason"), F.lit(0).alias("step"), F.lit(0).cast("long").alias("emit_ord"))
     stats = sure.agg(F.count("*").alias("calls")).crossJoin(wrong.agg(F.count("*").alias("conflicts")))
