@@ -59,6 +59,20 @@ def first_k(df: DataFrame, per: list[str], order: list, k: int) -> DataFrame:
     return df.withColumn("rn", F.row_number().over(W.partitionBy(*per).orderBy(*order))).filter(F.col("rn") <= k)
 
 
+def first_calls(entries: DataFrame, owners: DataFrame, calls: DataFrame, k: int) -> DataFrame:
+    """process, class, callee: the first k calls of each process's entry point (process, entryPointId), for each owner of that
+    method. owners, calls: edges. Calls are cut to k and owners gathered by method before processes meet them, so only rows of
+    the result are as many as it; a process that is told n times has each call n times among its first k."""
+    told = F.col("__n").cast("int")
+    p = entries.filter("entryPointId is not null").repartition("entryPointId").groupBy("entryPointId", "process").agg(F.count("*").alias("__n"))
+    ranked = first_k(calls.select("sourceId", "targetId", "emit_ord"), ["sourceId"], ["emit_ord", "targetId"], k)
+    first = ranked.groupBy(F.col("sourceId").alias("entryPointId")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "targetId"))), lambda x: x["targetId"]).alias("__callees"))
+    held = owners.groupBy(F.col("targetId").alias("entryPointId"), F.col("sourceId").alias("class")).agg(F.count("*").alias("m")).groupBy("entryPointId").agg(F.collect_list(F.struct("class", "m")).alias("__owners"))
+    x = p.join(first.join(held, "entryPointId"), "entryPointId").select("process", "__callees", "__n", F.explode("__owners").alias("o"))
+    callees = F.slice(F.flatten(F.transform("__callees", lambda t: F.array_repeat(t, told * F.col("o.m").cast("int")))), 1, k)
+    return x.select("process", F.col("o.class").alias("class"), F.explode(callees).alias("callee"))
+
+
 def delete_edges(edges: DataFrame, types: list[str] | None = None, reasons: list[str] | None = None) -> DataFrame:
     """Edges that stay; a null reason never matches."""
     gone = F.lit(True)

@@ -336,3 +336,61 @@ def test_conflicts_skip_what_a_class_has(spark):
     short = H.conflicts(d, m, resolved=False)
     assert {(r["class"], r["name"]): (r.definitions, r.by_class) for r in short.collect()} == {k: (n, x is not None) for k, (n, _, x) in got.items()}
     assert [tuple(r) for r in H.split_summary(short).collect()] == [(3, 1)]
+
+
+def test_parameter_codes_of_any_width(spark):
+    sets = [[], [0], [3, 4], [59], [60], [61, 2, 130], list(range(0, 200, 7)), [119, 120], [239], None]
+    want = [("0" if not s else f"{sum(1 << p for p in s):x}", sorted(s or [])) for s in sets]
+    d = spark.createDataFrame([(i, s) for i, s in enumerate(sets)], "id int, ps array<int>").withColumn("code", P.encode_params(F.col("ps")))
+    got = sorted(tuple(r) for r in d.select("id", "code", P.decode_params(F.col("code")), P.decode_params(F.upper("code"))).collect())
+    assert got == [(i, code, bits, bits) for i, (code, bits) in enumerate(want)]
+
+
+def _most_rows(df) -> int:
+    """The largest number of rows that a join of the executed plan made."""
+    import re
+
+    df.collect()
+    plan, out = df._jdf.queryExecution().executedPlan(), []
+    todo = [plan]
+    while todo:
+        p = todo.pop()
+        if p.nodeName() == "AdaptiveSparkPlan":
+            todo.append(p.executedPlan())
+            continue
+        if p.nodeName().endswith("QueryStage"):
+            todo.append(p.plan())
+        if re.search("Join", p.nodeName()):
+            out.append(p.metrics().apply("numOutputRows").value())
+        kids = p.children()
+        todo += [kids.apply(i) for i in range(kids.size())]
+    return max(out)
+
+
+def test_joins_stay_small(spark):
+    """Symbols of one name, owners and calls of one method, scopes around a site: no row for each pair of them."""
+    from graphloom.operators import enrichment as N
+    from graphloom.operators import relational as Q
+    from graphloom.operators import resolution as R
+
+    nodes = spark.range(200).selectExpr("concat('n', lpad(id, 3, '0')) id", "'Method' label", "'f' name", "'a.py' filePath")
+    calls = spark.range(300).selectExpr("concat('c', id) callerId", "'f(x)' calleeName", "'a.py' calleeFile")
+    found = N.locate(calls, nodes)
+    assert {(r.callee, r.file) for r in found.collect()} == {("n000", "a.py")} and found.count() == 300
+    assert _most_rows(found) <= 300
+
+    owners = spark.range(50).selectExpr("concat('k', id) sourceId", "'m' targetId")
+    out = spark.range(100).selectExpr("'m' sourceId", "concat('t', lpad(id, 3, '0')) targetId", "99 - id div 2 emit_ord")
+    entries = spark.range(20).selectExpr("concat('p', id) process", "if(id = 19, null, 'm') entryPointId")
+    links = Q.first_calls(entries.union(entries.filter("process = 'p3'")), owners, out, 4)
+    rows = sorted(tuple(r) for r in links.filter("class = 'k7'").collect())
+    assert [r for r in rows if r[0] == "p0"] == [("p0", "k7", f"t{n:03d}") for n in (96, 97, 98, 99)] and links.count() == 19 * 50 * 4
+    assert [r[2] for r in rows if r[0] == "p3"] == ["t098", "t098", "t099", "t099"]
+    assert _most_rows(links) <= 40
+
+    chain = spark.range(40).selectExpr("0L scope", "id ancestor", "cast(id as int) depth")
+    bind = spark.range(1, 40).selectExpr("id scope", "'x' name", "concat('b', id) id", "if(id = 1, 'var', 'fn') kind")
+    sites = spark.range(500).selectExpr("concat('s', id) site", "0L scope", "'x' name", "array(if(id % 2 = 0, 'var', 'fn')) kinds")
+    seen = R.lexical(sites, chain, bind)
+    assert {(r.id, r.depth) for r in seen.collect()} == {("b1", 1)} and seen.count() == 250
+    assert _most_rows(seen) <= 500
