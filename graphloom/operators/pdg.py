@@ -548,15 +548,26 @@ def encode_path(hops: Column, cap: int = 4096) -> Column:
 def encode_params(params: Column) -> Column:
     """A set of parameter numbers as hexadecimal digits, the lowest bits last; any width."""
     top = F.coalesce(F.array_max(params), F.lit(-1))
-    digits = F.when(top < 0, F.array(F.lit("0"))).otherwise(
-        F.transform(F.reverse(F.sequence(F.lit(0), F.greatest(F.floor(top / 4).cast("int"), F.lit(0)))), lambda d: F.lower(F.hex(F.aggregate(F.filter(params, lambda p: F.floor(p / 4) == d), F.lit(0), lambda s, p: s.bitwiseOR(F.pow(F.lit(2), p % 4).cast("int")))))))
-    return F.array_join(digits, "")
+    # fifteen digits at a time, the first ones without the zeros before the highest bit
+    bit = lambda p, w: F.when((p >= w * 60) & (p < w * 60 + 60), F.call_function("shiftleft", F.lit(1).cast("long"), (p % 60).cast("int"))).otherwise(F.lit(0).cast("long"))
+    word = lambda w: F.lpad(F.hex(F.aggregate(params, F.lit(0).cast("long"), lambda s, p: s.bitwiseOR(bit(p, w)))), 15, "0")
+    last = F.greatest(F.floor(top / 60).cast("int"), F.lit(0))
+    code = F.lower(F.array_join(F.transform(F.sequence(last, F.lit(0)), word), ""))
+    return F.when(top < 0, "0").otherwise(F.right(code, (F.floor(top / 4) + 1).cast("int")))
 
 
 def decode_params(code: Column) -> Column:
-    n = F.length(code)
-    bits = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct((n - i).alias("d"), F.conv(F.substr(code, i, F.lit(1)), 16, 10).cast("int").alias("v")))
-    return F.array_sort(F.flatten(F.transform(bits, lambda b: F.transform(F.filter(F.array(*(F.lit(k) for k in range(4))), lambda k: F.floor(b["v"] / F.pow(F.lit(2), k)) % 2 == 1), lambda k: (b["d"] * 4 + k).cast("int")))))
+    ones = F.array(*(F.array(*(F.lit(k) for k in range(4) if v >> k & 1)) if v else F.array().cast("array<int>") for v in range(16)))
+
+    def bits(low: Column) -> Column:
+        n = F.length(low)
+        digit = lambda i: F.substr(low, i, F.lit(1))
+        # only digits that hold a bit are looked up
+        held = F.filter(F.sequence(F.lit(1), n), lambda i: ~digit(i).isin("0", ""))
+        return F.sort_array(F.flatten(F.transform(held, lambda i: F.transform(F.get(ones, F.call_function("instr", F.lit("123456789abcdef"), digit(i))), lambda k: ((n - i) * 4 + k).cast("int")))))
+
+    # as an argument the code is computed once, not for each digit
+    return F.get(F.transform(F.array(F.lower(code)), bits), F.lit(0))
 
 
 def collected(functions: DataFrame, cap: int = MAX_LINES) -> DataFrame:
