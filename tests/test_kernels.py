@@ -1,5 +1,6 @@
 """Kernels against brute force on small random graphs."""
 
+import contextlib
 import itertools
 import random
 
@@ -445,13 +446,21 @@ def test_thinned(spark, chunks):
     assert len(thin) <= 40 * chunks
 
 
-def test_single_overrides_stop_at_the_nearest_match(spark):
+def test_single_overrides_stop_at_the_nearest_match(spark, monkeypatch):
     """A chain of 30 classes with one name: each method meets its parent's only; two matches at a level end the search."""
     chain = [(f"c{i:02d}", f"c{j:02d}", i - j, "EXTENDS") for i in range(30) for j in range(i)] + [("d", "e", 1, "EXTENDS"), ("d", "c00", 2, "EXTENDS"), ("d", "i", 1, "IMPLEMENTS")]
     rows = [(f"c{i:02d}", f"c{i:02d}.m", "m", False, ["T"], 1) for i in range(30)] + [("d", "d.m", "m", False, ["T"], 1), ("e", "e.m1", "m", False, ["T"], 1), ("e", "e.m2", "m", False, ["T"], None), ("i", "i.m", "m", False, ["T"], 1), ("c05", "c05.x", "x", False, [], 2), ("c02", "c02.x", "x", False, ["A", "B"], 2), ("c03", "c03.x", "x", False, [], 3), ("c04", "c04.x", "x", True, [], 2)]
     up = spark.createDataFrame(chain, "class string, ancestor string, depth int, kind string")
     m = spark.createDataFrame(rows, "class string, method string, name string, is_property boolean, types array<string>, count int")
+    most, real = [], H.tabled
+
+    def told(df):
+        with contextlib.suppress(ValueError):  # no join
+            most.append(_most_rows(df))
+        return real(df)
+
+    monkeypatch.setattr(H, "tabled", told)
     found = H.single_overrides(up, m)
     want = {(f"c{i:02d}", f"c{i:02d}.m", f"c{i - 1:02d}.m") for i in range(1, 30)} | {("c05", "c05.x", "c02.x")}
     assert {tuple(r)[:3] for r in found.collect()} == want
-    assert _most_rows(found) <= 60
+    assert max(most) <= 60
