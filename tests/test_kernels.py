@@ -503,3 +503,37 @@ def test_inherited_implementations_make_few_rows(spark):
     assert {tuple(r) for r in found.collect()} == {("c", f"i.{k}", "only") for k in range(40)}
     with contextlib.suppress(ValueError):  # no join
         assert _most_rows(found) <= 2000
+
+
+@pytest.mark.parametrize("limits", [{}, {"local_rows": 0}, {"held_nodes": 0}])
+def test_detect_of_a_large_graph(spark, limits, monkeypatch):
+    """Beyond the kernel, rounds go over flat arrays: the same components, connected communities numbered by their first members,
+    no worse than the kernel's. Only graphs of more nodes than workers hold make rounds of joins."""
+    rng = random.Random(9)
+    pairs = {tuple(sorted((f"{x}{a:02d}", f"{x}{b:02d}"))) for x in "abcdefghij" for a in range(12) for b in range(a) if rng.random() < 0.7}
+    pairs |= {(f"{x}00", f"{y}01") for x, y in zip("abcdfg", "bcdegh", strict=True)} | {("x1", "x2")} | {(f"y{k:02d}", f"y{k + 1:02d}") for k in range(60)}
+    df = spark.createDataFrame(sorted(pairs), "a string, b string").repartition(3)
+    joins, real = [], M.spread
+    monkeypatch.setattr(M, "spread", lambda *a: joins.append(1) or real(*a))
+    got = {r.id: r.community for r in M.detect(df, kernel_edges=20, **limits).collect()}
+    assert bool(joins) == ("held_nodes" in limits)
+    kernel = {r.id: r.community for r in M.detect(df).collect()}
+    near = {}
+    for a, b in sorted(pairs):
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    part = M.connected_parts(near, lambda a, b: True)
+    assert set(got) == set(near) and all(got[v].split("#")[0] == part[v] for v in near)
+    inside = M.connected_parts(near, lambda a, b: got[a] == got[b])
+    firsts = {}
+    for v in sorted(near):
+        firsts.setdefault(part[v], {}).setdefault(inside[v], len(firsts[part[v]]))
+    assert all(got[v] == f"{part[v]}#{firsts[part[v]][inside[v]]}" for v in near)
+
+    def quality(of):
+        load = {}
+        for v in near:
+            load[of[v]] = load.get(of[v], 0) + len(near[v])
+        return sum(of[a] == of[b] for a, b in pairs) / len(pairs) - sum(x * x for x in load.values()) / (2 * len(pairs)) ** 2
+
+    assert quality(got) > quality(kernel) - 0.05
